@@ -75,9 +75,8 @@ ALLOY_PATTERN = (
     r"Fe-?Cr-?Ni|Al-?Cu-?Mg|Cu-?Ni)\b"
 )
 FORMULA_PATTERN = r"\b(?:[A-Z][a-z]?\d*){2,}(?:[+-])?\b"
-MATH_LINE_PATTERN = (
-    r"(?=.*(?:=|≈|≤|≥|->|→|<-|←|\\Delta|\\sum|\\int|\bexp\b|\blog\b|\bsin\b|\bcos\b))(?=.*[A-Za-zΑ-Ωα-ω])"
-)
+MATH_OPERATOR_PATTERN = r"=|≈|≤|≥|->|→|<-|←|\\Delta|\\sum|\\int|\bexp\b|\blog\b|\bsin\b|\bcos\b"
+MATH_LETTER_PATTERN = r"[A-Za-zΑ-Ωα-ω]"
 QUERY_TOKEN_PATTERN = r"[a-zа-яё0-9][a-zа-яё0-9+\-_/]{1,}"
 HEADING_PATTERN = r"^\s*(?:\d+(?:\.\d+)*\.?\s+)?([A-ZА-Я][A-Za-zА-Яа-я0-9 ,:/()\\-]{2,90})\s*$"
 DOMAIN_PATTERNS = {

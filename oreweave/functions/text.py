@@ -11,8 +11,12 @@ from oreweave import constants as K
 
 # Unicode white space plus the four separators Python's str.split() also treats as blanks.
 SPACE = r"[\s\x1c-\x1f]"
-# str.splitlines() boundaries.
-LINE_BREAK = r"(?:\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029])"
+BLANK_CHARS = (
+    " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+# str.splitlines() boundaries, the two-character one first.
+LINE_BREAKS = ("\r\n", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029")
 FORM_FEED = "\f"
 
 
@@ -22,13 +26,22 @@ def collapse_ws(text: Column) -> Column:
 
 
 def py_strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"(?U)\A{SPACE}+|{SPACE}+\z", "")
+    return F.trim(text, F.lit(BLANK_CHARS))
 
 
 def split_lines(text: Column) -> Column:
     """Array of lines without a trailing empty element."""
-    body = F.regexp_replace(text, rf"{LINE_BREAK}\z", "")
-    return F.when(F.length(text) == 0, F.array().cast("array<string>")).otherwise(F.split(body, LINE_BREAK, -1))
+    for mark in LINE_BREAKS:
+        text = F.replace(text, F.lit(mark), F.lit("\n"))
+    lines = F.split(text, "\n", -1)
+    # a final break leaves one empty element at the end
+    return F.get(
+        F.transform(
+            F.array(lines),
+            lambda x: F.when(F.element_at(x, -1) == "", F.slice(x, F.lit(1), F.size(x) - 1)).otherwise(x),
+        ),
+        F.lit(0),
+    )
 
 
 def split_pages(text: Column) -> Column:
@@ -197,7 +210,8 @@ def is_chemical(line: Column) -> Column:
 def is_equation(line: Column) -> Column:
     compact = F.replace(line, F.lit(" "), F.lit(""))
     return (
-        F.rlike(line, F.lit(f"(?U){K.MATH_LINE_PATTERN}"))
+        F.rlike(line, F.lit(f"(?U){K.MATH_OPERATOR_PATTERN}"))
+        & F.rlike(line, F.lit(K.MATH_LETTER_PATTERN))
         & (F.length(compact) >= 5)
         & F.rlike(compact, F.lit(r"[=+\-*/^_()\[\]{}<>≈≤≥→←]"))
         & (F.regexp_count(compact, F.lit(r"[\p{L}\p{N}]")) >= 3)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -47,11 +48,22 @@ def _regex_literal(term: str) -> str:
     return "".join("\\" + ch if not ch.isalnum() and ch != " " else ch for ch in term)
 
 
-def term_present(low: Column, term: str) -> Column:
-    """Whole-word hit of a catalog term; the plain substring test keeps the regex off most rows."""
-    term = term.lower()
-    word = rf"(?<![A-Za-z0-9]){_regex_literal(term)}(?![A-Za-z0-9])"
-    return F.contains(low, F.lit(term)) & F.rlike(low, F.lit(word))
+def _first_word(term: str) -> str:
+    return re.match(r"[a-z0-9]+", term).group(0)
+
+
+def term_present(low: Column, words: Column, term: str) -> Column:
+    """Whole-word hit of a catalog term, given the catalog words of the text.
+
+    A one-word term is decided by the words alone. A longer one is searched in the text, and
+    only when its first word is there.
+    """
+    first = _first_word(term)
+    known = F.array_contains(words, first)
+    if first == term:
+        return known
+    pattern = rf"(?<![A-Za-z0-9]){_regex_literal(term)}(?![A-Za-z0-9])"
+    return known & F.contains(low, F.lit(term)) & F.rlike(low, F.lit(pattern))
 
 
 def _mention(entity_type: str | Column, name: Column, confidence: float) -> Column:
@@ -60,14 +72,22 @@ def _mention(entity_type: str | Column, name: Column, confidence: float) -> Colu
 
 
 def catalog_hits(low: Column, catalog: Catalog = K.TERM_CATALOG) -> Column:
-    """Array of the catalog terms present in a lower-case text; at most the catalog size."""
+    """Array of the catalog terms present in a lower-case text; at most the catalog size.
+
+    The text is split into words once and intersected with the first words of the catalog,
+    instead of being searched once per term.
+    """
     confidence = K.ENTITY_CONFIDENCE["term"]
-    hits = [
-        F.when(term_present(low, term), _mention(kind, F.lit(term), confidence))
-        for kind, terms in catalog.items()
-        for term in terms
-    ]
-    return F.array_compact(F.array(*hits))
+    terms = [(kind, term.lower()) for kind, names in catalog.items() for term in names]
+    first_words = sorted({_first_word(term) for _, term in terms})
+    words = F.array_intersect(F.split(low, "[^a-z0-9]+"), F.array(*[F.lit(w) for w in first_words]))
+    hits = F.transform(
+        F.array(words),
+        lambda present: F.array_compact(
+            F.array(*[F.when(term_present(low, present, term), _mention(kind, F.lit(term), confidence)) for kind, term in terms])
+        ),
+    )
+    return F.flatten(hits)
 
 
 def text_mentions(text: Column, low: Column, catalog: Catalog = K.TERM_CATALOG) -> Column:
@@ -206,15 +226,11 @@ def domain_entities(chunks: DataFrame, order: Sequence[str]) -> DataFrame:
 
     chunks: document_id, text and the ``order`` columns that give the reading order.
     """
-    found = F.concat(
-        *[
-            F.transform(
-                F.regexp_extract_all("text", F.lit(f"(?iU){pattern}"), F.lit(0)),
-                lambda m, kind=kind: F.struct(F.lit(kind).alias("entity_type"), T.collapse_ws(m).alias("name")),
-            )
-            for kind, pattern in K.DOMAIN_PATTERNS.items()
-        ]
-    )
+    def hits(kind: str, pattern: str) -> Column:
+        names = F.regexp_extract_all("text", F.lit(f"(?iU){pattern}"), F.lit(0))
+        return F.transform(names, lambda m: F.struct(F.lit(kind).alias("entity_type"), T.collapse_ws(m).alias("name")))
+
+    found = F.concat(*[hits(kind, pattern) for kind, pattern in K.DOMAIN_PATTERNS.items()])
     rows = chunks.select("document_id", *order, F.posexplode(found).alias("_pos", "_m")).select(
         "document_id", *order, "_pos", "_m.*", F.lower("_m.name").alias("normalized")
     )

@@ -12,14 +12,18 @@ from oreweave.functions import text as T
 
 
 def _pages(docs: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
-    """keys, ``page`` from 1, ``_lines``: the page as an array of lines."""
+    """keys, ``page`` from 1, ``_page_text``."""
     pages = docs.select(*keys, F.posexplode(T.split_pages(F.col(text))).alias("_page", "_page_text"))
-    return pages.select(*keys, (F.col("_page") + 1).alias("page"), T.split_lines(F.col("_page_text")).alias("_lines"))
+    return pages.select(*keys, (F.col("_page") + 1).alias("page"), "_page_text")
+
+
+def _page_lines() -> Column:
+    return T.split_lines(F.col("_page_text"))
 
 
 def document_lines(docs: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
     """One row per line: keys, ``page`` and ``line`` from 1, ``content``."""
-    lines = _pages(docs, keys, text).select(*keys, "page", F.posexplode("_lines").alias("_line", "content"))
+    lines = _pages(docs, keys, text).select(*keys, "page", F.posexplode(_page_lines()).alias("_line", "content"))
     return lines.select(*keys, "page", (F.col("_line") + 1).alias("line"), "content")
 
 
@@ -29,13 +33,11 @@ def formula_records(docs: DataFrame, keys: Sequence[str], text: str = "text") ->
     Lines are classified inside the page's array, so each is cleaned and tested once and only
     the formula lines become rows.
     """
-    cleaned = _pages(docs, keys, text).select(
-        *keys, "page", F.transform("_lines", lambda x: T.collapse_ws(x)).alias("_lines")
-    )
+    cleaned = F.transform(_page_lines(), lambda x: T.collapse_ws(x))
     typed = F.transform(
-        "_lines", lambda x, i: F.struct((i + 1).alias("line"), x.alias("text"), T.formula_kind(x).alias("kind"))
+        cleaned, lambda x, i: F.struct((i + 1).alias("line"), x.alias("text"), T.formula_kind(x).alias("kind"))
     )
-    found = cleaned.select(*keys, "page", F.inline(F.filter(typed, lambda r: r["kind"].isNotNull())))
+    found = _pages(docs, keys, text).select(*keys, "page", F.inline(F.filter(typed, lambda r: r["kind"].isNotNull())))
     first = Window.partitionBy(*keys, "page", "text").orderBy("line")
     return (
         found.withColumn("_n", F.row_number().over(first))
@@ -54,7 +56,7 @@ def table_lines(docs: DataFrame, keys: Sequence[str], text: str = "text") -> Dat
     """
     pages = _pages(docs.select(*keys, text).repartition(*keys), keys, text)
     split = F.transform(
-        "_lines", lambda x, i: F.struct((i + 1).alias("line"), x.alias("content"), T.table_cells(x).alias("cells"))
+        _page_lines(), lambda x, i: F.struct((i + 1).alias("line"), x.alias("content"), T.table_cells(x).alias("cells"))
     )
     cells = pages.select(*keys, "page", F.inline(F.filter(split, lambda r: F.size(r["cells"]) >= 2)))
     page = Window.partitionBy(*keys, "page").orderBy("line")
@@ -124,67 +126,72 @@ def enriched_text(text: Column, formulas: Column, tables: Column) -> Column:
     return F.concat_ws("\n\n", F.when(body != "", body), formula_block, table_block)
 
 
+def _is_heading(line: Column) -> Column:
+    """Title-like line; lines too long to be one never reach the pattern."""
+    clean = T.py_strip(line)
+    short = (F.length(clean) <= 91) | F.rlike(clean, F.lit("^[0-9]"))
+    return short & F.rlike(clean, F.lit(K.HEADING_PATTERN))
+
+
 def _section_starts(lines: Column) -> Column:
     """Line numbers (from 0) where a new section begins.
 
     A heading opens a section only when more than eight lines have been collected since the
     last one, so the rule is folded over the heading positions, which are few.
     """
-    headings = F.filter(
-        F.transform(lines, lambda line, i: F.when(F.rlike(T.py_strip(line), F.lit(K.HEADING_PATTERN)), i)),
-        lambda i: i.isNotNull(),
-    )
+    headings = F.array_compact(F.transform(lines, lambda line, i: F.when(_is_heading(line), i)))
     return F.aggregate(
         headings,
         F.array().cast("array<int>"),
         lambda acc, h: F.when(
-            F.when(F.size(acc) == 0, h > 8).otherwise(h - F.get(acc, F.size(acc) - 1) > 9),
-            F.concat(acc, F.array(h)),
+            F.when(F.size(acc) == 0, h > 8).otherwise(h - F.get(acc, F.size(acc) - 1) > 9), F.concat(acc, F.array(h))
         ).otherwise(acc),
     )
 
 
+def _sections(lines: Column, starts: Column) -> Column:
+    """Array of (title, text): the lines between two starts; a heading is no part of its text."""
+
+    def text_of(start: Column, i: Column) -> Column:
+        stop = F.coalesce(F.get(starts, i), F.size(lines))
+        return T.py_strip(F.array_join(F.slice(lines, start + 2, stop - start - 1), "\n"))
+
+    parts = F.transform(
+        F.concat(F.array(F.lit(-1)), starts),
+        lambda s, i: F.struct(
+            F.when(s < 0, F.lit("Full text")).otherwise(T.py_strip(F.get(lines, s))).alias("title"),
+            text_of(s, i).alias("text"),
+        ),
+    )
+    return F.filter(parts, lambda p: p["text"] != "")
+
+
 def fallback_sections(
     docs: DataFrame, keys: Sequence[str], title: str, text: str = "text", extractor: str = "text_fallback"
 ) -> DataFrame:
     """Sections of documents that have no structural markup.
 
     One section is typed ``full_text`` under the document title, several are typed ``body``
-    under their headings.
+    under their headings. The whole rule is one array expression per document: nested
+    one-element transforms bind the lines, the starts and the parts, so each is computed once.
     """
-    body = docs.select(
-        *keys, F.col(title).alias("_title"), T.split_lines(T.py_strip(F.coalesce(F.col(text), F.lit("")))).alias("_lines")
-    )
-    starts = body.withColumn("_starts", _section_starts(F.col("_lines")))
-    # the first section begins at line 0 without a heading line; others exclude their heading
-    bounds = F.concat(F.array(F.lit(-1)), F.col("_starts"))
-    parts = F.transform(
-        bounds,
-        lambda s, i: F.struct(
-            F.when(s < 0, F.lit("Full text")).otherwise(T.py_strip(F.get(F.col("_lines"), s))).alias("title"),
-            T.py_strip(
-                F.array_join(
-                    F.slice(
-                        F.col("_lines"),
-                        s + 2,
-                        F.coalesce(F.get(F.col("_starts"), i), F.size("_lines")) - s - 1,
-                    ),
-                    "\n",
-                )
-            ).alias("text"),
+    full_title = F.when(F.coalesce(F.col(title), F.lit("")) == "", "Full text").otherwise(F.col(title))
+    lines = T.split_lines(T.py_strip(F.coalesce(F.col(text), F.lit(""))))
+    bound = F.transform(F.array(lines), lambda x: F.struct(x.alias("lines"), _section_starts(x).alias("starts")))
+    parts = F.transform(bound, lambda b: _sections(b["lines"], b["starts"]))
+    typed = F.transform(
+        parts,
+        lambda ps: F.transform(
+            ps,
+            lambda p, i: F.struct(
+                i.alias("section_index"),
+                F.when(F.size(ps) == 1, "full_text").otherwise("body").alias("section_type"),
+                F.when(F.size(ps) == 1, full_title).otherwise(p["title"]).alias("title"),
+                p["text"].alias("text"),
+            ),
         ),
     )
-    kept = starts.withColumn("_parts", F.filter(parts, lambda p: p["text"] != ""))
-    single = F.size("_parts") == 1
-    full_title = F.when(F.coalesce(F.col("_title"), F.lit("")) == "", "Full text").otherwise(F.col("_title"))
-    return kept.select(*keys, single.alias("_single"), full_title.alias("_full"), F.posexplode("_parts").alias("section_index", "_p")).select(
-        *keys,
-        "section_index",
-        F.when(F.col("_single"), "full_text").otherwise("body").alias("section_type"),
-        F.when(F.col("_single"), F.col("_full")).otherwise(F.col("_p.title")).alias("title"),
-        F.col("_p.text").alias("text"),
-        F.lit(extractor).alias("extractor"),
-    )
+    return docs.select(*keys, F.inline(F.flatten(typed))).withColumn("extractor", F.lit(extractor))
 
 
 def assets_from_records(records: DataFrame) -> DataFrame:

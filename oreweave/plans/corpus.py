@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from oreweave import constants as K
 from oreweave.operators.chunking import chunk_documents
-from oreweave.tables import table
+from oreweave.tables import spread, table
 
 # Terms that occur in the generated prose, added to the term catalog so that every entity
 # type has hits in it.
@@ -26,7 +26,7 @@ CATALOG = {kind: [*terms, *CORPUS_TERMS.get(kind, [])] for kind, terms in K.TERM
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """run_id, source_file_id, title, text, source_type, relative_path, lang."""
     name = F.col("doc_id").cast("string")
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents")).select(
         F.col("source").alias("run_id"),
         name.alias("source_file_id"),
         F.concat(F.lit("Document "), name).alias("title"),

@@ -12,7 +12,7 @@ from oreweave.operators.graph import relation_names, tailings_graph
 from oreweave.operators.matching import contains_join
 from oreweave.plans import corpus
 from oreweave.plans.registry import query, sql_chunks, sql_collapse, sql_list, sql_text
-from oreweave.tables import SIZE_CLASS_BY_LINE, table, tailings_records
+from oreweave.tables import SIZE_CLASS_BY_LINE, spread, table, tailings_records
 
 _TERMS = ", ".join(
     f"({sql_text(kind)}, {sql_text(term)}, {sql_text(E._regex_literal(term))})"
@@ -86,7 +86,7 @@ def all_entities(spark, sf_dir):
   WHERE contains(lower(text), term) AND regexp_matches(lower(text), '(^|[^A-Za-z0-9])' || pattern || '([^A-Za-z0-9]|$)')
 """)
 def term_match(spark, sf_dir):
-    low = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("low"))
+    low = spread(table(spark, sf_dir, "documents")).select("doc_id", F.lower("text").alias("low"))
     return low.select("doc_id", F.inline(E.catalog_hits(F.col("low"), corpus.CATALOG))).select("doc_id", "entity_type", "name")
 
 

@@ -14,12 +14,12 @@ from oreweave.operators.layout import document_lines, fallback_sections, formula
 from oreweave.plans.registry import (
     BLANKS, BREAKS, query, sql_chunks, sql_collapse, sql_lines, sql_strip,
 )
-from oreweave.tables import table
+from oreweave.tables import spread, table
 
 
 @query("chunk", f"SELECT doc_id, chunk_index, chunk_text FROM {sql_chunks('documents', 'doc_id')}")
 def chunk(spark, sf_dir):
-    out = chunk_documents(table(spark, sf_dir, "documents"), ["doc_id"])
+    out = chunk_documents(spread(table(spark, sf_dir, "documents")), ["doc_id"])
     return out.withColumn("chunk_index", F.col("chunk_index").cast("bigint"))
 
 
@@ -28,7 +28,7 @@ _TAGLESS = "regexp_replace(html, '<[^>]+>', ' ', 'g')"
 
 @query("html_strip", f"SELECT page_id, {sql_collapse(_TAGLESS)} AS plain_text FROM pages")
 def html_strip(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", T.strip_tags(F.col("html")).alias("plain_text"))
+    return spread(table(spark, sf_dir, "pages")).select("page_id", T.strip_tags(F.col("html")).alias("plain_text"))
 
 
 @query("quality_issues", f"""
@@ -67,7 +67,7 @@ _COMPACT = f"regexp_replace(text, '{BLANKS}+', '', 'g')"
   )
 """)
 def text_quality(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.ocr_quality(F.col("text"), F.lit(1)).alias("quality"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", T.ocr_quality(F.col("text"), F.lit(1)).alias("quality"))
 
 
 @query("ocr_routing", f"""
@@ -113,7 +113,7 @@ _WORDS = f"list_transform(regexp_extract_all({_MARK}, '[\\p{{L}}\\p{{N}}_]+(?:[+
   FROM typed WHERE kind IS NOT NULL GROUP BY doc_id, line, kind
 """)
 def formula_lines(spark, sf_dir):
-    found = formula_records(table(spark, sf_dir, "documents"), ["doc_id"])
+    found = formula_records(spread(table(spark, sf_dir, "documents")), ["doc_id"])
     return found.select(
         "doc_id", F.col("line").cast("bigint").alias("line"), "text", "kind", F.round("confidence", 4).alias("confidence")
     )
@@ -188,7 +188,7 @@ def table_islands(spark, sf_dir):
   FROM kept JOIN documents USING (doc_id)
 """)
 def sections(spark, sf_dir):
-    out = fallback_sections(table(spark, sf_dir, "documents"), ["doc_id"], "lang")
+    out = fallback_sections(spread(table(spark, sf_dir, "documents")), ["doc_id"], "lang")
     return out.select(
         "doc_id", F.col("section_index").cast("bigint").alias("section_index"), "section_type", "title",
         F.md5(F.encode("text", "UTF-8")).alias("text_md5"),
@@ -223,7 +223,7 @@ def exact_dup(spark, sf_dir):
   SELECT DISTINCT ON (line) line, doc_id, line_no FROM lines ORDER BY line, doc_id, line_no
 """)
 def dedupe_first(spark, sf_dir):
-    lines = document_lines(table(spark, sf_dir, "documents"), ["doc_id"])
+    lines = document_lines(spread(table(spark, sf_dir, "documents")), ["doc_id"])
     rows = lines.select(F.col("content").alias("line"), "doc_id", F.col("line").cast("bigint").alias("line_no"))
     return keep_first(rows, ["line"], [F.asc("doc_id"), F.asc("line_no")])
 
@@ -235,7 +235,7 @@ def dedupe_first(spark, sf_dir):
   SELECT DISTINCT ON (lower(line)) line, doc_id, line_no FROM lines WHERE line <> '' ORDER BY lower(line), doc_id, line_no
 """)
 def dedupe_ci(spark, sf_dir):
-    lines = document_lines(table(spark, sf_dir, "documents"), ["doc_id"])
+    lines = document_lines(spread(table(spark, sf_dir, "documents")), ["doc_id"])
     rows = lines.select(F.col("content").alias("line"), "doc_id", F.col("line").cast("bigint").alias("line_no"))
     return keep_first_ci(rows, "line", [F.asc("doc_id"), F.asc("line_no")])
 

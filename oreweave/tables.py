@@ -17,6 +17,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a table scan over all cores, when the files arrive in fewer splits than cores.
+
+    For CPU-heavy row work on small or badly split files. A table with enough splits, as any
+    large one has, is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def register_views(spark: SparkSession, sf_dir: str) -> None:
     for name in TABLE_NAMES:
         table(spark, sf_dir, name).createOrReplaceTempView(name)
