@@ -16,44 +16,48 @@ from oreweave.functions.hashing import hash_bucket, stable_id
 from oreweave.functions.text import query_terms
 
 
-def bucket_weights(
-    df: DataFrame, keys: Sequence[str], text: str = "text", dimensions: int = K.EMBEDDING_DIMENSIONS
-) -> DataFrame:
-    """Sparse hashing vectors: keys, ``bucket``, ``weight`` (token counts scaled to unit length).
+def _cells(df: DataFrame, keys: Sequence[str], text: str, dimensions: int) -> DataFrame:
+    """keys, ``_cells`` (bucket, count), ``_norm``.
 
-    Texts are shuffled once by key; token counting, norms and scaling all reuse that
-    partitioning, so the exploded tokens never cross the network.
+    Texts are shuffled once by key; token counting and norms reuse that partitioning, so the
+    exploded tokens never cross the network. Each distinct token of a text is hashed once.
+    A text without tokens keeps one row with no cells.
     """
-    tokens = df.select(*keys, text).repartition(*keys).select(*keys, F.explode(query_terms(F.col(text))).alias("_token"))
-    # each distinct token of a text is hashed once
-    per_token = tokens.groupBy(*keys, "_token").agg(F.count("*").alias("_n"))
+    placed = df.select(*keys, text).repartition(*keys)
+    tokens = placed.select(*keys, F.explode_outer(query_terms(F.col(text))).alias("_token"))
+    per_token = tokens.groupBy(*keys, "_token").agg(F.count("_token").alias("_n"))
     counts = per_token.groupBy(*keys, hash_bucket(F.col("_token"), dimensions).alias("bucket")).agg(
         F.sum("_n").cast("double").alias("_count")
     )
-    vectors = counts.groupBy(*keys).agg(
-        F.collect_list(F.struct("bucket", "_count")).alias("_cells"),  # at most `dimensions` cells
+    cell = F.when(F.col("bucket").isNotNull(), F.struct("bucket", F.col("_count").alias("count")))
+    return counts.groupBy(*keys).agg(
+        F.collect_list(cell).alias("_cells"),  # at most `dimensions` cells
         F.sqrt(F.sum(F.col("_count") * F.col("_count"))).alias("_norm"),
     )
-    return vectors.select(*keys, "_norm", F.inline("_cells")).select(
-        *keys, "bucket", (F.col("_count") / F.col("_norm")).alias("weight")
-    )
+
+
+def bucket_weights(
+    df: DataFrame, keys: Sequence[str], text: str = "text", dimensions: int = K.EMBEDDING_DIMENSIONS
+) -> DataFrame:
+    """Sparse hashing vectors: keys, ``bucket``, ``weight`` (token counts scaled to unit length)."""
+    cells = _cells(df, keys, text, dimensions).select(*keys, "_norm", F.inline("_cells"))
+    return cells.select(*keys, "bucket", (F.col("count") / F.col("_norm")).alias("weight"))
 
 
 def embed(
     df: DataFrame, keys: Sequence[str], text: str = "text", dimensions: int = K.EMBEDDING_DIMENSIONS
 ) -> DataFrame:
     """Dense hashing vectors: keys and ``embedding`` (zeros for a text without tokens)."""
-    sparse = bucket_weights(df, keys, text, dimensions).groupBy(*keys).agg(
-        F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("_cells")
-    )
+    by_bucket = F.map_from_entries(F.transform("_cells", lambda c: F.struct(c["bucket"], c["count"] / F.col("_norm"))))
+    # the map is bound by a one-element transform; a lambda would rebuild a plain column per cell
     dense = F.transform(
-        F.sequence(F.lit(0), F.lit(dimensions - 1)),
-        lambda i: F.coalesce(F.try_element_at(F.col("_cells"), i.cast("bigint")), F.lit(0.0)),
-    )
-    zeros = F.array_repeat(F.lit(0.0), dimensions)
-    return df.select(*keys).join(sparse.select(*keys, dense.alias("embedding")), list(keys), "left").select(
-        *keys, F.coalesce("embedding", zeros).alias("embedding")
+        F.array(by_bucket),
+        lambda cells: F.transform(
+            F.sequence(F.lit(0), F.lit(dimensions - 1)),
+            lambda i: F.coalesce(F.try_element_at(cells, i.cast("bigint")), F.lit(0.0)),
+        ),
     )
+    return _cells(df, keys, text, dimensions).select(*keys, F.get(dense, F.lit(0)).alias("embedding"))
 
 
 def embed_query(text: str, dimensions: int = K.EMBEDDING_DIMENSIONS) -> dict[int, float]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from oreweave import constants as K
@@ -48,14 +48,71 @@ def document_scores(
         .groupBy("term")
         .agg(F.count("*").alias("qtf"))
     )
-    weights = terms.join(F.broadcast(asked), "term", "left").select(
-        "term", "idf", (F.coalesce("qtf", F.lit(0)) * F.col("idf")).alias("qw")
+    # the vocabulary is bounded, so its query norm may be a window over all of it
+    query_weight = F.coalesce("qtf", F.lit(0)) * F.col("idf")
+    weights = (
+        terms.join(F.broadcast(asked), "term", "left")
+        .select("term", "idf", query_weight.alias("qw"))
+        .withColumn("qn", F.sqrt(F.sum(F.col("qw") * F.col("qw")).over(Window.partitionBy(F.lit(0)))))
     )
-    scored = counts.join(F.broadcast(weights), "term").select(
-        *keys, (F.col("tf") * F.col("idf")).alias("w"), "qw"
-    )
-    query_norm = weights.agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("n")).scalar()
+    scored = counts.join(F.broadcast(weights), "term").select(*keys, (F.col("tf") * F.col("idf")).alias("w"), "qw", "qn")
     per_doc = scored.groupBy(*keys).agg(
-        F.sum(F.col("w") * F.col("qw")).alias("_dot"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm")
+        F.sum(F.col("w") * F.col("qw")).alias("_dot"),
+        F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"),
+        F.max("qn").alias("_qn"),
     )
-    return per_doc.where(F.col("_dot") > 0).select(*keys, (F.col("_dot") / (F.col("_norm") * query_norm)).alias("score"))
+    return per_doc.where(F.col("_dot") > 0).select(*keys, (F.col("_dot") / (F.col("_norm") * F.col("_qn"))).alias("score"))
+
+
+class TfidfIndex:
+    """Stored inverted index: build once, then a search reads only the postings of its terms.
+
+    Postings are range-partitioned and sorted by (term, document), so the term filter skips
+    row groups and a very frequent term is spread over several files.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str]) -> None:
+        self.spark, self.path, self.keys = spark, path.rstrip("/"), list(keys)
+
+    @classmethod
+    def build(
+        cls,
+        docs: DataFrame,
+        keys: Sequence[str],
+        path: str,
+        text: str = "text",
+        max_features: int = K.TFIDF_MAX_FEATURES,
+    ) -> TfidfIndex:
+        index = cls(docs.sparkSession, path, keys)
+        counts_path = f"{index.path}/counts"
+        term_counts(docs, keys, text).write.mode("overwrite").parquet(counts_path)
+        counts = index.spark.read.parquet(counts_path)
+        vocabulary(counts, docs, max_features).write.mode("overwrite").parquet(f"{index.path}/vocabulary")
+        terms = index.spark.read.parquet(f"{index.path}/vocabulary")
+        weights = counts.join(F.broadcast(terms), "term").select(*keys, "term", (F.col("tf") * F.col("idf")).alias("w"))
+        norms = weights.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+        postings = weights.join(norms, list(keys)).select("term", *keys, (F.col("w") / F.col("norm")).alias("weight"))
+        (
+            postings.repartitionByRange("term", *keys).sortWithinPartitions("term", *keys)
+            .write.mode("overwrite").parquet(f"{index.path}/postings")
+        )
+        return index
+
+    def scores(self, query: str) -> DataFrame:
+        """Cosine of the query with every document that shares a term with it."""
+        row = self.spark.createDataFrame([(query,)], "text string")
+        asked = row.select(F.explode(with_bigrams(word_tokens(F.col("text")))).alias("term")).groupBy("term").agg(
+            F.count("*").alias("qtf")
+        )
+        vocabulary_table = self.spark.read.parquet(f"{self.path}/vocabulary")
+        known = asked.join(vocabulary_table, "term").select("term", (F.col("qtf") * F.col("idf")).alias("qw")).collect()
+        length = sum(r["qw"] ** 2 for r in known) ** 0.5
+        postings = self.spark.read.parquet(f"{self.path}/postings")
+        if not length:
+            return postings.where(F.lit(False)).select(*self.keys, F.col("weight").alias("score"))
+        # the query's own terms, a handful of literals
+        share = F.lit(0.0)
+        for r in known:
+            share = F.when(F.col("term") == r["term"], r["qw"] / length).otherwise(share)
+        hits = postings.where(F.col("term").isin([r["term"] for r in known]))
+        return hits.groupBy(*self.keys).agg(F.sum(F.col("weight") * share).alias("score"))

@@ -99,15 +99,17 @@ _ALIASES_28 = K.ELEMENT_QUERY_TOKENS["element28"]
   SELECT doc_id, source FROM hay
   WHERE (lang IN ('txt') OR contains(h, 'txt') OR contains(h, 'pdf'))
      OR (({' OR '.join(f'contains(h, {sql_text(w)})' for w in _ALIASES_28)}) AND contains(replace(h, ' ', ''), '-4'))
+     OR ({' OR '.join(f'contains(h, {sql_text(w)})' for w in K.ELEMENT_QUERY_TOKENS['element29'])})
 """)
 def metadata_filter(spark, sf_dir):
-    """Documents that pass either of two facet filters."""
+    """Documents that pass any of three facet filters."""
     docs = spread(table(spark, sf_dir, "documents"))
     text, lang = F.col("text"), F.col("lang")
     metadata = F.to_json(F.struct("source", "lang"))
     typed = Rt.MetadataFilter.from_text("pdf or txt sources").matches(text, lang, metadata)
     sized = Rt.MetadataFilter.from_text("losses of элемент 28 in class -4").matches(text, lang, metadata)
-    return docs.where(typed | sized).select("doc_id", "source")
+    copper = Rt.MetadataFilter.from_text("losses of элемент 29").matches(text, lang, metadata)
+    return docs.where(typed | sized | copper).select("doc_id", "source")
 
 
 @query("filter_retry", f"""
@@ -273,7 +275,7 @@ def pooled_evidence(spark, sf_dir):
 
 
 _WEB = """web AS (
-  SELECT DISTINCT ON (link) 'web:' || substr(sha1(link), 1, 16) AS evidence_id, greatest(0.2, 0.6 - 0.04 * rank) AS relevance, link FROM (
+  SELECT DISTINCT ON (link) 'web:' || substr(sha1(link), 1, 16) AS evidence_id, greatest(0.2::DOUBLE, 0.6::DOUBLE - 0.04::DOUBLE * rank) AS relevance, link FROM (
     SELECT url AS link, page_id % 12 AS rank FROM pages) ORDER BY link, relevance DESC, evidence_id)"""
 
 
