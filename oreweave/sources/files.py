@@ -126,12 +126,35 @@ def document_id(path: Column) -> Column:
     return short_hash(path, 12)
 
 
+# Latin-1 characters 80..FF and what the same bytes mean in cp1251 (98 is unassigned there).
+_HIGH = "".join(chr(b) for b in range(0x80, 0x100) if b != 0x98)
+_CYRILLIC = "".join(bytes([b]).decode("cp1251") for b in range(0x80, 0x100) if b != 0x98)
+
+
 def read_csv_any_encoding(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
-    """CSV in the first encoding that fits the whole input, tested by Spark on the raw lines."""
+    """CSV in UTF-8, else cp1251, else Latin-1, decided by one pass over the raw lines.
+
+    Spark's reader knows no cp1251, so such files are read byte by byte as Latin-1 and their
+    characters are mapped afterwards, which stays a plain column expression.
+    """
     raw = spark.read.format("binaryFile").load(path).select("content")
-    valid_utf8 = raw.where(~F.is_valid_utf8(F.col("content").cast("string"))).limit(1).count() == 0
-    encoding = "UTF-8" if valid_utf8 else "windows-1251"
-    return spark.read.option("header", header).option("inferSchema", "true").option("encoding", encoding).csv(path)
+    valid = raw.where(~F.is_valid_utf8(F.col("content").cast("string"))).limit(1).count() == 0
+    reader = spark.read.option("header", header).option("inferSchema", "true")
+    if valid:
+        return reader.csv(path)
+    df = reader.option("encoding", "ISO-8859-1").csv(path)
+    text = [f.name for f in df.schema.fields if f.dataType.simpleString() == "string"]
+    unassigned = F.lit(False)
+    for name in text:
+        unassigned = unassigned | F.contains(F.col(f"`{name}`"), F.lit("\x98"))
+    if df.where(unassigned).limit(1).count():
+        return df
+    table = str.maketrans(_HIGH, _CYRILLIC)
+    columns = [
+        (F.translate(F.col(f"`{name}`"), _HIGH, _CYRILLIC) if name in text else F.col(f"`{name}`")).alias(name.translate(table))
+        for name in df.columns
+    ]
+    return df.select(*columns)
 
 
 # Workbooks ---------------------------------------------------------------------------------
