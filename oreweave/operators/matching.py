@@ -1,10 +1,13 @@
 """Substring join of texts against a dictionary of any size.
 
 ``norm in text`` is not an equi-join, and comparing every text with every name would be a
-cross join. Every dictionary name is given one anchor, the three-character piece of it that
-the fewest texts contain. A text can only contain the name if it contains the anchor, so an
-equi-join on the anchor yields all candidates and one ``contains`` check makes them exact.
-Which anchor is chosen affects the work, never the result.
+cross join. Every dictionary name is given one anchor: among the short pieces it is made of,
+the one that the fewest texts contain. A text can only contain the name if it contains the
+anchor, so an equi-join on the anchor yields all candidates and one ``contains`` check makes
+them exact. Which anchor is chosen affects the work, never the result.
+
+Longer pieces are rarer: the piece length is that of the shortest name, between three and five
+characters, so one pass over the texts serves the whole dictionary.
 """
 
 from __future__ import annotations
@@ -14,12 +17,52 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-GRAM = "(?s)(?=(...))"
+BROADCAST_NAMES = 50_000
+SHORTEST, LONGEST = 3, 5
+ANCHOR_CHOICES = 12
+
+
+def grams(text: Column, length: int) -> Column:
+    """Distinct overlapping pieces of a fixed length."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=({'.' * length}))"), F.lit(1)))
+
+
+def _candidates(
+    low: DataFrame,
+    names: DataFrame,
+    on: Sequence[str],
+    text_id: Sequence[str],
+    name_id: Sequence[str],
+    length: int,
+    few: bool,
+    statistics_fraction: float,
+) -> DataFrame:
+    """(text_id, name_id, _name) pairs whose text contains the anchor of the name."""
+
+    def small(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if few else df
 
+    def pieces(df: DataFrame) -> DataFrame:
+        return df.select(*on, *text_id, F.explode(grams(F.col("_low"), length)).alias("_gram"))
 
-def grams(text: Column) -> Column:
-    """Distinct three-character pieces, overlapping."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(GRAM), F.lit(1)))
+    # any subset of a name's pieces will do for its anchor, so long names do not inflate the table
+    choices = names.select(
+        *on, *name_id, "_name", F.explode(F.slice(grams(F.col("_name"), length), 1, ANCHOR_CHOICES)).alias("_gram")
+    )
+    sample = low if statistics_fraction >= 1.0 else low.sample(statistics_fraction, seed=7)
+    wanted = small(choices.select(*on, "_gram").distinct())
+    frequency = pieces(sample).join(wanted, [*on, "_gram"], "left_semi").groupBy(*on, "_gram").agg(
+        F.count("*").alias("_df")
+    )
+    rarest = Window.partitionBy(*on, *name_id).orderBy("_df", "_gram")
+    anchors = (
+        choices.join(frequency, [*on, "_gram"], "left")
+        .withColumn("_df", F.coalesce("_df", F.lit(0)))
+        .withColumn("_pick", F.row_number().over(rarest))
+        .where(F.col("_pick") == 1)
+        .select(*on, *name_id, "_name", "_gram")
+    )
+    return pieces(low).join(small(anchors), [*on, "_gram"]).select(*text_id, *name_id, "_name")
 
 
 def contains_join(
@@ -30,31 +73,25 @@ def contains_join(
     name_id: Sequence[str],
     name: str,
     on: Sequence[str] = (),
-    statistics_fraction: float = 1.0,
+    statistics_fraction: float = 0.2,
+    broadcast_names: int = BROADCAST_NAMES,
 ) -> DataFrame:
     """Pairs ``(text_id, name_id)`` where the lower-case text contains the name.
 
     Names shorter than three characters never match. ``on`` lists columns both sides must
-    agree on. ``statistics_fraction`` below 1 picks the anchors from a sample of the texts.
+    agree on. Anchors are chosen by the piece counts of a sample of the texts.
+
+    The names are counted first (hand in a stored table). Up to ``broadcast_names`` of them
+    the anchors, one row per name, are broadcast and the pieces of the texts stay where they
+    are; above that the pieces are shuffled by anchor.
     """
     low = texts.select(*on, *text_id, F.lower(F.col(text)).alias("_low")).repartition(*text_id)
-    pieces = low.select(*on, *text_id, F.explode(grams(F.col("_low"))).alias("_gram"))
-    sample = pieces if statistics_fraction >= 1.0 else (
-        low.sample(statistics_fraction, seed=7).select(*on, *text_id, F.explode(grams(F.col("_low"))).alias("_gram"))
-    )
-    frequency = sample.groupBy(*on, "_gram").agg(F.count("*").alias("_df"))
-
-    usable = names.where(F.length(name) >= 3).select(*on, *name_id, F.col(name).alias("_name"))
-    name_grams = usable.select(*on, *name_id, "_name", F.explode(grams(F.col("_name"))).alias("_gram"))
-    rarest = Window.partitionBy(*on, *name_id).orderBy("_df", "_gram")
-    anchors = (
-        name_grams.join(frequency, [*on, "_gram"], "left")
-        .withColumn("_df", F.coalesce("_df", F.lit(0)))
-        .withColumn("_pick", F.row_number().over(rarest))
-        .where(F.col("_pick") == 1)
-        .select(*on, *name_id, "_name", "_gram")
+    usable = names.where(F.length(name) >= SHORTEST).select(*on, *name_id, F.col(name).alias("_name"))
+    size = usable.agg(F.count("*").alias("n"), F.min(F.length("_name")).alias("shortest")).first()
+    length = min(LONGEST, size["shortest"] or SHORTEST)
+    candidates = _candidates(
+        low, usable, on, text_id, name_id, length, size["n"] <= broadcast_names, statistics_fraction
     )
-    candidates = pieces.join(anchors, [*on, "_gram"]).select(*text_id, *name_id, "_name")
     return (
         candidates.join(low, list(text_id))
         .where(F.contains(F.col("_low"), F.col("_name")))

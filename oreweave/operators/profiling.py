@@ -59,19 +59,19 @@ def exact_quantiles(
         F.count("*").alias("_n"),
         F.min(value).alias("_min"),
         F.max(value).alias("_max"),
-        F.percentile_approx(value, lows, accuracy).alias("_lo"),
-        F.percentile_approx(value, highs, accuracy).alias("_hi"),
+        F.percentile_approx(value, lows + highs, accuracy).alias("_sketch"),
     )
+    low_at, high_at = F.get("_sketch", F.col("_i")), F.get("_sketch", F.col("_i") + len(probabilities))
     small = F.col("_n") <= 2 * accuracy
     p = F.col("probability")
     brackets = sketch.select(
-        *keys, "_n", "_lo", "_hi", "_min", "_max",
+        *keys, "_n", "_sketch", "_min", "_max",
         F.posexplode(F.array(*[F.lit(float(x)) for x in probabilities])).alias("_i", "probability"),
     ).select(
         *keys,
         "probability",
-        F.when(small | (p <= slack), F.col("_min")).otherwise(F.get("_lo", F.col("_i"))).alias("_low"),
-        F.when(small | (p >= 1 - slack), F.col("_max")).otherwise(F.get("_hi", F.col("_i"))).alias("_high"),
+        F.when(small | (p <= slack), F.col("_min")).otherwise(low_at).alias("_low"),
+        F.when(small | (p >= 1 - slack), F.col("_max")).otherwise(high_at).alias("_high"),
         (p * (F.col("_n") - 1)).alias("_rank"),
     )
     # values are counted first, so the join sees each distinct value once per group

@@ -12,6 +12,7 @@ from oreweave.operators.graph import relation_names, tailings_graph
 from oreweave.operators.matching import contains_join
 from oreweave.plans import corpus
 from oreweave.plans.registry import query, sql_chunks, sql_collapse, sql_list, sql_text
+from oreweave.session import stored
 from oreweave.tables import SIZE_CLASS_BY_LINE, spread, table, tailings_records
 
 _TERMS = ", ".join(
@@ -76,8 +77,12 @@ def mentions(spark, sf_dir):
     return E.entity_mentions(contexts(spark, sf_dir), corpus.CATALOG)
 
 
+def entities_of(spark, sf_dir, rows):
+    return E.aggregate_entities(E.entity_mentions(rows, corpus.CATALOG), E.record_entities(corpus.records(spark, sf_dir)))
+
+
 def all_entities(spark, sf_dir):
-    return E.aggregate_entities(mentions(spark, sf_dir), E.record_entities(corpus.records(spark, sf_dir)))
+    return entities_of(spark, sf_dir, contexts(spark, sf_dir))
 
 
 @query("term_match", f"""
@@ -154,8 +159,8 @@ _RELATIONS = f"""relations AS (
 
 @query("cooccurrence", f"WITH {_MENTIONS}, {_ENTITIES}, {_FOUND}, {_RELATIONS} SELECT * FROM relations")
 def cooccurrence(spark, sf_dir):
-    rows = contexts(spark, sf_dir)
-    found = R.entities_in_contexts(rows, all_entities(spark, sf_dir))
+    rows = stored(contexts(spark, sf_dir))
+    found = R.entities_in_contexts(rows, stored(entities_of(spark, sf_dir, rows)))
     return R.cooccurrence_relations(rows, found).select(
         "relation_id", "run_id", "subject_entity_id", "predicate", "object_entity_id", "evidence_chunk_id", "source_file_id", "confidence"
     )
@@ -291,7 +296,7 @@ _HIT_WORDS = ["ment", "hel", "sich"]
 def graph_hits(spark, sf_dir):
     from oreweave.operators.retrieval import graph_hits as search
 
-    rows = contexts(spark, sf_dir)
-    entities = all_entities(spark, sf_dir)
+    rows = stored(contexts(spark, sf_dir))
+    entities = stored(entities_of(spark, sf_dir, rows))
     relations = R.cooccurrence_relations(rows, R.entities_in_contexts(rows, entities))
     return search(entities, relations, " ".join(_HIT_WORDS)).select("relation_id", "predicate", "subject_name", "object_name")

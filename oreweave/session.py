@@ -60,3 +60,14 @@ def shared_workdir(spark: SparkSession, name: str) -> str:
     import uuid
 
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df):
+    """A table computed once and read back, for a result several later steps use.
+
+    It is written to the shared folder, so it survives executors, its columns are pruned and
+    its size is known to the planner.
+    """
+    path = shared_workdir(df.sparkSession, "stored")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
