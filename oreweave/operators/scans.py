@@ -85,13 +85,15 @@ def consecutive_run(
 
 def islands_position(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column) -> DataFrame:
     """Position of each row inside its island, counted across blocks."""
-    by = [*keys, "island"]
+    return numbering(df, [*keys, "island"], order, block, "_position")
+
+
+def numbering(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column, output: str) -> DataFrame:
+    """Row numbers from 1 in each group, counted across blocks."""
     rows = df.withColumn(BLOCK, block)
-    own = rows.withColumn("_own", F.row_number().over(_inside(by, order)))
+    own = rows.withColumn("_own", F.row_number().over(_inside(keys, order)))
     before = (
-        rows.groupBy(*by, BLOCK).agg(F.count("*").alias("_n"))
-        .select(*by, BLOCK, F.coalesce(F.sum("_n").over(_before(by)), F.lit(0)).alias("_carry"))
-    )
-    return own.join(before, [*by, BLOCK]).withColumn("_position", F.col("_own") + F.col("_carry")).drop(
-        "_own", "_carry", BLOCK
+        rows.groupBy(*keys, BLOCK).agg(F.count("*").alias("_n"))
+        .select(*keys, BLOCK, F.coalesce(F.sum("_n").over(_before(keys)), F.lit(0)).alias("_carry"))
     )
+    return own.join(before, [*keys, BLOCK]).withColumn(output, F.col("_own") + F.col("_carry")).drop("_own", "_carry", BLOCK)

@@ -148,7 +148,9 @@ def record_offsets(spark, sf_dir):
         F.col("event_id").cast("string").alias("payload"), F.col("event_id").alias("position"), "event_type",
     )
     existing = rows.where(F.col("event_type") == "view")
-    numbered = ledger.record_rows(rows.where(F.col("event_type") == "purchase").drop("event_type"), existing)
+    numbered = ledger.record_rows(
+        rows.where(F.col("event_type") == "purchase").drop("event_type"), existing, F.floor(F.col("position") / 1024)
+    )
     return numbered.select(
         F.col("source_file_id").cast("bigint").alias("user_id"), F.col("payload").cast("bigint").alias("event_id"),
         F.col("record_index").cast("bigint").alias("record_index"),
@@ -239,11 +241,13 @@ def conversation_state(spark, sf_dir):
 @query("output_names", """
   SELECT doc_id, flat || CASE WHEN rn > 1 THEN '_' || (rn - 1) ELSE '' END || '.md' AS output_name FROM (
     SELECT doc_id, flat, row_number() OVER (PARTITION BY flat ORDER BY relative_path, doc_id) AS rn FROM (
-      SELECT doc_id, lang || '/' || source || '.' || ['txt', 'pdf', 'md'][doc_id % 3 + 1] AS relative_path, lang || '__' || source AS flat FROM documents))
+      SELECT doc_id, 'corpus/' || doc_id // 3 || '.' || ['txt', 'pdf', 'md'][doc_id % 3 + 1] AS relative_path, 'corpus__' || doc_id // 3 AS flat FROM documents))
 """)
 def output_names(spark, sf_dir):
+    """Three files share each name and differ by extension, so every group of clashes has three rows."""
     ext = F.get(F.array(F.lit("txt"), F.lit("pdf"), F.lit("md")), F.pmod("doc_id", F.lit(3)).cast("int"))
-    files = table(spark, sf_dir, "documents").select("doc_id", F.concat("lang", F.lit("/"), "source", F.lit("."), ext).alias("relative_path"))
+    stem = F.floor(F.col("doc_id") / 3).cast("string")
+    files = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("corpus/"), stem, F.lit("."), ext).alias("relative_path"))
     return exports.flat_output_names(files, ["relative_path", "doc_id"]).select("doc_id", "output_name")
 
 

@@ -25,11 +25,17 @@ from oreweave.operators import relations as R
 from oreweave.operators.chunking import chunk_documents
 from oreweave.operators.embeddings import build_embeddings, embedding_targets
 from oreweave.operators.graph import ledger_graph, relation_names, tailings_graph
-from oreweave.operators.layout import assets_from_records, enriched_text, fallback_sections, formula_records, table_records
+from oreweave.operators.layout import assets_from_records, enriched_text, fallback_sections, formula_records, merge_assets, table_records
 from oreweave.operators.retrieval import GraphVectorRetriever, HybridRetriever, graph_hits, lexical_search, top_k
+from oreweave.operators.research import TextProvider, noisy_json
+from oreweave.operators.tfidf import TfidfIndex
 from oreweave.sinks import exports
 from oreweave.sinks.ledger import Ledger, external_source_rows, final_status, record_rows, source_file_rows
+from oreweave.session import shared_workdir
+from oreweave.session import stored as stored_table
 from oreweave.sources import files as Src
+from oreweave.sources import ocr as Ocr
+from oreweave.sources import tei as Tei
 from oreweave.sources.jsonl import knowledge_base
 
 STAGES = ["sections", "assets", "entities", "relations", "embeddings", "sync"]
@@ -123,7 +129,9 @@ def promote_run(ledger: Ledger, run_id: str) -> str:
     return status
 
 
-def ingest_folder(spark: SparkSession, ledger: Ledger, root: str, name: str | None = None, ocr: str = "auto") -> str:
+def ingest_folder(
+    spark: SparkSession, ledger: Ledger, root: str, name: str | None = None, ocr: str = "auto", engines: Sequence[Ocr.Engine] = (Ocr.tesseract,)
+) -> str:
     """Scan a folder, parse and store its files, chunk them; returns the run id."""
     run_id = ledger.create_run(name or root.rstrip("/").rsplit("/", 1)[-1], root, json.dumps({"ocr": ocr}))
     ledger.set_status(run_id, "running")
@@ -167,13 +175,17 @@ def ingest_folder(spark: SparkSession, ledger: Ledger, root: str, name: str | No
     ledger.upsert("ingest_jobs", jobs.unionByName(chunk_jobs))
     stored = ledger.read("document_texts", run_id)
     need_ocr = F.coalesce(F.from_json("text_quality", "ocr_required BOOLEAN")["ocr_required"], F.lit(False))
+    chunk_run(ledger, run_id)
     if ocr != "off":
-        skipped = stored.where(need_ocr).select(
+        images = files.where(F.col("source_type").isin("pdf", "image")).select("path", "content", file_id)
+        wanted = images if ocr == "always" else images.join(stored.where(need_ocr).select("source_file_id"), "source_file_id", "left_semi")
+        results = stored_table(Ocr.recognise(wanted, engines))
+        ledger.append("artifacts", _tag(results, run_id).select(
             stable_id(F.lit(run_id), F.lit("ocr"), F.col("source_file_id")).alias("id"), "run_id", "source_file_id", F.lit("ocr").alias("kind"),
-            F.lit("ocr").alias("stage"), F.lit("skipped").alias("status"), F.lit('{"reason": "no ocr engine"}').alias("metadata"),
-        )
-        ledger.append("artifacts", skipped)
-    chunk_run(ledger, run_id)
+            F.lit("ocr").alias("stage"), "status", F.substring("text", 1, 4000).alias("content"), "metadata",
+        ))
+        if results.where(F.col("status") == "completed").limit(1).count():
+            apply_ocr(ledger, run_id, results)
     ledger.upsert("source_files", ledger.read("source_files", run_id).withColumn("status", F.lit("extracted")).drop("updated_at"))
     promote_run(ledger, run_id)
     return run_id
@@ -247,19 +259,31 @@ def _contexts(ledger: Ledger, run_id: str) -> DataFrame:
     return E.context_rows(chunks, sections)
 
 
-def build_graph(ledger: Ledger, run_id: str, stages: Sequence[str] = tuple(STAGES), catalog: E.Catalog = K.TERM_CATALOG) -> dict[str, int]:
-    """Build the graph tables of a run stage by stage; returns the row counts."""
+def build_graph(
+    ledger: Ledger, run_id: str, stages: Sequence[str] = tuple(STAGES), catalog: E.Catalog = K.TERM_CATALOG,
+    tei: DataFrame | None = None,
+) -> dict[str, int]:
+    """Build the graph tables of a run stage by stage; returns the row counts.
+
+    ``tei`` holds structured article XML (``source_file_id, tei``); documents without it get
+    text sections and record assets.
+    """
     counts: dict[str, int] = {}
     texts = ledger.read("document_texts", run_id)
     scope = texts.select("run_id", "source_file_id")
     if "sections" in stages or "assets" in stages:
         sections = fallback_sections(texts, ["run_id", "source_file_id"], "title")
+        assets = assets_from_records(ledger.read("structured_records", run_id))
+        if tei is not None:
+            parsed = stored_table(Tei.parse_tei(tei.where(F.col("tei").isNotNull())))
+            sections = Tei.sections_with_fallback(_tag(Tei.tei_sections(parsed), run_id), sections)
+            marked = _tag(Tei.tei_assets(parsed).drop("asset_index"), run_id).withColumn("record_type", F.lit("grobid_tei"))
+            assets = merge_assets(marked, assets)
         ledger.replace("document_sections", sections.select(
             stable_id(F.col("run_id"), F.col("source_file_id"), F.lit("section"), F.col("section_index"), F.col("title"), F.substring("text", 1, 200)).alias("id"),
             "run_id", "source_file_id", "section_index", "section_type", "title", "text",
             F.to_json(F.struct("source_file_id", "extractor")).alias("provenance"), F.lit("{}").alias("metadata"),
         ), scope)
-        assets = assets_from_records(ledger.read("structured_records", run_id))
         ledger.replace("document_assets", assets.select(
             stable_id(F.col("run_id"), F.col("source_file_id"), F.lit("asset"), F.col("asset_type"), F.col("label"), F.substring("content", 1, 200)).alias("id"),
             "*", F.to_json(F.struct("source_file_id", "record_type")).alias("provenance"),
@@ -358,6 +382,61 @@ def named_relations(ledger: Ledger, run_id: str = "latest") -> DataFrame:
     return relation_names(ledger.read("kg_relations", run), ledger.read("kg_entities", run).withColumnRenamed("id", "entity_id"))
 
 
+# Provider steps ----------------------------------------------------------------------------
+
+
+def _log_call(ledger: Ledger, run_id: str, provider: TextProvider | None, purpose: str, status: str, prompt: int, answer: str, error: str | None) -> None:
+    name = provider.name if provider else "none"
+    row = ledger.spark.range(1).select(
+        stable_id(F.lit(run_id), F.lit(purpose), F.lit(name), F.current_timestamp()).alias("id"), F.lit(run_id).alias("run_id"),
+        F.lit(name).alias("provider"), F.lit(name).alias("model"), F.lit(purpose).alias("purpose"), F.lit(status).alias("status"),
+        F.lit(prompt).alias("prompt_chars"), F.lit(len(answer)).alias("response_chars"), F.lit(error).cast("string").alias("error"),
+    )
+    ledger.append("llm_calls", row)
+    ledger.append("artifacts", row.select(
+        "id", "run_id", F.lit(purpose).alias("kind"), F.lit(purpose).alias("stage"), "status", F.lit(answer[:4000]).alias("content"), F.lit("{}").alias("metadata")
+    ))
+
+
+def _ask(ledger: Ledger, run_id: str, provider: TextProvider | None, purpose: str, prompt: str) -> str:
+    """The provider's answer, or an empty text; every call is logged, a failure degrades the run."""
+    if provider is None:
+        _log_call(ledger, run_id, provider, purpose, "skipped", 0, "", "no provider")
+        return ""
+    try:
+        answer = provider.complete("Return valid JSON only.", prompt)
+    except Exception as exc:
+        _log_call(ledger, run_id, provider, purpose, "failed", len(prompt), "", str(exc))
+        return ""
+    _log_call(ledger, run_id, provider, purpose, "completed", len(prompt), answer, None)
+    return answer
+
+
+def structure_corpus(ledger: Ledger, run_id: str, provider: TextProvider | None) -> dict:
+    """Provider summary of the first 30 chunks of a run (at most 24 000 characters)."""
+    head = ledger.read("document_chunks", run_id).orderBy("source_file_id", "chunk_index").limit(30).select("text").collect()
+    return noisy_json(_ask(ledger, run_id, provider, "corpus_structure", "\n\n".join(r["text"] for r in head)[:24000]))
+
+
+def add_provider_relations(ledger: Ledger, run_id: str, provider: TextProvider | None) -> int:
+    """Relations proposed by a provider from the first 25 contexts and 400 entities of a run."""
+    entities = ledger.read("kg_entities", run_id).withColumnRenamed("id", "entity_id")
+    listed = entities.orderBy("entity_type", "normalized").limit(400).select("entity_id", "entity_type", "name").collect()
+    contexts = _contexts(ledger, run_id).orderBy("context_type", "source_file_id", "context_index").limit(25).collect()
+    lines = ["\t".join(r) for r in listed] + [f"[{i}] {r['text'][:1200]}" for i, r in enumerate(contexts)]
+    proposals = noisy_json(_ask(ledger, run_id, provider, "kg_relation_extraction", "\n".join(lines))).get("relations") or []
+    if not proposals:
+        return 0
+    rows = [
+        (run_id, *(str(p.get(k) or "") for k in ("subject", "predicate", "object", "evidence_text")), float(p.get("confidence", K.PROVIDER_RELATION_CONFIDENCE)))
+        for p in proposals
+    ]
+    table = ledger.spark.createDataFrame(rows, "run_id string, subject string, predicate string, object string, evidence_text string, confidence double")
+    found = stored_table(R.provider_relations(table, entities, provider.name).withColumnRenamed("relation_id", "id"))
+    ledger.upsert("kg_relations", found)
+    return found.count()
+
+
 # Hypotheses --------------------------------------------------------------------------------
 
 
@@ -385,7 +464,10 @@ def run_pipeline(ledger: Ledger, settings: PipelineInput) -> dict[str, DataFrame
     if settings.retrieval_mode == "tfidf":
         files = kb["documents"].select(F.col("id").alias("document_id"), "source_type", "relative_path")
         chunks = kb["chunks"].withColumnRenamed("id", "chunk_id").join(files, "document_id").withColumnRenamed("relative_path", "filename")
-        retrieve = HybridRetriever(chunks).retrieve
+        # indexed once for all the searches of the run
+        chunks = stored_table(chunks)
+        index = TfidfIndex.build(chunks, ["chunk_id"], shared_workdir(ledger.spark, "tfidf"))
+        retrieve = HybridRetriever(chunks, index=index).retrieve
     else:
         retrieve = retriever(ledger, run, settings.retrieval_mode).retrieve
     candidates = H.generate(kb["size_classes"], kb["extractability"], retrieve, settings.target_kpi)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from oreweave.functions.hashing import iso_seconds, sha256, stable_id
 from oreweave.operators.dedupe import keep_first
+from oreweave.operators.scans import numbering
 
 # Table schemas (text timestamps, JSON kept as text).
 SCHEMAS = {
@@ -227,16 +228,16 @@ def external_source_rows(records: DataFrame, run_id: str, source_type: str) -> D
     )
 
 
-def record_rows(records: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+def record_rows(records: DataFrame, existing: DataFrame | None = None, block: Column | None = None) -> DataFrame:
     """Structured records numbered per file after the rows already there.
 
     records: run_id, source_file_id, record_type, payload, position (order inside the file).
-    Numbering is per file, so no window outgrows the records of one file.
+    ``block`` cuts a file with very many records into pieces that grow with the order, so its
+    numbering is spread over tasks; by default a record type is one piece.
     """
     keys = ["run_id", "source_file_id"]
-    numbered = records.withColumn(
-        "_n", F.row_number().over(Window.partitionBy(*keys).orderBy("record_type", "position"))
-    )
+    pieces = F.struct("record_type", (F.lit(0) if block is None else block).alias("piece"))
+    numbered = numbering(records, keys, ["record_type", "position"], pieces, "_n")
     if existing is not None:
         offsets = existing.groupBy(*keys).agg(F.count("*").alias("_offset"))
         numbered = numbered.join(offsets, keys, "left").withColumn("_n", F.col("_n") + F.coalesce("_offset", F.lit(0)))

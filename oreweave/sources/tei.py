@@ -90,3 +90,28 @@ def tei_assets(rows: DataFrame) -> DataFrame:
 def sections_with_fallback(tei: DataFrame, fallback: DataFrame) -> DataFrame:
     """Structured sections where a document has them, text sections for the others."""
     return tei.unionByName(fallback.join(tei.select("source_file_id"), "source_file_id", "left_anti"))
+
+
+def request_tei(files: DataFrame, fetch: str) -> DataFrame:
+    """TEI of PDF files (``source_file_id, content``) from a parsing service.
+
+    ``fetch`` names a function ``module:function`` that turns PDF bytes into XML. A failure or
+    an answer that is no TEI becomes a row with an error and no XML.
+    """
+    from oreweave.sources.providers import load_function
+
+    def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        service = load_function(fetch)
+        for batch in batches:
+            rows = []
+            for source_file_id, content in zip(batch["source_file_id"], batch["content"]):
+                try:
+                    xml = service(bytes(content))
+                    if "<tei" not in xml.lower():
+                        raise RuntimeError("the answer is not TEI XML")
+                    rows.append((source_file_id, xml, None))
+                except Exception as exc:
+                    rows.append((source_file_id, None, str(exc)))
+            yield pd.DataFrame(rows, columns=["source_file_id", "tei", "error"])
+
+    return files.select("source_file_id", "content").mapInPandas(call, "source_file_id string, tei string, error string")

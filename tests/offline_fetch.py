@@ -16,3 +16,11 @@ def works(options, query, cursor, count):
         raise RuntimeError("gone")
     found = [{"id": f"{query}-{page * count + i}", "title": query} for i in range(count)]
     return found, str(page + 1) if page < 2 else None
+
+
+def tei(content):
+    return "<TEI><text/></TEI>"
+
+
+def no_tei(content):
+    return "<html/>"

@@ -172,6 +172,47 @@ def test_ocr_results_replace_short_text(built, spark):
     assert ledger.read("structured_records", run_id).where("record_type = 'pdf_ocr_formulas'").count() >= 1
 
 
+def test_provider_steps(built):
+    ledger, run_id, _ = built
+    assert P.structure_corpus(ledger, run_id, None) == {}
+    assert P.structure_corpus(ledger, run_id, MockProvider(error="down")) == {}
+    assert P.structure_corpus(ledger, run_id, MockProvider(['{"topics": ["ore"]}'])) == {"topics": ["ore"]}
+    answer = json.dumps({"relations": [{"subject": "316L", "predicate": "similar_to", "object": "fatigue", "evidence_text": "e"}, {"subject": "x", "predicate": "similar_to", "object": "y"}]})
+    assert P.add_provider_relations(ledger, run_id, MockProvider([answer])) == 1
+    statuses = {r["status"] for r in ledger.read("llm_calls", run_id).collect()}
+    assert statuses == {"skipped", "failed", "completed"}
+
+
+def test_ocr_engines_and_tei_service(spark, folder, tmp_path):
+    def missing(name, content):
+        return "", "skipped", 0, {}
+
+    def reader(name, content):
+        return "Words of a page. " * 100, "completed", 1, {"ocr_engine": "reader"}
+
+    def broken(name, content):
+        raise OSError("no")
+
+    ledger = Ledger(spark, str(tmp_path / "l"))
+    run_id = P.ingest_folder(spark, ledger, str(folder), "ocr", engines=(missing, reader))
+    photo = ledger.read("document_texts", run_id).where("title = 'photo.png'").first()
+    assert photo["text"].startswith("Words of a page.")
+    files = Src.scan_folder(spark, str(folder), "*.png").withColumn("source_file_id", F.lit("x"))
+    from oreweave.sources import ocr as Ocr
+
+    failed = Ocr.recognise(files, (broken,))
+    assert failed.first()["status"] == "failed" and Ocr.needs_assist(failed).count() == 1
+    spark.sparkContext.addPyFile(__file__.replace("test_pipeline.py", "offline_fetch.py"))
+    answers = {r["source_file_id"]: r for r in tei.request_tei(files, "offline_fetch:tei").collect()}
+    assert answers["x"]["tei"].startswith("<TEI")
+    assert tei.request_tei(files, "offline_fetch:no_tei").first()["error"]
+    doc = photo["source_file_id"]
+    xml = spark.createDataFrame([(doc, TEI)], "source_file_id string, tei string")
+    counts = P.build_graph(ledger, run_id, ["sections"], tei=xml)
+    kinds = {r["section_type"] for r in ledger.read("document_sections", run_id).where(F.col("source_file_id") == doc).collect()}
+    assert kinds == {"title", "abstract", "body", "reference"} and counts["assets"] >= 2
+
+
 def test_provider_records_run(spark, tmp_path):
     ledger = Ledger(spark, str(tmp_path / "l"))
     payloads = spark.createDataFrame([('{"formationenergy_id": 1, "name": "Fe2O3", "composition": "Fe2O3"}',), ('{"formationenergy_id": 1, "name": "dup"}',)], "payload string")
