@@ -11,11 +11,15 @@ from oreweave import constants as K
 from oreweave.functions.text import with_bigrams, word_tokens
 
 
-def term_counts(docs: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
-    """keys, ``term``, ``tf``. The texts are shuffled once by key; counting reuses that partitioning."""
+def document_terms(docs: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
+    """keys, ``term``: every occurrence. The texts are shuffled once by key and stay placed that way."""
     grams = docs.select(*keys, text).repartition(*keys).select(*keys, word_tokens(F.col(text)).alias("_tokens"))
-    terms = grams.select(*keys, F.explode(with_bigrams(F.col("_tokens"))).alias("term"))
-    return terms.groupBy(*keys, "term").agg(F.count("*").alias("tf"))
+    return grams.select(*keys, F.explode(with_bigrams(F.col("_tokens"))).alias("term"))
+
+
+def term_counts(docs: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
+    """keys, ``term``, ``tf``; counting reuses the partitioning by key."""
+    return document_terms(docs, keys, text).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
 
 
 def vocabulary(counts: DataFrame, documents: DataFrame, max_features: int = K.TFIDF_MAX_FEATURES) -> DataFrame:
@@ -39,8 +43,7 @@ def document_scores(
 ) -> DataFrame:
     """Cosine of every document with the query: keys and ``score``, positive scores only."""
     spark = docs.sparkSession
-    counts = term_counts(docs, keys, text)
-    terms = vocabulary(counts, docs, max_features)
+    terms = vocabulary(term_counts(docs, keys, text), docs, max_features)
     query_row = spark.createDataFrame([(0, query)], "qid int, text string")
     # one query: its terms are as many as the words the caller typed
     asked = (
@@ -55,7 +58,12 @@ def document_scores(
         .select("term", "idf", query_weight.alias("qw"))
         .withColumn("qn", F.sqrt(F.sum(F.col("qw") * F.col("qw")).over(Window.partitionBy(F.lit(0)))))
     )
-    scored = counts.join(F.broadcast(weights), "term").select(*keys, (F.col("tf") * F.col("idf")).alias("w"), "qw", "qn")
+    # terms outside the vocabulary, most bigrams, are dropped before anything is counted
+    known = document_terms(docs, keys, text).join(F.broadcast(weights), "term")
+    counts = known.groupBy(*keys, "term").agg(
+        F.count("*").alias("tf"), F.max("idf").alias("idf"), F.max("qw").alias("qw"), F.max("qn").alias("qn")
+    )
+    scored = counts.select(*keys, (F.col("tf") * F.col("idf")).alias("w"), "qw", "qn")
     per_doc = scored.groupBy(*keys).agg(
         F.sum(F.col("w") * F.col("qw")).alias("_dot"),
         F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"),
