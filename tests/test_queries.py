@@ -6,9 +6,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as spark_entry
+from oreweave.plans import registry
 from oreweave.tables import TABLE_NAMES
 
-PLANS, SQL = spark_entry.queries(), spark_entry.oracle_sql()
+spark_entry.queries()  # imports the modules that register
+PLANS, SQL = registry.PLANS, registry.SQL
 
 
 def _value(v):
