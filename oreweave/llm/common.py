@@ -61,6 +61,26 @@ def per_worker(key: str, make):
     return held["value"]
 
 
+def groups(frames, keys: list[str]):
+    """Runs of rows with equal keys from the batches of a sorted partition, one at a time."""
+    import pandas as pd
+
+    rest = None
+    for frame in frames:
+        if rest is not None:
+            frame = pd.concat([rest, frame], ignore_index=True)
+        differ = np.zeros(max(len(frame) - 1, 0), bool)
+        for key in keys:
+            values = frame[key].to_numpy()
+            differ |= values[1:] != values[:-1]
+        cuts = [0, *(np.flatnonzero(differ) + 1).tolist()]
+        for low, high in zip(cuts, cuts[1:]):
+            yield frame.iloc[low:high]
+        rest = frame.iloc[cuts[-1] :]
+    if rest is not None and len(rest):
+        yield rest
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser over an unsigned array: every input bit reaches every output bit."""
     x = x ^ (x >> np.uint64(30))
