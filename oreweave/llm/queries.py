@@ -1,4 +1,4 @@
 """All registered queries of this subpackage."""
 
-from . import bpe, covertree, lm, minhash, multiindex, packing, quality, repeats  # noqa: F401
+from . import bpe, covertree, licenses, lm, minhash, multiindex, packing, pseudonyms, quality, repeats  # noqa: F401
 from .common import QUERIES, SQL  # noqa: F401
