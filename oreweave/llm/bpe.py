@@ -3,10 +3,10 @@
 The merge table is a dictionary of token bytes to ranks. A piece of text is read byte by byte.
 For every prefix the last token of its encoding is known: the only token that ends there and is
 compatible with the last token of the prefix before it, where two tokens are compatible if
-their joined bytes encode to just these two. A state holds the last emitted token and the bytes
-not yet decided with their last tokens; as soon as every position at which a longer token could
-still start agrees on the tokens before it, those tokens are emitted. The lookahead is bounded
-by the longest token. States and transitions are made when first reached and kept.
+their joined bytes encode to just these two. A state is the set of tokens begun, each with the
+token before it; a transition on a byte gives the token that ends there. Tokens that all of
+those begun agree on are decided and emitted: the lookahead is bounded by the longest token.
+States and transitions are made when first reached and kept.
 
 Defined results: null and empty texts encode to no ids. Bytes without a token are an error of
 the vocabulary (a byte-level vocabulary has all 256).
@@ -19,15 +19,20 @@ import hashlib
 import re
 import uuid
 from collections.abc import Iterable, Iterator
+from itertools import chain, islice
 
+import pandas as pd
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import Memo, documents, per_worker, query
 
-STRETCHES = 200_000  # stretches of text, and half as many pieces, in the younger half of a worker's memory
-STATES = 150_000  # states made before the transducer starts anew
-CUT = re.compile(r"(?<=\S)(?= \S)")  # no match of a pretokeniser pattern with ` ?` spans this place
+STRETCHES = 400_000  # stretches of text, and half as many pieces, in the younger half of a worker's memory
+LOOKAHEAD = 1024  # bytes of a long piece between emissions
+CHUNK = 65_536  # ids decoded at a time
+STATES = 250_000  # states made before the transducer starts anew
+CUT = re.compile(r"(?<=\S)(?=\s\S)")  # no match of a pretokeniser pattern with ` ?` spans this place
 
 
 def load_ranks(data: bytes) -> dict[bytes, int]:
@@ -40,7 +45,7 @@ class MergeTransducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {i: t for t, i in ranks.items()}
-        self.longest = max(map(len, ranks), default=1)
+        self.length = {i: len(t) for t, i in ranks.items()}
         self.prefixes = {t[:k] for t in ranks for k in range(1, len(t))}
         self.right_edge = Memo(lambda token: self._edge(token, -1), len(ranks))
         self.left_edge = Memo(lambda token: self._edge(token, 0), len(ranks))
@@ -49,10 +54,9 @@ class MergeTransducer:
 
     def _start(self) -> None:
         self._ids: dict[tuple, int] = {}
-        self._states: list[tuple[int, bytes, tuple[int, ...]]] = []
-        self._moves: list[dict[int, tuple[int, tuple[int, ...]]]] = []
-        self._ends: list[tuple[int, ...] | None] = []
-        self._state((-1, b"", ()))
+        self._states: list[tuple[tuple[bytes, int], ...]] = []
+        self._moves: list[dict[int, tuple[int, int]]] = []
+        self._state(((b"", -1),))
 
     def _state(self, key: tuple) -> int:
         found = self._ids.get(key)
@@ -60,7 +64,6 @@ class MergeTransducer:
             found = self._ids[key] = len(self._states)
             self._states.append(key)
             self._moves.append({})
-            self._ends.append(None)
         return found
 
     def merged(self, piece: bytes, below: int = 1 << 60) -> list[bytes]:
@@ -94,65 +97,46 @@ class MergeTransducer:
                         return False
         return True
 
-    def _chain(self, ends: tuple[int, ...], at: int) -> list[int]:
-        """Tokens from the start of the undecided bytes to a place in them."""
-        out = []
-        while at:
-            out.append(ends[at - 1])
-            at -= len(self.bytes_of[out[-1]])
-        return out[::-1]
-
-    def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        before, pending, ends = self._states[state]
-        pending += bytes((byte,))
-        size = len(pending)
-        for length in range(min(size, self.longest), 0, -1):
-            token = self.ranks.get(pending[size - length :])
-            if token is None:
-                continue
-            left = before if length == size else ends[size - length - 1]
-            if left < 0 or self.compatible[left, token]:
+    def _move(self, state: int, byte: int) -> tuple[int, int]:
+        """Next state and the token that ends at this byte."""
+        last = bytes((byte,))
+        grown = [(begun + last, left) for begun, left in self._states[state]]
+        for begun, left in grown:  # the longest first
+            token = self.ranks.get(begun)
+            if token is not None and (left < 0 or self.compatible[left, token]):
                 break
         else:
             raise ValueError(f"no token ends after byte {byte}")
-        ends += (token,)
-        open_at = [size, *(p for p in range(max(0, size - self.longest + 1), size) if pending[p:] in self.prefixes)]
-        chains = [self._chain(ends, p) for p in open_at]
-        same = 0
-        for tokens in zip(*chains):
-            if len(set(tokens)) > 1:
-                break
-            same += 1
-        out = tuple(chains[0][:same])
-        cut = sum(len(self.bytes_of[t]) for t in out)
-        used = {p for p in open_at}
-        for p in open_at:
-            while p > cut:
-                p -= len(self.bytes_of[ends[p - 1]])
-                used.add(p)
-        ends = tuple(t if p + 1 in used else -2 for p, t in enumerate(ends))
-        before, pending = out[-1] if out else before, pending[cut:]
-        if pending and pending not in self.prefixes:  # no later token starts where this one ended
-            before = -1
-        move = self._state((before, pending, ends[cut:])), out
-        self._moves[state][byte] = move
+        still = tuple(g for g in grown if g[0] in self.prefixes)
+        move = self._moves[state][byte] = self._state((*still, (b"", token))), token
         return move
 
     def encode(self, piece: bytes) -> tuple[int, ...]:
         if len(self._states) > STATES:
             self._start()
-        state, ids, moves = 0, [], self._moves
+        state, moves, ends, done = 0, self._moves, [], []
         for byte in piece:
-            move = moves[state].get(byte) or self._move(state, byte)
-            state = move[0]
-            if move[1]:
-                ids.extend(move[1])
-        rest = self._ends[state]
-        if rest is None:
-            _, pending, ends = self._states[state]
-            rest = self._ends[state] = tuple(self._chain(ends, len(pending)))
-        ids.extend(rest)
-        return tuple(ids)
+            state, token = moves[state].get(byte) or self._move(state, byte)
+            ends.append(token)
+            if len(ends) % LOOKAHEAD == 0:  # what all tokens begun agree on is decided
+                chains = [self._chain(ends, len(ends) - len(begun)) for begun, _ in self._states[state]]
+                same = 0
+                for tokens in zip(*chains):
+                    if len(set(tokens)) > 1:
+                        break
+                    same += 1
+                done.extend(chains[0][:same])
+                del ends[: sum(map(self.length.__getitem__, chains[0][:same]))]
+        return (*done, *self._chain(ends, len(ends)))
+
+    def _chain(self, ends: list[int], at: int) -> list[int]:
+        """Tokens that lead to a place, from the token that ends at each place."""
+        out = []
+        while at > 0:
+            token = ends[at - 1]
+            out.append(token)
+            at -= self.length[token]
+        return out[::-1]
 
 
 class Encoder:
@@ -171,11 +155,13 @@ class Encoder:
         return tuple(i for p in pieces for i in (self._piece[p] if len(p) < 100 else self.transducer.encode(p)))
 
     def stretches(self, text: str | None) -> Iterator[tuple[int, ...]]:
-        for stretch in CUT.split(text) if text else ():
-            yield self._stretch[stretch] if len(stretch) < 100 else self._encode(stretch)
+        parts = CUT.split(text) if text else []
+        if len(max(parts, key=len, default="")) < 100:
+            return map(self._stretch.__getitem__, parts)
+        return (self._stretch[p] if len(p) < 100 else self._encode(p) for p in parts)
 
     def encode(self, text: str | None) -> list[int]:
-        return [i for ids in self.stretches(text) for i in ids]
+        return list(chain.from_iterable(self.stretches(text)))
 
 
 def _utf8_moves() -> list[list[int]]:
@@ -227,8 +213,6 @@ class StreamDecoder:
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", into: str = "ids") -> DataFrame:
     """Every row with a column of ids (empty for null texts). A column of that name is replaced."""
-    from pyspark.sql import functions as F
-
     data, job = docs.sparkSession.sparkContext.broadcast(open(ranks_path, "rb").read()), uuid.uuid4().hex
 
     def batches(series):
@@ -239,10 +223,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", i
     return docs.withColumn(into, _over_texts(batches, "array<int>")(F.col(text)))
 
 
-def decode(rows: DataFrame, ranks_path: str, ids: str = "ids", into: str = "text", chunk: int = 4096) -> DataFrame:
+def decode(rows: DataFrame, ranks_path: str, ids: str = "ids", into: str = "text", chunk: int = CHUNK) -> DataFrame:
     """Every row with the text of its ids; null ids give null, malformed bytes become U+FFFD."""
-    from pyspark.sql import functions as F
-
     data = rows.sparkSession.sparkContext.broadcast(open(ranks_path, "rb").read())
 
     def text_of(bytes_of, values):
@@ -261,8 +243,6 @@ def decode(rows: DataFrame, ranks_path: str, ids: str = "ids", into: str = "text
 
 
 def _over_texts(batches, kind: str):
-    import pandas as pd
-    from pyspark.sql import functions as F
 
     def run(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield from batches(series)
@@ -272,8 +252,6 @@ def _over_texts(batches, kind: str):
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """Digests of each document's ids and of the bytes they decode to, without moving the ids."""
-    import pandas as pd
-
     data, job = docs.sparkSession.sparkContext.broadcast(open(ranks_path, "rb").read()), uuid.uuid4().hex
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -284,18 +262,13 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
             rows = []
             for doc_id, text in zip(frame["doc_id"], frame["text"]):
                 digest, decoded, decoder, count = hashlib.sha256(), hashlib.sha256(), StreamDecoder(bytes_of), 0
-                lead, ids = "", []
-                for stretch in encoder.stretches(text):
-                    ids.extend(stretch)
-                    if len(ids) >= 8192:
-                        digest.update((lead + " ".join(map(name, ids))).encode())
-                        decoded.update(decoder.feed(ids))
-                        count, lead, ids = count + len(ids), " ", []
-                if ids:
-                    digest.update((lead + " ".join(map(name, ids))).encode())
-                    decoded.update(decoder.feed(ids))
+                ids, lead = chain.from_iterable(encoder.stretches(text)), ""
+                while part := list(islice(ids, CHUNK)):
+                    digest.update((lead + " ".join(map(name, part))).encode())
+                    decoded.update(decoder.feed(part))
+                    count, lead = count + len(part), " "
                 decoded.update(decoder.close())
-                rows.append((doc_id, count + len(ids), digest.hexdigest(), decoded.hexdigest()))
+                rows.append((doc_id, count, digest.hexdigest(), decoded.hexdigest()))
             out = pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
             yield out.astype({"doc_id": "Int64"})
 
