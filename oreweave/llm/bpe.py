@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, documents, per_worker, query
+from .common import Memo, documents, id_in, id_out, per_worker, query
 
 STRETCHES = 400_000  # stretches of text, and half as many pieces, in the younger half of a worker's memory
 LOOKAHEAD = 1024  # bytes of a long piece between emissions
@@ -269,12 +269,10 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
                     count, lead = count + len(part), " "
                 decoded.update(decoder.close())
                 rows.append((doc_id, count, digest.hexdigest(), decoded.hexdigest()))
-            out = pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-            yield out.astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInPandas(
-        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    )
+    rows = docs.select(id_in(), "text").mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return id_out(rows)
 
 
 @query("op10_byte_bpe")

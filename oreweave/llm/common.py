@@ -29,6 +29,17 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
 
 
+NO_ID = 2**63 - 1  # stands for a null id inside Python, where null numbers would turn to floats
+
+
+def id_in(column: str = "doc_id") -> Column:
+    return F.coalesce(F.col(column).cast("long"), F.lit(NO_ID)).alias(column)
+
+
+def id_out(rows: DataFrame, column: str = "doc_id") -> DataFrame:
+    return rows.withColumn(column, F.when(F.col(column) != NO_ID, F.col(column)))
+
+
 def fold(column: Column | str, modulus: int) -> Column:
     """Remainder of crc32 over the decimal text of an id; null ids fall in fold 0."""
     column = F.col(column) if isinstance(column, str) else column

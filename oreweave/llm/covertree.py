@@ -21,6 +21,7 @@ import pickle
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -130,8 +131,6 @@ class Best:
 
 def _blocks(rows: DataFrame, size: int, most: int) -> DataFrame:
     """(size, block, tree) for vectors of each length, at most about `most` in a block."""
-    import pandas as pd
-
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in groups(frames, ["size", "block"]):
             tree = CoverTree(frame["id"].to_numpy(np.int64), np.array(frame["vector"].tolist(), np.float64))
@@ -147,8 +146,6 @@ def _blocks(rows: DataFrame, size: int, most: int) -> DataFrame:
 def top_k(rows: DataFrame, is_query: Column, k: int, vec_id: str = "vec_id", vector: str = "vector") -> DataFrame:
     """query_id, rank, vec_id, score: for each query its k highest inner products among all other
     rows, ties to the smaller id. Components must be whole numbers in double."""
-    import pandas as pd
-
     rows = rows.where(F.col(vec_id).isNotNull() & usable(vector)).select(
         F.col(vec_id).alias("id"), F.col(vector).alias("vector"), is_query.alias("asks")
     )

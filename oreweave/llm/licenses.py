@@ -39,9 +39,10 @@ NOTICES = [
 SPELLINGS = [
     ("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("sublicence", "sublicense"),
     ("organisation", "organization"), ("organisations", "organizations"), ("neighbouring", "neighboring"),
-    ("favour", "favor"), ("copyrights", "copyright"), ("https", "http"), ("merchantability", "merchantability"),
-    ("noninfringement", "non infringement"), ("percent", "per cent"), ("v", "version"), ("ver", "version"),
+    ("favour", "favor"), ("copyrights", "copyright"), ("https", "http"),
+    ("noninfringement", "non infringement"), ("percent", "per cent"),
 ]
+NUMBERED = r"\bv(?:er)? ?(\d)"  # v2, ver 2
 COPYRIGHT = r"(?m)^[ \t#*/;-]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*$"
 
 
@@ -49,12 +50,11 @@ def canonical(text: Column) -> Column:
     """Canonical form of a text, lines kept apart."""
     out = F.regexp_replace(F.lower(text), COPYRIGHT, "")
     out = F.regexp_replace(out, r"[^\p{L}\p{N}\n]+", " ")
-    words = "|".join(old for old, new in SPELLINGS if old != new)
-    respelled = out
+    respelled = F.regexp_replace(out, NUMBERED, "version $1")
     for old, new in SPELLINGS:
-        if old != new:
-            respelled = F.regexp_replace(respelled, rf"\b{old}\b", new)
-    return F.when(out.rlike(rf"\b(?:{words})\b"), respelled).otherwise(out)
+        respelled = F.regexp_replace(respelled, rf"\b{old}\b", new)
+    some = "|".join(old for old, _ in SPELLINGS)
+    return F.when(out.rlike(rf"\b(?:{some})\b|{NUMBERED}"), respelled).otherwise(out)
 
 
 def _unit(text: Column) -> Column:
@@ -80,9 +80,9 @@ def scan(docs: DataFrame, licences: DataFrame) -> DataFrame:
 def _sql() -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     form = f"regexp_replace(regexp_replace(lower(text), {quote(COPYRIGHT)}, '', 'g'), '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g')"
+    form = f"regexp_replace({form}, {quote(NUMBERED)}, 'version \\1', 'g')"
     for old, new in SPELLINGS:
-        if old != new:
-            form = f"regexp_replace({form}, '\\b{old}\\b', {quote(new)}, 'g')"
+        form = f"regexp_replace({form}, '\\b{old}\\b', {quote(new)}, 'g')"
     unit = lambda c: f"sha256(trim(regexp_replace({c}, '[ \\n]+', ' ', 'g')))"
     values = ", ".join(f"({quote(a)}, {quote(b)})" for a, b in NOTICES)
     return f"""

@@ -29,12 +29,11 @@ from pyspark.sql import functions as F
 
 from oreweave.session import stored
 
-from .common import Memo, documents, fold, groups, mix, pack, query, unpack
+from .common import Memo, documents, fold, groups, id_in, id_out, mix, pack, query, unpack
 
 BLOCK_TOKENS = 1 << 20  # of a block, and about the entries of one bucket
 COUNTED, HELD_OUT, SCORED = 0, 1, 2
 END = np.uint64(0xE4D0_0F_7E27)  # stands for the end of a document among word hashes
-NEVER = np.int64(2**63 - 1)
 STEPS, SMALLEST = 4, 32  # cells: quarter powers of two, down to 2 ** -32
 EM_ROUNDS = 200
 
@@ -51,7 +50,7 @@ def token_blocks(docs: DataFrame, kind: Column) -> DataFrame:
         size = dict.fromkeys(held, 0)
 
         def block(kind):
-            ids = np.array([NEVER if pd.isna(i) else i for i, _ in held[kind]], np.int64)
+            ids = np.array([i for i, _ in held[kind]], np.int64)
             sizes = np.array([len(t) for _, t in held[kind]], np.int64)
             words, numbers = np.unique(np.concatenate([t for _, t in held[kind]]), return_inverse=True)
             return pd.DataFrame({
@@ -73,7 +72,7 @@ def token_blocks(docs: DataFrame, kind: Column) -> DataFrame:
                 yield block(kind)
                 number += 1
 
-    return docs.select(F.col("doc_id").cast("long"), "text", kind.cast("int").alias("kind")).mapInPandas(
+    return docs.select(id_in(), "text", kind.cast("int").alias("kind")).mapInPandas(
         run, "block long, kind int, tokens long, ids binary, sizes binary, words binary, numbers binary"
     )
 
@@ -265,15 +264,15 @@ def score(docs: DataFrame, learn: Column, tune: Column) -> DataFrame:
                 ids, sizes = unpack(row.ids, np.int64), unpack(row.sizes, np.int64)
                 starts = np.cumsum(sizes) - sizes
                 yield pd.DataFrame({
-                    "doc_id": pd.array(ids, "Int64").copy(), "held_out": row.kind == SCORED, "n_tokens": sizes,
+                    "doc_id": ids, "held_out": row.kind == SCORED, "n_tokens": sizes,
                     "n_known": np.add.reduceat((word > 0).astype(np.int64), starts), "train_tokens": train_tokens,
                     "base_score": np.add.reduceat(np.log10((word + 1) / base_total), starts),
                     "score": np.add.reduceat(np.log10(share), starts),
-                }).assign(doc_id=lambda d: d["doc_id"].mask(d["doc_id"] == NEVER))
+                })
 
-    return _with_counts(table, words, pairs).mapInPandas(
+    return id_out(_with_counts(table, words, pairs).mapInPandas(
         run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    )
+    ))
 
 
 @query("op9_lm_scores")

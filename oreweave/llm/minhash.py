@@ -21,12 +21,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oreweave.session import stored
 
-from .common import Memo, documents, groups, mix, query
+from .common import Memo, documents, groups, id_in, id_out, mix, query
 from .components import components, forest
 
 BAND_ROWS = 5
@@ -85,8 +86,6 @@ def super_minhash(sets: list[np.ndarray], slots: int) -> np.ndarray:
 
 def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
     """doc_id, n_shingles, key (128 bits of the set, null if empty) and the band values."""
-    import pandas as pd
-
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
@@ -101,21 +100,18 @@ def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
                     value = mix(value + words[:, :, k])
                 value = value.view(np.int64)
                 yield pd.DataFrame({
-                    "doc_id": part["doc_id"].astype("Int64"),
+                    "doc_id": part["doc_id"],
                     "n_shingles": [len(s) for s in sets],
                     "key": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
                     "bands": [v if len(s) else v[:0] for s, v in zip(sets, value)],
                 })
 
-    return docs.select("doc_id", "text").mapInPandas(
-        run, "doc_id long, n_shingles long, key binary, bands array<long>"
-    )
+    rows = docs.select(id_in(), "text").mapInPandas(run, "doc_id long, n_shingles long, key binary, bands array<long>")
+    return id_out(rows)
 
 
 def _compared(rows: DataFrame, width: int, percent: int) -> DataFrame:
     """Links (a, b) that join trees within each group of (band, i, j): members of blocks i and j."""
-    import pandas as pd
-
     shingles = Shingles(width)
 
     def linked(frame: pd.DataFrame) -> pd.DataFrame:
@@ -200,7 +196,7 @@ def near_duplicates(docs: DataFrame, width: int, percent: int) -> DataFrame:
     classes = members.join(joined.withColumnRenamed("node", "member"), "member", "left")
     classes = classes.select("key", F.coalesce("component", "member").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "key").join(classes, "key", "left")
-    out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 

@@ -21,6 +21,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -116,8 +117,6 @@ def _index(classes: DataFrame, size: int, limit: float, target: float) -> MultiI
 
 def _met(classes: DataFrame, size: int, index: MultiIndex) -> DataFrame:
     """One row for each class and cell it visits."""
-    import pandas as pd
-
     model = classes.sparkSession.sparkContext.broadcast(index.__dict__)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -138,8 +137,6 @@ def _met(classes: DataFrame, size: int, index: MultiIndex) -> DataFrame:
 
 def _compared(rows: DataFrame, limit: float) -> DataFrame:
     """(a, b, n): numbers of linked vectors (b null), and links that join trees (n null)."""
-    import pandas as pd
-
     def linked(frame: pd.DataFrame) -> pd.DataFrame:
         here, asks = frame[frame["lives_here"]], frame[~frame["lives_here"]]
         if not len(here) or not len(asks):

@@ -20,12 +20,14 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oreweave.session import stored
 
-from .common import Memo, documents, per_worker, query
+from .common import Memo, documents, id_in, id_out, per_worker, query
 
 SEQUENCE_TOKENS = 4096
 OPEN_BINS = 4096
@@ -72,27 +74,29 @@ def best_fit(pieces: DataFrame, size: int, open_bins: int, packer_sequences: int
 
     The pieces must be a stored table: packers number rows and may be run again.
     """
-    import pandas as pd
-
     total = pieces.agg(F.coalesce(F.sum(length), F.lit(0))).first()[0]
     packers = max(1, -(-total // (size * packer_sequences)))
+    columns = pieces.columns
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, bins = None, None
-        for frame in frames:
-            ids, offsets = np.empty(len(frame), np.int64), np.empty(len(frame), np.int64)
-            for i, (p, need) in enumerate(zip(frame["_packer"].tolist(), frame[length].tolist())):
+        for batch in batches:
+            ids, offsets = np.empty(batch.num_rows, np.int64), np.empty(batch.num_rows, np.int64)
+            keys, needs = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("_packer", length))
+            for i, (p, need) in enumerate(zip(keys, needs)):
                 if p != packer:
                     packer, bins = p, OpenBins(size, open_bins)
                 ids[i], offsets[i] = bins.place(need)
                 ids[i] += p << 32
-            yield frame.drop(columns=["_packer", "_row"]).assign(sequence_id=ids, offset=offsets)
+            whole = batch.select(columns)
+            names = [*columns, "sequence_id", "offset"]
+            yield pa.RecordBatch.from_arrays([*whole.columns, pa.array(ids), pa.array(offsets)], names=names)
 
     keyed = pieces.withColumn("_row", F.monotonically_increasing_id())
     keyed = keyed.withColumn("_packer", F.pmod(F.xxhash64("_row"), F.lit(packers)))
     dealt = keyed.repartition(packers, "_packer").sortWithinPartitions("_packer", F.desc(length), "_row")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    return dealt.mapInPandas(run, f"{fields}, sequence_id long, offset long")
+    return dealt.mapInArrow(run, f"{fields}, sequence_id long, offset long")
 
 
 PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")  # of printable ASCII without blanks
@@ -130,8 +134,6 @@ class WordIds:
 def token_pieces(docs: DataFrame, model_path: str, size: int, end_id: int, with_ids: bool = False) -> DataFrame:
     """Pieces of at most `size` tokens, whole documents unless longer: doc_id, piece, start,
     length, ids_crc32 and, if asked for, the ids."""
-    import pandas as pd
-
     model = docs.sparkSession.sparkContext.broadcast(open(model_path, encoding="utf-8").read())
     job = uuid.uuid4().hex
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
@@ -146,10 +148,10 @@ def token_pieces(docs: DataFrame, model_path: str, size: int, end_id: int, with_
                     part = ids[at : at + 4 * size]
                     row = (doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part))
                     rows.append((*row, np.frombuffer(part, "<u4").astype("int32")) if with_ids else row)
-            yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=names)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+    return id_out(docs.select(id_in(), "text").mapInPandas(run, schema))
 
 
 def pack_documents(docs: DataFrame, model_path: str, size: int = SEQUENCE_TOKENS, end_id: int = 1,

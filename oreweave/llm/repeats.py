@@ -32,14 +32,13 @@ from pyspark.sql import functions as F
 
 from oreweave.session import stored
 
-from .common import documents, groups, mix, pack, query, text_bytes, unpack
+from .common import documents, groups, id_in, id_out, mix, pack, query, text_bytes, unpack
 from .suffixes import common_prefixes, suffix_array, words_at
 
 WINDOW, GRAM = 50, 20
 SPAN = WINDOW - GRAM + 1  # strings of GRAM bytes in a window
 MOST = 32  # windows in a segment: one bit each
 BLOCK_BYTES = 4 << 20  # text in a block, and text whose segments meet in one bucket
-LAST_ID = np.int64(2**63 - 1)
 
 
 def blocks(docs: DataFrame) -> DataFrame:
@@ -58,7 +57,7 @@ def blocks(docs: DataFrame) -> DataFrame:
         held, size = [], 0
 
         def block():
-            ids = np.array([LAST_ID if pd.isna(i) else i for i, _, _ in held], np.int64)
+            ids = np.array([i for i, _, _ in held], np.int64)
             sizes = np.array([len(t) for _, t, _ in held], np.int64)
             data = zstandard.ZstdCompressor(level=3).compress(b"".join(t for _, t, _ in held))
             return pd.DataFrame({"block": [number], "ids": [pack(ids)], "sizes": [pack(sizes)], "data": [data], "rest": [[r for _, _, r in held]]})
@@ -74,7 +73,7 @@ def blocks(docs: DataFrame) -> DataFrame:
         if held:
             yield block()
 
-    return docs.select(F.col("doc_id").cast("long"), "text", rest.alias("rest")).mapInPandas(
+    return docs.select(id_in(), "text", rest.alias("rest")).mapInPandas(
         run, "block long, ids binary, sizes binary, data binary, rest array<string>"
     )
 
@@ -188,7 +187,7 @@ def _met_keys(keys: DataFrame) -> DataFrame:
             several = np.bincount(number, new)[number] > 1
             most = np.maximum.reduceat(i, np.flatnonzero(new_key))[number]
             fewest = np.minimum.reduceat(i, np.flatnonzero(new_key))[number]
-            state = np.where(i > least, DUPLICATE, np.where(new & several & (most > fewest), OPEN, 0))
+            state = np.where(i > least, DUPLICATE, np.where(several & (most > fewest), OPEN, 0))
             out = np.empty(len(order), np.uint8)
             out[order] = state
             yield pd.DataFrame({
@@ -306,10 +305,10 @@ def removal_digests(docs: DataFrame) -> DataFrame:
                     part = gone[end - size : end]
                     spans = int(part[:1].sum() + (part[1:] & ~part[:-1]).sum())
                     kept = hashlib.sha256(s.data[end - size : end][~part].tobytes()).hexdigest()
-                    rows.append((None if doc_id == LAST_ID else doc_id, size, int(part.sum()), spans, kept))
-                yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]).astype({"doc_id": "Int64"})
+                    rows.append((doc_id, size, int(part.sum()), spans, kept))
+                yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return table.mapInPandas(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return id_out(table.mapInPandas(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -326,12 +325,12 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                     whole = np.minimum.reduceat(gone.astype(np.uint8), head).astype(bool)
                     gone = np.repeat(whole, np.diff(np.r_[head, len(gone)]))
                 rows = [
-                    (None if i == LAST_ID else i, s.data[e - n : e][~gone[e - n : e]].tobytes().decode(), r)
+                    (i, s.data[e - n : e][~gone[e - n : e]].tobytes().decode(), r)
                     for i, n, e, r in zip(s.ids.tolist(), s.sizes.tolist(), s.ends.tolist(), row.rest)
                 ]
-                yield pd.DataFrame(rows, columns=["doc_id", "text", "rest"]).astype({"doc_id": "Int64"})
+                yield pd.DataFrame(rows, columns=["doc_id", "text", "rest"])
 
-    out = table.mapInPandas(run, "doc_id long, text string, rest string")
+    out = id_out(table.mapInPandas(run, "doc_id long, text string, rest string"))
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in others)
     if others:
         out = out.withColumn("rest", F.from_json("rest", kind))
