@@ -14,7 +14,6 @@ EMBEDDING_DIMENSIONS = 384
 OCR_REQUIRED_BELOW_CHARS = 200
 OCR_MIN_CHARS = 800
 OCR_QUALITY_THRESHOLD = 0.35
-OCR_MAX_PAGES = 12
 OCR_DPI = 200
 OCR_LANGUAGE_CODES = {"rus": "ru", "eng": "en", "ru": "ru", "en": "en"}
 

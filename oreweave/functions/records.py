@@ -46,9 +46,9 @@ def _line(label: str, value: Column) -> Column:
     return F.concat(F.lit(label), F.coalesce(value.cast("string"), F.lit("None")))
 
 
-def _names(array: Column, limit: int, separator: str) -> Column:
+def _names(array: Column, separator: str) -> Column:
     kept = F.filter(F.transform(array, lambda x: x["display_name"]), lambda n: n.isNotNull() & (n != ""))
-    return F.array_join(F.slice(F.coalesce(kept, F.array().cast("array<string>")), 1, limit), separator)
+    return F.array_join(F.coalesce(kept, F.array().cast("array<string>")), separator)
 
 
 def abstract_from_index(index: Column) -> Column:
@@ -105,18 +105,18 @@ def literature_text(work: Column, unpaywall: Column, raw: Column) -> Column:
         _line("Cited by count: ", work["cited_by_count"]),
         _line("Open access: ", open_access),
         _line("OA URL: ", best_oa_url(work, unpaywall)),
-        F.concat(F.lit("Topics: "), _names(work["topics"], 12, ", ")),
-        F.concat(F.lit("Concepts: "), _names(work["concepts"], 20, ", ")),
+        F.concat(F.lit("Topics: "), _names(work["topics"], ", ")),
+        F.concat(F.lit("Concepts: "), _names(work["concepts"], ", ")),
         F.concat(
             F.lit("Keywords: "),
-            F.array_join(F.slice(F.coalesce(keywords, F.array().cast("array<string>")), 1, 20), ", "),
+            F.array_join(F.coalesce(keywords, F.array().cast("array<string>")), ", "),
         ),
         F.lit(""),
         F.lit("Abstract:"),
         abstract_from_index(work["abstract_inverted_index"]),
         F.lit(""),
         F.lit("Raw metadata JSON:"),
-        F.substring(raw, 1, 16000),
+        raw,
     )
 
 
@@ -156,8 +156,8 @@ def search_text(work: Column) -> Column:
         F.concat(F.lit("Year: "), F.coalesce(work["publication_year"].cast("string"), F.lit("n/a"))),
         F.concat(F.lit("Citations: "), F.coalesce(work["cited_by_count"].cast("string"), F.lit("0"))),
         given("Journal: ", work["journal"]),
-        given("Authors: ", F.array_join(F.slice(work["authors"], 1, 12), "; ")),
-        given("Topics: ", _names(F.slice(F.coalesce(work["topics"], F.array()), 1, 6), 6, "; ")),
+        given("Authors: ", F.array_join(work["authors"], "; ")),
+        given("Topics: ", _names(work["topics"], "; ")),
         given("Open access URL: ", work["oa_url"]),
         F.lit(""),
         F.lit("Abstract:"),
@@ -199,7 +199,7 @@ def oqmd_text(record: Column, key: Column, raw: Column) -> Column:
         included("sites"),
         F.lit(""),
         F.lit("Raw OQMD formationenergy JSON:"),
-        F.substring(raw, 1, 12000),
+        raw,
     )
 
 
@@ -224,7 +224,7 @@ def material_text(record: Column, raw: Column) -> Column:
         ),
         F.lit(""),
         F.lit("Raw summary JSON:"),
-        F.substring(raw, 1, 12000),
+        raw,
     )
 
 

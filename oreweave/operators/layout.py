@@ -94,8 +94,8 @@ def table_records(docs: DataFrame, keys: Sequence[str], text: str = "text") -> D
     )
 
 
-def enriched_text(text: Column, formulas: Column, tables: Column) -> Column:
-    """Text followed by its formula lines and the first 20 rows of each table.
+def enriched_text(text: Column, formulas: Column, tables: Column, table_rows: int | None = None) -> Column:
+    """Text followed by its formula lines and the rows of each table, all unless ``table_rows`` says how many.
 
     ``formulas``: array of structs page, line, kind, text. ``tables``: array of structs page,
     row_count, column_count, rows. Both in reading order.
@@ -113,7 +113,7 @@ def enriched_text(text: Column, formulas: Column, tables: Column) -> Column:
             "\n",
             F.format_string("Table %d p.%d rows=%d cols=%d", i + 1, t["page"], t["row_count"], t["column_count"]),
             F.array_join(
-                F.transform(F.slice(t["rows"], 1, 20), lambda r: F.concat(F.lit("| "), F.array_join(r, " | "), F.lit(" |"))),
+                F.transform(t["rows"] if table_rows is None else F.slice(t["rows"], 1, table_rows), lambda r: F.concat(F.lit("| "), F.array_join(r, " | "), F.lit(" |"))),
                 "\n",
             ),
         ),
@@ -208,7 +208,7 @@ def assets_from_records(records: DataFrame) -> DataFrame:
     p = F.col("_p")
     table_text = F.array_join(
         F.transform(
-            F.slice(F.coalesce(p["rows"], F.array().cast("array<array<string>>")), 1, 80),
+            F.coalesce(p["rows"], F.array().cast("array<array<string>>")),
             lambda r: F.concat(F.lit("| "), F.array_join(r, " | "), F.lit(" |")),
         ),
         "\n",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -27,7 +28,8 @@ def attribute(tag: Column, name: str) -> Column:
     return U.html_unescape(
         F.coalesce(
             F.nullif(F.regexp_extract(tag, rf"(?is)^<[^>]*?\s{name}\s*=\s*\"([^\"]*)\"", 1), F.lit("")),
-            F.regexp_extract(tag, rf"(?is)^<[^>]*?\s{name}\s*=\s*'([^']*)'", 1),
+            F.nullif(F.regexp_extract(tag, rf"(?is)^<[^>]*?\s{name}\s*=\s*'([^']*)'", 1), F.lit("")),
+            F.regexp_extract(tag, rf"(?is)^<[^>]*?\s{name}\s*=\s*([^\s\"'<>=`][^\s\"'<>`]*)", 1),
         )
     )
 
@@ -43,7 +45,10 @@ def href_candidates(html: Column, raw_pattern: str) -> Column:
     Anchors of the visible markup, any ``href``, ``onclick``/``data-url``/``data-href``, then
     raw URLs matching ``raw_pattern``.
     """
-    any_href = F.regexp_extract_all(html, F.lit(r"(?i)href\s*=\s*[\"']([^\"'>]*)[\"']"), F.lit(1))
+    any_href = F.concat(
+        F.regexp_extract_all(html, F.lit(r"(?i)href\s*=\s*[\"']([^\"'>]*)[\"']"), F.lit(1)),
+        F.regexp_extract_all(html, F.lit(r"(?i)href\s*=\s*([^\s\"'<>=`][^\s\"'<>`]*)"), F.lit(1)),
+    )
     data = F.regexp_extract_all(html, F.lit(r"(?i)(?:onclick|data-url|data-href)\s*=\s*[\"']([^\"'>]*)[\"']"), F.lit(1))
     raw = F.regexp_extract_all(html, F.lit(raw_pattern), F.lit(0))
 
@@ -251,19 +256,23 @@ def issue_articles(
     return keep_first(rows, ["pdf_url"], [F.asc("position")]).drop("position").orderBy("volume", "year", "number", "pdf_url")
 
 
-def crawl(edges: DataFrame, seeds: DataFrame, max_rounds: int = 50, max_pages: int | None = None) -> DataFrame:
+def crawl(edges: DataFrame, seeds: DataFrame, max_rounds: int | None = None, max_pages: int | None = None) -> DataFrame:
     """Breadth-first reach of the seeds: ``node`` and the round it was first seen in.
 
     edges: ``src``, ``dst``. Each round joins only the newest nodes with the edges and drops
     what was seen before. Rounds are checkpointed, so the plan stays short and a lost executor
-    never restarts the crawl. ``max_pages`` stops after the round that reaches it.
+    never restarts the crawl. It ends when a round finds nothing new; ``max_rounds`` and
+    ``max_pages`` are limits for callers that want one (the latter ends with the round that
+    reaches it).
     """
     ensure_checkpoint_dir(edges.sparkSession)
     links = edges.select("src", "dst").where(F.col("src") != F.col("dst")).distinct().checkpoint()
     frontier = seeds.select("node").distinct().withColumn("depth", F.lit(0)).checkpoint()
     visited = frontier
     total = frontier.count()
-    for depth in range(1, max_rounds + 1):
+    for depth in itertools.count(1):
+        if max_rounds is not None and depth > max_rounds:
+            break
         reached = frontier.join(links, frontier["node"] == links["src"]).select(F.col("dst").alias("node")).distinct()
         frontier = reached.join(visited.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
         fresh = frontier.count()

@@ -32,7 +32,12 @@ def column_profile(df: DataFrame) -> DataFrame:
 
 def _long_form(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(metric column, value) rows without nulls and NaN."""
-    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).try_cast("double").alias("value")) for c in columns])
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+
+    def number(c: str) -> Column:
+        return (F.col(c) if isinstance(kinds[c], NUMERIC) else F.col(c).cast("string")).try_cast("double")
+
+    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), number(c).alias("value")) for c in columns])
     return df.select(F.inline(cells)).where(F.col("value").isNotNull() & ~F.isnan("value"))
 
 

@@ -9,6 +9,7 @@ from oreweave import constants as K
 from oreweave.functions import chem
 from oreweave.functions import text as T
 from oreweave.functions.hashing import stable_id
+from oreweave.operators.dedupe import keep_first
 from oreweave.operators.matching import contains_join
 
 COLUMNS = [
@@ -154,7 +155,7 @@ def provider_relations(proposed: DataFrame, entities: DataFrame, extractor: str)
     return resolved.select(
         stable_id(
             F.col("run_id"), F.lit(extractor), F.col("subject_entity_id"), F.col("predicate"), F.col("object_entity_id"),
-            F.substring(F.coalesce("evidence_text", F.lit("")), 1, 80),
+            F.coalesce("evidence_text", F.lit("")),
         ).alias("relation_id"),
         "run_id",
         "subject_entity_id",
@@ -166,7 +167,7 @@ def provider_relations(proposed: DataFrame, entities: DataFrame, extractor: str)
         F.lit(None).cast("string").alias("source_file_id"),
         F.coalesce("confidence", F.lit(K.PROVIDER_RELATION_CONFIDENCE)).alias("confidence"),
         F.lit(extractor).alias("extractor"),
-    ).dropDuplicates(["relation_id"])
+    ).transform(lambda rows: keep_first(rows, ["relation_id"], [F.desc("confidence")]))
 
 
 def build_relations(contexts: DataFrame, entities: DataFrame, records: DataFrame | None = None) -> DataFrame:

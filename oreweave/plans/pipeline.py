@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from oreweave import constants as K
@@ -23,6 +23,7 @@ from oreweave.operators import hypotheses as H
 from oreweave.operators import ranking
 from oreweave.operators import relations as R
 from oreweave.operators.chunking import chunk_documents
+from oreweave.operators.dedupe import keep_first
 from oreweave.operators.embeddings import build_embeddings, embedding_targets
 from oreweave.operators.graph import ledger_graph, relation_names, tailings_graph
 from oreweave.operators.layout import assets_from_records, enriched_text, fallback_sections, formula_records, merge_assets, table_records
@@ -48,9 +49,11 @@ def _tag(df: DataFrame, run_id: str) -> DataFrame:
     return df.withColumn("run_id", F.lit(run_id))
 
 
-def _workbook_records(ledger: Ledger, files: DataFrame, run_id: str) -> tuple[DataFrame, DataFrame]:
-    """Structured records of the workbooks and the sentence text of each workbook."""
-    rows = Src.workbook_rows(files)
+def _workbook_records(ledger: Ledger, files: DataFrame, run_id: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Structured records of the workbooks, the sentence text of each, and what could not be read."""
+    rows = stored_table(Src.workbook_rows(files))
+    errors = rows.where(F.col("error").isNotNull()).select("path", F.col("error").alias("workbook_error"))
+    rows = rows.where(F.col("error").isNull()).drop("error")
     kinds = zip(("summaries", "size_classes", "extractability"), ("summary", "size_class", "extractable"), Src.tailings_workbooks(rows))
     ids = files.select(F.col("path").alias("filename"), stable_id(F.lit(run_id), F.col("relative_path")).alias("source_file_id"))
     parts = []
@@ -70,7 +73,7 @@ def _workbook_records(ledger: Ledger, files: DataFrame, run_id: str) -> tuple[Da
             F.transform(F.array_sort(F.collect_list(F.struct("position", "sentence"))), lambda r: r["sentence"]), "\n"
         ).alias("workbook_text")
     )
-    return records.drop("sentence"), texts
+    return records.drop("sentence"), texts, errors
 
 
 def _layout_records(docs: DataFrame, prefix: str) -> tuple[DataFrame, DataFrame]:
@@ -95,16 +98,24 @@ def _layout_records(docs: DataFrame, prefix: str) -> tuple[DataFrame, DataFrame]
     return records, listed_formulas.join(listed_tables, keys, "full_outer")
 
 
+def _chunk_metadata() -> Column:
+    """The metadata of the document with the place of the chunk in it."""
+    own = F.from_json("metadata", "map<string,string>")
+    place = F.create_map(F.lit("chunk_index"), F.col("chunk_index").cast("string"))
+    kept = F.map_filter(F.coalesce(own, F.create_map().cast("map<string,string>")), lambda k, v: k != "chunk_index")
+    return F.to_json(F.map_concat(kept, place))
+
+
 def chunk_run(ledger: Ledger, run_id: str, files: DataFrame | None = None) -> None:
     """Chunk the stored texts of a run, or of the given source files."""
     texts = ledger.read("document_texts", run_id)
     if files is not None:
         texts = texts.join(files.select("source_file_id"), "source_file_id", "left_semi")
-    pieces = chunk_documents(texts, ["run_id", "source_file_id"])
+    pieces = chunk_documents(texts, ["run_id", "source_file_id", "metadata"])
     rows = pieces.select(
         F.concat_ws(":chunk:", "source_file_id", F.col("chunk_index").cast("string")).alias("id"),
         "run_id", "source_file_id", F.col("source_file_id").alias("document_id"), "chunk_index",
-        F.col("chunk_text").alias("text"), F.to_json(F.struct("chunk_index")).alias("metadata"),
+        F.col("chunk_text").alias("text"), _chunk_metadata().alias("metadata"),
     )
     ledger.replace("document_chunks", rows, texts.select("run_id", "source_file_id"))
 
@@ -139,8 +150,11 @@ def ingest_folder(
     ledger.upsert("source_files", source_file_rows(files, run_id))
 
     file_id = stable_id(F.lit(run_id), F.col("relative_path")).alias("source_file_id")
-    parsed = Src.parse_files(files).join(files.select("path", "relative_path", "source_type", file_id), "path")
-    records, workbook_texts = _workbook_records(ledger, files, run_id)
+    records, workbook_texts, workbook_errors = _workbook_records(ledger, files, run_id)
+    # parsed once; every ledger write below reads the stored rows
+    parsed = stored_table(Src.parse_files(files)).join(files.select("path", "relative_path", "source_type", file_id), "path")
+    parsed = parsed.join(workbook_errors, "path", "left")
+    parsed = parsed.withColumn("parse_error", F.coalesce("parse_error", "workbook_error")).drop("workbook_error")
     base = _tag(parsed, run_id).join(workbook_texts, "source_file_id", "left").withColumn(
         "text", F.coalesce("workbook_text", "parsed_text")
     )
@@ -182,7 +196,7 @@ def ingest_folder(
         results = stored_table(Ocr.recognise(wanted, engines))
         ledger.append("artifacts", _tag(results, run_id).select(
             stable_id(F.lit(run_id), F.lit("ocr"), F.col("source_file_id")).alias("id"), "run_id", "source_file_id", F.lit("ocr").alias("kind"),
-            F.lit("ocr").alias("stage"), "status", F.substring("text", 1, 4000).alias("content"), "metadata",
+            F.lit("ocr").alias("stage"), "status", F.col("text").alias("content"), "metadata",
         ))
         if results.where(F.col("status") == "completed").limit(1).count():
             apply_ocr(ledger, run_id, results)
@@ -219,7 +233,7 @@ def ingest_records(spark: SparkSession, ledger: Ledger, payloads: DataFrame, sou
     builders = {
         "openalex": ("openalex_work", Rec.WORK, lambda r, raw: (F.coalesce(r["id"], r["doi"], stable_id(raw)), F.coalesce(r["title"], r["display_name"], F.lit("Untitled")), Rec.search_text(Rec.normalized_work(r)))),
         "oqmd": ("oqmd_formationenergy", Rec.OQMD, lambda r, raw: (Rec.oqmd_key(r, raw), F.concat(F.lit("OQMD "), Rec.oqmd_key(r, raw), F.lit(": "), F.coalesce(r["composition"], r["name"], Rec.oqmd_key(r, raw))), Rec.oqmd_text(r, Rec.oqmd_key(r, raw), raw))),
-        "materials_project": ("materials_project_summary", Rec.MATERIAL, lambda r, raw: (F.coalesce(r["material_id"], F.lit("unknown")), F.concat(F.lit("Materials Project "), F.coalesce(r["material_id"], F.lit("unknown")), F.lit(": "), F.coalesce(r["formula_pretty"], r["formula"], r["material_id"])), Rec.material_text(r, raw))),
+        "materials_project": ("materials_project_summary", Rec.MATERIAL, lambda r, raw: (F.coalesce(r["material_id"], stable_id(raw)), F.concat(F.lit("Materials Project "), F.coalesce(r["material_id"], F.lit("unknown")), F.lit(": "), F.coalesce(r["formula_pretty"], r["formula"], r["material_id"])), Rec.material_text(r, raw))),
     }
     record_type, schema, build = builders[source_type]
     run_id = ledger.create_run(name, f"external/{source_type}", json.dumps({"source": source_type}))
@@ -227,7 +241,8 @@ def ingest_records(spark: SparkSession, ledger: Ledger, payloads: DataFrame, sou
     raw = F.col("payload")
     parsed = payloads.select("payload", F.from_json("payload", schema).alias("r"))
     key, title, text = build(F.col("r"), raw)
-    rows = parsed.select("payload", key.alias("source_key"), title.alias("title"), text.alias("text")).dropDuplicates(["source_key"])
+    rows = parsed.select("payload", key.alias("source_key"), title.alias("title"), text.alias("text"))
+    rows = keep_first(rows, ["source_key"], [F.asc("payload")])  # repeated rows of a record count once
     ledger.upsert("source_files", external_source_rows(rows, run_id, source_type))
     stored = rows.withColumn("source_file_id", stable_id(F.lit(run_id), F.lit(source_type), F.col("source_key")))
     ledger.upsert("document_texts", _tag(stored, run_id).select(
@@ -280,14 +295,16 @@ def build_graph(
             marked = _tag(Tei.tei_assets(parsed).drop("asset_index"), run_id).withColumn("record_type", F.lit("grobid_tei"))
             assets = merge_assets(marked, assets)
         ledger.replace("document_sections", sections.select(
-            stable_id(F.col("run_id"), F.col("source_file_id"), F.lit("section"), F.col("section_index"), F.col("title"), F.substring("text", 1, 200)).alias("id"),
+            stable_id(F.col("run_id"), F.col("source_file_id"), F.lit("section"), F.col("section_index"), F.col("title"), F.col("text")).alias("id"),
             "run_id", "source_file_id", "section_index", "section_type", "title", "text",
             F.to_json(F.struct("source_file_id", "extractor")).alias("provenance"), F.lit("{}").alias("metadata"),
         ), scope)
-        ledger.replace("document_assets", assets.select(
-            stable_id(F.col("run_id"), F.col("source_file_id"), F.lit("asset"), F.col("asset_type"), F.col("label"), F.substring("content", 1, 200)).alias("id"),
+        in_file = Window.partitionBy("run_id", "source_file_id").orderBy("asset_type", "label", "content", "metadata")
+        numbered = assets.drop("asset_index").withColumn("asset_index", F.row_number().over(in_file) - 1)
+        ledger.replace("document_assets", numbered.select(
+            stable_id(F.col("run_id"), F.col("source_file_id"), F.lit("asset"), F.col("asset_index"), F.col("asset_type"), F.col("label"), F.col("content")).alias("id"),
             "*", F.to_json(F.struct("source_file_id", "record_type")).alias("provenance"),
-        ).dropDuplicates(["id"]), scope)
+        ), scope)
         counts["sections"] = ledger.read("document_sections", run_id).count()
         counts["assets"] = ledger.read("document_assets", run_id).count()
     records = ledger.read("structured_records", run_id)
@@ -394,7 +411,7 @@ def _log_call(ledger: Ledger, run_id: str, provider: TextProvider | None, purpos
     )
     ledger.append("llm_calls", row)
     ledger.append("artifacts", row.select(
-        "id", "run_id", F.lit(purpose).alias("kind"), F.lit(purpose).alias("stage"), "status", F.lit(answer[:4000]).alias("content"), F.lit("{}").alias("metadata")
+        "id", "run_id", F.lit(purpose).alias("kind"), F.lit(purpose).alias("stage"), "status", F.lit(answer).alias("content"), F.lit("{}").alias("metadata")
     ))
 
 

@@ -106,23 +106,37 @@ def metadata_filter(spark, sf_dir):
     docs = spread(table(spark, sf_dir, "documents"))
     text, lang = F.col("text"), F.col("lang")
     metadata = F.to_json(F.struct("source", "lang"))
-    typed = Rt.MetadataFilter.from_text("pdf or txt sources").matches(text, lang, metadata)
-    sized = Rt.MetadataFilter.from_text("losses of элемент 28 in class -4").matches(text, lang, metadata)
-    copper = Rt.MetadataFilter.from_text("losses of элемент 29").matches(text, lang, metadata)
+    typed = Rt.accepts(Rt.asked_for("pdf or txt sources"), text, lang, metadata)
+    sized = Rt.accepts(Rt.asked_for("losses of элемент 28 in class -4"), text, lang, metadata)
+    copper = Rt.accepts(Rt.asked_for("losses of элемент 29"), text, lang, metadata)
     return docs.where(typed | sized | copper).select("doc_id", "source")
 
 
+_ELEMENT_SIGNS = " OR ".join(f"contains(lower(text), {sql_text(w)})" for words in K.ELEMENT_QUERY_TOKENS.values() for w in words)
+
+
+def _filtered_sql(label: str, test: str) -> str:
+    return f"""SELECT '{label}' AS search, chunk_id, score, NOT bool_or({test}) OVER () AS filter_relaxed FROM merged JOIN chunks USING (chunk_id)
+      QUALIFY ({test}) OR filter_relaxed"""
+
+
 @query("filter_retry", f"""
-  {_HYBRID} SELECT chunk_id, score, true AS filter_relaxed FROM merged ORDER BY score DESC, chunk_id LIMIT 8
+  {_HYBRID},
+  filtered AS ({_filtered_sql('none', 'false')} UNION ALL {_filtered_sql('some', _ELEMENT_SIGNS)})
+  SELECT * FROM filtered QUALIFY row_number() OVER (PARTITION BY search ORDER BY score DESC, chunk_id) <= 8
 """)
 def filter_retry(spark, sf_dir):
-    """A plant filter no chunk satisfies: the search falls back to the unfiltered hits."""
+    """A plant filter no chunk satisfies falls back to all hits, an element filter keeps what it accepts."""
     chunks = corpus.chunks(spark, sf_dir)
-    wanted = Rt.MetadataFilter.from_text("КГМК")
     scores = Rt.hybrid_scores(chunks, ["chunk_id"], "text", QUESTION, 8).withColumn("score", F.round("score", 6))
     hits = chunks.join(F.broadcast(scores.select("chunk_id", "score")), "chunk_id")
-    accept = wanted.matches(F.col("text"), F.col("source_type"), F.lit("{}"))
-    return Rt.filtered_or_all(hits, accept, [F.desc("score"), F.asc("chunk_id")], 8).select("chunk_id", "score", "filter_relaxed")
+    elements = frozenset(("element", e) for e in ("element28", "element29"))
+    out = []
+    for label, wanted in (("none", Rt.asked_for("КГМК")), ("some", elements)):
+        accept = Rt.accepts(wanted, F.col("text"), F.lit(""), F.lit("{}"))
+        best = Rt.filtered_or_all(hits, accept, [F.desc("score"), F.asc("chunk_id")], 8)
+        out.append(best.select(F.lit(label).alias("search"), "chunk_id", "score", "filter_relaxed"))
+    return out[0].unionByName(out[1])
 
 
 # Embeddings --------------------------------------------------------------------------------

@@ -17,11 +17,10 @@ def _stream(spark, sf_dir):
 
 @query("stream_dedupe", "SELECT user_id, event_type, count(*) AS keys FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY ALL")
 def stream_dedupe(spark, sf_dir):
-    """Each (user, event type) passes once; the watermark keeps two months of state."""
+    """Each (user, event type) passes once, whenever it comes back."""
     data, checkpoint = S.work_paths(spark, "stream-dedupe")
-    stream = S.first_of_key(_stream(spark, sf_dir), ["user_id", "event_type"], "ts", "60 days")
-    S.append_batches(stream.select("user_id", "event_type"), data, checkpoint)
-    return spark.read.parquet(data).groupBy("user_id", "event_type").agg(F.count("*").alias("keys"))
+    first = S.first_of_key(_stream(spark, sf_dir), data, checkpoint, ["user_id", "event_type"], [F.asc("ts"), F.asc("event_id")])
+    return first.groupBy("user_id", "event_type").agg(F.count("*").alias("keys"))
 
 
 @query("stream_upsert", "SELECT DISTINCT ON (user_id) user_id, event_id, event_type AS status FROM events ORDER BY user_id, ts DESC, event_id DESC")

@@ -131,19 +131,20 @@ def fresh_links(spark, sf_dir):
 
 @query("crawl_frontier", """
   WITH RECURSIVE edges AS (
-    SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partkey AS dst FROM lineitem WHERE l_linenumber = 1
-    UNION SELECT DISTINCT 'p' || l_partkey, 's' || l_suppkey FROM lineitem WHERE l_linenumber = 1
-  ), reach AS (
+    SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partkey AS dst FROM lineitem
+    UNION SELECT DISTINCT 'p' || l_partkey, 's' || l_suppkey FROM lineitem
+  ), reach(node, depth) USING KEY (node) AS (
     SELECT 's0' AS node, 0 AS depth
     UNION
-    SELECT dst, depth + 1 FROM reach JOIN edges ON src = node WHERE depth < 6
+    SELECT dst, min(reach.depth) + 1 FROM reach JOIN edges ON src = node
+    WHERE NOT EXISTS (SELECT 1 FROM recurring.reach r WHERE r.node = dst) GROUP BY dst
   )
-  SELECT node, min(depth) AS depth FROM reach GROUP BY node
+  SELECT node, depth FROM reach
 """)
 def crawl_frontier(spark, sf_dir):
-    """Breadth-first reach over the supplier-part link graph, at most six rounds."""
-    lines = table(spark, sf_dir, "lineitem").where(F.col("l_linenumber") == 1)
+    """Breadth-first reach over the whole supplier-part link graph."""
+    lines = table(spark, sf_dir, "lineitem")
     supplier, part = F.concat(F.lit("s"), "l_suppkey"), F.concat(F.lit("p"), "l_partkey")
     edges = lines.select(supplier.alias("src"), part.alias("dst")).unionByName(lines.select(part.alias("src"), supplier.alias("dst")))
     seeds = spark.range(1).select(F.lit("s0").alias("node"))
-    return L.crawl(edges, seeds, max_rounds=6)
+    return L.crawl(edges, seeds)

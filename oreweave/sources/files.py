@@ -11,6 +11,7 @@ import re
 import subprocess
 import tempfile
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -131,49 +132,70 @@ _HIGH = "".join(chr(b) for b in range(0x80, 0x100) if b != 0x98)
 _CYRILLIC = "".join(bytes([b]).decode("cp1251") for b in range(0x80, 0x100) if b != 0x98)
 
 
+def csv_encoding(content: Column) -> Column:
+    """utf-8 where the bytes are valid, else cp1251, else latin-1 where a byte has no meaning in cp1251."""
+    bytes_ = F.decode(content, "ISO-8859-1")
+    return F.when(F.is_valid_utf8(content.cast("string")), "utf-8").when(F.contains(bytes_, F.lit("\x98")), "latin-1").otherwise("cp1251")
+
+
+def decoded_text(content: Column) -> Column:
+    """Text of raw bytes in the first encoding that fits, as a column expression."""
+    bytes_ = F.decode(content, "ISO-8859-1")
+    kind = csv_encoding(content)
+    return F.when(kind == "utf-8", content.cast("string")).when(kind == "latin-1", bytes_).otherwise(F.translate(bytes_, _HIGH, _CYRILLIC))
+
+
 def read_csv_any_encoding(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
-    """CSV in UTF-8, else cp1251, else Latin-1, decided by one pass over the raw lines.
+    """CSV files of a path, each in UTF-8, else cp1251, else Latin-1.
 
-    Spark's reader knows no cp1251, so such files are read byte by byte as Latin-1 and their
-    characters are mapped afterwards, which stays a plain column expression.
+    Files of one encoding are read together. Spark's reader knows no cp1251, so such files are
+    read byte by byte as Latin-1 and their characters are mapped afterwards, which stays a plain
+    column expression. Columns are matched by name; where the groups disagree on a type it is text.
     """
-    raw = spark.read.format("binaryFile").load(path).select("content")
-    valid = raw.where(~F.is_valid_utf8(F.col("content").cast("string"))).limit(1).count() == 0
+    kinds = spark.read.format("binaryFile").load(path).select("path", csv_encoding(F.col("content")).alias("kind"))
+    by_kind: dict[str, list[str]] = {}
+    for row in kinds.orderBy("path").collect():  # names of files, which the reader lists as well
+        by_kind.setdefault(row["kind"], []).append(row["path"])
     reader = spark.read.option("header", header).option("inferSchema", "true")
-    if valid:
+    groups = []
+    for kind, paths in by_kind.items():
+        df = reader.option("encoding", "UTF-8" if kind == "utf-8" else "ISO-8859-1").csv(paths)
+        if kind == "cp1251":
+            table = str.maketrans(_HIGH, _CYRILLIC)
+            df = df.select(*[
+                (F.translate(F.col(f"`{f.name}`"), _HIGH, _CYRILLIC) if f.dataType.simpleString() == "string" else F.col(f"`{f.name}`"))
+                .alias(f.name.translate(table)) for f in df.schema.fields
+            ])
+        groups.append(df)
+    if not groups:
         return reader.csv(path)
-    df = reader.option("encoding", "ISO-8859-1").csv(path)
-    text = [f.name for f in df.schema.fields if f.dataType.simpleString() == "string"]
-    unassigned = F.lit(False)
-    for name in text:
-        unassigned = unassigned | F.contains(F.col(f"`{name}`"), F.lit("\x98"))
-    if df.where(unassigned).limit(1).count():
-        return df
-    table = str.maketrans(_HIGH, _CYRILLIC)
-    columns = [
-        (F.translate(F.col(f"`{name}`"), _HIGH, _CYRILLIC) if name in text else F.col(f"`{name}`")).alias(name.translate(table))
-        for name in df.columns
-    ]
-    return df.select(*columns)
+    kinds_of: dict[str, set] = {}
+    for df in groups:
+        for name, kind in df.dtypes:
+            kinds_of.setdefault(name, set()).add(kind)
+    alike = [df.select(*[(F.col(f"`{n}`") if len(kinds_of[n]) == 1 else F.col(f"`{n}`").cast("string")).alias(n) for n in df.columns]) for df in groups]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), alike)
 
 
 # Workbooks ---------------------------------------------------------------------------------
 
-CELLS = "path string, sheet_name string, row_number int, cells array<string>"
+CELLS = "path string, sheet_name string, row_number int, cells array<string>, error string"
 
 
 def workbook_rows(files: DataFrame) -> DataFrame:
-    """Rows of all sheets of the xlsx files: path, sheet_name, row_number from 1, cells."""
+    """Rows of all sheets of the xlsx files: path, sheet_name, row_number from 1, cells, error.
+
+    A workbook that cannot be read gives one row with its error and no cells.
+    """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
                 try:
-                    rows = list(office.xlsx_rows(bytes(content)))
-                except Exception:
-                    rows = []
-                out = [(path, sheet, number, cells) for sheet, number, cells in rows]
-                yield pd.DataFrame(out, columns=["path", "sheet_name", "row_number", "cells"])
+                    out = [(path, sheet, number, cells, None) for sheet, number, cells in office.xlsx_rows(bytes(content))]
+                except Exception as exc:
+                    out = [(path, None, None, None, f"{type(exc).__name__}: {exc}")]
+                yield pd.DataFrame(out, columns=["path", "sheet_name", "row_number", "cells", "error"])
 
     return files.where(F.col("source_type") == "xlsx").select("path", "content").mapInPandas(read, CELLS)
 

@@ -23,7 +23,7 @@ from oreweave.functions import text as T
 RESULT = "source_file_id string, text string, status string, pages int, metadata string, engine_order int"
 
 
-def tesseract(name: str, content: bytes, languages: str = "rus+eng", max_pages: int = K.OCR_MAX_PAGES, dpi: int = K.OCR_DPI):
+def tesseract(name: str, content: bytes, languages: str = "rus+eng", max_pages: int | None = None, dpi: int = K.OCR_DPI):
     """(text, status, pages, metadata) from the ``tesseract`` program; PDFs are rendered by ``pdftoppm``."""
     program, renderer = shutil.which("tesseract"), shutil.which("pdftoppm")
     is_pdf = name.lower().endswith(".pdf")
@@ -33,7 +33,8 @@ def tesseract(name: str, content: bytes, languages: str = "rus+eng", max_pages:
         source = Path(folder) / ("in.pdf" if is_pdf else "in" + Path(name).suffix)
         source.write_bytes(content)
         if is_pdf:
-            render = [renderer, "-r", str(dpi), "-l", str(max_pages), "-png", str(source), f"{folder}/page"]
+            limit = ["-l", str(max_pages)] if max_pages else []
+            render = [renderer, "-r", str(dpi), *limit, "-png", str(source), f"{folder}/page"]
             subprocess.run(render, check=False, capture_output=True, timeout=300)
             images = sorted(Path(folder).glob("page*.png"))
         else:
@@ -44,7 +45,7 @@ def tesseract(name: str, content: bytes, languages: str = "rus+eng", max_pages:
             if done.returncode == 0:
                 texts.append(done.stdout.decode("utf-8", errors="ignore").strip())
     text = "\n\n".join(t for t in texts if t)
-    return text, "completed" if text else "failed", len(images), {"ocr_engine": "tesseract", "ocr_chars": len(text)}
+    return text, "completed" if text else "failed", len(images), {"ocr_engine": "tesseract", "ocr_chars": len(text), "pages_read": len(images), "page_limit": max_pages}
 
 
 Engine = Callable[[str, bytes], tuple[str, str, int, dict]]

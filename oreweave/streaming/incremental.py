@@ -41,10 +41,26 @@ def append_batches(stream: DataFrame, path: str, checkpoint: str) -> None:
     query.awaitTermination()
 
 
-def first_of_key(stream: DataFrame, keys: Sequence[str], event_time: str, delay: str) -> DataFrame:
-    """Seen-key rule of the exporters: one row per key, state kept for ``delay`` of event time."""
-    timed = stream.withColumn(event_time, F.col(event_time).cast("timestamp"))
-    return timed.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(list(keys))
+def first_of_key(stream: DataFrame, path: str, checkpoint: str, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """Seen-key rule of the exporters: one row per key over the whole stream, however long ago it was seen.
+
+    The rows passed so far are the table of seen keys. A batch keeps its first row of each key
+    and drops keys of earlier batches by an anti join; a repeated batch overwrites its own
+    folder only, so nothing depends on event time or on state in memory.
+    """
+    spark, schema = stream.sparkSession, stream.schema
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        fresh = keep_first(batch, list(keys), list(order))
+        if batch_id:
+            known = spark.read.schema(schema.add("batch", "long") if "batch" not in schema.names else schema).parquet(path)
+            seen = known.where(F.col("batch") < batch_id).select(*keys)
+            same = [fresh[k].eqNullSafe(seen[k]) for k in keys]
+            fresh = fresh.join(seen, same, "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    drain(stream, write, checkpoint)
+    return spark.read.schema(schema).parquet(path)
 
 
 def upsert_batches(stream: DataFrame, path: str, checkpoint: str, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:

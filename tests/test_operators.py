@@ -13,7 +13,7 @@ from oreweave.operators.embeddings import embed, embed_query
 from oreweave.operators.graph import ledger_graph
 from oreweave.operators.matching import contains_join
 from oreweave.operators.optimizer import improve, variants
-from oreweave.operators.retrieval import HybridRetriever, MetadataFilter, filtered_or_all
+from oreweave.operators.retrieval import HybridRetriever, accepts, asked_for, filtered_or_all
 from oreweave.operators.tfidf import TfidfIndex, document_scores
 
 
@@ -137,11 +137,11 @@ def test_stored_index_equals_direct_scores(spark, tmp_path):
 
 
 def test_metadata_filter(spark):
-    f = MetadataFilter.from_text("Потери КГМК элемент 28 класс -71 +45 в xlsx")
-    assert f.plants == {"КГМК"} and "element28" in f.elements and "-71 +45" in f.size_classes and "xlsx" in f.source_types
+    wanted = asked_for("Потери КГМК элемент 28 класс -71 +45 в xlsx")
+    assert wanted >= {("plant", "КГМК"), ("element", "element28"), ("size class", "-71 +45"), ("source type", "xlsx")}
     rows = spark.createDataFrame([("кгмк э28 -71+45", "xlsx"), ("кгмк э28", "xlsx")], "t string, s string")
-    assert [r[0] for r in rows.select(f.matches(F.col("t"), F.col("s"), F.lit("{}"))).collect()] == [True, False]
-    assert MetadataFilter.from_text("zzz").empty
+    assert [r[0] for r in rows.select(accepts(wanted, F.col("t"), F.col("s"), F.lit("{}"))).collect()] == [True, False]
+    assert not asked_for("zzz")
 
 
 def test_hybrid_retriever_and_retry(spark):
@@ -256,3 +256,15 @@ def test_markdown_report(spark):
     text = profiling.markdown_report("t.csv", df, ["id"])
     assert "- **Строк**: 2, **Колонок**: 3" in text and "`name` (string) — 1/2 непустых" in text
     assert "**Ключевая колонка**: `ni_grade`" in text and "- Медиана: 3.000" in text
+
+
+def test_crawl_reaches_the_end_of_a_long_chain(spark):
+    edges = spark.createDataFrame([(str(i), str(i + 1)) for i in range(70)], "src string, dst string")
+    reached = L.crawl(edges, spark.createDataFrame([("0",)], "node string"))
+    assert {r["node"]: r["depth"] for r in reached.collect()} == {str(i): i for i in range(71)}
+
+
+def test_links_in_all_quote_styles(spark):
+    html = "<a href=/bare>x</a><a class=y href='/single'>x</a><a href=\"/double\">x</a><a href=/last>z</a>"
+    row = spark.createDataFrame([(html,), ("<area href=/area>",)], "html string").select(L.href_candidates(F.col("html"), "http\\S+").alias("h")).collect()
+    assert [r["h"] for r in row] == [["/bare", "/single", "/double", "/last"], ["/area"]]

@@ -261,6 +261,38 @@ def test_tei(spark):
     rows.unpersist()
 
 
+def test_mixed_encodings_in_one_folder(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes("имя,n\nникель,1\n".encode())
+    (tmp_path / "b.csv").write_bytes("имя,n\nмедь,2\n".encode("cp1251"))
+    (tmp_path / "c.csv").write_bytes("имя,n\n".encode("cp1251") + "кобальт,x\n".encode("cp1251"))
+    df = Src.read_csv_any_encoding(spark, str(tmp_path))
+    assert sorted(map(tuple, df.select("имя", "n").collect())) == [("кобальт", "x"), ("медь", "2"), ("никель", "1")]
+    text = spark.createDataFrame([("й".encode(),), ("й".encode("cp1251"),), (b"\x98\xe9",)], "b binary").select(Src.decoded_text(F.col("b")))
+    assert [r[0] for r in text.collect()] == ["й", "й", "\x98é"]
+
+
+def test_unreadable_workbook_fails_its_job(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "bad.xlsx").write_bytes(b"no workbook")
+    (folder / "good.txt").write_text("plain text of a file")
+    ledger = Ledger(spark, str(tmp_path / "ledger"))
+    run = P.ingest_folder(spark, ledger, str(folder), ocr="off")
+    jobs = {r["status"]: r["error"] for r in ledger.read("ingest_jobs", run).where("stage = 'extract'").collect()}
+    assert jobs.keys() == {"failed", "completed"} and jobs["failed"] and jobs["completed"] is None
+
+
+def test_stream_dedupe_remembers_old_keys(spark, tmp_path):
+    source = tmp_path / "events"
+    source.mkdir()
+    days = ["2020-01-01", "2020-06-01", "2021-01-01"]
+    for i, day in enumerate(days):
+        spark.createDataFrame([(1, day, i), (10 + i, day, i)], "k int, day string, seq int").coalesce(1).write.mode("append").parquet(str(source))
+    stream = S.file_stream(spark, str(source), "k int, day string, seq int", max_files=1)
+    first = S.first_of_key(stream, str(tmp_path / "out"), str(tmp_path / "cp"), ["k"], [F.asc("seq")])
+    assert sorted(r["k"] for r in first.collect()) == [1, 10, 11, 12]
+
+
 def test_office_and_encodings(spark, tmp_path):
     assert office.docx_plain_text(docx()) == "Intro Froth flotation of 316L. a 1"
     assert "## Intro\n\nFroth flotation of 316L.\n\n## Таблица 1\n\n| a |\n|---|\n| 1 |" in office.docx_markdown("p.docx", docx())
