@@ -1,3 +1,11 @@
-"""Corpus analytics, knowledge graph and evidence retrieval as Spark jobs."""
+"""Corpus analytics on Spark.
 
-__version__ = "0.1.0"
+Functions that run inside Spark tasks are shipped by value, so executors need no copy of this
+package on their own path.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

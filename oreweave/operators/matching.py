@@ -1,7 +1,8 @@
 """Substring join of texts against a dictionary of any size.
 
 ``norm in text`` is not an equi-join, and comparing every text with every name would be a
-cross join. Every dictionary name is given one anchor: among the short pieces it is made of,
+cross join. A dictionary of bounded size is searched for as a whole, in one pass over the texts.
+For a larger one every name is given one anchor: among the short pieces it is made of,
 the one that the fewest texts contain. A text can only contain the name if it contains the
 anchor, so an equi-join on the anchor yields all candidates and one ``contains`` check makes
 them exact. Which anchor is chosen affects the work, never the result.
@@ -12,12 +13,13 @@ characters, so one pass over the texts serves the whole dictionary.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BROADCAST_NAMES = 50_000
+BROADCAST_BYTES = 16 << 20  # of names that are searched for all at once inside a row
 SHORTEST, LONGEST = 3, 5
 ANCHOR_CHOICES = 12
 
@@ -34,23 +36,19 @@ def _candidates(
     text_id: Sequence[str],
     name_id: Sequence[str],
     length: int,
-    few: bool,
     statistics_fraction: float,
 ) -> DataFrame:
     """(text_id, name_id, _name) pairs whose text contains the anchor of the name."""
 
-    def small(df: DataFrame) -> DataFrame:
-        return F.broadcast(df) if few else df
-
     def pieces(df: DataFrame) -> DataFrame:
-        return df.select(*on, *text_id, F.explode(grams(F.col("_low"), length)).alias("_gram"))
+        return df.select(*dict.fromkeys([*on, *text_id]), F.explode(grams(F.col("_low"), length)).alias("_gram"))
 
     # any subset of a name's pieces will do for its anchor, so long names do not inflate the table
     choices = names.select(
         *on, *name_id, "_name", F.explode(F.slice(grams(F.col("_name"), length), 1, ANCHOR_CHOICES)).alias("_gram")
     )
     sample = low if statistics_fraction >= 1.0 else low.sample(statistics_fraction, seed=7)
-    wanted = small(choices.select(*on, "_gram").distinct())
+    wanted = choices.select(*on, "_gram").distinct()
     frequency = pieces(sample).join(wanted, [*on, "_gram"], "left_semi").groupBy(*on, "_gram").agg(
         F.count("*").alias("_df")
     )
@@ -62,7 +60,44 @@ def _candidates(
         .where(F.col("_pick") == 1)
         .select(*on, *name_id, "_name", "_gram")
     )
-    return pieces(low).join(small(anchors), [*on, "_gram"]).select(*text_id, *name_id, "_name")
+    return pieces(low).join(anchors, [*on, "_gram"]).select(*text_id, *name_id, "_name")
+
+
+def _all_at_once(low: DataFrame, names: DataFrame, on: Sequence[str], text_id: Sequence[str], name_id: Sequence[str]) -> DataFrame:
+    """Pairs by one automaton over all names: each text is read once, where it lies."""
+    found = names.select(*on, *name_id, "_name").toPandas()  # bounded: the caller has measured it
+    columns = [*text_id, *name_id]
+    fields = {f.name: f for f in (*low.schema, *names.schema)}
+    held = low.sparkSession.sparkContext.broadcast((
+        found["_name"].tolist(), list(found[list(on)].itertuples(index=False, name=None)) if on else [()] * len(found),
+        list(found[list(name_id)].itertuples(index=False, name=None)),
+    ))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import ahocorasick
+
+        texts, keys, ids = held.value
+        machine = ahocorasick.Automaton()
+        by_name: dict[str, dict[tuple, list[tuple]]] = {}
+        for name, key, values in zip(texts, keys, ids):
+            by_name.setdefault(name, {}).setdefault(key, []).append(values)
+        for name, owners in by_name.items():
+            machine.add_word(name, owners)
+        machine.make_automaton()
+        for batch in batches:
+            rows = []
+            own = list(batch[list(text_id)].itertuples(index=False, name=None))
+            key = list(batch[list(on)].itertuples(index=False, name=None)) if on else [()] * len(own)
+            for place, text in enumerate(batch["_low"]):
+                if text:
+                    hits = {id(owners): owners for _, owners in machine.iter(text)}
+                    rows += [own[place] + values for owners in hits.values() for values in owners.get(key[place], ())]
+            yield pd.DataFrame(rows, columns=columns)
+
+    schema = ", ".join(f"`{c}` {fields[c].dataType.simpleString()}" for c in [*text_id, *name_id])
+    if not len(found):
+        return low.sparkSession.createDataFrame([], schema)
+    return low.mapInPandas(run, schema)
 
 
 def contains_join(
@@ -74,26 +109,28 @@ def contains_join(
     name: str,
     on: Sequence[str] = (),
     statistics_fraction: float = 0.2,
-    broadcast_names: int = BROADCAST_NAMES,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Pairs ``(text_id, name_id)`` where the lower-case text contains the name.
 
     Names shorter than three characters never match. ``on`` lists columns both sides must
-    agree on. Anchors are chosen by the piece counts of a sample of the texts.
+    agree on; columns that describe a name may be listed in ``name_id`` and need no later join.
 
-    The names are counted first (hand in a stored table). Up to ``broadcast_names`` of them
-    the anchors, one row per name, are broadcast and the pieces of the texts stay where they
-    are; above that the pieces are shuffled by anchor.
+    The names are measured first (hand in a stored table). Up to ``broadcast_bytes`` of them one
+    automaton finds all names in a single pass over the texts, without a shuffle. A larger
+    dictionary is joined by anchors, chosen by the piece counts of a sample of the texts.
     """
-    low = texts.select(*on, *text_id, F.lower(F.col(text)).alias("_low")).repartition(*text_id)
+    low = texts.select(*dict.fromkeys([*on, *text_id]), F.lower(F.col(text)).alias("_low"))
     usable = names.where(F.length(name) >= SHORTEST).select(*on, *name_id, F.col(name).alias("_name"))
-    size = usable.agg(F.count("*").alias("n"), F.min(F.length("_name")).alias("shortest")).first()
+    row = F.length(F.to_json(F.struct("*"))).cast("long")
+    size = usable.agg(F.coalesce(F.sum(row), F.lit(0)).alias("bytes"), F.min(F.length("_name")).alias("shortest")).first()
+    if size["bytes"] <= broadcast_bytes:
+        return _all_at_once(low, usable, on, text_id, name_id).select(*text_id, *name_id)
+    low = low.repartition(*text_id)
     length = min(LONGEST, size["shortest"] or SHORTEST)
-    candidates = _candidates(
-        low, usable, on, text_id, name_id, length, size["n"] <= broadcast_names, statistics_fraction
-    )
+    candidates = _candidates(low, usable, on, text_id, name_id, length, statistics_fraction)
     return (
         candidates.join(low, list(text_id))
         .where(F.contains(F.col("_low"), F.col("_name")))
-        .select(*on, *text_id, *name_id)
+        .select(*text_id, *name_id)
     )

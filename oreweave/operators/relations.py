@@ -11,6 +11,7 @@ from oreweave.functions import text as T
 from oreweave.functions.hashing import stable_id
 from oreweave.operators.dedupe import keep_first
 from oreweave.operators.matching import contains_join
+from oreweave.session import stored
 
 COLUMNS = [
     "relation_id", "run_id", "subject_entity_id", "predicate", "object_entity_id", "object_value", "evidence_text",
@@ -20,10 +21,12 @@ COLUMNS = [
 
 def entities_in_contexts(contexts: DataFrame, entities: DataFrame) -> DataFrame:
     """(context, entity) pairs: the normalized name occurs anywhere in the context text."""
+    named = entities.select("run_id", "entity_id", "entity_type", "name", "normalized")
     pairs = contains_join(
-        contexts, entities, ["context_type", "context_id"], "text", ["entity_id"], "normalized", on=["run_id"]
+        contexts, named, ["run_id", "context_type", "context_id"], "text", ["entity_id", "entity_type", "name", "normalized"],
+        "normalized", on=["run_id"],
     )
-    return pairs.join(entities.select("run_id", "entity_id", "entity_type", "name", "normalized"), ["run_id", "entity_id"])
+    return stored(pairs)  # several relations are built from it
 
 
 def cooccurrence_relations(contexts: DataFrame, found: DataFrame) -> DataFrame:

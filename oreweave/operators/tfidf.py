@@ -4,22 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from oreweave import constants as K
 from oreweave.functions.text import with_bigrams, word_tokens
 
 
-def document_terms(docs: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
-    """keys, ``term``: every occurrence. The texts are shuffled once by key and stay placed that way."""
-    grams = docs.select(*keys, text).repartition(*keys).select(*keys, word_tokens(F.col(text)).alias("_tokens"))
-    return grams.select(*keys, F.explode(with_bigrams(F.col("_tokens"))).alias("term"))
+def _runs(terms: Column) -> Column:
+    """(term, tf) of a sorted array: one entry for each run of equal terms."""
+    starts = F.filter(F.sequence(F.lit(0), F.size(terms) - 1), lambda i: (i == 0) | (F.get(terms, i) != F.get(terms, i - 1)))
+    bound = F.transform(F.array(starts), lambda s: F.transform(s, lambda at, k: F.struct(
+        F.get(terms, at).alias("term"), (F.coalesce(F.get(s, k + 1), F.size(terms)) - at).cast("long").alias("tf"))))
+    return F.get(bound, F.lit(0))
 
 
 def term_counts(docs: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
-    """keys, ``term``, ``tf``; counting reuses the partitioning by key."""
-    return document_terms(docs, keys, text).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
+    """keys, ``term``, ``tf``. A text is one row, so its terms are counted inside it: no shuffle."""
+    terms = F.sort_array(with_bigrams(word_tokens(F.col(text))))
+    counted = F.get(F.transform(F.array(terms), lambda t: F.when(F.size(t) > 0, _runs(t))), F.lit(0))
+    return docs.select(*keys, F.inline(counted))
 
 
 def vocabulary(counts: DataFrame, documents: DataFrame, max_features: int = K.TFIDF_MAX_FEATURES) -> DataFrame:
@@ -58,12 +62,8 @@ def document_scores(
         .select("term", "idf", query_weight.alias("qw"))
         .withColumn("qn", F.sqrt(F.sum(F.col("qw") * F.col("qw")).over(Window.partitionBy(F.lit(0)))))
     )
-    # terms outside the vocabulary, most bigrams, are dropped before anything is counted
-    known = document_terms(docs, keys, text).join(F.broadcast(weights), "term")
-    counts = known.groupBy(*keys, "term").agg(
-        F.count("*").alias("tf"), F.max("idf").alias("idf"), F.max("qw").alias("qw"), F.max("qn").alias("qn")
-    )
-    scored = counts.select(*keys, (F.col("tf") * F.col("idf")).alias("w"), "qw", "qn")
+    known = term_counts(docs, keys, text).join(F.broadcast(weights), "term")
+    scored = known.select(*keys, (F.col("tf") * F.col("idf")).alias("w"), "qw", "qn")
     per_doc = scored.groupBy(*keys).agg(
         F.sum(F.col("w") * F.col("qw")).alias("_dot"),
         F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"),

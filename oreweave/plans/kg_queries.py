@@ -139,7 +139,7 @@ def dict_match(spark, sf_dir):
     """Every benchmark word of seven or more letters against every document, as substrings."""
     words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]{7,}"), F.lit(0)))
     names = table(spark, sf_dir, "benchmark").select(words.alias("name")).distinct().withColumn("name_id", F.col("name"))
-    found = contains_join(table(spark, sf_dir, "documents"), names, ["doc_id"], "text", ["name_id"], "name")
+    found = contains_join(spread(table(spark, sf_dir, "documents")), names, ["doc_id"], "text", ["name_id"], "name")
     return found.select("doc_id", F.col("name_id").alias("name"))
 
 
