@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oreweave import constants as K
@@ -38,38 +38,49 @@ def vocabulary(counts: DataFrame, documents: DataFrame, max_features: int = K.TF
     return top.select("term", (F.log((1.0 + total) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
 
 
-def document_scores(
+def batch_scores(
     docs: DataFrame,
     keys: Sequence[str],
-    query: str,
+    queries: Sequence[str],
     text: str = "text",
     max_features: int = K.TFIDF_MAX_FEATURES,
 ) -> DataFrame:
-    """Cosine of every document with the query: keys and ``score``, positive scores only."""
-    spark = docs.sparkSession
+    """Cosine of every document with each of a few queries: keys, ``query`` (place in the list), ``score``.
+
+    All queries share one vocabulary and one scoring pass: a term carries its weight in each
+    query, and a document's partial sums are added before they leave the task.
+    """
     terms = vocabulary(term_counts(docs, keys, text), docs, max_features)
-    query_row = spark.createDataFrame([(0, query)], "qid int, text string")
-    # one query: its terms are as many as the words the caller typed
+    rows = docs.sparkSession.createDataFrame([(i, q) for i, q in enumerate(queries)], "query int, text string")
     asked = (
-        query_row.select(F.explode(with_bigrams(word_tokens(F.col("text")))).alias("term"))
-        .groupBy("term")
-        .agg(F.count("*").alias("qtf"))
+        rows.select("query", F.explode(with_bigrams(word_tokens(F.col("text")))).alias("term"))
+        .groupBy("term").pivot("query", list(range(len(queries)))).count()
     )
-    # the vocabulary is bounded, so its query norm may be a window over all of it
-    query_weight = F.coalesce("qtf", F.lit(0)) * F.col("idf")
-    weights = (
-        terms.join(F.broadcast(asked), "term", "left")
-        .select("term", "idf", query_weight.alias("qw"))
-        .withColumn("qn", F.sqrt(F.sum(F.col("qw") * F.col("qw")).over(Window.partitionBy(F.lit(0)))))
+    names = [f"_q{i}" for i in range(len(queries))]
+    weights = terms.join(F.broadcast(asked), "term", "left").select(  # as many terms as the queries have words
+        "term", "idf", *[(F.coalesce(F.col(str(i)), F.lit(0)) * F.col("idf")).alias(n) for i, n in enumerate(names)]
     )
-    known = term_counts(docs, keys, text).join(F.broadcast(weights), "term")
-    scored = known.select(*keys, (F.col("tf") * F.col("idf")).alias("w"), "qw", "qn")
-    per_doc = scored.groupBy(*keys).agg(
-        F.sum(F.col("w") * F.col("qw")).alias("_dot"),
-        F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"),
-        F.max("qn").alias("_qn"),
+    lengths = weights.agg(*[F.sqrt(F.sum(F.col(n) * F.col(n))).alias(n) for n in names]).first()  # one row
+    weight = F.col("tf") * F.col("idf")
+    per_doc = term_counts(docs, keys, text).join(F.broadcast(weights), "term").groupBy(*keys).agg(
+        F.sqrt(F.sum(weight * weight)).alias("_norm"), *[F.sum(weight * F.col(n)).alias(n) for n in names]
     )
-    return per_doc.where(F.col("_dot") > 0).select(*keys, (F.col("_dot") / (F.col("_norm") * F.col("_qn"))).alias("score"))
+    cells = F.array(*[
+        F.struct(F.lit(i).alias("query"), (F.col(n) / (F.col("_norm") * F.lit(lengths[n] or 1.0))).alias("score"))
+        for i, n in enumerate(names)
+    ])
+    return per_doc.select(*keys, F.inline(F.filter(cells, lambda c: c["score"] > 0)))
+
+
+def document_scores(
+    docs: DataFrame,
+    keys: Sequence[str],
+    query: str,
+    text: str = "text",
+    max_features: int = K.TFIDF_MAX_FEATURES,
+) -> DataFrame:
+    """Cosine of every document with the query: keys and ``score``, positive scores only."""
+    return batch_scores(docs, keys, [query], text, max_features).drop("query")
 
 
 class TfidfIndex:

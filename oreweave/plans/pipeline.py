@@ -29,10 +29,8 @@ from oreweave.operators.graph import ledger_graph, relation_names, tailings_grap
 from oreweave.operators.layout import assets_from_records, enriched_text, fallback_sections, formula_records, merge_assets, table_records
 from oreweave.operators.retrieval import GraphVectorRetriever, HybridRetriever, graph_hits, lexical_search, top_k
 from oreweave.operators.research import TextProvider, noisy_json
-from oreweave.operators.tfidf import TfidfIndex
 from oreweave.sinks import exports
 from oreweave.sinks.ledger import Ledger, external_source_rows, final_status, record_rows, source_file_rows
-from oreweave.session import shared_workdir
 from oreweave.session import stored as stored_table
 from oreweave.sources import files as Src
 from oreweave.sources import ocr as Ocr
@@ -481,13 +479,10 @@ def run_pipeline(ledger: Ledger, settings: PipelineInput) -> dict[str, DataFrame
     if settings.retrieval_mode == "tfidf":
         files = kb["documents"].select(F.col("id").alias("document_id"), "source_type", "relative_path")
         chunks = kb["chunks"].withColumnRenamed("id", "chunk_id").join(files, "document_id").withColumnRenamed("relative_path", "filename")
-        # indexed once for all the searches of the run
-        chunks = stored_table(chunks)
-        index = TfidfIndex.build(chunks, ["chunk_id"], shared_workdir(ledger.spark, "tfidf"))
-        retrieve = HybridRetriever(chunks, index=index).retrieve
+        search = HybridRetriever(stored_table(chunks))
     else:
-        retrieve = retriever(ledger, run, settings.retrieval_mode).retrieve
-    candidates = H.generate(kb["size_classes"], kb["extractability"], retrieve, settings.target_kpi)
+        search = retriever(ledger, run, settings.retrieval_mode)
+    candidates = stored_table(H.generate(kb["size_classes"], kb["extractability"], search, settings.target_kpi))
     reviewed = H.review(candidates, kb["size_classes"])
     valid = ranking.validate(reviewed, forbidden=settings.forbidden, unavailable=settings.unavailable, no_capex=settings.no_capex)
     ranked = ranking.rank(valid, settings.weights)

@@ -270,17 +270,12 @@ _POOL = f"pooled AS (SELECT DISTINCT ON (evidence_id) evidence_id, step, relevan
 
 
 def _pooled(spark, sf_dir):
-    from functools import reduce
-
-    from pyspark.sql import DataFrame, Window
-
+    """All sub-queries scored in one pass over the chunks, the 40 best of each pooled."""
     chunks = corpus.chunks(spark, sf_dir).select("chunk_id", "text")
-    parts = []
-    for step, question in enumerate(SUB_QUERIES):
-        best = Rt.top_k(Rt.lexical_search(chunks, "text", question), 40, tie=["chunk_id"])
-        rank = F.row_number().over(Window.partitionBy(F.lit(step)).orderBy(F.desc("score"), "chunk_id"))
-        parts.append(best.select(F.col("chunk_id").alias("evidence_id"), F.lit(step).alias("step"), rank.alias("position"), F.col("score").alias("relevance")))
-    return pool_evidence(reduce(DataFrame.unionByName, parts))
+    best = Rt.batch_lexical_search(chunks, ["chunk_id"], "text", SUB_QUERIES, 40)
+    return pool_evidence(best.select(
+        F.col("chunk_id").alias("evidence_id"), F.col("query").alias("step"), "position", F.col("score").alias("relevance")
+    ))
 
 
 @query("pool_evidence", f"WITH {_CHUNKS}, {_POOL} SELECT * FROM pooled")

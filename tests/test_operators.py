@@ -268,3 +268,18 @@ def test_links_in_all_quote_styles(spark):
     html = "<a href=/bare>x</a><a class=y href='/single'>x</a><a href=\"/double\">x</a><a href=/last>z</a>"
     row = spark.createDataFrame([(html,), ("<area href=/area>",)], "html string").select(L.href_candidates(F.col("html"), "http\\S+").alias("h")).collect()
     assert [r["h"] for r in row] == [["/bare", "/single", "/double", "/last"], ["/area"]]
+
+
+def test_common_passes_equal_single_searches(spark):
+    rng = random.Random(9)
+    vocabulary = ["froth", "flotation", "density", "pulp", "ni", "cu", "кгмк", "river", "alloy", "fatigue"]
+    rows = [(f"c{i}", f"d{i}", i, " ".join(rng.choice(vocabulary) for _ in range(12)), "txt", "f", "{}") for i in range(60)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, document_id string, chunk_index int, text string, source_type string, filename string, metadata string")
+    queries = ["froth flotation", "alloy fatigue КГМК", "zz yy", "river"]
+    search = HybridRetriever(chunks)
+    together = search.retrieve_all(queries, 5).collect()
+    for i, query in enumerate(queries):
+        alone = search.retrieve(query, 5).collect()
+        ours = [r for r in together if r["query"] == i]
+        assert sorted((r["evidence_id"], round(r["relevance"], 9), r["filter_relaxed"]) for r in ours) == sorted(
+            (r["evidence_id"], round(r["relevance"], 9), r["filter_relaxed"]) for r in alone)
