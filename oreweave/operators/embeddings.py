@@ -13,27 +13,19 @@ from pyspark.sql import functions as F
 
 from oreweave import constants as K
 from oreweave.functions.hashing import hash_bucket, stable_id
-from oreweave.functions.text import query_terms
+from oreweave.functions.text import query_terms, run_lengths
 
 
 def _cells(df: DataFrame, keys: Sequence[str], text: str, dimensions: int) -> DataFrame:
-    """keys, ``_cells`` (bucket, count), ``_norm``.
+    """keys, ``_cells`` (bucket, count), ``_norm``: counted inside the row, nothing is shuffled.
 
-    Texts are shuffled once by key; token counting and norms reuse that partitioning, so the
-    exploded tokens never cross the network. Each distinct token of a text is hashed once.
-    A text without tokens keeps one row with no cells.
+    A text without tokens has no cells.
     """
-    placed = df.select(*keys, text).repartition(*keys)
-    tokens = placed.select(*keys, F.explode_outer(query_terms(F.col(text))).alias("_token"))
-    per_token = tokens.groupBy(*keys, "_token").agg(F.count("_token").alias("_n"))
-    counts = per_token.groupBy(*keys, hash_bucket(F.col("_token"), dimensions).alias("bucket")).agg(
-        F.sum("_n").cast("double").alias("_count")
-    )
-    cell = F.when(F.col("bucket").isNotNull(), F.struct("bucket", F.col("_count").alias("count")))
-    return counts.groupBy(*keys).agg(
-        F.collect_list(cell).alias("_cells"),  # at most `dimensions` cells
-        F.sqrt(F.sum(F.col("_count") * F.col("_count"))).alias("_norm"),
-    )
+    buckets = F.sort_array(F.transform(query_terms(F.col(text)), lambda t: hash_bucket(t, dimensions)))
+    counted = F.coalesce(run_lengths(buckets), F.array())
+    cells = F.transform(counted, lambda r: F.struct(r["value"].alias("bucket"), r["n"].cast("double").alias("count")))
+    squares = F.aggregate("_cells", F.lit(0.0), lambda total, c: total + c["count"] * c["count"])
+    return df.select(*keys, cells.alias("_cells")).withColumn("_norm", F.sqrt(squares))
 
 
 def bucket_weights(
@@ -97,9 +89,8 @@ def build_embeddings(
     targets: DataFrame, model: str = K.EMBEDDING_MODEL, dimensions: int = K.EMBEDDING_DIMENSIONS
 ) -> DataFrame:
     keys = ["run_id", "target_type", "target_id"]
-    vectors = embed(targets, keys, "text", dimensions)
-    previews = targets.select(*keys, F.substring("text", 1, K.PAYLOAD_PREVIEW_CHARS).alias("text_preview"))
-    return vectors.join(previews, keys).select(
+    shown = targets.withColumn("text_preview", F.substring("text", 1, K.PAYLOAD_PREVIEW_CHARS))
+    return embed(shown, [*keys, "text_preview"], "text", dimensions).select(
         stable_id(F.col("run_id"), F.col("target_type"), F.col("target_id"), F.lit(model)).alias("embedding_id"),
         *keys,
         F.lit(model).alias("model"),

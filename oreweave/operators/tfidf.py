@@ -4,26 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oreweave import constants as K
-from oreweave.functions.text import with_bigrams, word_tokens
-
-
-def _runs(terms: Column) -> Column:
-    """(term, tf) of a sorted array: one entry for each run of equal terms."""
-    starts = F.filter(F.sequence(F.lit(0), F.size(terms) - 1), lambda i: (i == 0) | (F.get(terms, i) != F.get(terms, i - 1)))
-    bound = F.transform(F.array(starts), lambda s: F.transform(s, lambda at, k: F.struct(
-        F.get(terms, at).alias("term"), (F.coalesce(F.get(s, k + 1), F.size(terms)) - at).cast("long").alias("tf"))))
-    return F.get(bound, F.lit(0))
+from oreweave.functions.text import run_lengths, with_bigrams, word_tokens
 
 
 def term_counts(docs: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
     """keys, ``term``, ``tf``. A text is one row, so its terms are counted inside it: no shuffle."""
     terms = F.sort_array(with_bigrams(word_tokens(F.col(text))))
-    counted = F.get(F.transform(F.array(terms), lambda t: F.when(F.size(t) > 0, _runs(t))), F.lit(0))
-    return docs.select(*keys, F.inline(counted))
+    return docs.select(*keys, F.inline(run_lengths(terms))).withColumnsRenamed({"value": "term", "n": "tf"})
 
 
 def vocabulary(counts: DataFrame, documents: DataFrame, max_features: int = K.TFIDF_MAX_FEATURES) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from oreweave.functions.hashing import iso_seconds, sha256, stable_id
 from oreweave.operators.dedupe import keep_first
 from oreweave.operators.scans import numbering
+from oreweave.session import stored
 
 # Table schemas (text timestamps, JSON kept as text).
 SCHEMAS = {
@@ -99,13 +100,14 @@ class Ledger:
     def _overwrite_runs(self, table: str, df: DataFrame) -> None:
         staging = f"{self.root}/_staging/{table}-{uuid.uuid4().hex}"
         df.write.parquet(staging)
-        staged = self.spark.read.schema(SCHEMAS[table]).parquet(staging)
-        (
-            staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id")
-            .parquet(self.path(table))
-        )
+        self._write_runs(table, self.spark.read.schema(SCHEMAS[table]).parquet(staging))
         self._drop(staging)
 
+    def _write_runs(self, table: str, rows: DataFrame) -> None:
+        """Overwrite the partitions of the runs in a stored table of rows."""
+        writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("run_id").parquet(self.path(table))
+
     # writes --------------------------------------------------------------------------------
 
     def append(self, table: str, df: DataFrame) -> None:
@@ -114,7 +116,7 @@ class Ledger:
 
     def upsert(self, table: str, df: DataFrame, keys: Sequence[str] = ("id",)) -> None:
         """Insert or update by key: the new row wins, ``created_at`` of the old row stays."""
-        fresh = self._shape(table, df)
+        fresh = stored(self._shape(table, df))  # the input is computed once
         runs = fresh.select("run_id").distinct()
         old = self.read(table).join(runs, "run_id", "left_semi")
         both = old.withColumn("_new", F.lit(0)).unionByName(fresh.withColumn("_new", F.lit(1)))
@@ -126,8 +128,8 @@ class Ledger:
 
     def replace(self, table: str, df: DataFrame, scope: DataFrame, keys: Sequence[str] = ("run_id", "source_file_id")) -> None:
         """Replace all rows of the scope keys with ``df``; a scope key without rows is cleared."""
-        fresh = self._shape(table, df)
-        wanted = scope.select(*keys).distinct()
+        fresh = stored(self._shape(table, df))
+        wanted = stored(scope.select(*keys).distinct())
         runs = wanted.select("run_id").distinct()
         kept = self.read(table).join(runs, "run_id", "left_semi").join(wanted, list(keys), "left_anti")
         content = kept.unionByName(fresh)
@@ -138,9 +140,9 @@ class Ledger:
 
     def replace_run(self, table: str, df: DataFrame, run_id: str) -> None:
         """Replace one run of a derived table."""
-        staged = self._shape(table, df)
-        self._overwrite_runs(table, staged)
-        if self.read(table, run_id).limit(1).count() and not staged.limit(1).count():
+        staged = stored(self._shape(table, df))
+        self._write_runs(table, staged)
+        if not staged.limit(1).count() and self.read(table, run_id).limit(1).count():
             self._drop(f"{self.path(table)}/run_id={run_id}")
 
     # runs ----------------------------------------------------------------------------------

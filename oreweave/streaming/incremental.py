@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -86,18 +87,17 @@ STREAK_STATE = "events bigint, streak bigint, longest bigint"
 def failure_streaks(stream: DataFrame, limit: int) -> DataFrame:
     """Consecutive failures per key (``key, seq, failed``) and whether an exporter would have stopped.
 
-    The state is three counters per key. A batch of a key is read in the order it arrives, so
-    producers must write each key in sequence.
+    The state is three counters per key. Rows of a key are put in sequence over all of a
+    micro-batch; across micro-batches producers must write a key in sequence.
     """
 
     def update(key, batches, state):
         events, streak, longest = state.get if state.exists else (0, 0, 0)
-        for batch in batches:
-            ordered = batch.sort_values("seq")
-            for failed in ordered["failed"]:
-                events += 1
-                streak = streak + 1 if failed else 0
-                longest = max(longest, streak)
+        failed = pd.concat(list(batches)).sort_values("seq")["failed"].astype(bool).to_numpy()
+        place = np.arange(len(failed))
+        last_success = np.maximum.accumulate(np.where(failed, -1, place))
+        run = np.where(last_success < 0, streak + place + 1, place - last_success) * failed
+        events, streak, longest = events + len(failed), int(run[-1]), max(longest, int(run.max()))
         state.update((events, streak, longest))
         yield pd.DataFrame([(key[0], events, longest, longest >= limit)], columns=["key", "events", "longest_streak", "stopped"])
 
