@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -56,10 +59,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def shared_workdir(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the checkpoint folder, for tables one job hands to the next."""
-    import uuid
+    """A fresh folder below the checkpoint folder, for tables one job hands to the next.
 
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    All such folders of an application lie in one, which goes when the driver ends.
+    """
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/oreweave-{spark.sparkContext.applicationId}"
+    if root not in _FOLDERS:
+        _FOLDERS.add(root)
+        atexit.register(_remove, spark._jvm, spark.sparkContext._jsc.hadoopConfiguration(), root)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+_FOLDERS: set[str] = set()
+
+
+def _remove(jvm, configuration, folder: str) -> None:
+    with contextlib.suppress(Exception):  # the JVM may have ended before
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(configuration).delete(path, True)
 
 
 def stored(df):
