@@ -143,6 +143,12 @@ def dict_match(spark, sf_dir):
     return found.select("doc_id", F.col("name_id").alias("name"))
 
 
+def _sql_snippet(text: str, name: str) -> str:
+    pos = f"strpos(lower({text}), lower({name}))"
+    return f"""CASE WHEN {pos} = 0 THEN substring({text}, 1, 350)
+      ELSE trim(substring({text}, greatest(0, {pos} - 176) + 1, least(length({text}), {pos} - 1 + length({name}) + 175) - greatest(0, {pos} - 176)), E' \\n\\r\\t') END"""
+
+
 _FOUND = f"""found AS (
   SELECT c.run_id, c.context_id, c.source_file_id, c.chunk_index, c.text, e.entity_type, e.name, e.normalized, {_ENTITY_ID.replace('run_id', 'e.run_id').replace('entity_type', 'e.entity_type').replace('normalized', 'e.normalized')} AS entity_id
   FROM chunks c JOIN entities e ON e.run_id = c.run_id AND length(e.normalized) >= 3 AND contains(lower(c.text), e.normalized)
@@ -151,7 +157,7 @@ _PREDICATES = "(VALUES " + ", ".join(f"({sql_text(t)}, {sql_text(p)})" for t, p
 _RELATIONS = f"""relations AS (
   SELECT substr(sha1(s.run_id || ':' || s.entity_id || ':' || p.predicate || ':' || o.entity_id || ':' || s.context_id), 1, 16) AS relation_id,
     s.run_id, s.entity_id AS subject_entity_id, p.predicate, o.entity_id AS object_entity_id, s.context_id AS evidence_chunk_id,
-    s.source_file_id, 0.62::DOUBLE AS confidence
+    s.source_file_id, 0.62::DOUBLE AS confidence, {_sql_snippet('s.text', 's.name')} AS evidence_text
   FROM found s JOIN found o ON o.context_id = s.context_id JOIN {_PREDICATES} ON p.entity_type = o.entity_type
   WHERE s.entity_type IN ('material', 'alloy')
 )"""
@@ -162,7 +168,8 @@ def cooccurrence(spark, sf_dir):
     rows = stored(contexts(spark, sf_dir))
     found = R.entities_in_contexts(rows, stored(entities_of(spark, sf_dir, rows)))
     return R.cooccurrence_relations(rows, found).select(
-        "relation_id", "run_id", "subject_entity_id", "predicate", "object_entity_id", "evidence_chunk_id", "source_file_id", "confidence"
+        "relation_id", "run_id", "subject_entity_id", "predicate", "object_entity_id", "evidence_chunk_id", "source_file_id", "confidence",
+        "evidence_text",
     )
 
 

@@ -58,12 +58,12 @@ def run_summary(spark, sf_dir):
 
 
 @query("runs_with_chunks", f"""
-  SELECT r.run_id, count(*) AS chunks, (SELECT count(*) FROM documents WHERE source = r.run_id) AS documents, 0::BIGINT AS kg_embeddings
+  SELECT r.run_id, count(*) AS chunks, (SELECT count(*) FROM documents WHERE source = r.run_id) AS documents, count(*) FILTER (c.chunk_index = 0) AS kg_embeddings
   FROM {_RUNS} r JOIN {_CHUNKS} c ON c.run_id = r.run_id GROUP BY r.run_id
 """)
 def runs_with_chunks(spark, sf_dir):
     tables = _run_tables(spark, sf_dir)
-    return ledger.runs_with_chunks(_runs(spark, sf_dir), tables["documents"], tables["chunks"], tables["chunks"].where(F.lit(False)))
+    return ledger.runs_with_chunks(_runs(spark, sf_dir), tables["documents"], tables["chunks"], tables["chunks"].where("chunk_index = 0"))
 
 
 def _events(spark, sf_dir):
@@ -84,12 +84,12 @@ def job_status_matrix(spark, sf_dir):
 
 @query("final_status", """
   SELECT run_id, CASE WHEN sum(bad) > 0 THEN 'completed_degraded' ELSE 'completed' END AS status FROM (
-    SELECT user_id AS run_id, (event_type = 'error' AND value > 60)::INT AS bad FROM events) GROUP BY run_id
+    SELECT user_id AS run_id, (event_type = 'error' AND value > 60 OR event_type = 'click' AND value > 75)::INT AS bad FROM events) GROUP BY run_id
 """)
 def final_status(spark, sf_dir):
     events = _events(spark, sf_dir).select(F.col("user_id").alias("run_id"), "event_type", "value")
     jobs = events.select("run_id", F.when((F.col("event_type") == "error") & (F.col("value") > 60), "failed").otherwise("completed").alias("status"))
-    artifacts = events.select("run_id", F.lit("completed").alias("status"))
+    artifacts = events.select("run_id", F.when((F.col("event_type") == "click") & (F.col("value") > 75), "skipped").otherwise("completed").alias("status"))
     return ledger.final_status(jobs, artifacts, events.select("run_id").distinct())
 
 
@@ -137,7 +137,7 @@ def stable_ids(spark, sf_dir):
 
 
 @query("record_offsets", """
-  SELECT user_id, event_id, (SELECT count(*) FROM events o WHERE o.user_id = e.user_id AND o.event_type = 'view')
+  SELECT user_id, event_id, (SELECT count(*) FROM events o WHERE o.user_id = e.user_id AND o.event_type <> 'purchase')
     + row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS record_index
   FROM events e WHERE event_type = 'purchase'
 """)
@@ -147,7 +147,7 @@ def record_offsets(spark, sf_dir):
         F.lit("r").alias("run_id"), F.col("user_id").cast("string").alias("source_file_id"), F.lit("x").alias("record_type"),
         F.col("event_id").cast("string").alias("payload"), F.col("event_id").alias("position"), "event_type",
     )
-    existing = rows.where(F.col("event_type") == "view")
+    existing = rows.where(F.col("event_type") != "purchase")
     numbered = ledger.record_rows(
         rows.where(F.col("event_type") == "purchase").drop("event_type"), existing, F.floor(F.col("position") / 1024)
     )
@@ -252,17 +252,22 @@ def output_names(spark, sf_dir):
 
 
 @query("run_log", """
-  SELECT event_id, CASE WHEN event_type = 'view' THEN 'SKIPPED' WHEN event_type = 'error' THEN 'ERROR' ELSE 'OK' END AS result FROM events
+  SELECT event_id, result, strftime(ts, '%Y-%m-%d %H:%M:%S') || ' | ' || rpad(event_id::VARCHAR, 42, ' ') || ' | ' || lpad(size, 10, ' ')
+    || ' | ' || rpad('text-copy', 26, ' ') || ' | ' || rpad(result, 9, ' ') || ' | ' || note AS line
+  FROM (SELECT *, CASE WHEN event_type = 'view' THEN 'SKIPPED' WHEN event_type = 'error' THEN 'ERROR' ELSE 'OK' END AS result,
+    CASE WHEN event_type = 'view' THEN 'too big' WHEN event_type = 'error' THEN 'failed' ELSE '' END AS note,
+    CASE WHEN bytes < 1024 THEN bytes || ' B' ELSE printf('%.1f KB', bytes / 1024.0) END AS size
+    FROM (SELECT *, (event_id * 37 % 900000)::BIGINT AS bytes FROM events))
 """)
 def run_log(spark, sf_dir):
     kind = F.col("event_type")
     rows = _events(spark, sf_dir).select(
         F.col("event_id").cast("string").alias("path"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp"),
-        (F.col("value") * 1000).cast("bigint").alias("bytes"), F.lit("text-copy").alias("processor"),
+        (F.col("event_id") * 37 % 900000).cast("bigint").alias("bytes"), F.lit("text-copy").alias("processor"),
         (kind != "error").alias("ok"), F.when(kind == "view", "too big").alias("skipped_reason"),
         F.when(kind == "error", "failed").alias("error"),
     )
-    return exports.run_log_lines(rows).select(F.col("path").cast("bigint").alias("event_id"), "result")
+    return exports.run_log_lines(rows).select(F.col("path").cast("bigint").alias("event_id"), "result", "line")
 
 
 @query("harvest_caps", """
@@ -284,10 +289,11 @@ def harvest_caps(spark, sf_dir):
 
 @query("harvest_manifest", """
   SELECT CASE WHEN count(*) FILTER (event_type = 'error') > 0 THEN 'completed_degraded' ELSE 'completed' END AS status,
-    count(*) FILTER (event_type = 'purchase') AS records_written, count(*) FILTER (event_type = 'view') AS skipped_existing,
+    count(*) FILTER (event_type = 'purchase') AS records_written, count(*) FILTER (event_type NOT IN ('purchase', 'error')) AS skipped_existing,
     count(*) FILTER (event_type = 'error') AS failed_pages FROM events
 """)
 def harvest_manifest(spark, sf_dir):
     events = _events(spark, sf_dir)
-    parts = [events.where(F.col("event_type") == kind) for kind in ("purchase", "view", "error")]
+    kind = F.col("event_type")
+    parts = [events.where(kind == "purchase"), events.where(~kind.isin("purchase", "error")), events.where(kind == "error")]
     return exports.export_manifest(*parts, status="completed").drop("settings")

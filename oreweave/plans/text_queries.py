@@ -11,9 +11,8 @@ from oreweave.functions.hashing import sha256
 from oreweave.operators.chunking import chunk_documents
 from oreweave.operators.dedupe import keep_first, keep_first_ci
 from oreweave.operators.layout import document_lines, fallback_sections, formula_records, table_records
-from oreweave.plans.registry import (
-    BLANKS, BREAKS, query, sql_chunks, sql_collapse, sql_lines, sql_strip,
-)
+from oreweave.sources.files import decoded_text
+from oreweave.plans.registry import BLANKS, BREAKS, query, sql_chunks, sql_collapse, sql_lines, sql_strip, sql_text
 from oreweave.tables import spread, table
 
 
@@ -71,15 +70,16 @@ def text_quality(spark, sf_dir):
 
 
 @query("ocr_routing", f"""
-  SELECT doc_id, CASE WHEN n < 200 THEN length(lang) ELSE n + 31 + length(lang) END AS merged_chars, n < 800 AS needs_assist
-  FROM (SELECT doc_id, lang, length({sql_strip('text')}) AS n FROM documents)
+  SELECT doc_id, CASE WHEN length(body) < 200 THEN lang ELSE body || E'\n\nExtracted OCR fallback text:\n' || lang END AS merged,
+    length(body) < 800 AS needs_assist
+  FROM (SELECT doc_id, lang, {sql_strip('text')} AS body FROM documents)
 """)
 def ocr_routing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     merged = T.merge_ocr_text(F.col("text"), F.col("lang"))
     return docs.select(
         "doc_id",
-        F.length(merged).cast("bigint").alias("merged_chars"),
+        merged.alias("merged"),
         T.needs_ocr_assist(F.lit("completed"), F.col("text"), F.lit(1.0)).alias("needs_assist"),
     )
 
@@ -106,7 +106,7 @@ _WORDS = f"list_transform(regexp_extract_all({_MARK}, '[\\p{{L}}\\p{{N}}_]+(?:[+
         AND len(regexp_extract_all(compact, '[\\p{{L}}\\p{{N}}]')) >= 3 THEN 'equation' END AS kind
     FROM kinds
   )
-  SELECT doc_id, min(line_no) AS line, line AS text, kind,
+  SELECT doc_id, min(line_no) AS line, line AS text, kind, {sql_collapse("translate(line, '−–—×·', '---*.')")} AS normalized,
     round(least(0.95, 0.55 + CASE WHEN contains(line, '=') THEN 0.2 ELSE 0 END
       + CASE WHEN regexp_matches(line, '≈|≤|≥|→|<-|->') THEN 0.1 ELSE 0 END
       + CASE WHEN kind = 'chemical_formula' THEN 0.15 ELSE 0 END)::DOUBLE, 4) AS confidence
@@ -115,7 +115,7 @@ _WORDS = f"list_transform(regexp_extract_all({_MARK}, '[\\p{{L}}\\p{{N}}_]+(?:[+
 def formula_lines(spark, sf_dir):
     found = formula_records(spread(table(spark, sf_dir, "documents")), ["doc_id"])
     return found.select(
-        "doc_id", F.col("line").cast("bigint").alias("line"), "text", "kind", F.round("confidence", 4).alias("confidence")
+        "doc_id", F.col("line").cast("bigint").alias("line"), "text", "kind", "normalized", F.round("confidence", 4).alias("confidence")
     )
 
 
@@ -310,3 +310,19 @@ def file_admission(spark, sf_dir):
     return admission(files, max_bytes=4096).select(
         "doc_id", T.extension(F.col("path")).alias("ext"), "decision", T.human_size(F.col("bytes")).alias("size_label"), "ftype"
     )
+
+
+_LATIN = "".join(chr(b) for b in range(0x80, 0x100) if b != 0x98)
+_CYRILLIC = "".join(bytes([b]).decode("cp1251") for b in range(0x80, 0x100) if b != 0x98)
+
+
+@query("csv_decode", f"""
+  SELECT doc_id, CASE WHEN doc_id % 2 = 0 OR regexp_full_match(text, '(?s)[\\x00-\\x7F]*') OR NOT regexp_full_match(text, '(?s)[\\x00-\\xFF]*') THEN text
+    ELSE translate(text, {sql_text(_LATIN)}, {sql_text(_CYRILLIC)}) END AS text
+  FROM documents
+""")
+def csv_decode(spark, sf_dir):
+    """Files in UTF-8 and, for odd ids where single bytes can hold them, in single bytes: each decoded by its own content."""
+    single = (F.col("doc_id") % 2 == 1) & F.rlike("text", F.lit("(?s)^[\\x00-\\xFF]*$"))
+    content = F.when(single, F.encode("text", "ISO-8859-1")).otherwise(F.encode("text", "UTF-8"))
+    return table(spark, sf_dir, "documents").select("doc_id", decoded_text(content).alias("text"))

@@ -26,6 +26,22 @@ def page_links(spark, sf_dir):
     return found.select("page_id", "link")
 
 
+_BARE_HTML = r"""regexp_replace(html, '(?i)href="([^"\s''`=<>]+)"', 'href=\1', 'g')"""
+
+
+@query("page_links_unquoted", f"""
+  WITH bare AS (SELECT page_id, url, {_BARE_HTML} AS html FROM pages),
+  hrefs AS (SELECT page_id, {_ORIGIN} AS origin,
+    unnest(list_transform(regexp_extract_all({_VISIBLE}, '(?is)<a\\s[^>]*>'), lambda t: regexp_extract(t, '(?is)\\shref\\s*=\\s*"?([^"\\s>]*)', 1))) AS href FROM bare)
+  SELECT DISTINCT page_id, origin || href AS link FROM hrefs WHERE href LIKE '/%' AND href NOT LIKE '%.'
+""")
+def page_links_unquoted(spark, sf_dir):
+    """The same links when the attributes of a page stand without quotes."""
+    html = F.regexp_replace("html", r"(?i)href=\"([^\"\s'`=<>]+)\"", "href=$1")
+    bare = table(spark, sf_dir, "pages").select("page_id", "url", html.alias("html"))
+    return L.page_links(bare, ["page_id"], exclude=r"\.$", drop_param="utm_source").select("page_id", "link")
+
+
 _CANONICAL = "CASE WHEN regexp_extract(bare, '^[^:/?#]+://[^/]*(.*)$', 1) IN ('', '/') THEN bare ELSE regexp_replace(bare, '/$', '') END"
 
 
