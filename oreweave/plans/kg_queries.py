@@ -227,26 +227,38 @@ def recovery_relations(spark, sf_dir):
     return rows.groupBy("source", "relation", "target").agg(F.count("*").alias("records"), F.max("confidence").alias("confidence"))
 
 
+_PHRASES = [
+    "режим Флотации и измельчения", "песковая насадка гидроциклона, мельницы", "пирротина и Pnt/Cp по классу",
+    "доизмельчение, дробилка и сгустителя", "классификатора и грохочения; халькопирит",
+]
+_DOMAIN_SQL = " UNION ALL ".join(
+    f"SELECT plant, stream, size_class, {i} AS kind_no, '{kind}' AS entity_type, regexp_extract_all(text, {sql_text('(?i)' + pattern.replace(chr(92) + 'b', '').replace(chr(92) + 'w', '[' + chr(92) + 'p{L}' + chr(92) + 'p{N}_]'))}) AS names FROM lines"
+    for i, (kind, pattern) in enumerate(K.DOMAIN_PATTERNS.items())
+)
+
+
 @query("domain_entities", f"""
   WITH lines AS (
-    SELECT plant, stream, size_class, plant || ' ' || stream || ' класс ' || size_class || ': флотации гидроциклона мельницы пирротина' AS text FROM {SQL_RECORDS}
+    SELECT plant, stream, size_class, plant || ' ' || stream || ' класс ' || size_class || ': ' ||
+      [{", ".join(sql_text(p) for p in _PHRASES)}][(length(plant) + length(size_class) + element28_tonnes::BIGINT) % {len(_PHRASES)} + 1] AS text FROM {SQL_RECORDS}
+  ), found AS (
+    SELECT plant, stream, size_class, kind_no, entity_type, generate_subscripts(names, 1) AS pos, trim(regexp_replace(unnest(names), '\\s+', ' ', 'g')) AS name
+    FROM ({_DOMAIN_SQL})
   )
-  SELECT 'size_class' AS entity_type, name, count(*) AS mentions, min(plant) AS first_plant FROM (
-    SELECT plant, unnest(regexp_extract_all(text, '\\+125|-125\\s*\\+?\\s*71|-71\\s*\\+?\\s*45|-45\\s*\\+?\\s*20|-20\\s*\\+?\\s*10|-10')) AS name FROM lines) GROUP BY name
-  UNION ALL SELECT 'process', unnest(['флотации', 'гидроциклона']), count(*), min(plant) FROM lines
-  UNION ALL SELECT 'equipment', unnest(['гидроциклона', 'мельницы']), count(*), min(plant) FROM lines
-  UNION ALL SELECT 'mineral', 'пирротина', count(*), min(plant) FROM lines
+  SELECT entity_type, arg_min(name, (plant, stream, size_class, kind_no, pos)) AS name, lower(name) AS normalized, count(*) AS mentions,
+    arg_min(plant, (plant, stream, size_class, kind_no, pos)) AS first_plant
+  FROM found GROUP BY entity_type, lower(name)
 """)
 def domain_entities(spark, sf_dir):
-    """Process, equipment, mineral and size-class names in sentences made from tailings records."""
-    text = F.concat(
-        F.concat_ws(" ", "plant", "stream"), F.lit(" класс "), "size_class", F.lit(": флотации гидроциклона мельницы пирротина")
-    )
+    """Process, equipment, mineral and size-class names in sentences that differ from record to record."""
+    turn = F.length("plant") + F.length("size_class") + F.round("element28_tonnes").cast("bigint")
+    phrase = F.get(F.array(*[F.lit(p) for p in _PHRASES]), (turn % len(_PHRASES)).cast("int"))
+    text = F.concat(F.concat_ws(" ", "plant", "stream"), F.lit(" класс "), "size_class", F.lit(": "), phrase)
     rows = tailings_records(spark, sf_dir).select(
         F.col("plant").alias("document_id"), F.col("plant").alias("ord1"), F.col("stream").alias("ord2"), F.col("size_class").alias("ord3"), text.alias("text")
     )
     found = E.domain_entities(rows, ["ord1", "ord2", "ord3"])
-    return found.select("entity_type", "name", "mentions", F.col("first_document_id").alias("first_plant"))
+    return found.select("entity_type", "name", "normalized", "mentions", F.col("first_document_id").alias("first_plant"))
 
 
 @query("relation_names", """
