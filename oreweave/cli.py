@@ -7,7 +7,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from oreweave.operators.research import run_research
+from oreweave.operators.research import WEB_RESULT, run_research, stored_web_search
 from oreweave.plans import pipeline as P
 from oreweave.session import get_spark
 from oreweave.sinks.ledger import Ledger
@@ -50,6 +50,8 @@ def build_parser() -> argparse.ArgumentParser:
     research.add_argument("--top-k", type=int, default=8)
     research.add_argument("--max-subqueries", type=int, default=3)
     research.add_argument("--max-context", type=int, default=12)
+    research.add_argument("--web-results", help="JSON lines of stored search results")
+    research.add_argument("--web-max", type=int, default=6)
     research.add_argument("--json", action="store_true")
 
     hypotheses = commands.add_parser("hypotheses", help="generate and rank candidate changes")
@@ -88,7 +90,11 @@ def main(argv: list[str] | None = None) -> int:
             print(f"[g{i}] {row['subject_name']} --{row['predicate']}--> {row['object_name'] or row['object_value']}")
     elif args.command == "research":
         search = P.retriever(ledger, args.run_id, args.mode)
-        result = run_research(args.question, lambda q: search.retrieve(q, args.top_k), max_subqueries=args.max_subqueries, max_context=args.max_context)
+        web = stored_web_search(ledger.spark.read.schema(WEB_RESULT).json(args.web_results)) if args.web_results else None
+        result = run_research(
+            args.question, lambda q: search.retrieve(q, args.top_k), web=web, web_max=args.web_max,
+            max_subqueries=args.max_subqueries, max_context=args.max_context,
+        )
         print(json.dumps(result.to_dict(), ensure_ascii=False) if args.json else result.answer)
     elif args.command == "hypotheses":
         settings = P.PipelineInput(args.target_kpi, args.run_id, args.mode)

@@ -84,6 +84,37 @@ def collect_evidence(retrieve: Callable[[str], DataFrame], queries: Sequence[str
     return pool_evidence(reduce(DataFrame.unionByName, parts))
 
 
+WEB_RESULT = "backend string, query string, rank int, link string, title string, content string, published string"
+WebSearch = Callable[[Sequence[str]], DataFrame]  # queries to evidence rows
+
+
+def stored_web_search(results: DataFrame) -> WebSearch:
+    """Search over results collected before (``backend, query, rank, link, title, content, published``).
+
+    A query takes the rows that were found for it; without any, rows whose title or text holds
+    one of its words.
+    """
+
+    def search(queries: Sequence[str]) -> DataFrame:
+        low = [q.lower() for q in queries]
+        own = F.lower("query").isin(low)
+        words = sorted({w for q in low for w in q.split() if len(w) > 3})
+        text = F.lower(F.concat_ws(" ", "title", "content"))
+        near = reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words], F.lit(False))
+        return web_evidence(results.where(own if results.where(own).limit(1).count() else near))
+
+    return search
+
+
+def works_as_results(works: DataFrame, query: str) -> DataFrame:
+    """Normalised works of a paged source (``work`` struct, ``position`` from 0) as web results."""
+    link = F.coalesce("work.landing_page_url", "work.oa_url", "work.openalex_id")
+    return works.select(
+        F.lit("openalex").alias("backend"), F.lit(query).alias("query"), F.col("position").alias("rank"), link.alias("link"),
+        F.col("work.title").alias("title"), F.col("work.abstract").alias("content"), F.col("work.publication_year").cast("string").alias("published"),
+    )
+
+
 def web_evidence(results: DataFrame) -> DataFrame:
     """Web results (``backend, query, rank, link, title, content, published``) as evidence rows."""
 
@@ -187,7 +218,7 @@ def run_research(
     planner: TextProvider | None = None,
     writers: Sequence[TextProvider] = (),
     judge: TextProvider | None = None,
-    web: Callable[[Sequence[str]], DataFrame] | None = None,
+    web: WebSearch | None = None,
     max_subqueries: int = 3,
     max_context: int = 12,
     web_max: int = 6,

@@ -9,6 +9,7 @@ from oreweave.functions import urls as U
 from oreweave.operators import links as L
 from oreweave.operators.dedupe import keep_first
 from oreweave.plans.registry import query, sql_text
+from oreweave.sources.files import page_text
 from oreweave.tables import table
 
 _ORIGIN = "regexp_extract(url, '^([^:/?#]+://[^/?#]*)', 1)"
@@ -164,3 +165,22 @@ def crawl_frontier(spark, sf_dir):
     edges = lines.select(supplier.alias("src"), part.alias("dst")).unionByName(lines.select(part.alias("src"), supplier.alias("dst")))
     seeds = spark.range(1).select(F.lit("s0").alias("node"))
     return L.crawl(edges, seeds)
+
+
+_LATIN = "".join(chr(b) for b in range(0x80, 0x100) if b != 0x98)
+_CYRILLIC = "".join(bytes([b]).decode("cp1251") for b in range(0x80, 0x100) if b != 0x98)
+
+
+@query("page_decode", f"""
+  SELECT page_id, CASE WHEN page_id % 3 = 2 AND latin THEN translate('<meta charset="windows-1251">' || html || 'é', {sql_text(_LATIN)}, {sql_text(_CYRILLIC)})
+    ELSE html || 'é' END AS html
+  FROM (SELECT *, regexp_full_match(html, '(?s)[\\x00-\\xFF]*') AS latin FROM pages)
+""")
+def page_decode(spark, sf_dir):
+    """Pages stored as bytes: UTF-8 and Latin-1 by their content type, cp1251 by their markup."""
+    latin = F.rlike("html", F.lit("(?s)^[\\x00-\\xFF]*$"))
+    turn = F.when(latin, F.col("page_id") % 3).otherwise(0)
+    html = F.concat(F.when(turn == 2, '<meta charset="windows-1251">').otherwise(""), "html", F.lit("é"))
+    content = F.when(turn == 0, F.encode(html, "UTF-8")).otherwise(F.encode(html, "ISO-8859-1"))
+    kind = F.when(turn == 0, "text/html; charset=UTF-8").when(turn == 1, "text/html; charset=ISO-8859-1")
+    return table(spark, sf_dir, "pages").select("page_id", page_text(content, kind).alias("html"))

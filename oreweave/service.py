@@ -10,7 +10,7 @@ import json
 from collections.abc import Mapping
 from typing import Any
 
-from oreweave.operators.research import TextProvider, run_research
+from oreweave.operators.research import TextProvider, WebSearch, run_research
 from oreweave.plans.pipeline import retriever
 from oreweave.sinks.ledger import Ledger, list_runs
 
@@ -20,8 +20,9 @@ LIMITS = {"/research": (3, 12), "/research/ensemble": (4, 14)}
 
 class ResearchService:
     def __init__(self, ledger: Ledger, writers: list[TextProvider] | None = None, judge: TextProvider | None = None,
-                 planner: TextProvider | None = None, api_key: str | None = None) -> None:
+                 planner: TextProvider | None = None, api_key: str | None = None, web: WebSearch | None = None) -> None:
         self.ledger, self.writers, self.judge, self.planner, self.api_key = ledger, writers or [], judge, planner, api_key
+        self.web = web
 
     def runs(self) -> list[dict[str, Any]]:
         read = self.ledger.read
@@ -40,7 +41,8 @@ class ResearchService:
             judge=self.judge,
             max_subqueries=int(request.get("max_subqueries", subqueries)),
             max_context=int(request.get("max_context", context)),
-            web_max=0,
+            web=self.web,
+            web_max=int(request.get("web_max", 6)),
         )
         return result.to_dict()
 

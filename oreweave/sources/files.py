@@ -145,6 +145,26 @@ def decoded_text(content: Column) -> Column:
     return F.when(kind == "utf-8", content.cast("string")).when(kind == "latin-1", bytes_).otherwise(F.translate(bytes_, _HIGH, _CYRILLIC))
 
 
+def page_text(content: Column, content_type: Column) -> Column:
+    """Text of a stored page: the charset of its content type, else of its markup, else by its bytes."""
+    latin = F.decode(content, "ISO-8859-1")
+
+    def charset(source: Column, pattern: str) -> Column:
+        return F.nullif(F.lower(F.regexp_extract(F.coalesce(source, F.lit("")), pattern, 1)), F.lit(""))
+
+    declared = F.coalesce(
+        charset(content_type, r"(?i)charset\s*=\s*[\"']?([\w.-]+)"),
+        charset(F.substring(latin, 1, 4096), r"(?is)<meta\b[^>]*charset\s*=\s*[\"']?([\w.-]+)"),
+        F.lit(""),
+    )
+    return (
+        F.when(declared.isin("utf-8", "utf8"), F.make_valid_utf8(content.cast("string")))
+        .when(declared.isin("windows-1251", "cp1251"), F.translate(latin, _HIGH, _CYRILLIC))
+        .when(declared.isin("iso-8859-1", "latin-1", "latin1"), latin)
+        .otherwise(decoded_text(content))
+    )
+
+
 def read_csv_any_encoding(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
     """CSV files of a path, each in UTF-8, else cp1251, else Latin-1.
 

@@ -457,3 +457,16 @@ def test_failure_streaks(spark, tmp_path):
     query.awaitTermination()
     got = {r["key"]: (r["events"], r["longest_streak"], r["stopped"]) for r in spark.read.parquet(out).collect()}
     assert got == {"k": (6, 3, True), "z": (1, 0, False)}
+
+
+def test_stored_web_results_reach_the_context(spark):
+    from oreweave.operators.research import WEB_RESULT, stored_web_search
+
+    rows = [("glm", "flotation", i, f"http://x/{i}", f"title {i}", "about froth flotation", None) for i in range(3)]
+    rows.append(("openalex", "other", 0, "http://y", "Pulp density", "text", "2020"))
+    search = stored_web_search(spark.createDataFrame(rows, WEB_RESULT))
+    assert {r["filename"] for r in search(["Flotation"]).collect()} == {"http://x/0", "http://x/1", "http://x/2"}
+    assert {r["filename"] for r in search(["pulp rheology"]).collect()} == {"http://y"}
+    corpus = spark.createDataFrame([("c1", "t", "s", "txt", "f", "", 0.5)], "evidence_id string, text string, source_id string, source_type string, filename string, section string, relevance double")
+    result = run_research("flotation", lambda q: corpus, web=search, web_max=2)
+    assert [c["source_type"] for c in result.citations] == ["txt", "web", "web"]
