@@ -43,7 +43,7 @@ FORMATS = {
 }
 PATTERN = "|".join(f"(?:{p})" for p in FORMATS.values())
 #: One of these must be in a text that has a finding: a cheap first look.
-HINT = r"\d"
+HINT = r"[\d@]"
 LEADS = {"email": "@", "phone": r"^\+", "ipv4": r"^\d{1,3}(\.\d{1,3}){3}$", "iban": r"^[A-Z]{2}\d{2}",
          "date": r"^(\d{4}-\d{2}-\d{2}|\d{2}[./]\d{2}[./]\d{4})$", "ssn": r"^\d{3}-\d{2}-\d{4}$",
          "card": r"^\d(?:[ -]?\d){12,18}$", "secret": r"^[0-9A-Fa-f]{32,}$"}

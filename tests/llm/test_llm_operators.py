@@ -470,6 +470,8 @@ def test_pseudonyms_keep_format_and_links(spark):
     assert rows[7].found == 1 and rows[7].text.endswith("DE88370400440532013000")
     assert "mail7" not in rows[8].text and "04dbebab" not in rows[9].text and len(rows[9].text) == len(texts[9])
     assert [rows[k].text for k in (10, 11, 12)] == [texts[10], None, ""] and rows[0].n == "n"
+    bare = spark.createDataFrame([("no digits but jane.doe@mail.example.org here",)], "text string")
+    assert "jane" not in pseudonyms.pseudonymised(bare, "key").first()[0]
 
 
 def test_permutations_are_one_to_one(spark):
