@@ -11,7 +11,7 @@ from oreweave.operators.embeddings import bucket_weights, embed, embed_query
 from oreweave.operators.research import citations, merge_web_results, pool_evidence, slot_merge, web_evidence
 from oreweave.operators.tfidf import document_scores
 from oreweave.plans import corpus
-from oreweave.plans.registry import query, sql_chunks, sql_collapse, sql_list, sql_sum_contains, sql_text
+from oreweave.plans.registry import query, sql_chunks, sql_sum_contains, sql_text
 from oreweave.tables import spread, table
 
 QUESTION = "the thin nickel ering with tion that oreau"
