@@ -38,6 +38,7 @@ from .suffixes import common_prefixes, suffix_array, words_at
 WINDOW, GRAM = 50, 20
 SPAN = WINDOW - GRAM + 1  # strings of GRAM bytes in a window
 MOST = 32  # windows in a segment: one bit each
+SLICE = 1 << 18  # windows hashed at a time
 BLOCK_BYTES = 4 << 20  # text in a block, and text whose segments meet in one bucket
 
 
@@ -92,47 +93,51 @@ class Segments:
         raw = zstandard.ZstdDecompressor().decompress(row.data)
         self.data = np.frombuffer(raw, np.uint8)
         self.ends = np.cumsum(self.sizes)
-        words = words_at(self.data)
+        self.at = self.count = self.doc = self.of = self.like = np.empty(0, np.int64)
+        self.bucket = self.key = self.digest = self.first = np.empty(0, np.int64)
         n = len(self.data)
-        owner = np.repeat(np.arange(len(self.ids)), self.sizes)
-        last = np.repeat(self.ends, self.sizes) - WINDOW
-        place = np.arange(n)
-        starts = place[place <= last]
-        if not len(starts):
-            self.doc = self.at = self.count = self.of = np.empty(0, np.int64)
-            self.bucket = self.key = self.digest = self.first = self.like = np.empty(0, np.int64)
+        valid = np.zeros(n + 1, bool)  # places where a window starts; those of two documents are never neighbours
+        for size, end in zip(self.sizes.tolist(), self.ends.tolist()):
+            if size >= WINDOW:
+                valid[end - size : end - WINDOW + 1] = True
+        if not valid.any():
             return
-        gram = words[: n - GRAM + 1] * np.uint64(0x9E3779B97F4A7C15)
-        gram ^= gram >> np.uint64(32)
-        gram += words[8 : n - GRAM + 9] * np.uint64(0xC2B2AE3D27D4EB4F)
-        gram ^= gram >> np.uint64(29)
-        gram += words[GRAM - 8 : n - 7] * np.uint64(0x165667B19E3779F9)
-        low = mix(gram)
-        for step in (1, 2, 4, 8):
-            low = np.minimum(low[:-step], low[step:])
-        low = np.minimum(low[: n - WINDOW + 1], low[SPAN - 16 : n - WINDOW + 1 + SPAN - 16])
-        key, doc = low[starts], owner[starts]
-        fresh = np.r_[True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])]
-        run = np.flatnonzero(fresh)
-        inside = np.arange(len(starts)) - np.repeat(run, np.diff(np.r_[run, len(starts)]))
-        begin = np.flatnonzero(inside % MOST == 0)
-        self.doc, self.at, key = doc[begin], starts[begin], key[begin]
-        self.count = np.diff(np.r_[begin, len(starts)])
+        words = words_at(self.data)
+        low = np.zeros(n + 1, np.uint64)
+        for begin in range(0, n - WINDOW + 1, SLICE):
+            count = min(SLICE, n - WINDOW + 1 - begin)
+            low[begin : begin + count] = _window_keys(words, begin, count)
+        differs = valid.copy()
+        differs[1:] &= (low[1:] != low[:-1]) | ~valid[:-1]
+        stops = ~valid
+        stops[1:] &= valid[:-1]
+        edges = np.flatnonzero(differs | stops)
+        lengths = np.diff(np.r_[edges, n])[differs[edges]]
+        edges = edges[differs[edges]]
+        pieces = -(-lengths // MOST)
+        nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        self.at = np.repeat(edges, pieces) + nth * MOST
+        self.count = np.minimum(np.repeat(lengths, pieces) - nth * MOST, MOST)
+        self.doc = np.searchsorted(self.ends, self.at, side="right")
+        key = low[self.at]
         digest = self.count.astype(np.uint64)
-        for base in (self.at, self.at + self.count - 1):
+        for base in (self.at, self.at + self.count - 1):  # its first and last window hold all of a segment
             for step in (*range(0, WINDOW - 8, 8), WINDOW - 8):
-                digest = mix(digest + words[base + step])
-        digest >>= np.uint64(16)
-        bucket = (key & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)
-        key = key >> np.uint64(32)
-        order = np.lexsort((self.ids[self.doc], digest, key, bucket))
-        b, k, d = bucket[order], key[order], digest[order]
-        new = np.r_[True, (d[1:] != d[:-1]) | (k[1:] != k[:-1]) | (b[1:] != b[:-1])]
+                digest = (digest ^ words[base + step]) * np.uint64(0x9E3779B97F4A7C15)
+                digest ^= digest >> np.uint64(29)
+        digest = mix(digest) >> np.uint64(16)
+        place = (key & np.uint64(0xFFFFFFFF)) % np.uint64(buckets) << np.uint64(32) | key >> np.uint64(32)
+        order = np.argsort(place, kind="stable")
+        p, d = place[order], digest[order]
+        tied = np.flatnonzero(np.r_[p[1:] == p[:-1], False] | np.r_[False, p[1:] == p[:-1]])
+        order[tied] = order[tied][np.lexsort((d[tied], p[tied]))]
+        d = digest[order]
+        new = np.r_[True, (d[1:] != d[:-1]) | (p[1:] != p[:-1])]
         self.of = np.empty(len(order), np.int64)
         self.of[order] = np.cumsum(new) - 1
-        self.bucket, self.key, self.digest = b[new].astype(np.int64), k[new], d[new]
+        self.bucket, self.key, self.digest = (p[new] >> np.uint64(32)).astype(np.int64), p[new] & np.uint64(0xFFFFFFFF), d[new]
         self.like = order[new]
-        self.first = self.ids[self.doc[self.like]]
+        self.first = np.minimum.reduceat(self.ids[self.doc[order]], np.flatnonzero(new))
 
     def by_bucket(self, chosen: np.ndarray):
         """(bucket, distinct segments of it) for chosen distinct segments."""
@@ -146,6 +151,20 @@ class Segments:
         return np.concatenate(parts) if parts else np.empty(0, dtype)
 
 
+def _window_keys(words: np.ndarray, begin: int, count: int) -> np.ndarray:
+    """Smallest hash of the GRAM-byte strings in each of some windows."""
+    stop = begin + count + SPAN - 1
+    gram = words[begin:stop] * np.uint64(0x9E3779B97F4A7C15)
+    gram ^= gram >> np.uint64(32)
+    gram += words[begin + 8 : stop + 8] * np.uint64(0xC2B2AE3D27D4EB4F)
+    gram ^= gram >> np.uint64(29)
+    gram += words[begin + GRAM - 8 : stop + GRAM - 8] * np.uint64(0x165667B19E3779F9)
+    low = mix(gram)
+    for step in (1, 2, 4, 8):
+        low = np.minimum(low[:-step], low[step:])
+    return np.minimum(low[:count], low[SPAN - 16 : count + SPAN - 16])
+
+
 DUPLICATE, OPEN = 1, 2
 
 
@@ -274,12 +293,14 @@ def covered(row, buckets: int) -> tuple[Segments, np.ndarray]:
     bits[state == DUPLICATE] = 0xFFFFFFFF
     mine = bits[s.of]
     mine[s.ids[s.doc] > s.first[s.of]] = 0xFFFFFFFF  # a smaller document of this block has it
-    place = np.repeat(s.at, s.count) + (step := np.arange(s.count.sum()) - np.repeat(np.cumsum(s.count) - s.count, s.count))
-    hit = place[(np.repeat(mine, s.count) >> step.astype(np.uint32)) & np.uint32(1) == 1]
-    edge = np.zeros(len(s.data) + 1, np.int32)
-    np.add.at(edge, hit, 1)
-    np.add.at(edge, hit + WINDOW, -1)
-    return s, np.cumsum(edge[:-1]) > 0
+    starts = np.zeros(len(s.data) + 1, np.int32)
+    for step in range(MOST):
+        hit = (s.count > step) & (mine >> np.uint32(step) & np.uint32(1) == 1)
+        starts[s.at[hit] + step] = 1
+    starts = np.cumsum(starts[:-1], dtype=np.int32)
+    gone = starts > 0  # a window that goes starts at one of the last WINDOW places
+    gone[WINDOW:] = starts[WINDOW:] > starts[:-WINDOW]
+    return s, gone
 
 
 def answered_blocks(docs: DataFrame) -> tuple[DataFrame, int]:
