@@ -72,6 +72,11 @@ def per_worker(key: str, make):
     return held["value"]
 
 
+def forget_worker() -> None:
+    """Let go of what an earlier job left in this Python worker."""
+    sys.modules.pop("_oreweave_worker", None)
+
+
 def groups(frames, keys: list[str]):
     """Runs of rows with equal keys from the batches of a sorted partition, one at a time."""
     import pandas as pd

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from oreweave.session import stored
 
-from .common import Memo, documents, groups, id_in, id_out, mix, query
+from .common import Memo, documents, forget_worker, groups, id_in, id_out, mix, query
 from .components import components, forest
 
 BAND_ROWS = 5
@@ -89,6 +89,7 @@ def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
+        forget_worker()
         shingles = Shingles(width)
         for frame in frames:
             for at in range(0, len(frame), 256):
@@ -141,6 +142,7 @@ def _compared(rows: DataFrame, width: int, percent: int) -> DataFrame:
         return pd.DataFrame({"a": ids[a[kept]], "b": ids[b[kept]]})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget_worker()
         for frame in groups(frames, ["band", "i", "j"]):
             yield linked(frame)
 

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from oreweave.session import stored
 
-from .common import documents, groups, id_in, id_out, mix, pack, query, text_bytes, unpack
+from .common import documents, forget_worker, groups, id_in, id_out, mix, pack, query, text_bytes, unpack
 from .suffixes import common_prefixes, suffix_array, words_at
 
 WINDOW, GRAM = 50, 20
@@ -54,6 +54,7 @@ def blocks(docs: DataFrame) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zstandard
 
+        forget_worker()
         number = TaskContext.get().partitionId() << 32
         held, size = [], 0
 
@@ -170,6 +171,7 @@ DUPLICATE, OPEN = 1, 2
 
 def _keys(table: DataFrame, buckets: int) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget_worker()
         for frame in frames:
             for row in frame.itertuples(index=False):
                 s = Segments(row, buckets)
@@ -189,6 +191,7 @@ def _met_keys(keys: DataFrame) -> DataFrame:
     """For each block and bucket, what is known of its distinct segments: 0, DUPLICATE or OPEN."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget_worker()
         for frame in groups(frames, ["bucket"]):
             parts = [unpack(v, np.uint32) for v in frame["key"]]
             sizes = [len(p) for p in parts]
@@ -318,6 +321,7 @@ def removal_digests(docs: DataFrame) -> DataFrame:
     table, buckets = answered_blocks(docs.select("doc_id", "text"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget_worker()
         for frame in frames:
             for row in frame.itertuples(index=False):
                 s, gone = covered(row, buckets)
@@ -338,6 +342,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     table, buckets = answered_blocks(docs)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget_worker()
         for frame in frames:
             for row in frame.itertuples(index=False):
                 s, gone = covered(row, buckets)
