@@ -65,18 +65,6 @@ def word_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
 
 
-def run_lengths(values: Column) -> Column:
-    """(value, n) for each run of equal values of an array; of a sorted one, its distinct values and their counts."""
-
-    def runs(bound: Column) -> Column:
-        starts = F.filter(F.sequence(F.lit(0), F.size(bound) - 1), lambda i: (i == 0) | (F.get(bound, i) != F.get(bound, i - 1)))
-        each = F.transform(F.array(starts), lambda s: F.transform(s, lambda at, k: F.struct(
-            F.get(bound, at).alias("value"), (F.coalesce(F.get(s, k + 1), F.size(bound)) - at).cast("long").alias("n"))))
-        return F.get(each, F.lit(0))
-
-    return F.get(F.transform(F.array(values), lambda v: F.when(F.size(v) > 0, runs(v))), F.lit(0))
-
-
 def with_bigrams(tokens: Column) -> Column:
     """Unigrams followed by bigrams joined by a blank."""
     size = F.size(tokens)
