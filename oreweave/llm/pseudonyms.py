@@ -3,11 +3,12 @@
 A value is found by pattern, validated, and permuted by a keyed Feistel network over its own
 format, so equal values get equal pseudonyms in all documents and different ones stay different:
 
-card      13 to 19 digits with a correct check digit; all but the last are permuted, that is set anew
+card      13 to 19 digits with a correct check digit, in whole groups of a run of digit groups; all
+          but the last are permuted, that is set anew
 phone     + country code and number: the last ten digits at most are permuted
 ipv4      four numbers up to 255: permuted as 32 bits
 ssn       nnn-nn-nnnn in the ranges that exist: permuted within them
-iban      with correct check digits: digits after the country are permuted, check digits set anew
+iban      of its country's length, with correct check digits: digits after the country are permuted, check digits set anew
 date      yyyy-mm-dd, dd.mm.yyyy, mm/dd/yyyy that exist: another day of the same 400 years
 email     a keyed digest as mailbox of the same reserved domain
 secret    32 hexadecimal digits or more after token, secret, key or password: keyed digits
@@ -30,23 +31,56 @@ from .common import documents, query
 
 ROUNDS = 8
 WORD = r"\p{L}\p{N}"
-#: Fixed formats, tried in this order at each place of a text.
+#: Letters and digits in an IBAN of each country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR",
+    27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC",
+    32: "LC", 33: "RU",
+}
+
+
+def _ibans(between: str = "") -> str:
+    """Pattern of an IBAN of its country's length; `between` is looked for after a blank."""
+    forms = []
+    for length, lands in IBAN_LENGTHS.items():
+        fours, rest = divmod(length - 4, 4)
+        last = rf"(?: {between})?+[A-Z0-9]{{{rest}}}" if rest else ""
+        forms.append(rf"(?:{lands.replace(' ', '|')})\d{{2}}(?:(?: {between})?+[A-Z0-9]{{4}}){{{fours}}}{last}")
+    return rf"(?:{'|'.join(forms)})(?![{WORD}])"
+
+
+OTHER_IBAN = rf"(?!{_ibans()})"
+IPV4 = rf"(?<![{WORD}.])\d{{1,3}}(?:\.\d{{1,3}}){{3}}(?![{WORD}]|\.\d)"
+DATE = rf"(?<![{WORD}./-])(?:\d{{4}}-\d{{2}}-\d{{2}}|\d{{2}}\.\d{{2}}\.\d{{4}}|\d{{2}}/\d{{2}}/\d{{4}})(?:(?=T\d)|(?![{WORD}/-]))"
+SSN = rf"(?<![{WORD}-])\d{{3}}-\d{{2}}-\d{{4}}(?![{WORD}-])"
+#: Numbers of their own that may stand behind a phone or card number.
+OTHER = rf"{IPV4}|{DATE}|{SSN}"
+CARD = r"^\d(?:[ -]?\d){12,18}$"
+CARD_SHAPE = rf"(?:\d{{13,19}}|(?:\d{{4}}[ -]){{3}}\d{{1,7}}|(?:\d{{4}}[ -]){{4}}\d{{1,3}}|\d{{4}}[ -]\d{{6}}[ -]\d{{4,5}})(?![{WORD}])"
+SIGNED = r"[ .()-]{0,3}\d"  # Java wants a look behind written out
+PHONE = (
+    rf"\+(?:1[ .-]?\(?\d{{3}}\)?[ .-]?\d{{3}}[ .-]?\d{{4}}(?![{WORD}])"
+    rf"|\d{{1,3}}[ .-]?\(?\d{{2,4}}\)?(?:[ .-]?(?!{OTHER})\d{{2,4}}){{1,4}}(?![{WORD}])(?<!\+{SIGNED * 16}{f'(?:{SIGNED})?' * 7}))"
+)
+#: Fixed formats, tried in this order at each place of a text. A card is looked for in whole runs of
+#: digit groups, also behind a phone number.
 FORMATS = {
     "email": rf"(?<![{WORD}._%+-])[{WORD}._%+-]++@(?:[{WORD}-]{{1,63}}\.){{1,8}}\p{{L}}{{2,24}}",
     "secret": r"(?<=(?i:token|secret|key|password)[ ]{0,2}[=:][ ]{0,2}[\"']?)[0-9A-Fa-f]{32,128}(?![0-9A-Za-z])",
-    "iban": rf"(?<![{WORD}])[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?(?![{WORD}])",
-    "ipv4": rf"(?<![{WORD}.])\d{{1,3}}(?:\.\d{{1,3}}){{3}}(?![{WORD}]|\.\d)",
-    "date": rf"(?<![{WORD}./-])(?:\d{{4}}-\d{{2}}-\d{{2}}|\d{{2}}\.\d{{2}}\.\d{{4}}|\d{{2}}/\d{{2}}/\d{{4}})(?![{WORD}/-])",
-    "phone": rf"(?<![{WORD}+])\+\d{{1,3}}[ .-]?\(?\d{{2,4}}\)?(?:[ .-]?\d{{2,4}}){{1,4}}(?![{WORD}])",
-    "ssn": rf"(?<![{WORD}-])\d{{3}}-\d{{2}}-\d{{4}}(?![{WORD}-])",
-    "card": rf"(?<![{WORD}])\d(?:[ -]?\d){{12,18}}(?![{WORD}])",
+    "iban": rf"(?<![{WORD}])(?=[A-Z]{{2}}\d{{2}})(?:{_ibans(OTHER_IBAN)}|[A-Z]{{2}}\d{{2}}(?:(?: {OTHER_IBAN})?+[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?(?![{WORD}]))",
+    "ipv4": IPV4,
+    "date": DATE,
+    "phone": rf"(?<![{WORD}+]){PHONE}(?:[ -](?!{OTHER})\d++(?![{WORD}]))*+",
+    "ssn": SSN,
+    "card": rf"(?<![{WORD}])(?=(?:[ -]?\d){{13}})(?!\d{{20}}\d*+(?![ -]\d))\d++(?![{WORD}])(?:[ -](?!{OTHER})\d++(?![{WORD}]))*+",
 }
 PATTERN = "|".join(f"(?:{p})" for p in FORMATS.values())
 #: One of these must be in a text that has a finding: a cheap first look.
 HINT = r"[\d@]"
 LEADS = {"email": "@", "phone": r"^\+", "ipv4": r"^\d{1,3}(\.\d{1,3}){3}$", "iban": r"^[A-Z]{2}\d{2}",
          "date": r"^(\d{4}-\d{2}-\d{2}|\d{2}[./]\d{2}[./]\d{4})$", "ssn": r"^\d{3}-\d{2}-\d{4}$",
-         "card": r"^\d(?:[ -]?\d){12,18}$", "secret": r"^[0-9A-Fa-f]{32,}$"}
+         "card": r"^(?!\d{20,}$)\d[\d -]*$", "secret": r"^[0-9A-Fa-f]{32,}$"}
 
 
 def _digest(key: str, *parts: Column) -> Column:
@@ -131,6 +165,57 @@ def _card(value: Column, key: str) -> Column:
     return _let(_digits(value), checked)
 
 
+def _cards(run: Column, key: str) -> Column:
+    """A run of digit groups with its cards replaced (new), and their number (n).
+
+    A card is a sequence of whole groups with 13 to 19 digits and a correct check digit. From left
+    to right the shortest goes; one of unusual grouping only where none of the usual ones starts in it.
+    """
+
+    def replaced(parts: Column) -> Column:
+        count = ((F.size(parts) + 1) / 2).cast("int")  # groups stand at even places, signs between them
+
+        def text(start: Column, end: Column) -> Column:
+            return F.array_join(F.slice(parts, 2 * start + 1, 2 * (end - start) + 1), "")
+
+        def ends(start: Column) -> Column:
+            def holds(digits: Column) -> Column:
+                return F.when(F.length(digits).between(13, 19), luhn_sum(digits) % 10 == 0).otherwise(False)
+
+            near = F.sequence(start, F.least(start + 18, count - 1))
+            return F.filter(near, lambda end: text(start, end).rlike(CARD) & _let(_digits(text(start, end)), holds))
+
+        def found(start: Column) -> Column:
+            def pick(valid: Column) -> Column:
+                usual = F.filter(valid, lambda end: text(start, end).rlike(f"^{CARD_SHAPE}$"))
+                return F.struct(F.get(usual, F.lit(0)).alias("usual"), F.get(valid, F.lit(0)).alias("any"))
+
+            return _let(ends(start), pick)
+
+        def walk(cards: Column) -> Column:
+            def step(state: Column, start: Column) -> Column:
+                card = F.get(cards, start)
+                free = F.when(
+                    card["any"].isNotNull(), F.forall(F.sequence(start + 1, F.greatest(card["any"], start + 1)), lambda k: F.get(cards, k)["usual"].isNull())
+                )
+                end = F.coalesce(card["usual"], F.when(free, card["any"]))
+
+                def go(end: Column) -> Column:
+                    new = F.when(end.isNull(), F.get(parts, 2 * start)).otherwise(_card(text(start, end), key))
+                    last = F.coalesce(end, start)
+                    out = F.concat(state.out, new, F.coalesce(F.get(parts, 2 * last + 1), F.lit("")))
+                    return F.struct(out.alias("out"), (last + 1).alias("at"), (state.n + end.isNotNull().cast("int")).alias("n"))
+
+                return F.when(start < state.at, state).otherwise(_let(end, go))
+
+            begin = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"), F.lit(0).alias("n"))
+            return F.aggregate(F.sequence(F.lit(0), count - 1), begin, step, lambda s: F.struct(s.out.alias("new"), s.n.alias("n")))
+
+        return _let(F.transform(F.sequence(F.lit(0), count - 1), found), walk)
+
+    return _let(F.regexp_extract_all(run, F.lit(r"\d+|\D+"), F.lit(0)), replaced)
+
+
 def _phone(value: Column, key: str) -> Column:
     def moved(digits: Column) -> Column:
         kept = F.greatest(F.length(digits) - 10, F.lit(2))
@@ -142,6 +227,38 @@ def _phone(value: Column, key: str) -> Column:
     return _let(_digits(value), moved)
 
 
+def _phones(run: Column, key: str) -> Column:
+    """A phone number and the digit groups behind it, replaced (new), and the number of replaced values (n).
+
+    The number ends before the first card of usual grouping, else where its own format does.
+    """
+
+    def cut(parts: Column) -> Column:  # a sign, then groups at odd places
+        def card_at(k: Column) -> Column:
+            def valid(text: Column) -> Column:
+                return F.when(text.rlike(f"^{CARD_SHAPE}$"), luhn_sum(_digits(text)) % 10 == 0).otherwise(False)
+
+            return F.exists(F.sequence(F.lit(1), F.lit(5)), lambda n: _let(F.array_join(F.slice(parts, 2 * k + 2, 2 * n - 1), ""), valid))
+
+        starts = F.filter(F.sequence(F.lit(1), F.lit(7)), lambda k: (2 * k + 1 < F.size(parts)) & card_at(k))
+        heads = F.transform(starts, lambda k: F.array_join(F.slice(parts, F.lit(1), 2 * k), ""))
+        whole = F.filter(heads, lambda h: F.length(_digits(h)).between(8, 15))
+        head = F.coalesce(F.get(whole, F.lit(0)), F.get(heads, F.lit(0)), F.regexp_extract(run, f"^{PHONE}", 0))
+        return _let(head, split)
+
+    def split(head: Column) -> Column:
+        def joined(rest: Column) -> Column:
+            lead = F.regexp_extract(rest, r"^\D*", 0)
+            behind = F.substring(rest, F.length(lead) + 1, F.length(rest))
+            cards = F.when(behind != "", _cards(behind, key)).otherwise(F.struct(F.lit("").alias("new"), F.lit(0).alias("n")))
+            both = F.struct(_phone(head, key).alias("phone"), cards.alias("cards"))
+            return _let(both, lambda b: F.struct(F.concat(b.phone, lead, b.cards["new"]).alias("new"), (b.cards["n"] + (b.phone != head).cast("int")).alias("n")))
+
+        return _let(F.substring(run, F.length(head) + 1, F.length(run)), joined)
+
+    return _let(F.regexp_extract_all(run, F.lit(r"\d+|\D+"), F.lit(0)), cut)
+
+
 def _ipv4(value: Column, key: str) -> Column:
     def moved(parts: Column) -> Column:
         high, low = parts[0] * 256 + parts[1], parts[2] * 256 + parts[3]
@@ -213,17 +330,21 @@ def _secret(value: Column, key: str) -> Column:
     return F.when(value.rlike("[A-F]"), F.upper(new)).otherwise(new)
 
 
-PSEUDONYM = {"email": _email, "phone": _phone, "ipv4": _ipv4, "date": _date, "ssn": _ssn, "iban": _iban, "secret": _secret, "card": _card}
+PSEUDONYM = {"email": _email, "ipv4": _ipv4, "date": _date, "ssn": _ssn, "iban": _iban, "secret": _secret}
+RUNS = {"phone": _phones, "card": _cards}  # one found text may hold several values
 
 
 def pseudonym(value: Column, key: str) -> Column:
-    """What stands for a found value; the value itself if it does not validate."""
+    """What stands for a found value (new), itself if it does not validate, and the number of replaced ones in it (n)."""
     out = None
     for kind in ("email", "phone", "ipv4", "date", "ssn", "card", "secret", "iban"):
         found = value.rlike(LEADS[kind])
-        new = PSEUDONYM[kind](value, key)
+        if kind in RUNS:
+            new = RUNS[kind](value, key)
+        else:
+            new = _let(PSEUDONYM[kind](value, key), lambda v: F.struct(v.alias("new"), (v != value).cast("int").alias("n")))
         out = F.when(found, new) if out is None else out.when(found, new)
-    return out.otherwise(value)
+    return out.otherwise(F.struct(value.alias("new"), F.lit(0).alias("n")))
 
 
 def pseudonymised(docs: DataFrame, key: str, text: str = "text", count: str | None = None) -> DataFrame:
@@ -233,9 +354,9 @@ def pseudonymised(docs: DataFrame, key: str, text: str = "text", count: str | No
     out = docs.withColumn(found, F.when(some, F.regexp_extract_all(F.col(text), F.lit(PATTERN), F.lit(0))))
     has = F.coalesce(F.size(found) > 0, F.lit(False))
     out = out.withColumn(gaps, F.when(has, F.split(F.col(text), PATTERN, -1)))
-    out = out.withColumn(both, F.when(has, F.transform(found, lambda v: F.struct(v.alias("old"), pseudonym(v, key).alias("new")))))
+    out = out.withColumn(both, F.when(has, F.transform(found, lambda v: pseudonym(v, key))))
     joined = F.array_join(F.zip_with(gaps, both, lambda g, p: F.concat(g, F.coalesce(p["new"], F.lit("")))), "")
-    changed = F.size(F.filter(both, lambda p: p["old"] != p["new"]))
+    changed = F.aggregate(both, F.lit(0), lambda total, p: total + p["n"])
     out = out.withColumn(gaps, F.when(has, joined))
     if count:
         out = out.withColumn(count, F.when(has, changed).otherwise(0).cast("long"))

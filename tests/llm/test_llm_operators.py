@@ -474,6 +474,29 @@ def test_pseudonyms_keep_format_and_links(spark):
     assert "jane" not in pseudonyms.pseudonymised(bare, "key").first()[0]
 
 
+def test_numbers_beside_numbers_go(spark):
+    es, card, spaced = "ES91 2100 0418 4502 0005 1332", "4111111111111111", "4111 1111 1111 1111"
+    cases = [  # text, what must go, what must stay, replaced values
+        (f"pay {spaced} 12/27", [spaced], " 12/27", 1), (f"{card} 123", [card], " 123", 1), (f"qty 2 {card}", [card], "qty 2 ", 1),
+        ("room 12 4111-1111-1111-1111", ["4111-1111-1111-1111"], "room 12 ", 1), (f"{card} {spaced} 7", [card, spaced], " 7", 2),
+        (f"{spaced} 97.51.17.173", [spaced, "97.51.17.173"], "", 2), (f"2 2024-05-05 {card}", ["2024-05-05", card], "2 ", 2),
+        (f"+1 (017) 555-7713 {spaced}", ["555-7713", spaced], "+1 (", 2), (f"+49 30 1234 5678 {spaced}", ["1234 5678", spaced], "+49 ", 2),
+        (f"7 123-45-6789 {card}", ["123-45-6789", card], "7 ", 2),
+        (f"{es} THE", [es], " THE", 1), (f"{es} 2024", [es], " 2024", 1), (f"PL12 {es}", [es], "PL12 ", 1), (f"AB12 {es} {card}", [es, card], "AB12 ", 2),
+        ("SE45 5000 0000 0583 9825 7466 2024", ["SE45 5000 0000 0583 9825 7466"], " 2024", 1),
+        ("at 2024-05-05T10:30:00Z", ["2024-05-05"], "T10:30:00Z", 1), ("4539 5787 6362 1487", [], "4539 5787 6362 1487", 0),
+        ("9" * 40, [], "9" * 40, 0), (f"{'8 ' * 20000}x {card}", [card], "", None),
+    ]
+    df = spark.createDataFrame([(k, c[0]) for k, c in enumerate(cases)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in pseudonyms.pseudonymised(df, "key", count="n").collect()}
+    alone = {v: t for v, t in pseudonyms.pseudonymised(spark.createDataFrame([(v, v) for v in (es, card, spaced)], "v string, text string"), "key").collect()}
+    for k, (text, gone, stays, n) in enumerate(cases):
+        got = rows[k].text
+        assert stays in got and n in (None, rows[k].n), (text[-60:], got[-60:], rows[k].n)
+        for value in gone:
+            assert value not in got and alone.get(value, "") in got, (text[-60:], got[-60:])
+
+
 def test_permutations_are_one_to_one(spark):
     df = spark.range(10_000).select(
         pseudonyms.permuted_digits(F.lpad(F.col("id").cast("string"), 4, "0"), "k", "t").alias("digits"),
