@@ -8,7 +8,8 @@ a piece needs a new bin and all are open, the fullest bin closes. Pieces arrive
 Each packer gets about `packer_sequences` sequences of tokens, so their number follows the
 input and their memory does not; packers share no state and can be repeated after a loss.
 
-Defined results: a null or empty text has only its end id; repeated rows are packed as often as
+Defined results: the content of an added token in a text gets that token's id, as the library does
+by default; a null or empty text has only its end id; repeated rows are packed as often as
 they occur; an empty table gives no sequences.
 """
 
@@ -108,12 +109,16 @@ class WordIds:
     The model file must split and normalise as `word_bpe_49k.json` does. Its rules work within
     stretches free of blanks, so the ids of a text are those of its stretches. Printable ASCII is
     split here; any other stretch goes through the tokenizer's own normaliser and splitter.
+    With `added`, texts that contain an added token are encoded by the tokenizer itself, which
+    gives the token its own id; without, such a token is text like any other.
     """
 
-    def __init__(self, model: str):
+    def __init__(self, model: str, added: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(model)
+        tokens = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if added else []
+        self._added = re.compile("|".join(map(re.escape, tokens))) if tokens else None
         self._normal, self._split = self.tokenizer.normalizer.normalize_str, self.tokenizer.pre_tokenizer.pre_tokenize_str
         self._tokens = self.tokenizer.model.tokenize
         self._piece = Memo(lambda p: np.array([t.id for t in self._tokens(p)], "<u4").tobytes(), CACHE_WORDS // 2)
@@ -128,6 +133,8 @@ class WordIds:
         return b"".join([self._piece[p] for p in pieces])
 
     def __call__(self, text: str | None) -> bytes:
+        if text and self._added and self._added.search(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return b"".join(map(self._word.__getitem__, text.encode().split())) if text else b""
 
 
@@ -139,7 +146,7 @@ def token_pieces(docs: DataFrame, model_path: str, size: int, end_id: int, with_
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids_of, end = per_worker(job, lambda: WordIds(model.value)), np.asarray([end_id], "<u4").tobytes()
+        ids_of, end = per_worker(job, lambda: WordIds(model.value, added=True)), np.asarray([end_id], "<u4").tobytes()
         for frame in frames:
             rows = []
             for doc_id, text in zip(frame["doc_id"], frame["text"]):

@@ -171,6 +171,18 @@ def test_packing_is_whole_gapless_and_tight(odd, empty):
     assert packing.pack_documents(empty, WORD_MODEL).count() == 0
 
 
+def test_added_tokens_in_texts_have_their_ids(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(WORD_MODEL)
+    texts = ["end <|endoftext|> start", "<|startoftext|>", "a<|endoftext|><|endoftext|>É b", "<|EndOfText|> <|endoftext|", "plain é", None]
+    got = packing.pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), WORD_MODEL, with_ids=True).collect()
+    assert 49407 in next(r.ids for r in got if r.doc_id == 0)
+    for r in got:
+        ids = library.encode(texts[r.doc_id] or "", add_special_tokens=False).ids + [1]
+        assert (r.ids, r.length, r.ids_crc32) == (ids, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+
+
 def test_fullest_bin_closes_first():
     bins = packing.OpenBins(10, 2)
     assert [bins.place(n) for n in (7, 5, 6)] == [(0, 0), (1, 0), (2, 0)]  # bin 0 had least space left
