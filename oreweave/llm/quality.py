@@ -1,11 +1,12 @@
 """Document quality: random-indexing word vectors, pooled, and a small calibrated network.
 
-Words are the runs between ASCII blanks, in their own case. A word falls into one of
-`SHAPES * WORDS` buckets by its shape (runs of capitals, small letters, digits and each sign) and
-its hash, so any vocabulary fits one table of fixed size. Every bucket has a sparse random index
-vector, half of it shared by its shape; a word's vector is the sum of the index vectors of its
-neighbours over the whole corpus, where a neighbour equal to the word counts as one special
-neighbour. A document is the mean and the spread of its words' unit vectors. A network with one
+Words are the runs between ASCII blanks, in their own case. A word has a row among `WORDS` by its
+hash, and its shape (runs of capitals, small letters, digits and each sign) one among `SHAPES`
+rows of their own. Every word has a sparse random index vector, half of it given by its shape;
+the vector of a row is the sum of the index vectors of its words' neighbours over the whole
+corpus, where a neighbour equal to the word counts as one special
+neighbour. A document is the mean and the spread of its words' unit vectors, and of those of their
+shapes. A network with one
 hidden layer is trained on at most `TRAIN_ROWS` labelled documents, and its temperature is fitted
 on a fifth of them that the weights never saw.
 
@@ -25,10 +26,11 @@ from pyspark.sql import functions as F
 
 from .common import Memo, documents, fold, pack, per_worker, query, unpack
 
-SHAPES, WORDS, SIZE = 256, 128, 48
-BUCKETS = SHAPES * WORDS
+SHAPES, WORDS, SIZE = 256, 1 << 18, 48
+ROWS = WORDS + SHAPES
+FEATURES = 4 * SIZE
 NONZERO = 4  # of an index vector's word half and of its shape half
-PART = 1024  # buckets in one row while the table is summed
+PART = 256  # vectors in one row while the table is summed
 TRAIN_ROWS = 20_000
 HIDDEN = 32
 
@@ -43,7 +45,8 @@ def shape(word: str) -> str:
     return "".join(out[:12])
 
 
-def _bucket(word: bytes) -> int:
+def _code(word: bytes) -> int:
+    """Number of the word among WORDS, and of its shape above that."""
     import xxhash
 
     form = shape(word[:64].decode("utf-8", "replace")).encode()
@@ -51,38 +54,42 @@ def _bucket(word: bytes) -> int:
 
 
 def _memo() -> Memo:
-    return Memo(_bucket, 300_000)
+    return Memo(_code, 300_000)
 
 
-def _buckets(memo: Memo, text: str | None) -> np.ndarray:
+def _codes(memo: Memo, text: str | None) -> np.ndarray:
     return np.array([memo[w] for w in text.encode().split()] if text else [], np.int64)
 
 
-def index_vectors() -> tuple[np.ndarray, np.ndarray]:
-    """Places and signs of the nonzeros for each bucket, and a last row for `the word itself`."""
+def index_vectors() -> list[tuple[np.ndarray, np.ndarray]]:
+    """Places and signs of the nonzeros for words and for shapes, each with a last row for `the word itself`."""
     draw = np.random.default_rng(20_24)
-    place = draw.integers(0, SIZE, (BUCKETS + 1, 2 * NONZERO))
-    sign = draw.integers(0, 2, (BUCKETS + 1, 2 * NONZERO)) * 2 - 1
-    for table in (place, sign):
-        table[:BUCKETS, NONZERO:] = np.repeat(table[:BUCKETS:WORDS, NONZERO:], WORDS, axis=0)
-    return place, sign
+    return [
+        (draw.integers(0, SIZE, (n + 1, NONZERO), np.int32), draw.integers(0, 2, (n + 1, NONZERO), np.int32) * 2 - 1)
+        for n in (WORDS, SHAPES)
+    ]
 
 
 def word_vectors(docs: DataFrame) -> np.ndarray:
-    """Unit vector of every bucket, from all documents; a table of fixed size."""
+    """Unit vectors of words and behind them of shapes, from all documents; a table of fixed size."""
     job = uuid.uuid4().hex
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo = per_worker(job, _memo)
-        place, sign = index_vectors()
-        total = np.zeros(BUCKETS * SIZE, np.float64)
+        halves = index_vectors()
+        total = np.zeros(ROWS * SIZE, np.int32)
+        shapes = total[WORDS * SIZE :]
 
         def add(words: np.ndarray, beside: np.ndarray) -> None:
             for at in range(0, len(words), 1 << 18):
                 w, v = words[at : at + (1 << 18)], beside[at : at + (1 << 18)]
-                v = np.where(w == v, BUCKETS, v)
-                flat = w[:, None] * SIZE + place[v]
-                total[:] += np.bincount(flat.ravel(), sign[v].ravel(), BUCKETS * SIZE)
+                own, form = w % WORDS * SIZE, w // WORDS * SIZE
+                same = w == v
+                for (place, sign), n, rows in zip(halves, (WORDS, SHAPES), (v % WORDS, v // WORDS)):
+                    rows = np.where(same, n, rows)
+                    places, signs = place[rows], sign[rows]
+                    np.add.at(total, (own[:, None] + places).ravel(), signs.ravel())
+                    shapes[:] += np.bincount((form[:, None] + places).ravel(), signs.ravel(), SHAPES * SIZE).astype(np.int32)
 
         def flush(held: list[np.ndarray]) -> None:
             if held:
@@ -95,39 +102,44 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
         held, size, gap = [], 0, np.array([-1])
         for frame in frames:
             for text in frame["text"]:
-                words = _buckets(memo, text)
+                words = _codes(memo, text)
                 held += [words, gap]
                 size += len(words)
                 if size > 1 << 20:
                     flush(held)
                     held, size = [], 0
         flush(held)
-        table = total.astype(np.int64).reshape(-1, PART * SIZE)
-        yield pd.DataFrame({"part": np.arange(len(table)), "sums": [pack(r) for r in table]})
+        table = total.reshape(-1, PART * SIZE)
+        some = np.flatnonzero(table.any(axis=1))
+        for at in range(0, len(some), 64):
+            yield pd.DataFrame({"part": some[at : at + 64], "sums": [pack(table[k]) for k in some[at : at + 64]]})
 
     def add_up(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[int, np.ndarray] = {}
         for frame in frames:
             for part, data in zip(frame["part"].tolist(), frame["sums"]):
-                sums[part] = sums.get(part, 0) + unpack(data, np.int64)
+                sums[part] = sums.get(part, 0) + unpack(data, np.int32).astype(np.int64)
         yield pd.DataFrame({"part": list(sums), "sums": [pack(s) for s in sums.values()]})
 
     partial = docs.select("text").mapInPandas(count, "part int, sums binary")
-    rows = partial.repartition("part").mapInPandas(add_up, "part int, sums binary").collect()
-    table = np.zeros((BUCKETS // PART, PART * SIZE))
-    for row in rows:
-        table[row.part] += unpack(row.sums, np.int64)
-    table = table.reshape(BUCKETS, SIZE)
-    return (table / np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+    summed = partial.repartition("part").mapInPandas(add_up, "part int, sums binary")
+    table = np.zeros((ROWS, SIZE), np.float32)
+    for row in summed.collect():
+        sums = unpack(row.sums, np.int64).reshape(PART, SIZE).astype(np.float64)
+        table[row.part * PART : (row.part + 1) * PART] = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
+    return table
 
 
 def _pooled(memo: Memo, vectors: np.ndarray, text: str | None) -> np.ndarray:
-    words = _buckets(memo, text)
-    if not len(words):
-        return np.zeros(2 * SIZE, np.float32)
-    found = vectors[words]
-    mean = found.mean(axis=0)
-    return np.concatenate([mean, np.sqrt(np.maximum((found * found).mean(axis=0) - mean * mean, 0))])
+    codes = _codes(memo, text)
+    if not len(codes):
+        return np.zeros(FEATURES, np.float32)
+    out = []
+    for rows in (codes % WORDS, WORDS + codes // WORDS):
+        found = vectors[rows]
+        mean = found.mean(axis=0)
+        out += [mean, np.sqrt(np.maximum((found * found).mean(axis=0) - mean * mean, 0))]
+    return np.concatenate(out)
 
 
 class Network:
@@ -136,7 +148,7 @@ class Network:
     def __init__(self, features: np.ndarray, labels: np.ndarray, seed: int = 11):
         draw = np.random.default_rng(seed)
         if not len(labels):
-            features, labels = np.zeros((2, 2 * SIZE)), np.array([0.0, 1.0])
+            features, labels = np.zeros((2, FEATURES)), np.array([0.0, 1.0])
         order = draw.permutation(len(labels))
         held = order[: len(order) // 5]
         learn = order[len(order) // 5 :]
@@ -189,33 +201,33 @@ class Model:
 
     def __init__(self, docs: DataFrame, labels: DataFrame, learn: Column, rows: int = TRAIN_ROWS):
         """labels: doc_id, label (1 good, else bad), null labels ignored; `learn` over doc_id."""
-        self.vectors = word_vectors(docs)
+        self.vectors = docs.sparkSession.sparkContext.broadcast(word_vectors(docs))
         known = labels.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.min("label").alias("label"))
         sample = known.where(learn).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)  # at most `rows` rows: small enough to broadcast
         chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-        found = chosen.select("doc_id", "label", self._features(docs.sparkSession)("text").alias("x")).collect()
+        found = chosen.select("doc_id", "label", self._features()("text").alias("x")).collect()
         found = sorted({r.doc_id: (r.x, r.label) for r in found}.items())
-        x = np.array([v[0] for _, v in found], np.float64).reshape(len(found), 2 * SIZE)
+        x = np.array([np.frombuffer(v[0], np.float32) for _, v in found], np.float64).reshape(len(found), FEATURES)
         y = np.array([v[1] == 1 for _, v in found], bool)
         self.network = Network(x, y)
 
-    def _features(self, spark: SparkSession):
-        vectors, job = spark.sparkContext.broadcast(self.vectors), uuid.uuid4().hex
+    def _features(self):
+        vectors, job = self.vectors, uuid.uuid4().hex
 
         def run(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
             memo = per_worker(job, _memo)
             for texts in series:
-                yield texts.map(lambda t: _pooled(memo, vectors.value, t))
+                yield texts.map(lambda t: _pooled(memo, vectors.value, t).astype(np.float32).tobytes())
 
-        return F.pandas_udf(run, "array<float>")
+        return F.pandas_udf(run, "binary")
 
     def score(self, spark: SparkSession, text: str = "text") -> Column:
-        vectors, job, network = spark.sparkContext.broadcast(self.vectors), uuid.uuid4().hex, self.network
+        vectors, job, network = self.vectors, uuid.uuid4().hex, self.network
 
         def run(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
             memo = per_worker(job, _memo)
             for texts in series:
-                pooled = np.array([_pooled(memo, vectors.value, t) for t in texts]).reshape(len(texts), 2 * SIZE)
+                pooled = np.array([_pooled(memo, vectors.value, t) for t in texts]).reshape(len(texts), FEATURES)
                 yield pd.Series(network(pooled))
 
         return F.pandas_udf(run, "double")(text)

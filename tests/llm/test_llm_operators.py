@@ -398,6 +398,23 @@ def test_quality_learns_noise_and_ignores_nulls(spark, odd):
     assert len(out) == len(odd_rows()) and all(0 <= s <= 1 for s in out)
 
 
+def test_quality_tells_words_of_one_shape_apart(spark):
+    import xxhash
+
+    rng = random.Random(17)
+    classes = [{}, {}]  # one word for each remainder of the hash by 128: both classes look alike in a table of 128 words
+    while min(map(len, classes)) < 128:
+        word = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8))
+        rest = xxhash.xxh64_intdigest(word.encode()) % 128
+        next((c for c in classes if rest not in c), {}).setdefault(rest, word)
+    rows = [(k, " ".join(rng.choices(list(classes[k // 2 % 2].values()), k=40))) for k in range(800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(k, k // 2 % 2) for k in range(800)], "doc_id long, label int")
+    model = quality.Model(docs, labels, F.col("doc_id") % 5 != 0)
+    held = docs.where("doc_id % 5 = 0").select("doc_id", model.score(spark).alias("score")).collect()
+    assert np.mean([(r.score >= 0.5) == (r.doc_id // 2 % 2 == 1) for r in held]) > 0.95
+
+
 def test_quality_without_labels(spark, empty):
     model = quality.Model(empty, spark.createDataFrame([], "doc_id long, label int"), F.lit(True))
     rows = spark.createDataFrame([("a b",), (None,), ("",)], "text string").select(model.score(spark)).collect()
