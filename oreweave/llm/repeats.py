@@ -10,10 +10,12 @@ segment. Documents are written once in blocks. Three steps follow, each a shuffl
 2. Blocks send the text of open segments. Where it is met, a suffix array over all of them and
    the common prefixes of its neighbours give the windows that two segments share and the
    smallest document of each.
+   Of a key with more than `HOT_SEGMENTS` open segments no text is sent: blocks deal the digests
+   of its single windows over all buckets, where equal ones meet.
 3. Blocks take the answers and cut their documents.
 
 A segment that a third of all documents hold is sent once by each block. Digests have 48 bits
-and are only compared under one key of 32 bits within one bucket.
+and are only compared under one key of 32 bits within one bucket; those of single windows have 64.
 
 Defined results: null and empty texts have no bytes; null ids count as larger than any other;
 rows that repeat an id do not remove each other; shorter texts than the window stay whole.
@@ -39,6 +41,7 @@ WINDOW, GRAM = 50, 20
 SPAN = WINDOW - GRAM + 1  # strings of GRAM bytes in a window
 MOST = 32  # windows in a segment: one bit each
 SLICE = 1 << 18  # windows hashed at a time
+HOT_SEGMENTS = 1 << 15  # open segments of a key whose texts are still sorted together
 BLOCK_BYTES = 4 << 20  # text in a block, and text whose segments meet in one bucket
 
 
@@ -145,6 +148,27 @@ class Segments:
         buckets, starts = np.unique(self.bucket[chosen], return_index=True)
         return zip(buckets.tolist(), np.split(chosen, starts[1:]))
 
+    def single_windows(self, chosen: np.ndarray, buckets: int):
+        """Distinct windows of chosen distinct segments by bucket (bucket, digest, smallest id), and
+        for each window of each segment which distinct one, whose and the how many-th it is."""
+        like = self.like[chosen]
+        counts = self.count[like]
+        owner = np.repeat(np.arange(len(chosen)), counts)
+        step = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        place, words = self.at[like][owner] + step, words_at(self.data)
+        digest = np.zeros(len(place), np.uint64)
+        for at in (*range(0, WINDOW - 8, 8), WINDOW - 8):
+            digest = (digest ^ words[place + at]) * np.uint64(0x9E3779B97F4A7C15)
+            digest ^= digest >> np.uint64(29)
+        digest, doc = mix(digest), self.first[chosen][owner]
+        bucket = (digest % np.uint64(buckets)).astype(np.int64) + buckets  # numbers behind those of the keys
+        order = np.lexsort((doc, digest, bucket))
+        d = digest[order]
+        new = np.r_[True, d[1:] != d[:-1]]
+        of = np.empty(len(order), np.int64)
+        of[order] = np.cumsum(new) - 1
+        return bucket[order][new], d[new], doc[order][new], of, owner, step
+
     def answers(self, replies, chosen: np.ndarray, dtype) -> np.ndarray:
         """Replies of all buckets, for the chosen distinct segments in order."""
         found = {r["bucket"]: r["reply"] for r in replies} if replies is not None else {}
@@ -166,7 +190,7 @@ def _window_keys(words: np.ndarray, begin: int, count: int) -> np.ndarray:
     return np.minimum(low[:count], low[SPAN - 16 : count + SPAN - 16])
 
 
-DUPLICATE, OPEN = 1, 2
+DUPLICATE, OPEN, HOT = 1, 2, 3
 
 
 def _keys(table: DataFrame, buckets: int) -> DataFrame:
@@ -188,7 +212,7 @@ def _keys(table: DataFrame, buckets: int) -> DataFrame:
 
 
 def _met_keys(keys: DataFrame) -> DataFrame:
-    """For each block and bucket, what is known of its distinct segments: 0, DUPLICATE or OPEN."""
+    """For each block and bucket, what is known of its distinct segments: 0, DUPLICATE, OPEN or HOT."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         forget_worker()
@@ -210,6 +234,7 @@ def _met_keys(keys: DataFrame) -> DataFrame:
             most = np.maximum.reduceat(i, np.flatnonzero(new_key))[number]
             fewest = np.minimum.reduceat(i, np.flatnonzero(new_key))[number]
             state = np.where(i > least, DUPLICATE, np.where(several & (most > fewest), OPEN, 0))
+            state[(state == OPEN) & (np.bincount(number, state == OPEN)[number] > HOT_SEGMENTS)] = HOT
             out = np.empty(len(order), np.uint8)
             out[order] = state
             yield pd.DataFrame({
@@ -234,6 +259,12 @@ def _open_texts(answered: DataFrame, buckets: int) -> DataFrame:
                     like = s.like[e]
                     text = b"".join(s.data[a : a + c + WINDOW - 1].tobytes() for a, c in zip(s.at[like].tolist(), s.count[like].tolist()))
                     rows.append((b, row.block, pack(s.count[like].astype(np.uint8)), pack(s.first[e]), zstandard.ZstdCompressor(level=1).compress(text)))
+                hot = np.flatnonzero(state == HOT)
+                if len(hot):
+                    bucket, digest, doc, *_ = s.single_windows(hot, buckets)
+                    numbers, starts = np.unique(bucket, return_index=True)
+                    parts = zip(numbers.tolist(), np.split(digest, starts[1:]), np.split(doc, starts[1:]))
+                    rows += [(b, row.block, b"", pack(i), pack(d)) for b, d, i in parts]
                 yield pd.DataFrame(rows, columns=["bucket", "block", "count", "doc", "text"])
 
     return answered.mapInPandas(run, "bucket long, block long, count binary, doc binary, text binary")
@@ -262,15 +293,29 @@ def shared_windows(counts: np.ndarray, docs: np.ndarray, text: bytes) -> np.ndar
     return bits
 
 
-def _met_texts(texts: DataFrame) -> DataFrame:
+def _seen_before(digest: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Whether a smaller document has the same digest."""
+    order = np.lexsort((doc, digest))
+    d, i = digest[order], doc[order]
+    new = np.r_[True, d[1:] != d[:-1]]
+    out = np.empty(len(order), np.uint8)
+    out[order] = i > i[np.flatnonzero(new)][np.cumsum(new) - 1]
+    return out
+
+
+def _met_texts(texts: DataFrame, buckets: int) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zstandard
 
         for frame in groups(frames, ["bucket"]):
-            parts = [unpack(v, np.uint8) for v in frame["count"]]
-            text = b"".join(zstandard.ZstdDecompressor().decompress(t) for t in frame["text"])
             docs = np.concatenate([unpack(v, np.int64) for v in frame["doc"]])
-            bits = shared_windows(np.concatenate(parts).astype(np.int64), docs, text)
+            if frame["bucket"].iloc[0] >= buckets:
+                parts = [unpack(v, np.uint64) for v in frame["text"]]
+                bits = _seen_before(np.concatenate(parts), docs)
+            else:
+                parts = [unpack(v, np.uint8) for v in frame["count"]]
+                text = b"".join(zstandard.ZstdDecompressor().decompress(t) for t in frame["text"])
+                bits = shared_windows(np.concatenate(parts).astype(np.int64), docs, text)
             yield pd.DataFrame({
                 "block": frame["block"].to_numpy(), "bucket": frame["bucket"].to_numpy(),
                 "reply": [pack(p) for p in np.split(bits, np.cumsum([len(p) for p in parts])[:-1])],
@@ -293,6 +338,13 @@ def covered(row, buckets: int) -> tuple[Segments, np.ndarray]:
     bits = np.zeros(len(s.bucket), np.uint32)
     chosen = np.flatnonzero(state == OPEN)
     bits[chosen] = s.answers(row.windows, chosen, np.uint32)
+    hot = np.flatnonzero(state == HOT)
+    if len(hot):
+        bucket, _, least, of, owner, step = s.single_windows(hot, buckets)
+        found = {r["bucket"]: r["reply"] for r in row.windows}
+        seen = np.concatenate([unpack(found[b], np.uint8) for b in np.unique(bucket).tolist()])[of] == 1
+        seen |= s.first[hot][owner] > least[of]  # in this block
+        np.bitwise_or.at(bits, hot[owner[seen]], np.uint32(1) << step[seen].astype(np.uint32))
     bits[state == DUPLICATE] = 0xFFFFFFFF
     mine = bits[s.of]
     mine[s.ids[s.doc] > s.first[s.of]] = 0xFFFFFFFF  # a smaller document of this block has it
@@ -312,7 +364,7 @@ def answered_blocks(docs: DataFrame) -> tuple[DataFrame, int]:
     table = stored(blocks(docs))
     states = stored(_met_keys(_keys(table, buckets)))
     bare = table.select("block", "ids", "sizes", "data")
-    windows = stored(_met_texts(_open_texts(_with_replies(bare, states, "states"), buckets)))
+    windows = stored(_met_texts(_open_texts(_with_replies(bare, states, "states"), buckets), buckets))
     return _with_replies(_with_replies(table, states, "states"), windows, "windows"), buckets
 
 

@@ -294,6 +294,28 @@ def test_removal_equals_brute_force(spark, monkeypatch, block):
     assert sorted(map(tuple, got), key=str) == sorted(removed_by_brute_force(rows), key=str)
 
 
+def test_hot_keys_meet_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "BLOCK_BYTES", 10_000)
+    monkeypatch.setattr(repeats, "HOT_SEGMENTS", 50, raising=False)
+    rng = random.Random(19)
+    line = "permission is granted to all of them all"  # shorter than a window, in every document
+    ends = [words_of(rng, 12, 10**6) for _ in range(40)]
+    rows = [(k * 7 % 301, f"{rng.choice(ends)} {line} {rng.choice(ends)}") for k in range(300)]
+    rows += [(1000 + k, f"{words_of(rng, 12, 10**6)} {line} {rng.choice(ends)}") for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = repeats.removal_digests(docs).collect()
+    assert sorted(map(tuple, got)) == sorted(removed_by_brute_force(rows))
+    buckets = -(-repeats.text_bytes(docs) // repeats.BLOCK_BYTES)
+    table = repeats.stored(repeats.blocks(docs))
+    states = repeats.stored(repeats._met_keys(repeats._keys(table, buckets)))
+    texts = repeats._open_texts(repeats._with_replies(table.select("block", "ids", "sizes", "data"), states, "states"), buckets).collect()
+    together = collections.Counter()
+    for r in texts:
+        if len(r["count"]):
+            together[r.bucket] += len(repeats.unpack(r["count"], np.uint8))
+    assert max(r.bucket for r in texts) >= buckets and max(together.values(), default=0) < 300
+
+
 def test_cut_texts_keep_columns_and_characters(spark, odd, empty):
     out = repeats.without_repeats(odd)
     assert out.columns == odd.columns and out.dtypes == odd.dtypes
