@@ -46,6 +46,17 @@ def fold(column: Column | str, modulus: int) -> Column:
     return F.coalesce(F.crc32(column.cast("string").cast("binary")) % modulus, F.lit(0)).cast("int")
 
 
+def free_names(df: DataFrame, *stems: str) -> list[str]:
+    """Names for helper columns that no column of the table has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for stem in stems:
+        while stem.lower() in taken:
+            stem += "_"
+        taken.add(stem.lower())
+        out.append(stem)
+    return out
+
+
 class Memo(dict):
     """Results of a function, for at most twice `most` keys: when full, the older half goes."""
 

@@ -214,7 +214,7 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 
 @query("op4_exact_top_k", OP4_SQL)
 def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = embeddings(spark, sf_dir).select(
+    rows = embeddings(spark, sf_dir).where(usable("embedding")).select(  # before floor, which makes numbers of all
         "vec_id", F.transform("embedding", lambda x: F.floor(256 * x.cast("double")).cast("double")).alias("vector")
     )
     return top_k(rows, F.col("vec_id") % 50 == 0, 5)

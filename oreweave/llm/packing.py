@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from oreweave.session import stored
 
-from .common import Memo, documents, id_in, id_out, per_worker, query
+from .common import Memo, documents, free_names, id_in, id_out, per_worker, query
 
 SEQUENCE_TOKENS = 4096
 OPEN_BINS = 4096
@@ -78,12 +78,13 @@ def best_fit(pieces: DataFrame, size: int, open_bins: int, packer_sequences: int
     total = pieces.agg(F.coalesce(F.sum(length), F.lit(0))).first()[0]
     packers = max(1, -(-total // (size * packer_sequences)))
     columns = pieces.columns
+    row, lane = free_names(pieces, "_row", "_packer")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, bins = None, None
         for batch in batches:
             ids, offsets = np.empty(batch.num_rows, np.int64), np.empty(batch.num_rows, np.int64)
-            keys, needs = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("_packer", length))
+            keys, needs = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (lane, length))
             for i, (p, need) in enumerate(zip(keys, needs)):
                 if p != packer:
                     packer, bins = p, OpenBins(size, open_bins)
@@ -93,9 +94,9 @@ def best_fit(pieces: DataFrame, size: int, open_bins: int, packer_sequences: int
             names = [*columns, "sequence_id", "offset"]
             yield pa.RecordBatch.from_arrays([*whole.columns, pa.array(ids), pa.array(offsets)], names=names)
 
-    keyed = pieces.withColumn("_row", F.monotonically_increasing_id())
-    keyed = keyed.withColumn("_packer", F.pmod(F.xxhash64("_row"), F.lit(packers)))
-    dealt = keyed.repartition(packers, "_packer").sortWithinPartitions("_packer", F.desc(length), "_row")
+    keyed = pieces.withColumn(row, F.monotonically_increasing_id())
+    keyed = keyed.withColumn(lane, F.pmod(F.xxhash64(row), F.lit(packers)))
+    dealt = keyed.repartition(packers, lane).sortWithinPartitions(lane, F.desc(length), row)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
     return dealt.mapInArrow(run, f"{fields}, sequence_id long, offset long")
 

@@ -27,7 +27,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, query
+from .common import documents, free_names, query
 
 ROUNDS = 8
 WORD = r"\p{L}\p{N}"
@@ -349,7 +349,7 @@ def pseudonym(value: Column, key: str) -> Column:
 
 def pseudonymised(docs: DataFrame, key: str, text: str = "text", count: str | None = None) -> DataFrame:
     """All rows and columns with `text` rewritten; `count` names a column of replaced values."""
-    found, gaps, both = "_found", "_gaps", "_pairs"
+    found, gaps, both = free_names(docs, "_found", "_gaps", "_pairs")
     some = F.col(text).rlike(HINT)
     out = docs.withColumn(found, F.when(some, F.regexp_extract_all(F.col(text), F.lit(PATTERN), F.lit(0))))
     has = F.coalesce(F.size(found) > 0, F.lit(False))

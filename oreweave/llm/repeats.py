@@ -45,6 +45,10 @@ HOT_SEGMENTS = 1 << 15  # open segments of a key whose texts are still sorted to
 BLOCK_BYTES = 4 << 20  # text in a block, and text whose segments meet in one bucket
 
 
+#: Timestamps in JSON keep their microseconds.
+JSON_TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
 def blocks(docs: DataFrame) -> DataFrame:
     """Documents in rows of about BLOCK_BYTES of text: block, ids, sizes, data, rest.
 
@@ -52,7 +56,7 @@ def blocks(docs: DataFrame) -> DataFrame:
     the table is written.
     """
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    rest = F.to_json(F.struct(*[F.col(f"`{c}`") for c in others])) if others else F.lit(None).cast("string")
+    rest = F.to_json(F.struct(*[F.col(f"`{c}`") for c in others]), JSON_TIMES) if others else F.lit(None).cast("string")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zstandard
@@ -411,7 +415,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     out = id_out(table.mapInPandas(run, "doc_id long, text string, rest string"))
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in others)
     if others:
-        out = out.withColumn("rest", F.from_json("rest", kind))
+        out = out.withColumn("rest", F.from_json("rest", kind, JSON_TIMES))
     return out.select(*[F.col(c) if c in ("doc_id", "text") else F.col("rest").getField(c).alias(c) for c in docs.columns])
 
 
