@@ -16,7 +16,7 @@ duplicates. An empty table gives an empty result in every stage.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oreweave.llm.minhash import near_duplicates
@@ -36,16 +36,15 @@ def _recounted(docs: DataFrame) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality_model(spark, docs, sf_dir)
-    return docs.withColumn("_score", model.score(spark)).where(F.col("_score") >= THRESHOLD).drop("_score")
+    return docs.where(model.score(spark) >= THRESHOLD)
 
 
 def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of rows that repeat an id the one with the smallest text stays; null ids stay."""
+    """Rows that repeat an id stay or go together, but equal texts under one id stay once; null ids stay."""
     found = near_duplicates(docs.select("doc_id", "text"), SHINGLE_WORDS, SIMILAR_PERCENT)
     gone = found.where("not kept").select("doc_id").distinct()
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
     known = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").select(docs.columns)
-    known = known.withColumn("_first", first).where("_first = 1").drop("_first")
+    known = known.dropDuplicates(["doc_id", "text"])
     return known.unionByName(docs.where("doc_id is null"))
 
 
