@@ -1,15 +1,20 @@
-"""The corpus ledger: parquet tables partitioned by run, with upsert and replace writes.
-
-Every write is two plain Spark writes: the new content of the touched run partitions goes to a
-staging folder, then replaces exactly those partitions (dynamic partition overwrite). A job
-that dies in between can simply be repeated.
+"""The corpus ledger: parquet tables cut by run and by hashed bucket, written copy on write.
+
+A row lies in the bucket of its file (tables that files own) or of its id. A write collects which
+buckets it touches, writes their new content to a folder of its own (`commit=...`), and then puts
+down the next manifest of each run: a small file that names the live folders of every bucket. So
+one changed file rewrites one bucket per table, a job that dies before its manifest leaves the old
+version in place and can be repeated, and a plan that is still reading keeps its files until
+`vacuum` removes versions that are no longer named. Each run has one writer at a time.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Sequence
 from functools import reduce
+from urllib.parse import quote, unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -51,11 +56,17 @@ SUMMARY_NAMES = {
 }
 
 
+#: Tables whose rows belong to a file: their bucket is that of the file, the others' that of the id.
+FILE_TABLES = {"document_texts", "document_chunks", "structured_records", "document_sections", "document_assets", "artifacts", "ingest_jobs"}
+BUCKET_ROWS = 50_000  # rows a bucket is meant to have
+OVERFULL = 4  # times that many rows on average: the next write deals the run anew
+
+
 class Ledger:
     """Tables below one folder that every executor can reach."""
 
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, bucket_rows: int = BUCKET_ROWS) -> None:
+        self.spark, self.root, self.bucket_rows = spark, root.rstrip("/"), bucket_rows
 
     # storage -------------------------------------------------------------------------------
 
@@ -68,6 +79,10 @@ class Ledger:
         hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), hadoop
 
+    def _names(self, path: str) -> list[str]:
+        fs, hadoop = self._files(path)
+        return sorted(s.getPath().getName() for s in fs.listStatus(hadoop)) if fs.exists(hadoop) else []
+
     def _exists(self, path: str) -> bool:
         fs, hadoop = self._files(path)
         return fs.exists(hadoop)
@@ -76,19 +91,100 @@ class Ledger:
         fs, hadoop = self._files(path)
         fs.delete(hadoop, True)
 
-    def read(self, table: str, run_id: str | None = None) -> DataFrame:
-        """A table, or one run of it (a partition filter)."""
-        if not self._exists(self.path(table)):
+    def _folder(self, table: str, commit: str, run_id: str, bucket: int) -> str:
+        escaped = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(run_id)
+        return f"{self.path(table)}/commit={commit}/run_id={escaped}/bucket={bucket}"
+
+    # manifests -----------------------------------------------------------------------------
+
+    def _manifests(self, table: str, run_id: str) -> str:
+        return f"{self.path(table)}/_manifests/{quote(run_id, safe='')}"
+
+    def versions(self, table: str, run_id: str) -> list[str]:
+        return [n for n in self._names(self._manifests(table, run_id)) if n.endswith(".json")]
+
+    def run_ids(self, table: str) -> list[str]:
+        return [unquote(n) for n in self._names(f"{self.path(table)}/_manifests")]
+
+    def manifest(self, table: str, run_id: str, version: str | None = None) -> dict:
+        """version, buckets (their number), rows (at most so many) and live: the commits of each bucket."""
+        names = [version] if version else self.versions(table, run_id)
+        if not names:
+            return {"version": 0, "buckets": 0, "rows": 0, "live": {}}
+        fs, hadoop = self._files(f"{self._manifests(table, run_id)}/{names[-1]}")
+        stream = fs.open(hadoop)
+        try:
+            text = bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+        found = json.loads(text)
+        found["live"] = {int(b): commits for b, commits in found["live"].items()}
+        return found
+
+    def _publish(self, table: str, run_id: str, manifest: dict) -> None:
+        """The next manifest of a run appears whole: written aside, then renamed."""
+        folder = self._manifests(table, run_id)
+        version = manifest["version"] + 1
+        fs, aside = self._files(f"{folder}/.{uuid.uuid4().hex}")
+        target = self._files(f"{folder}/{version:010d}.json")[1]
+        stream = fs.create(aside)
+        stream.write(json.dumps({**manifest, "version": version}).encode())
+        stream.close()
+        if fs.exists(target) or not fs.rename(aside, target):
+            raise RuntimeError(f"{table}: run {run_id} was written by another job meanwhile")
+
+    def _live(self, table: str, only: dict[str, set[int] | None]) -> DataFrame:
+        """Rows of the given buckets (None: all) of runs."""
+        paths = [
+            self._folder(table, commit, run_id, bucket)
+            for run_id, buckets in only.items()
+            for bucket, commits in sorted(self.manifest(table, run_id)["live"].items())
+            if buckets is None or bucket in buckets
+            for commit in commits
+        ]
+        if not paths:
             return self.spark.createDataFrame([], SCHEMAS[table])
-        df = self.spark.read.schema(SCHEMAS[table]).parquet(self.path(table))
-        return df if run_id is None else df.where(F.col("run_id") == run_id)
+        reader = self.spark.read.schema(SCHEMAS[table]).option("basePath", self.path(table))
+        return reader.parquet(*paths).select(*[f.name for f in self._columns(table)])
+
+    def read(self, table: str, run_id: str | None = None) -> DataFrame:
+        """The live rows of a table, or of one run of it."""
+        self.path(table)
+        return self._live(table, {r: None for r in ([run_id] if run_id is not None else self.run_ids(table))})
+
+    def vacuum(self, keep: int = 2) -> int:
+        """Remove what none of the last `keep` manifests of a run names; returns the number of folders removed."""
+        gone = 0
+        for table in SCHEMAS:
+            named = set()
+            for run_id in self.run_ids(table):
+                versions = self.versions(table, run_id)
+                for version in versions[:-keep]:
+                    self._drop(f"{self._manifests(table, run_id)}/{version}")
+                for version in versions[-keep:]:
+                    live = self.manifest(table, run_id, version)["live"]
+                    named |= {self._folder(table, c, run_id, b) for b, commits in live.items() for c in commits}
+            for commit in self._names(self.path(table)):
+                runs = self._names(f"{self.path(table)}/{commit}") if commit.startswith("commit=") else []
+                folders = [f"{self.path(table)}/{commit}/{r}/{b}" for r in runs for b in self._names(f"{self.path(table)}/{commit}/{r}")]
+                old = [f for f in folders if "/bucket=" in f and f not in named]
+                for folder in old:
+                    self._drop(folder)
+                gone += len(old)
+                if runs and not any(f in named for f in folders):
+                    self._drop(f"{self.path(table)}/{commit}")
+        return gone
+
+    # shaping and dealing -------------------------------------------------------------------
+
+    def _columns(self, table: str):
+        return self.spark.createDataFrame([], SCHEMAS[table]).schema.fields
 
     def _shape(self, table: str, df: DataFrame) -> DataFrame:
         """Ledger columns in order; missing ones are null, timestamps default to now."""
-        target = self.spark.createDataFrame([], SCHEMAS[table]).schema
         now = iso_seconds()
         columns = []
-        for f in target.fields:
+        for f in self._columns(table):
             if f.name in df.columns:
                 columns.append(F.col(f.name).cast(f.dataType).alias(f.name))
             elif f.name in ("created_at", "updated_at"):
@@ -97,53 +193,107 @@ class Ledger:
                 columns.append(F.lit(None).cast(f.dataType).alias(f.name))
         return df.select(*columns)
 
-    def _overwrite_runs(self, table: str, df: DataFrame) -> None:
-        staging = f"{self.root}/_staging/{table}-{uuid.uuid4().hex}"
-        df.write.parquet(staging)
-        self._write_runs(table, self.spark.read.schema(SCHEMAS[table]).parquet(staging))
-        self._drop(staging)
-
-    def _write_runs(self, table: str, rows: DataFrame) -> None:
-        """Overwrite the partitions of the runs in a stored table of rows."""
-        writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        writer.partitionBy("run_id").parquet(self.path(table))
+    @staticmethod
+    def bucket_key(table: str) -> str:
+        return "source_file_id" if table in FILE_TABLES else "id"
+
+    def _plan(self, table: str, rows: dict[str, int], anew: bool = False, deal: bool = True) -> dict[str, dict]:
+        """Manifests that a write of so many rows per run goes on from; `anew`, and overfull runs
+        where the write may `deal` their rows again, get new buckets."""
+        out = {}
+        for run_id, count in rows.items():
+            old = self.manifest(table, run_id)
+            full = deal and not anew and old["rows"] > OVERFULL * self.bucket_rows * old["buckets"]
+            before = 0 if anew else self._live(table, {run_id: None}).count() if full else old["rows"]  # updates were added up as new rows
+            total = before + count
+            fresh = anew or not old["live"] or full
+            buckets = max(1, -(-total // self.bucket_rows)) if fresh else old["buckets"]
+            out[run_id] = {**old, "buckets": buckets, "rows": total, "fresh": fresh}
+        return out
+
+    def _bucket(self, table: str, plan: dict[str, dict], key: str | None = None) -> Column:
+        code = F.xxhash64(F.coalesce(F.col(key or self.bucket_key(table)), F.lit("")))
+        counts = {p["buckets"] for p in plan.values()}
+        if counts <= {1}:
+            return F.lit(0)
+        if len(counts) == 1:
+            return F.pmod(code, F.lit(counts.pop())).cast("int")
+        buckets = F.create_map(*[F.lit(v) for run_id, p in plan.items() for v in (run_id, p["buckets"])])
+        return F.pmod(code, F.element_at(buckets, F.col("run_id"))).cast("int")
+
+    def _touched(self, table: str, plan: dict[str, dict], rows: DataFrame) -> dict[str, set[int] | None]:
+        """Buckets that rows (with run_id and the bucket key) fall in; None where the whole run is dealt anew."""
+        out: dict[str, set[int] | None] = {r: None if p["fresh"] else ({0} if p["buckets"] == 1 else set()) for r, p in plan.items()}
+        if any(found == set() for found in out.values()):
+            for r in rows.select("run_id", self._bucket(table, plan).alias("bucket")).distinct().collect():
+                if out[r["run_id"]] is not None:
+                    out[r["run_id"]].add(r["bucket"])
+        return out
+
+    def _commit(self, table: str, content: DataFrame, plan: dict[str, dict], touched: dict[str, set[int] | None], add: bool = False) -> None:
+        """Write the new content of the touched buckets, then let the manifests name it."""
+        commit = uuid.uuid4().hex
+        dealt = content.withColumn("bucket", self._bucket(table, plan)).hint("rebalance", "run_id", "bucket")
+        dealt.write.partitionBy("run_id", "bucket").parquet(f"{self.path(table)}/commit={commit}")
+        for run_id, p in plan.items():
+            buckets = touched[run_id]
+            live = {} if buckets is None else dict(p["live"])
+            for bucket in range(p["buckets"]) if buckets is None else sorted(buckets):
+                before = live.pop(bucket, [])
+                before = before if add else []
+                now = [commit] if self._exists(self._folder(table, commit, run_id, bucket)) else []
+                if before or now:
+                    live[bucket] = [*before, *now]
+            rows = p["rows"] if live else 0
+            self._publish(table, run_id, {"version": p["version"], "buckets": p["buckets"], "rows": rows, "live": live})
+
+    def _counted(self, rows: DataFrame) -> dict[str, int]:
+        return {r["run_id"]: r["n"] for r in rows.groupBy("run_id").agg(F.count("*").alias("n")).collect()}
 
     # writes --------------------------------------------------------------------------------
 
     def append(self, table: str, df: DataFrame) -> None:
-        """Log rows: artifacts, provider calls."""
-        self._shape(table, df).write.mode("append").partitionBy("run_id").parquet(self.path(table))
+        """Log rows: artifacts, provider calls. Nothing is read; the buckets get one more folder each."""
+        fresh = stored(self._shape(table, df))
+        plan = self._plan(table, self._counted(fresh), deal=False)
+        self._commit(table, fresh, plan, self._touched(table, plan, fresh), add=True)
 
     def upsert(self, table: str, df: DataFrame, keys: Sequence[str] = ("id",)) -> None:
-        """Insert or update by key: the new row wins, ``created_at`` of the old row stays."""
+        """Insert or update by key: the new row wins, ``created_at`` of the old row stays.
+
+        In tables that files own a key must not change its file: only the buckets of the new
+        rows are looked at."""
         fresh = stored(self._shape(table, df))  # the input is computed once
-        runs = fresh.select("run_id").distinct()
-        old = self.read(table).join(runs, "run_id", "left_semi")
-        both = old.withColumn("_new", F.lit(0)).unionByName(fresh.withColumn("_new", F.lit(1)))
+        plan = self._plan(table, self._counted(fresh))
+        touched = self._touched(table, plan, fresh)
+        both = self._live(table, touched).withColumn("_new", F.lit(0)).unionByName(fresh.withColumn("_new", F.lit(1)))
         if "created_at" in both.columns:
             first = F.min("created_at").over(Window.partitionBy(*keys))
             both = both.withColumn("created_at", first)
         order = [F.desc("_new")] + ([F.desc("updated_at")] if "updated_at" in both.columns else [])
-        self._overwrite_runs(table, keep_first(both, list(keys), order).drop("_new"))
+        self._commit(table, keep_first(both, list(keys), order).drop("_new"), plan, touched)
 
     def replace(self, table: str, df: DataFrame, scope: DataFrame, keys: Sequence[str] = ("run_id", "source_file_id")) -> None:
-        """Replace all rows of the scope keys with ``df``; a scope key without rows is cleared."""
+        """Replace all rows of the scope keys with ``df``; a scope key without rows is cleared.
+
+        Keys that hold the bucket key touch its buckets only, others (such as run and type) the runs' all."""
         fresh = stored(self._shape(table, df))
         wanted = stored(scope.select(*keys).distinct())
-        runs = wanted.select("run_id").distinct()
-        kept = self.read(table).join(runs, "run_id", "left_semi").join(wanted, list(keys), "left_anti")
-        content = kept.unionByName(fresh)
-        emptied = [r["run_id"] for r in runs.join(content.select("run_id"), "run_id", "left_anti").collect()]
-        self._overwrite_runs(table, content)
-        for run_id in emptied:
-            self._drop(f"{self.path(table)}/run_id={run_id}")
+        rows = {**{r["run_id"]: 0 for r in wanted.select("run_id").distinct().collect()}, **self._counted(fresh)}
+        plan = self._plan(table, rows)
+        own = self.bucket_key(table)
+        if own in keys:
+            touched = self._touched(table, plan, wanted.select("run_id", own).unionByName(fresh.select("run_id", own)))
+        else:
+            touched = dict.fromkeys(plan)
+        kept = self._live(table, touched).join(wanted, list(keys), "left_anti")
+        self._commit(table, kept.unionByName(fresh), plan, touched)
 
     def replace_run(self, table: str, df: DataFrame, run_id: str) -> None:
         """Replace one run of a derived table."""
-        staged = stored(self._shape(table, df))
-        self._write_runs(table, staged)
-        if not staged.limit(1).count() and self.read(table, run_id).limit(1).count():
-            self._drop(f"{self.path(table)}/run_id={run_id}")
+        fresh = stored(self._shape(table, df).where(F.col("run_id") == run_id))
+        plan = self._plan(table, {run_id: fresh.count()}, anew=True)
+        self._commit(table, fresh, plan, {run_id: None})
 
     # runs ----------------------------------------------------------------------------------
 
