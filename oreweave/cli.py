@@ -24,6 +24,15 @@ def build_parser() -> argparse.ArgumentParser:
     ingest.add_argument("--run-name")
     ingest.add_argument("--ocr", choices=["auto", "always", "off"], default="auto")
 
+    refresh = commands.add_parser("refresh", help="bring a run up to date with its folder")
+    refresh.add_argument("path")
+    refresh.add_argument("--run-id", default="latest")
+    refresh.add_argument("--ocr", choices=["auto", "always", "off"], default="auto")
+    refresh.add_argument("--max-attempts", type=int, default=1, help="times a file is tried whose parser fails")
+
+    vacuum = commands.add_parser("vacuum", help="remove old versions of the ledger tables")
+    vacuum.add_argument("--keep", type=int, default=2)
+
     records = commands.add_parser("records", help="ingest provider records from JSON lines")
     records.add_argument("source_type", choices=["openalex", "oqmd", "materials_project"])
     records.add_argument("path")
@@ -69,6 +78,10 @@ def main(argv: list[str] | None = None) -> int:
     if args.command == "ingest":
         run_id = P.ingest_folder(spark, ledger, args.path, args.run_name, args.ocr)
         print(json.dumps(ledger.run_status(run_id), ensure_ascii=False, default=str))
+    elif args.command == "refresh":
+        print(json.dumps(P.drain_folder(spark, ledger, args.path, ledger.resolve_run(args.run_id), ocr=args.ocr, max_attempts=args.max_attempts)))
+    elif args.command == "vacuum":
+        print(json.dumps({"removed": ledger.vacuum(args.keep)}))
     elif args.command == "records":
         payloads = spark.read.text(args.path).select(F.col("value").alias("payload")).where(F.try_parse_json("payload").isNotNull())
         run_id = P.ingest_records(spark, ledger, payloads, args.source_type, args.run_name)

@@ -36,6 +36,7 @@ from oreweave.sources import files as Src
 from oreweave.sources import ocr as Ocr
 from oreweave.sources import tei as Tei
 from oreweave.sources.jsonl import knowledge_base
+from oreweave.streaming.incremental import drain
 
 STAGES = ["sections", "assets", "entities", "relations", "embeddings", "sync"]
 
@@ -144,10 +145,20 @@ def ingest_folder(
     """Scan a folder, parse and store its files, chunk them; returns the run id."""
     run_id = ledger.create_run(name or root.rstrip("/").rsplit("/", 1)[-1], root, json.dumps({"ocr": ocr}))
     ledger.set_status(run_id, "running")
-    files = Src.scan_folder(spark, root)
-    ledger.upsert("source_files", source_file_rows(files, run_id))
+    ingest_files(ledger, run_id, Src.scan_folder(spark, root), ocr, engines)
+    promote_run(ledger, run_id)
+    return run_id
+
 
+def ingest_files(ledger: Ledger, run_id: str, files: DataFrame, ocr: str = "auto", engines: Sequence[Ocr.Engine] = (Ocr.tesseract,)) -> None:
+    """Parse, store and chunk scanned files of a run; what the ledger holds of these files is replaced.
+
+    A file is `queued` until all its tables are written, so a job that dies takes it again.
+    """
     file_id = stable_id(F.lit(run_id), F.col("relative_path")).alias("source_file_id")
+    sources = stored_table(source_file_rows(files, run_id))
+    ledger.upsert("source_files", sources)
+
     records, workbook_texts, workbook_errors = _workbook_records(ledger, files, run_id)
     # parsed once; every ledger write below reads the stored rows
     parsed = stored_table(Src.parse_files(files)).join(files.select("path", "relative_path", "source_type", file_id), "path")
@@ -179,18 +190,21 @@ def ingest_folder(
     jobs = _tag(parsed, run_id).select(
         stable_id(F.lit(run_id), F.lit("extract"), F.col("source_file_id")).alias("id"), "run_id", "source_file_id",
         F.lit("extract").alias("stage"), F.when(failed, "failed").otherwise("completed").alias("status"),
-        F.lit(1).alias("attempts"), F.lit("{}").alias("payload"), F.col("parse_error").alias("error"),
+        F.lit("{}").alias("payload"), F.col("parse_error").alias("error"),
     )
     chunk_jobs = jobs.withColumn("stage", F.lit("chunk_index")).withColumn("status", F.lit("completed")).withColumn(
         "id", stable_id(F.lit(run_id), F.lit("chunk_index"), F.col("source_file_id"))
     ).withColumn("error", F.lit(None).cast("string"))
-    ledger.upsert("ingest_jobs", jobs.unionByName(chunk_jobs))
-    stored = ledger.read("document_texts", run_id)
-    need_ocr = F.coalesce(F.from_json("text_quality", "ocr_required BOOLEAN")["ocr_required"], F.lit(False))
-    chunk_run(ledger, run_id)
+    tried = ledger.read("ingest_jobs", run_id).select("id", F.col("attempts").alias("tried"))
+    jobs = jobs.unionByName(chunk_jobs).join(tried, "id", "left")
+    ledger.upsert("ingest_jobs", jobs.withColumn("attempts", F.coalesce("tried", F.lit(0)) + 1).drop("tried"))
+    own = sources.select(F.col("id").alias("source_file_id"))
+    chunk_run(ledger, run_id, own)
     if ocr != "off":
+        need_ocr = F.coalesce(F.from_json("text_quality", "ocr_required BOOLEAN")["ocr_required"], F.lit(False))
+        required = ledger.read("document_texts", run_id).where(need_ocr).join(own, "source_file_id", "left_semi")
         images = files.where(F.col("source_type").isin("pdf", "image")).select("path", "content", file_id)
-        wanted = images if ocr == "always" else images.join(stored.where(need_ocr).select("source_file_id"), "source_file_id", "left_semi")
+        wanted = images if ocr == "always" else images.join(required.select("source_file_id"), "source_file_id", "left_semi")
         results = stored_table(Ocr.recognise(wanted, engines))
         ledger.append("artifacts", _tag(results, run_id).select(
             stable_id(F.lit(run_id), F.lit("ocr"), F.col("source_file_id")).alias("id"), "run_id", "source_file_id", F.lit("ocr").alias("kind"),
@@ -198,9 +212,110 @@ def ingest_folder(
         ))
         if results.where(F.col("status") == "completed").limit(1).count():
             apply_ocr(ledger, run_id, results)
-    ledger.upsert("source_files", ledger.read("source_files", run_id).withColumn("status", F.lit("extracted")).drop("updated_at"))
+    ledger.upsert("source_files", sources.withColumn("status", F.lit("extracted")).drop("updated_at"))
+
+
+# Incremental ingest ------------------------------------------------------------------------
+
+
+def folder_changes(listing: DataFrame, known: DataFrame, jobs: DataFrame, max_attempts: int = 1) -> DataFrame:
+    """What a folder's listing (``path, relative_path, length, modified``) says against the ledger.
+
+    change: ``new``, ``changed`` (size or time differ), ``unfinished`` (an earlier job died, or the
+    file came back), ``retry`` (its parser failed fewer than ``max_attempts`` times), ``gone`` or
+    ``same``. Files' contents are not looked at.
+    """
+    state = known.select(
+        "relative_path", F.col("id").alias("source_file_id"), F.col("bytes").alias("_bytes"), F.col("status").alias("_status"),
+        F.from_json("metadata", "modified BIGINT")["modified"].alias("_modified"),
+    )
+    failed = jobs.where((F.col("stage") == "extract") & (F.col("status") == "failed") & (F.col("attempts") < max_attempts))
+    state = state.join(failed.select("source_file_id", F.lit(True).alias("_failed")), "source_file_id", "left")
+    both = listing.join(state, "relative_path", "full_outer")
+    here = F.col("path").isNotNull()
+    return both.select(
+        "relative_path", "path", "modified", "source_file_id",
+        F.when(~here & (F.col("_status") == "missing"), "same").when(~here, "gone").when(F.col("source_file_id").isNull(), "new")
+        .when(F.col("_status") != "extracted", "unfinished")
+        .when((F.col("length") != F.col("_bytes")) | ~F.unix_micros("modified").eqNullSafe(F.col("_modified")), "changed")
+        .when(F.coalesce("_failed", F.lit(False)), "retry").otherwise("same").alias("change"),
+    )
+
+
+def refresh_folder(
+    spark: SparkSession, ledger: Ledger, root: str, run_id: str, ocr: str = "auto",
+    engines: Sequence[Ocr.Engine] = (Ocr.tesseract,), max_attempts: int = 1,
+) -> dict[str, int]:
+    """Bring a run up to date with its folder: only new and changed files are parsed; returns counts by kind.
+
+    The listing is compared with the ledger by size and time without opening a file. Of what
+    differs the contents are hashed; a file whose bytes are the ones the ledger knows is only
+    ``touched``. Rows of files that went are removed, their source row stays as ``missing``.
+    """
+    changes = stored_table(folder_changes(
+        Src.scan_folder(spark, root).drop("content"), ledger.read("source_files", run_id), ledger.read("ingest_jobs", run_id), max_attempts
+    ))
+    found = changes.groupBy("change").agg(F.count("*").alias("n"), F.min("modified").alias("since")).collect()
+    counts = {kind: 0 for kind in ("new", "changed", "unfinished", "retry", "gone", "same", "touched")} | {r["change"]: r["n"] for r in found}
+    since = min((r["since"] for r in found if r["change"] not in ("gone", "same")), default=None)
+    if since is not None:
+        wanted = changes.where(~F.col("change").isin("gone", "same")).select("relative_path", "change")
+        # the time filter reaches the file format: older files are not opened
+        recent = Src.scan_folder(spark, root).where(F.col("modified") >= F.lit(since))
+        hashed = stored_table(source_file_rows(recent.join(wanted, "relative_path", "left_semi"), run_id))
+        old = ledger.read("source_files", run_id).select("relative_path", F.col("sha256").alias("_sha"))
+        equal = hashed.join(wanted.where(F.col("change") == "changed"), "relative_path", "left_semi").join(old, "relative_path")
+        equal = stored_table(equal.where(F.col("sha256") == F.col("_sha")).drop("_sha"))
+        counts["touched"] = equal.count()
+        counts["changed"] -= counts["touched"]
+        if counts["touched"]:
+            ledger.upsert("source_files", equal.withColumn("status", F.lit("extracted")))
+        if hashed.count() > counts["touched"]:
+            differ = hashed.join(equal, "relative_path", "left_anti").select("relative_path")
+            ingest_files(ledger, run_id, recent.join(differ, "relative_path", "left_semi"), ocr, engines)
+    if counts["gone"]:
+        gone = _tag(changes.where(F.col("change") == "gone").select("source_file_id"), run_id)
+        for table in ("document_texts", "document_chunks", "structured_records", "document_sections", "document_assets"):
+            ledger.replace(table, ledger.read(table, run_id).limit(0), gone)
+        lost = ledger.read("source_files", run_id).join(gone.select(F.col("source_file_id").alias("id")), "id", "left_semi")
+        ledger.upsert("source_files", lost.withColumn("status", F.lit("missing")).drop("updated_at"))
+    if any(counts[kind] for kind in ("new", "changed", "unfinished", "retry", "gone")):
+        promote_run(ledger, run_id)
+    return counts
+
+
+def drain_folder(spark: SparkSession, ledger: Ledger, root: str, run_id: str, **options) -> list[dict[str, int]]:
+    """Passes of `refresh_folder` until one finds nothing to do: files that arrive meanwhile are taken too."""
+    passes = []
+    while not passes or any(n for kind, n in passes[-1].items() if kind not in ("same", "touched")):
+        passes.append(refresh_folder(spark, ledger, root, run_id, **options))
+    return passes
+
+
+def stream_folder(
+    spark: SparkSession, ledger: Ledger, root: str, run_id: str, checkpoint: str, ocr: str = "auto",
+    engines: Sequence[Ocr.Engine] = (Ocr.tesseract,), max_files: int | None = None,
+) -> None:
+    """The folder as a stream of new paths, drained in micro-batches; a restart goes on where it ended.
+
+    Batches that a lost driver repeats parse nothing twice: files that the ledger holds with the
+    same bytes are passed over. A stream sees each path once; changed files are for `refresh_folder`.
+    """
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    reader = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true")
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        files = Src.scanned(batch, root)
+        hashed = stored_table(source_file_rows(files, run_id).select("relative_path", "sha256"))
+        held = ledger.read("source_files", run_id).where(F.col("status") == "extracted")
+        fresh = stored_table(hashed.join(held, ["relative_path", "sha256"], "left_anti"))
+        if fresh.limit(1).count():
+            ingest_files(ledger, run_id, files.join(fresh, "relative_path", "left_semi"), ocr, engines)
+
+    drain(reader.load(root), write, checkpoint)
     promote_run(ledger, run_id)
-    return run_id
 
 
 def apply_ocr(ledger: Ledger, run_id: str, results: DataFrame) -> None:

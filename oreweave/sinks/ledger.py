@@ -349,7 +349,7 @@ class Ledger:
 
 
 def source_file_rows(files: DataFrame, run_id: str) -> DataFrame:
-    """Ledger rows of scanned files (``path, relative_path, source_type, content, length``)."""
+    """Ledger rows of scanned files (``path, relative_path, source_type, content, length, modified``)."""
     return files.select(
         stable_id(F.lit(run_id), F.col("relative_path")).alias("id"),
         F.lit(run_id).alias("run_id"),
@@ -359,7 +359,7 @@ def source_file_rows(files: DataFrame, run_id: str) -> DataFrame:
         sha256(F.col("content")).alias("sha256"),
         F.col("length").alias("bytes"),
         F.lit("queued").alias("status"),
-        F.lit("{}").alias("metadata"),
+        F.to_json(F.struct(F.unix_micros("modified").alias("modified"))).alias("metadata"),
     )
 
 

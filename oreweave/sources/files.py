@@ -26,18 +26,24 @@ PARSED = "path string, parsed_text string, parse_error string, metadata string"
 
 
 def scan_folder(spark: SparkSession, root: str, pattern: str | None = None) -> DataFrame:
-    """Files below a folder: path, relative_path, length, content, source_type.
+    """Files below a folder: path, relative_path, length, content, source_type, modified.
 
-    The content column is only read by plans that use it.
+    The content column is only read by plans that use it, and never for files that a filter on
+    ``modified`` or ``length`` leaves out.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    files = reader.load(root)
+    return scanned(reader.load(root), root)
+
+
+def scanned(files: DataFrame, root: str) -> DataFrame:
+    """Columns of a scan from rows of the binary file format, of a batch or of a stream."""
     prefix = re.escape(root.rstrip("/").split("://")[-1].removeprefix("file:")) + "/"
     relative = F.regexp_replace("path", f"^(?:[a-z0-9]+:(?://[^/]*)?)?/*(?=/){prefix}", "")
     return files.select(
-        "path", relative.alias("relative_path"), "length", "content", T.source_type(F.col("path")).alias("source_type")
+        "path", relative.alias("relative_path"), "length", "content", T.source_type(F.col("path")).alias("source_type"),
+        F.col("modificationTime").alias("modified"),
     )
 
 

@@ -5,6 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from oreweave.plans import pipeline as P
 from oreweave.sinks.ledger import Ledger
 
 CHUNKS = "id string, run_id string, source_file_id string, document_id string, chunk_index int, text string"
@@ -119,3 +120,94 @@ def test_empty_writes(spark, ledger):
     assert ledger.read("document_chunks", "r").count() == 0
     with pytest.raises(KeyError):
         ledger.read("other")
+
+
+# incremental ingest ----------------------------------------------------------------------------------
+
+
+def write(path, text):
+    path.parent.mkdir(parents=True, exist_ok=True)
+    path.write_text(text, encoding="utf-8")
+
+
+def held(ledger, run_id):
+    names = {r["id"]: r["relative_path"] for r in ledger.read("source_files", run_id).collect()}
+    return {names[r["source_file_id"]]: r["text"] for r in ledger.read("document_texts", run_id).collect()}
+
+
+def buckets(ledger, table, run_id):
+    return ledger.manifest(table, run_id)["live"]
+
+
+def test_second_ingest_parses_nothing_and_a_change_is_replaced(spark, tmp_path, monkeypatch):
+    root, ledger = tmp_path / "in", Ledger(spark, str(tmp_path / "ledger"))
+    for k in range(4):
+        write(root / f"sub{k % 2}" / f"{k}.txt", f"Introduction\nSteel number {k} was tested. " * 5)
+    (root / "bad.docx").write_bytes(b"not a zip")
+    run_id = P.ingest_folder(spark, ledger, str(root), "demo", ocr="off")
+    taken = []
+    own = P.ingest_files
+    monkeypatch.setattr(P, "ingest_files", lambda ledger, run, files, *rest: (taken.append(sorted(r[0] for r in files.select("relative_path").collect())), own(ledger, run, files, *rest))[1])
+
+    before = {t: ledger.versions(t, run_id) for t in ("document_texts", "document_chunks", "source_files")}
+    assert P.drain_folder(spark, ledger, str(root), run_id, ocr="off") == [{"new": 0, "changed": 0, "unfinished": 0, "retry": 0, "gone": 0, "same": 5, "touched": 0}]
+    assert taken == [] and before == {t: ledger.versions(t, run_id) for t in before}
+
+    write(root / "sub0" / "2.txt", "Introduction\nA wholly new text about copper.")
+    os.utime(root / "sub1" / "1.txt", (1, 1))  # another time, the same bytes
+    write(root / "new.txt", "Introduction\nNickel came later.")
+    os.remove(root / "sub1" / "3.txt")
+    passes = P.drain_folder(spark, ledger, str(root), run_id, ocr="off")
+    assert [(p["new"], p["changed"], p["touched"], p["gone"], p["same"]) for p in passes] == [(1, 1, 1, 1, 2), (0, 0, 0, 0, 6)]
+    assert taken == [["new.txt", "sub0/2.txt"]]
+    texts_ = held(ledger, run_id)
+    assert sorted(texts_) == ["bad.docx", "new.txt", "sub0/0.txt", "sub0/2.txt", "sub1/1.txt"] and "copper" in texts_["sub0/2.txt"]
+    chunks = {r["text"] for r in ledger.read("document_chunks", run_id).collect()}
+    assert any("copper" in c for c in chunks) and not any("number 2" in c or "number 3" in c for c in chunks)
+    states = {r["relative_path"]: r["status"] for r in ledger.read("source_files", run_id).collect()}
+    assert states["sub1/3.txt"] == "missing" and set(states.values()) == {"missing", "extracted"}
+
+    write(root / "sub1" / "3.txt", "Introduction\nIt came back.")
+    assert P.refresh_folder(spark, ledger, str(root), run_id, ocr="off")["unfinished"] == 1
+    assert "back" in held(ledger, run_id)["sub1/3.txt"]
+
+
+def test_failed_files_are_tried_again_up_to_a_limit(spark, tmp_path):
+    root, ledger = tmp_path / "in", Ledger(spark, str(tmp_path / "ledger"))
+    write(root / "a.txt", "text")
+    (root / "bad.docx").write_bytes(b"not a zip")
+    run_id = P.ingest_folder(spark, ledger, str(root), ocr="off")
+    passes = P.drain_folder(spark, ledger, str(root), run_id, ocr="off", max_attempts=3)
+    assert [p["retry"] for p in passes] == [1, 1, 0]
+    jobs = {(r["stage"], r["status"]): r["attempts"] for r in ledger.read("ingest_jobs", run_id).collect()}
+    assert jobs["extract", "failed"] == 3 and jobs["extract", "completed"] == 1
+
+
+def test_a_job_that_died_is_taken_up_again(spark, tmp_path, monkeypatch):
+    root, ledger = tmp_path / "in", Ledger(spark, str(tmp_path / "ledger"))
+    write(root / "a.txt", "first text")
+    run_id = P.ingest_folder(spark, ledger, str(root), ocr="off")
+    write(root / "a.txt", "second text, longer")
+    monkeypatch.setattr(P, "chunk_run", lambda *a: (_ for _ in ()).throw(RuntimeError("killed")))
+    with pytest.raises(RuntimeError):
+        P.refresh_folder(spark, ledger, str(root), run_id, ocr="off")
+    monkeypatch.undo()
+    assert P.refresh_folder(spark, ledger, str(root), run_id, ocr="off")["unfinished"] == 1
+    assert [r["text"] for r in ledger.read("document_chunks", run_id).collect()] == ["second text, longer"]
+
+
+def test_folder_as_a_stream(spark, tmp_path, monkeypatch):
+    root, ledger, checkpoint = tmp_path / "in", Ledger(spark, str(tmp_path / "ledger")), str(tmp_path / "checkpoint")
+    for k in range(3):
+        write(root / f"{k}.txt", f"text {k}")
+    run_id = ledger.create_run("stream", str(root))
+    calls = []
+    own = P.ingest_files
+    monkeypatch.setattr(P, "ingest_files", lambda ledger, run, files, *rest: (calls.append(files.count()), own(ledger, run, files, *rest))[1])
+    P.stream_folder(spark, ledger, str(root), run_id, checkpoint, ocr="off", max_files=2)
+    assert calls == [2, 1] and sorted(held(ledger, run_id).values()) == ["text 0", "text 1", "text 2"]
+    write(root / "sub" / "3.txt", "text 3")
+    P.stream_folder(spark, ledger, str(root), run_id, checkpoint, ocr="off")
+    assert calls == [2, 1, 1] and len(held(ledger, run_id)) == 4
+    P.stream_folder(spark, ledger, str(root), run_id, str(tmp_path / "other"), ocr="off")  # a lost checkpoint
+    assert calls == [2, 1, 1] and ledger.read("ingest_runs", run_id).first()["status"] == "completed"
