@@ -8,9 +8,11 @@ import json
 from pyspark.sql import functions as F
 
 from oreweave.operators.research import WEB_RESULT, run_research, stored_web_search
+from oreweave.plans import harvest as H
 from oreweave.plans import pipeline as P
 from oreweave.session import get_spark
 from oreweave.sinks.ledger import Ledger
+from oreweave.sources.providers import profile_queries
 
 
 def build_parser() -> argparse.ArgumentParser:
@@ -38,6 +40,21 @@ def build_parser() -> argparse.ArgumentParser:
     records.add_argument("path")
     records.add_argument("--run-name", default="records")
 
+    harvest = commands.add_parser("harvest", help="export works of a provider by queries; goes on with an unfinished export")
+    harvest.add_argument("out")
+    harvest.add_argument("--query", action="append", default=[])
+    harvest.add_argument("--profile", help="queries of a profile, when none are given")
+    harvest.add_argument("--limit-per-query", type=int, default=0)
+    harvest.add_argument("--limit-total", type=int, default=0)
+    harvest.add_argument("--max-pages", type=int, default=0)
+    harvest.add_argument("--max-stale-pages", type=int, default=0)
+    harvest.add_argument("--page-size", type=int, default=200)
+    harvest.add_argument("--resume-from", action="append", default=[])
+    harvest.add_argument("--fetch", default="oreweave.sources.providers:fetch_openalex", help="module:function for one page")
+    harvest.add_argument("--lookup", help="module:function for one DOI")
+    harvest.add_argument("--option", action="append", default=[], help="name=value handed to the functions")
+    harvest.add_argument("--no-ledger", action="store_true")
+
     for name in ("build", "build-all"):
         build = commands.add_parser(name, help="build graph tables")
         build.add_argument("--run-id", default="latest")
@@ -86,6 +103,15 @@ def main(argv: list[str] | None = None) -> int:
         payloads = spark.read.text(args.path).select(F.col("value").alias("payload")).where(F.try_parse_json("payload").isNotNull())
         run_id = P.ingest_records(spark, ledger, payloads, args.source_type, args.run_name)
         print(json.dumps(ledger.run_status(run_id), ensure_ascii=False, default=str))
+    elif args.command == "harvest":
+        options = {"fetch": args.fetch, **dict(o.split("=", 1) for o in args.option)}
+        limits = H.Limits(args.limit_per_query, args.limit_total, args.max_pages, args.max_stale_pages, args.page_size)
+        manifest = H.export_literature(
+            spark, args.out, args.query or profile_queries(args.profile or "full"), H.fetched_pages(options), limits, args.resume_from,
+            args.lookup, options, None if args.no_ledger else ledger,
+        )
+        print(json.dumps(manifest, ensure_ascii=False))
+        return 2 if manifest["failed_queries"] else 0
     elif args.command == "build":
         run_id = ledger.resolve_run(args.run_id)
         print(json.dumps({"run_id": run_id, **P.build_graph(ledger, run_id, P.parse_stages(args.stages))}))

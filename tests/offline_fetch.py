@@ -24,3 +24,26 @@ def tei(content):
 
 def no_tei(content):
     return "<html/>"
+
+
+def logged_works(options, query, cursor, count):
+    """Pages of a fixed catalogue: `shared` works come back under several queries."""
+    import os
+    import uuid
+
+    page = 0 if cursor == "*" else int(cursor)
+    with open(os.path.join(options["log"], f"{query}-{page}-{uuid.uuid4().hex}"), "w"):
+        pass
+    if query == "broken" and page == 1:
+        raise RuntimeError("gone")
+    if query == "empty":
+        return [], None
+    name = "a" if query == "same" else query
+    found = [{"id": f"{name}-{page * 100 + i}", "doi": f"https://doi.org/10.1/{name}{page * 100 + i}", "title": query} for i in range(count)]
+    return found, str(page + 1) if page < 3 else None
+
+
+def unpaywall(options, doi):
+    if doi.endswith("a1"):
+        raise RuntimeError("not found")
+    return {"doi": doi, "is_oa": True}
