@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from oreweave import constants as K
+from oreweave.session import stored
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
@@ -47,15 +48,14 @@ def exact_quantiles(
     value: str,
     probabilities: Sequence[float],
     accuracy: int = 100_000,
-    few_groups: bool = False,
 ) -> DataFrame:
     """Exact interpolated quantiles of groups of any size.
 
-    A sketch brackets every quantile; rows below a bracket are only counted and just the
-    distinct values inside it are ordered, so no task ever holds a whole group. Groups of at
-    most ``2 * accuracy`` rows use their full range. A bracket that misses its rank raises, it
-    never yields a wrong value. ``few_groups`` promises a number of groups small enough to
-    broadcast, such as one per column.
+    A sketch brackets every quantile; rows below a bracket are only counted, map-side, and just
+    the distinct values inside travel. They are dealt over tasks by ranges of value, block counts
+    are summed up over the ranges, and only the block that holds a rank is put in order: neither a
+    group nor a bracket meets in one task. Groups of at most ``2 * accuracy`` rows use their full
+    range. A bracket that misses its rank raises, it never yields a wrong value.
     """
     slack = 8.0 / accuracy
     lows = [max(0.0, p - slack) for p in probabilities]
@@ -79,17 +79,19 @@ def exact_quantiles(
         F.when(small | (p >= 1 - slack), F.col("_max")).otherwise(high_at).alias("_high"),
         (p * (F.col("_n") - 1)).alias("_rank"),
     )
-    # values are counted first, so the join sees each distinct value once per group
-    counted = values.groupBy(*keys, value).agg(F.count("*").alias("_c"))
-    joined = counted.join(F.broadcast(brackets) if few_groups else brackets, list(keys)).where(
-        F.col(value) <= F.col("_high")
-    )
+    # a stored table has a known size: the planner broadcasts it where it is small
+    joined = values.join(stored(brackets), list(keys)).where(F.col(value) <= F.col("_high"))
     by = [*keys, "probability", "_rank"]
-    # everything below the bracket folds into one row per quantile before any ordering
-    below = F.col(value) < F.col("_low")
-    folded = joined.groupBy(*by, F.when(~below, F.col(value)).alias("_value")).agg(F.sum("_c").alias("_c"))
-    ordered = Window.partitionBy(*by).orderBy(F.asc_nulls_first("_value"))
-    ranked = folded.withColumn("_end", F.sum("_c").over(ordered)).withColumn("_start", F.col("_end") - F.col("_c"))
+    inside = F.when(F.col(value) >= F.col("_low"), F.col(value))  # null: below the bracket, one row a quantile
+    folded = joined.groupBy(*by, inside.alias("_value")).agg(F.count("*").alias("_c"))
+    dealt = stored(folded.repartitionByRange(*[F.col(c) for c in by], F.asc_nulls_first("_value")).withColumn("_block", F.spark_partition_id()))
+    before = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = dealt.groupBy(*by, "_block").agg(F.sum("_c").alias("_t"))
+    blocks = blocks.withColumn("_carry", F.coalesce(F.sum("_t").over(before), F.lit(0)))
+    holds = [(F.col("_carry") <= r) & (r < F.col("_carry") + F.col("_t")) for r in (F.floor("_rank"), F.ceil("_rank"))]
+    ordered = Window.partitionBy(*by, "_block").orderBy(F.asc_nulls_first("_value"))
+    ranked = dealt.join(blocks.where(holds[0] | holds[1]), [*by, "_block"])
+    ranked = ranked.withColumn("_end", F.col("_carry") + F.sum("_c").over(ordered)).withColumn("_start", F.col("_end") - F.col("_c"))
 
     def value_at(rank: Column) -> Column:
         return F.max(F.when((F.col("_start") <= rank) & (rank < F.col("_end")), F.col("_value")))
@@ -102,7 +104,7 @@ def exact_quantiles(
 
 
 def _wide_quantiles(values: DataFrame, keys: Sequence[str], names: dict[float, str]) -> DataFrame:
-    found = exact_quantiles(values, keys, "value", list(names), few_groups=True)
+    found = exact_quantiles(values, keys, "value", list(names))
     return found.groupBy(*keys).agg(
         *[F.max(F.when(F.col("probability") == p, F.col("quantile"))).alias(name) for p, name in names.items()]
     )
