@@ -1,25 +1,27 @@
 """Substring join of texts against a dictionary of any size.
 
 ``norm in text`` is not an equi-join, and comparing every text with every name would be a
-cross join. A dictionary of bounded size is searched for as a whole, in one pass over the texts.
-For a larger one every name is given one anchor: among the short pieces it is made of,
-the one that the fewest texts contain. A text can only contain the name if it contains the
-anchor, so an equi-join on the anchor yields all candidates and one ``contains`` check makes
-them exact. Which anchor is chosen affects the work, never the result.
-
-Longer pieces are rarer: the piece length is that of the shortest name, between three and five
-characters, so one pass over the texts serves the whole dictionary.
+cross join. Every name is given one anchor among the short pieces it is made of. A text can only
+contain the name if it contains the anchor, so an equi-join on the anchor yields all candidates
+and one ``contains`` check makes them exact. Which anchor is chosen affects the work, never the
+result.
+
+The anchors of a dictionary of bounded size are broadcast: texts are cut into pieces, joined and
+checked in the row that still holds the text, in one scan without a shuffle; an anchor is the
+piece that the fewest names share. For a larger dictionary pieces are shuffled without their
+texts, and the anchor is the piece that the fewest texts of a sample contain.
+
+Pieces have five characters; names of three or four are their own pieces.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Mapping, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BROADCAST_BYTES = 16 << 20  # of names that are searched for all at once inside a row
+BROADCAST_BYTES = 16 << 20  # of names whose anchors are broadcast
 SHORTEST, LONGEST = 3, 5
 ANCHOR_CHOICES = 12
 
@@ -63,41 +65,28 @@ def _candidates(
     return pieces(low).join(anchors, [*on, "_gram"]).select(*text_id, *name_id, "_name")
 
 
-def _all_at_once(low: DataFrame, names: DataFrame, on: Sequence[str], text_id: Sequence[str], name_id: Sequence[str]) -> DataFrame:
-    """Pairs by one automaton over all names: each text is read once, where it lies."""
-    found = names.select(*on, *name_id, "_name").toPandas()  # bounded: the caller has measured it
-    columns = [*text_id, *name_id]
-    fields = {f.name: f for f in (*low.schema, *names.schema)}
-    held = low.sparkSession.sparkContext.broadcast((
-        found["_name"].tolist(), list(found[list(on)].itertuples(index=False, name=None)) if on else [()] * len(found),
-        list(found[list(name_id)].itertuples(index=False, name=None)),
-    ))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import ahocorasick
-
-        texts, keys, ids = held.value
-        machine = ahocorasick.Automaton()
-        by_name: dict[str, dict[tuple, list[tuple]]] = {}
-        for name, key, values in zip(texts, keys, ids):
-            by_name.setdefault(name, {}).setdefault(key, []).append(values)
-        for name, owners in by_name.items():
-            machine.add_word(name, owners)
-        machine.make_automaton()
-        for batch in batches:
-            rows = []
-            own = list(batch[list(text_id)].itertuples(index=False, name=None))
-            key = list(batch[list(on)].itertuples(index=False, name=None)) if on else [()] * len(own)
-            for place, text in enumerate(batch["_low"]):
-                if text:
-                    hits = {id(owners): owners for _, owners in machine.iter(text)}
-                    rows += [own[place] + values for owners in hits.values() for values in owners.get(key[place], ())]
-            yield pd.DataFrame(rows, columns=columns)
-
-    schema = ", ".join(f"`{c}` {fields[c].dataType.simpleString()}" for c in [*text_id, *name_id])
-    if not len(found):
-        return low.sparkSession.createDataFrame([], schema)
-    return low.mapInPandas(run, schema)
+def _pieces(text: Column, lengths: Sequence[int]) -> Column:
+    found = [grams(text, n) for n in lengths]
+    return found[0] if len(found) == 1 else F.concat(*found)
+
+
+def _in_the_row(low: DataFrame, names: DataFrame, on: Sequence[str], name_id: Sequence[str], lengths: Sequence[int]) -> DataFrame:
+    """Texts with the names they contain, found in one pass over the texts."""
+    own = F.least(F.length("_name"), F.lit(LONGEST))
+    choices = names.select(*on, *name_id, "_name", F.explode(_own_pieces(own, lengths)).alias("_gram"))
+    shared = choices.withColumn("_df", F.count("*").over(Window.partitionBy(*on, "_gram")))
+    rarest = Window.partitionBy(*on, *name_id, "_name").orderBy("_df", "_gram")
+    anchors = shared.withColumn("_pick", F.row_number().over(rarest)).where("_pick = 1").drop("_pick", "_df")
+    cut = low.withColumn("_gram", F.explode(_pieces(F.col("_low"), lengths)))
+    return cut.join(F.broadcast(anchors), [*on, "_gram"]).where(F.contains("_low", "_name"))  # as large as the names, which were measured
+
+
+def _own_pieces(own: Column, lengths: Sequence[int]) -> Column:
+    out = None
+    for n in lengths:
+        found = grams(F.col("_name"), n)
+        out = F.when(own == n, found) if out is None else out.when(own == n, found)
+    return out
 
 
 def contains_join(
@@ -110,27 +99,33 @@ def contains_join(
     on: Sequence[str] = (),
     statistics_fraction: float = 0.2,
     broadcast_bytes: int = BROADCAST_BYTES,
+    carry: Sequence[str] = (),
+    derive: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """Pairs ``(text_id, name_id)`` where the lower-case text contains the name.
 
     Names shorter than three characters never match. ``on`` lists columns both sides must
     agree on; columns that describe a name may be listed in ``name_id`` and need no later join.
+    ``carry`` adds columns of the texts, ``derive`` expressions over them, the text (``_text``)
+    and ``name_id``, made where the text is at hand.
 
-    The names are measured first (hand in a stored table). Up to ``broadcast_bytes`` of them one
-    automaton finds all names in a single pass over the texts, without a shuffle. A larger
-    dictionary is joined by anchors, chosen by the piece counts of a sample of the texts.
+    The names are measured first (hand in a stored table): anchors of up to ``broadcast_bytes`` of
+    them are broadcast, those of a larger dictionary are joined by a shuffle.
     """
-    low = texts.select(*dict.fromkeys([*on, *text_id]), F.lower(F.col(text)).alias("_low"))
+    own = list(dict.fromkeys([*on, *text_id, *carry]))
+    low = texts.select(*own, F.col(text).alias("_text"), F.lower(F.col(text)).alias("_low"))
     usable = names.where(F.length(name) >= SHORTEST).select(*on, *name_id, F.col(name).alias("_name"))
     row = F.length(F.to_json(F.struct("*"))).cast("long")
-    size = usable.agg(F.coalesce(F.sum(row), F.lit(0)).alias("bytes"), F.min(F.length("_name")).alias("shortest")).first()
+    size = usable.agg(
+        F.coalesce(F.sum(row), F.lit(0)).alias("bytes"), F.min(F.length("_name")).alias("shortest"),
+        F.array_sort(F.collect_set(F.least(F.length("_name"), F.lit(LONGEST)))).alias("lengths"),
+    ).first()
     if size["bytes"] <= broadcast_bytes:
-        return _all_at_once(low, usable, on, text_id, name_id).select(*text_id, *name_id)
-    low = low.repartition(*text_id)
-    length = min(LONGEST, size["shortest"] or SHORTEST)
-    candidates = _candidates(low, usable, on, text_id, name_id, length, statistics_fraction)
-    return (
-        candidates.join(low, list(text_id))
-        .where(F.contains(F.col("_low"), F.col("_name")))
-        .select(*text_id, *name_id)
-    )
+        found = _in_the_row(low, usable, on, name_id, size["lengths"] or [LONGEST])
+    else:
+        low = low.repartition(*text_id)
+        length = min(LONGEST, size["shortest"] or SHORTEST)
+        candidates = _candidates(low, usable, on, text_id, name_id, length, statistics_fraction)
+        found = candidates.join(low.drop(*[c for c in on if c not in text_id]), list(text_id)).where(F.contains("_low", "_name"))
+    more = [column.alias(label) for label, column in (derive or {}).items()]
+    return found.select(*text_id, *name_id, *carry, *more)

@@ -20,16 +20,19 @@ COLUMNS = [
 
 
 def entities_in_contexts(contexts: DataFrame, entities: DataFrame) -> DataFrame:
-    """(context, entity) pairs: the normalized name occurs anywhere in the context text."""
+    """(context, entity) pairs: the normalized name occurs anywhere in the context text.
+
+    Materials and alloys bring the snippet around them along, so no later step needs the text."""
     named = entities.select("run_id", "entity_id", "entity_type", "name", "normalized")
     pairs = contains_join(
         contexts, named, ["run_id", "context_type", "context_id"], "text", ["entity_id", "entity_type", "name", "normalized"],
-        "normalized", on=["run_id"],
+        "normalized", on=["run_id"], carry=["context_index", "source_file_id"],
+        derive={"snippet": F.when(F.col("entity_type").isin("material", "alloy"), T.snippet(F.col("_text"), F.col("name")))},
     )
     return stored(pairs)  # several relations are built from it
 
 
-def cooccurrence_relations(contexts: DataFrame, found: DataFrame) -> DataFrame:
+def cooccurrence_relations(found: DataFrame) -> DataFrame:
     """Materials and alloys linked to the described entities of the same context.
 
     Only types with a predicate can be objects; those come from the fixed term catalog, so a
@@ -37,7 +40,7 @@ def cooccurrence_relations(contexts: DataFrame, found: DataFrame) -> DataFrame:
     """
     key = ["run_id", "context_type", "context_id"]
     subjects = found.where(F.col("entity_type").isin("material", "alloy")).select(
-        *key, F.col("entity_id").alias("subject_entity_id"), F.col("name").alias("subject")
+        *key, F.col("entity_id").alias("subject_entity_id"), "snippet", "source_file_id"
     )
     objects = found.where(F.col("entity_type").isin(list(K.PREDICATE_BY_TYPE))).select(
         *key,
@@ -45,10 +48,7 @@ def cooccurrence_relations(contexts: DataFrame, found: DataFrame) -> DataFrame:
         F.col("name").alias("object"),
         chem.predicate_for(F.col("entity_type")).alias("predicate"),
     )
-    pairs = subjects.join(objects, key).join(
-        contexts.select(*key, "source_file_id", "text"), key
-    )
-    return pairs.select(
+    return subjects.join(objects, key).select(
         stable_id(
             F.col("run_id"), F.col("subject_entity_id"), F.col("predicate"), F.col("object_entity_id"), F.col("context_id")
         ).alias("relation_id"),
@@ -57,7 +57,7 @@ def cooccurrence_relations(contexts: DataFrame, found: DataFrame) -> DataFrame:
         "predicate",
         "object_entity_id",
         F.lit(None).cast("string").alias("object_value"),
-        T.snippet(F.col("text"), F.col("subject")).alias("evidence_text"),
+        F.col("snippet").alias("evidence_text"),
         F.col("context_id").alias("evidence_chunk_id"),
         "source_file_id",
         F.lit(K.COOCCURRENCE_CONFIDENCE).alias("confidence"),
@@ -65,7 +65,7 @@ def cooccurrence_relations(contexts: DataFrame, found: DataFrame) -> DataFrame:
     )
 
 
-def class_relations(contexts: DataFrame, found: DataFrame, entities: DataFrame) -> DataFrame:
+def class_relations(found: DataFrame, entities: DataFrame) -> DataFrame:
     """Materials linked to the classes their names imply, when the class is itself an entity.
 
     The relation id leaves the context out, so the last context of a file supplies the evidence.
@@ -76,12 +76,10 @@ def class_relations(contexts: DataFrame, found: DataFrame, entities: DataFrame)
     named = (
         found.where(F.col("entity_type").isin("material", "alloy"))
         .select(
-            "run_id", "context_type", "context_id", "entity_id", "name",
+            "run_id", "context_type", "context_id", "context_index", "source_file_id", "entity_id", "name",
             F.explode(chem.material_classes(F.col("name"))).alias("class_name"),
         )
         .join(classes, ["run_id", "class_name"])
-        .join(contexts.select("run_id", "context_type", "context_id", "context_index", "source_file_id"),
-              ["run_id", "context_type", "context_id"])
     )
     last = Window.partitionBy("run_id", "entity_id", "object_entity_id", "source_file_id").orderBy(
         F.desc("context_type"), F.desc("context_index")
@@ -175,7 +173,7 @@ def provider_relations(proposed: DataFrame, entities: DataFrame, extractor: str)
 
 def build_relations(contexts: DataFrame, entities: DataFrame, records: DataFrame | None = None) -> DataFrame:
     found = entities_in_contexts(contexts, entities)
-    out = cooccurrence_relations(contexts, found).unionByName(class_relations(contexts, found, entities))
+    out = cooccurrence_relations(found).unionByName(class_relations(found, entities))
     if records is not None:
         out = out.unionByName(citation_relations(records))
     return out.select(*COLUMNS)

@@ -167,7 +167,7 @@ _RELATIONS = f"""relations AS (
 def cooccurrence(spark, sf_dir):
     rows = stored(contexts(spark, sf_dir))
     found = R.entities_in_contexts(rows, stored(entities_of(spark, sf_dir, rows)))
-    return R.cooccurrence_relations(rows, found).select(
+    return R.cooccurrence_relations(found).select(
         "relation_id", "run_id", "subject_entity_id", "predicate", "object_entity_id", "evidence_chunk_id", "source_file_id", "confidence",
         "evidence_text",
     )
@@ -317,5 +317,5 @@ def graph_hits(spark, sf_dir):
 
     rows = stored(contexts(spark, sf_dir))
     entities = stored(entities_of(spark, sf_dir, rows))
-    relations = R.cooccurrence_relations(rows, R.entities_in_contexts(rows, entities))
+    relations = R.cooccurrence_relations(R.entities_in_contexts(rows, entities))
     return search(entities, relations, " ".join(_HIT_WORDS)).select("relation_id", "predicate", "subject_name", "object_name")
