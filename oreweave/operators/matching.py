@@ -6,9 +6,10 @@ contain the name if it contains the anchor, so an equi-join on the anchor yields
 and one ``contains`` check makes them exact. Which anchor is chosen affects the work, never the
 result.
 
-The anchors of a dictionary of bounded size are broadcast: texts are cut into pieces, joined and
+Where no group of names (those of one run, say) has more than a few hundred, each text simply
+tries the names of its group. The anchors of a larger dictionary of bounded size are broadcast: texts are cut into pieces, joined and
 checked in the row that still holds the text, in one scan without a shuffle; an anchor is the
-piece that the fewest names share. For a larger dictionary pieces are shuffled without their
+piece that the fewest names share. Beyond that bound pieces are shuffled without their
 texts, and the anchor is the piece that the fewest texts of a sample contain.
 
 Pieces have five characters; names of three or four are their own pieces.
@@ -22,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BROADCAST_BYTES = 16 << 20  # of names whose anchors are broadcast
+GROUP_NAMES = 256  # names that a text tries one by one
 SHORTEST, LONGEST = 3, 5
 ANCHOR_CHOICES = 12
 
@@ -66,8 +68,29 @@ def _candidates(
 
 
 def _pieces(text: Column, lengths: Sequence[int]) -> Column:
-    found = [grams(text, n) for n in lengths]
-    return found[0] if len(found) == 1 else F.concat(*found)
+    """Pieces of several lengths: shorter ones are the heads of the longest ones of a text with a tail."""
+    longest = max(lengths)
+    if len(lengths) == 1:
+        return grams(text, longest)
+    tail = F.lit("\0" * (longest - min(lengths)))
+
+    def heads(found: Column, n: int) -> Column:
+        return F.array_distinct(F.transform(found, lambda g: F.substring(g, 1, n)))
+
+    def cut(found: Column) -> Column:
+        return F.concat(found, *[heads(found, n) for n in lengths if n < longest])
+
+    # bound by a one-element transform, so that the text is cut once
+    return F.get(F.transform(F.array(grams(F.concat(text, tail), longest)), cut), F.lit(0))
+
+
+def _one_by_one(low: DataFrame, names: DataFrame, on: Sequence[str], name_id: Sequence[str]) -> DataFrame:
+    """Texts with the names of their group that they contain; groups are small and broadcast."""
+    key = list(on) or ["_all"]
+    listed = names.withColumn("_all", F.lit(0)).groupBy(*key).agg(F.collect_list(F.struct(*name_id, "_name")).alias("_names"))
+    met = low.withColumn("_all", F.lit(0)).join(F.broadcast(listed), key)  # all names together were measured
+    hits = met.withColumn("_hit", F.explode(F.filter("_names", lambda n: F.contains(F.col("_low"), n["_name"]))))
+    return hits.select(*low.columns, *[F.col("_hit")[c].alias(c) for c in name_id if c not in low.columns], F.col("_hit")["_name"].alias("_name"))
 
 
 def _in_the_row(low: DataFrame, names: DataFrame, on: Sequence[str], name_id: Sequence[str], lengths: Sequence[int]) -> DataFrame:
@@ -99,6 +122,7 @@ def contains_join(
     on: Sequence[str] = (),
     statistics_fraction: float = 0.2,
     broadcast_bytes: int = BROADCAST_BYTES,
+    group_names: int = GROUP_NAMES,
     carry: Sequence[str] = (),
     derive: Mapping[str, Column] | None = None,
 ) -> DataFrame:
@@ -109,7 +133,8 @@ def contains_join(
     ``carry`` adds columns of the texts, ``derive`` expressions over them, the text (``_text``)
     and ``name_id``, made where the text is at hand.
 
-    The names are measured first (hand in a stored table): anchors of up to ``broadcast_bytes`` of
+    The names are measured first (hand in a stored table): groups of up to ``group_names`` are
+    tried one by one, anchors of up to ``broadcast_bytes`` of
     them are broadcast, those of a larger dictionary are joined by a shuffle.
     """
     own = list(dict.fromkeys([*on, *text_id, *carry]))
@@ -120,7 +145,10 @@ def contains_join(
         F.coalesce(F.sum(row), F.lit(0)).alias("bytes"), F.min(F.length("_name")).alias("shortest"),
         F.array_sort(F.collect_set(F.least(F.length("_name"), F.lit(LONGEST)))).alias("lengths"),
     ).first()
-    if size["bytes"] <= broadcast_bytes:
+    crowded = usable.groupBy(*[F.col(c) for c in on]).agg(F.count("*").alias("n")).where(F.col("n") > group_names).limit(1)
+    if size["bytes"] <= broadcast_bytes and not crowded.count():
+        found = _one_by_one(low, usable, on, name_id)
+    elif size["bytes"] <= broadcast_bytes:
         found = _in_the_row(low, usable, on, name_id, size["lengths"] or [LONGEST])
     else:
         low = low.repartition(*text_id)

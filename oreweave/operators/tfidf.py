@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from oreweave import constants as K
 from oreweave.functions.text import with_bigrams, word_tokens
+from oreweave.session import stored
 
 
 def term_counts(docs: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
@@ -42,10 +43,12 @@ def batch_scores(
 ) -> DataFrame:
     """Cosine of every document with each of a few queries: keys, ``query`` (place in the list), ``score``.
 
+    The texts are tokenised once: the vocabulary and the scores both come from the stored counts.
     All queries share one vocabulary and one scoring pass: a term carries its weight in each
     query, and a document's partial sums are added before they leave the task.
     """
-    terms = vocabulary(term_counts(docs, keys, text), docs, max_features)
+    counts = stored(term_counts(docs, keys, text))
+    terms = vocabulary(counts, docs, max_features)
     rows = docs.sparkSession.createDataFrame([(i, q) for i, q in enumerate(queries)], "query int, text string")
     asked = (
         rows.select("query", F.explode(with_bigrams(word_tokens(F.col("text")))).alias("term"))
@@ -57,7 +60,7 @@ def batch_scores(
     )
     lengths = weights.agg(*[F.sqrt(F.sum(F.col(n) * F.col(n))).alias(n) for n in names]).first()  # one row
     weight = F.col("tf") * F.col("idf")
-    per_doc = term_counts(docs, keys, text).join(F.broadcast(weights), "term").groupBy(*keys).agg(
+    per_doc = counts.join(F.broadcast(weights), "term").groupBy(*keys).agg(
         F.sqrt(F.sum(weight * weight)).alias("_norm"), *[F.sum(weight * F.col(n)).alias(n) for n in names]
     )
     cells = F.array(*[

@@ -22,10 +22,10 @@ def test_contains_join_equals_brute_force(spark):
     texts = [(i, "".join(rng.choice("abcx ") for _ in range(60))) for i in range(80)]
     names = [(i, "".join(rng.choice("abcx ") for _ in range(rng.randint(1, 5)))) for i in range(60)]
     expected = sorted((t, n) for t, text in texts for n, name in names if len(name) >= 3 and name in text)
-    for fraction, few in ((1.0, 1 << 20), (1.0, 0), (0.2, 0)):
+    for fraction, few, group in ((1.0, 1 << 20, 256), (1.0, 1 << 20, 0), (1.0, 0, 0), (0.2, 0, 256)):
         got = contains_join(
             spark.createDataFrame(texts, "tid int, text string"), spark.createDataFrame(names, "nid int, name string"),
-            ["tid"], "text", ["nid"], "name", statistics_fraction=fraction, broadcast_bytes=few,
+            ["tid"], "text", ["nid"], "name", statistics_fraction=fraction, broadcast_bytes=few, group_names=group,
         )
         assert sorted(map(tuple, got.collect())) == expected
 
