@@ -7,7 +7,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from oreweave.operators.research import WEB_RESULT, run_research, stored_web_search
+from oreweave.operators.research import WEB_RESULT, harvested_web_search, run_research, stored_web_search
 from oreweave.plans import harvest as H
 from oreweave.plans import pipeline as P
 from oreweave.session import get_spark
@@ -77,6 +77,7 @@ def build_parser() -> argparse.ArgumentParser:
     research.add_argument("--max-subqueries", type=int, default=3)
     research.add_argument("--max-context", type=int, default=12)
     research.add_argument("--web-results", help="JSON lines of stored search results")
+    research.add_argument("--works", help="folder of a harvest whose works are searched as well")
     research.add_argument("--web-max", type=int, default=6)
     research.add_argument("--json", action="store_true")
 
@@ -130,11 +131,13 @@ def main(argv: list[str] | None = None) -> int:
     elif args.command == "research":
         search = P.retriever(ledger, args.run_id, args.mode)
         web = stored_web_search(ledger.spark.read.schema(WEB_RESULT).json(args.web_results)) if args.web_results else None
+        if args.works:
+            web = harvested_web_search(H.Harvest(spark, f"{args.works.rstrip('/')}/harvest", []).works())
         result = run_research(
             args.question, lambda q: search.retrieve(q, args.top_k), web=web, web_max=args.web_max,
             max_subqueries=args.max_subqueries, max_context=args.max_context,
         )
-        print(json.dumps(result.to_dict(), ensure_ascii=False) if args.json else result.answer)
+        print(json.dumps(result.to_dict(), ensure_ascii=False) if args.json else "\n".join([result.answer, *result.warnings]))
     elif args.command == "hypotheses":
         settings = P.PipelineInput(args.target_kpi, args.run_id, args.mode)
         result = P.run_pipeline(ledger, settings)

@@ -16,6 +16,9 @@ from oreweave import constants as K
 from oreweave.functions.hashing import short_hash
 from oreweave.operators.dedupe import keep_first
 from oreweave.operators.retrieval import EVIDENCE
+from oreweave.functions import records as Rec
+from oreweave.operators.retrieval import search_warnings
+from oreweave.session import stored
 
 
 class TextProvider(Protocol):
@@ -75,10 +78,12 @@ def pool_evidence(hits: DataFrame) -> DataFrame:
 
 
 def collect_evidence(retrieve: Callable[[str], DataFrame], queries: Sequence[str]) -> DataFrame:
-    """One plan that runs every sub-query and pools the hits."""
+    """One plan that runs every sub-query and pools the hits; ``filter_relaxed`` marks hits of a search whose filter matched nothing."""
     parts = []
     for step, query in enumerate(queries):
-        hits = retrieve(query).select(*EVIDENCE)
+        hits = retrieve(query)
+        relaxed = F.col("filter_relaxed") if "filter_relaxed" in hits.columns else F.lit(False)
+        hits = hits.select(*EVIDENCE, relaxed.alias("filter_relaxed"))
         rank = F.row_number().over(Window.partitionBy(F.lit(step)).orderBy(F.desc("relevance"), "evidence_id"))
         parts.append(hits.withColumn("step", F.lit(step)).withColumn("position", rank))
     return pool_evidence(reduce(DataFrame.unionByName, parts))
@@ -106,11 +111,12 @@ def stored_web_search(results: DataFrame) -> WebSearch:
     return search
 
 
-def works_as_results(works: DataFrame, query: str) -> DataFrame:
+def works_as_results(works: DataFrame, query: str | Column) -> DataFrame:
     """Normalised works of a paged source (``work`` struct, ``position`` from 0) as web results."""
+    asked = F.lit(query) if isinstance(query, str) else query
     link = F.coalesce("work.landing_page_url", "work.oa_url", "work.openalex_id")
     return works.select(
-        F.lit("openalex").alias("backend"), F.lit(query).alias("query"), F.col("position").alias("rank"), link.alias("link"),
+        F.lit("openalex").alias("backend"), asked.alias("query"), F.col("position").alias("rank"), link.alias("link"),
         F.col("work.title").alias("title"), F.col("work.abstract").alias("content"), F.col("work.publication_year").cast("string").alias("published"),
     )
 
@@ -211,6 +217,13 @@ class ResearchResult:
         return asdict(self)
 
 
+def harvested_web_search(works: DataFrame) -> WebSearch:
+    """Search over the works of a harvest (``query, position, payload``)."""
+    record = F.from_json("payload", Rec.WORK)
+    found = works.select("query", "position", Rec.normalized_work(record).alias("work"))
+    return stored_web_search(works_as_results(found, F.col("query")))
+
+
 def run_research(
     question: str,
     retrieve: Callable[[str], DataFrame],
@@ -233,14 +246,16 @@ def run_research(
     if not question:
         raise ValueError("question is required")
     queries = decompose(planner, question, max_subqueries)
-    corpus = collect_evidence(retrieve, queries)
+    corpus = stored(collect_evidence(retrieve, queries))  # at most k rows for each sub-query
+    warnings = search_warnings(corpus)
+    corpus = corpus.drop("filter_relaxed")
     if web is not None and web_max > 0:
         context = slot_merge(corpus, merge_web_results(web(queries[:2])), max_context, web_max)
     else:
         context = slot_merge(corpus, corpus.where(F.lit(False)), max_context, 0)
     rows = citations(context).collect()
     cited = [row.asDict() for row in rows]
-    result = ResearchResult(question, "", queries, cited, "none")
+    result = ResearchResult(question, "", queries, cited, "none", warnings=warnings)
     if not rows:
         result.answer = "Релевантных фрагментов не нашлось ни в корпусе, ни в вебе."
         return result

@@ -110,3 +110,18 @@ def test_offset_export_resumes(spark, tmp_path):
     assert ledger.run_status(second["run_id"])["run"]["status"] == "completed_degraded"
     keys = [json.loads(r["payload"])["formationenergy_id"] for r in jsonl.json_lines(spark, f"{out}/records").collect()]
     assert sorted(keys) == [8, 9, 11]
+
+
+def test_research_reads_harvested_works_and_reports_a_relaxed_filter(spark, tmp_path, fetch):
+    from oreweave.operators.research import EVIDENCE, harvested_web_search, run_research
+
+    options, _ = fetch
+    harvest = H.Harvest(spark, str(tmp_path / "h"), ["copper flotation", "b"], H.Limits(page_size=2, pages=1))
+    harvest.run(H.fetched_pages(options))
+    web = harvested_web_search(harvest.works())
+    corpus = spark.createDataFrame([("ev:1", "text", "s", "txt", "f.txt", "0", 0.5, True)], ", ".join(f"{c} {'double' if c == 'relevance' else 'string'}" for c in EVIDENCE) + ", filter_relaxed boolean")
+    result = run_research("copper flotation", lambda q: corpus, web=web, max_subqueries=1)
+    assert len(result.warnings) == 1 and {c["source_type"] for c in result.citations} == {"txt", "openalex"}
+    assert sum(c["source_type"] == "openalex" for c in result.citations) == 2 and "filter_relaxed" not in result.citations[0]
+    plain = run_research("copper flotation", lambda q: corpus.drop("filter_relaxed"), max_subqueries=1)
+    assert plain.warnings == [] and len(plain.citations) == 1
