@@ -33,7 +33,7 @@ from .common import Memo, documents, free_names, id_in, id_out, per_worker, quer
 SEQUENCE_TOKENS = 4096
 OPEN_BINS = 4096
 PACKER_SEQUENCES = 2048
-CACHE_WORDS = 300_000  # words in the younger half of a worker's memory
+CACHE_WORDS = 600_000  # words in the younger half of a worker's memory
 
 
 class OpenBins:
@@ -119,7 +119,7 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_str(model)
         tokens = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if added else []
-        self._added = re.compile("|".join(map(re.escape, tokens))) if tokens else None
+        self._added = tokens
         self._normal, self._split = self.tokenizer.normalizer.normalize_str, self.tokenizer.pre_tokenizer.pre_tokenize_str
         self._tokens = self.tokenizer.model.tokenize
         self._piece = Memo(lambda p: np.array([t.id for t in self._tokens(p)], "<u4").tobytes(), CACHE_WORDS // 2)
@@ -134,7 +134,7 @@ class WordIds:
         return b"".join([self._piece[p] for p in pieces])
 
     def __call__(self, text: str | None) -> bytes:
-        if text and self._added and self._added.search(text):
+        if text and any(token in text for token in self._added):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return b"".join(map(self._word.__getitem__, text.encode().split())) if text else b""
 
