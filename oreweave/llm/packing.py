@@ -3,7 +3,8 @@
 Documents are tokenised where they lie; only piece lengths travel. A packer keeps a fixed number
 of open bins. A bitset has one bit for each amount of free space, set while an open bin has it,
 so the tightest bin that still takes a piece is the lowest set bit at or above the length. When
-a piece needs a new bin and all are open, the fullest bin closes. Pieces arrive longest first.
+a piece needs a new bin and all are open, the fullest bin closes. Pieces come in the order of the
+table, hashed over the packers: no sorting by length, which would hold back every short piece.
 
 Each packer gets about `packer_sequences` sequences of tokens, so their number follows the
 input and their memory does not; packers share no state and can be repeated after a loss.
@@ -31,7 +32,7 @@ from oreweave.session import stored
 from .common import Memo, documents, free_names, id_in, id_out, per_worker, query
 
 SEQUENCE_TOKENS = 4096
-OPEN_BINS = 4096
+OPEN_BINS = 256
 PACKER_SEQUENCES = 2048
 CACHE_WORDS = 600_000  # words in the younger half of a worker's memory
 
@@ -40,7 +41,7 @@ class OpenBins:
     """A fixed number of open bins, found by free space."""
 
     def __init__(self, size: int, most: int):
-        self.size, self.most, self.open, self.made = size, most, 0, 0
+        self.size, self.most, self.open, self.made, self.closed = size, most, 0, 0, 0
         self.bits, self.at = 0, [[] for _ in range(size + 1)]  # bins by free space
 
     def _take(self, free: int) -> int:
@@ -60,6 +61,7 @@ class OpenBins:
         else:
             if self.open == self.most:  # the fullest closes first
                 self._take((self.bits & -self.bits).bit_length() - 1)
+                self.closed += 1
             found, free, self.made = self.made, self.size, self.made + 1
         left = free - length
         if left:
@@ -96,7 +98,7 @@ def best_fit(pieces: DataFrame, size: int, open_bins: int, packer_sequences: int
 
     keyed = pieces.withColumn(row, F.monotonically_increasing_id())
     keyed = keyed.withColumn(lane, F.pmod(F.xxhash64(row), F.lit(packers)))
-    dealt = keyed.repartition(packers, lane).sortWithinPartitions(lane, F.desc(length), row)
+    dealt = keyed.repartition(packers, lane).sortWithinPartitions(lane, row)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
     return dealt.mapInArrow(run, f"{fields}, sequence_id long, offset long")
 

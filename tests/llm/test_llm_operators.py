@@ -189,6 +189,19 @@ def test_fullest_bin_closes_first():
     assert bins.place(3) == (2, 6) and bins.place(5) == (1, 5) and bins.place(3) == (3, 0)
 
 
+def test_the_bound_of_open_bins_acts_and_costs_little():
+    rng = random.Random(5)
+    lengths = [4096 if rng.random() < 0.05 else min(4096, 1 + int(rng.lognormvariate(6, 1.2))) for _ in range(12_000)]
+    bins, fill = packing.OpenBins(4096, packing.OPEN_BINS), collections.Counter()
+    for need in lengths:
+        found, offset = bins.place(need)
+        assert offset == fill[found]
+        fill[found] += need
+        assert bins.open <= packing.OPEN_BINS
+    assert bins.closed > 0 and max(fill.values()) <= 4096 and bins.made == len(fill)
+    assert bins.made <= 1.02 * math.ceil(sum(lengths) / 4096)
+
+
 # near duplicates -------------------------------------------------------------------------------
 
 
