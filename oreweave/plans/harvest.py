@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from oreweave.functions.urls import normalize_doi
 from oreweave.session import stored
 from oreweave.sinks import exports
+from oreweave.sinks.rounds import Rounds
 from oreweave.sources import jsonl, providers
 
 PAGE = "query string, round int, position int, payload string, next_cursor string, error string"
@@ -44,41 +45,17 @@ class Limits:
 
 
 @dataclass
-class Harvest:
+class Harvest(Rounds):
     """A harvest below one folder: `pages`, `works` and `state`, each by round."""
 
-    spark: SparkSession
-    root: str
-    queries: Sequence[str]
+    queries: Sequence[str] = ()
     limits: Limits = field(default_factory=Limits)
     seen: DataFrame | None = None  # work_id of earlier exports
     taken: dict[str, int] = field(default_factory=dict)  # works of a query in earlier exports
 
-    def _path(self, kind: str, number: int) -> str:
-        return f"{self.root.rstrip('/')}/{kind}/round={number}"
-
-    def _done(self, kind: str, number: int) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self._path(kind, number) + "/_SUCCESS")
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
-
-    def _write(self, kind: str, number: int, rows: DataFrame, schema: str) -> DataFrame:
-        rows.write.mode("overwrite").parquet(self._path(kind, number))
-        return self.spark.read.schema(schema).parquet(self._path(kind, number))
-
-    def _read(self, kind: str, number: int, schema: str) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(self._path(kind, number))
-
-    def rounds(self) -> int:
-        """Rounds whose state is written."""
-        number = 0
-        while self._done("state", number + 1):
-            number += 1
-        return number
-
     def works(self, rounds: int | None = None) -> DataFrame:
         """New works of all rounds, or of the first ones."""
-        paths = [self._path("works", n + 1) for n in range(self.rounds() if rounds is None else rounds)]
-        return self.spark.read.schema(WORK).parquet(*paths) if paths else self.spark.createDataFrame([], WORK)
+        return self._read_all("works", range(1, 1 + (self.rounds() if rounds is None else rounds)), WORK)
 
     def state(self) -> DataFrame:
         """The queries after the last round."""
