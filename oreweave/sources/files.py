@@ -10,7 +10,7 @@ import json
 import re
 import subprocess
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from oreweave import constants as K
 from oreweave.functions import text as T
 from oreweave.functions.hashing import short_hash
+from oreweave.operators.dedupe import keep_first
+from oreweave.session import stored
 from oreweave.sources import office
 
 PARSED = "path string, parsed_text string, parse_error string, metadata string"
@@ -322,6 +324,50 @@ def with_cached_descriptions(images: DataFrame, cache: DataFrame, provider: str,
     return known, keyed.join(cache.select("key"), "key", "left_anti")
 
 
+DESCRIBED = "key string, description string, error string"
+
+
+def described_images(images: DataFrame, folder: str, provider: str, model: str, describe: Callable[[bytes], str]) -> DataFrame:
+    """Images (path, content) with a description, asking the provider once for each unknown content.
+
+    The cache is a Parquet folder (key, description). Misses are reduced to one row per key before
+    the provider is called; its answers are appended, so a rerun asks for nothing. A RuntimeError of
+    the provider is kept as `error`, not cached, and the image described by its name, as is one
+    without content. Columns: path, key, description, origin (cache, provider or name), error.
+    """
+    spark = images.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    there = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+    cache = spark.read.schema("key string, description string").parquet(folder) if there else spark.createDataFrame([], "key string, description string")
+    cache = cache.groupBy("key").agg(F.min("description").alias("description"))  # two jobs may have asked at once
+    filled = images.where("content is not null").select("path", "content")
+    known, misses = with_cached_descriptions(filled, cache, provider, model)
+    known = stored(known.select("path", "key", "description", F.lit("cache").alias("origin"), F.lit(None).cast("string").alias("error")))
+    once = keep_first(misses, ["key"], [F.asc("path")])
+
+    def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for key, content in zip(frame["key"], frame["content"]):
+                try:
+                    rows.append((key, describe(bytes(content)), None))
+                except RuntimeError as exc:
+                    rows.append((key, None, str(exc)))
+            yield pd.DataFrame(rows, columns=["key", "description", "error"])
+
+    answers = stored(once.select("key", "content").mapInPandas(ask, DESCRIBED))
+    answers.where("error is null and description is not null").select("key", "description").write.mode("append").parquet(folder)
+    by_name = describe_by_name(F.col("path"))
+    fresh = misses.select("path", "key").join(answers, "key").select(
+        "path", "key", F.coalesce("description", by_name).alias("description"),
+        F.when(F.col("description").isNull(), "name").otherwise("provider").alias("origin"), "error",
+    )
+    bare = images.where("content is null").select(
+        "path", F.lit(None).cast("string").alias("key"), by_name.alias("description"), F.lit("name").alias("origin"), F.lit("no content").alias("error"),
+    )
+    return known.unionByName(fresh).unionByName(bare)
+
+
 def describe_by_name(path: Column) -> Column:
     """Fallback description of an image when no vision provider answers."""
     return F.concat(F.lit("Изображение: "), F.element_at(F.split(path, "/"), -1))

@@ -25,10 +25,11 @@ def file_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", ma
     return reader.load(path)
 
 
-def drain(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+def drain(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
     """Process everything that is there, then stop."""
     query = (
-        stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start()
     )
     query.awaitTermination()
 
@@ -81,25 +82,53 @@ def upsert_batches(stream: DataFrame, path: str, checkpoint: str, keys: Sequence
 
 
 STREAK_OUTPUT = "key string, events bigint, longest_streak bigint, stopped boolean"
-STREAK_STATE = "events bigint, streak bigint, longest bigint"
+STRETCH = ("first", "last", "events", "head", "tail", "longest")
+STREAK_STATE = ", ".join(f"`{name}` array<bigint>" for name in STRETCH)
+
+
+def _follow(a: Sequence[int], b: Sequence[int]) -> list[int]:
+    """One stretch out of two, the second after the first: its failures at the head, at the tail and in the longest run."""
+    head = a[3] + b[3] if a[3] == a[2] else a[3]
+    tail = b[4] + a[4] if b[4] == b[2] else b[4]
+    return [a[0], b[1], a[2] + b[2], head, tail, max(a[5], b[5], a[4] + b[3])]
 
 
 def failure_streaks(stream: DataFrame, limit: int) -> DataFrame:
     """Consecutive failures per key (``key, seq, failed``) and whether an exporter would have stopped.
 
-    The state is three counters per key. Rows of a key are put in sequence over all of a
-    micro-batch; across micro-batches producers must write a key in sequence.
+    Rows may arrive in any sequence, over micro-batches too. The state of a key is a list of
+    stretches of sequence numbers without a gap; a stretch keeps counts only, and early ones wait
+    until the rows between arrive and join them. The answer after each micro-batch is that of all
+    rows so far in sequence. State grows with the gaps, not with the rows: number a key's rows
+    without gaps. A repeated number counts once, its first arrival; within a micro-batch a failure
+    goes before a success. A null outcome is a success; rows without a number are passed over.
     """
 
     def update(key, batches, state):
-        events, streak, longest = state.get if state.exists else (0, 0, 0)
-        failed = pd.concat(list(batches)).sort_values("seq")["failed"].astype(bool).to_numpy()
-        place = np.arange(len(failed))
-        last_success = np.maximum.accumulate(np.where(failed, -1, place))
-        run = np.where(last_success < 0, streak + place + 1, place - last_success) * failed
-        events, streak, longest = events + len(failed), int(run[-1]), max(longest, int(run.max()))
-        state.update((events, streak, longest))
-        yield pd.DataFrame([(key[0], events, longest, longest >= limit)], columns=["key", "events", "longest_streak", "stopped"])
+        old = list(map(list, zip(*state.get))) if state.exists else []
+        rows = pd.concat(list(batches)).dropna(subset=["seq"])
+        seqs, failed = rows["seq"].to_numpy(np.int64), rows["failed"].fillna(False).astype(bool).to_numpy()
+        order = np.lexsort((~failed, seqs))
+        seqs, failed = seqs[order], failed[order]
+        fresh = np.r_[True, seqs[1:] != seqs[:-1]][: len(seqs)]
+        if old:  # numbers inside a known stretch came before
+            firsts, lasts = np.array([s[0] for s in old]), np.array([s[1] for s in old])
+            at = np.searchsorted(firsts, seqs, "right") - 1
+            fresh &= (at < 0) | (seqs > lasts[at])
+        new = [[int(q), int(q), 1, int(f), int(f), int(f)] for q, f in zip(seqs[fresh], failed[fresh])]
+        stretches: list[list[int]] = []
+        for stretch in sorted(old + new):
+            if stretches and stretches[-1][1] + 1 == stretch[0]:
+                stretches[-1] = _follow(stretches[-1], stretch)
+            else:
+                stretches.append(stretch)
+        if not stretches:
+            return
+        state.update(tuple([s[i] for s in stretches] for i in range(len(STRETCH))))
+        whole = stretches[0]
+        for stretch in stretches[1:]:
+            whole = _follow(whole, stretch)
+        yield pd.DataFrame([(key[0], whole[2], whole[5], whole[5] >= limit)], columns=["key", "events", "longest_streak", "stopped"])
 
     return stream.groupBy("key").applyInPandasWithState(update, STREAK_OUTPUT, STREAK_STATE, "update", "NoTimeout")
 

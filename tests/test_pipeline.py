@@ -459,6 +459,52 @@ def test_failure_streaks(spark, tmp_path):
     assert got == {"k": (6, 3, True), "z": (1, 0, False)}
 
 
+def test_streaks_do_not_depend_on_arrival(spark, tmp_path):
+    import random
+    from itertools import groupby
+
+    rng = random.Random(4)
+    rows = [("k", i, rng.random() < 0.6) for i in range(60)] + [("gap", i * 3, True) for i in range(5)] + [("z", 1, None)]
+    shuffled = rng.sample(rows, len(rows)) + rows[:9] + [("k", None, True)]
+    for i in range(0, len(shuffled), 20):
+        spark.createDataFrame(shuffled[i : i + 20], "key string, seq int, failed boolean").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = S.file_stream(spark, str(tmp_path / "in"), "key string, seq int, failed boolean", max_files=1)
+    out = str(tmp_path / "out")
+    S.drain(S.failure_streaks(stream, 3), lambda df, i: df.coalesce(1).write.mode("overwrite").parquet(f"{out}/batch={i}"), str(tmp_path / "cp"), "update")
+    longest = max(len(list(g)) for failed, g in groupby(r[2] for r in rows[:60]) if failed)
+    got = {}
+    for r in spark.read.parquet(out).orderBy("batch").collect():
+        got[r["key"]] = (r["events"], r["longest_streak"], r["stopped"])
+    assert got == {"k": (60, longest, longest >= 3), "gap": (5, 5, True), "z": (1, 0, False)}
+
+
+def test_descriptions_are_asked_for_once_and_kept(spark, tmp_path):
+    rows = [("a.png", b"one"), ("b.png", b"one"), ("c.png", b"bad"), ("d.png", None), ("e.png", b"")]
+    images, folder, log = spark.createDataFrame(rows, "path string, content binary"), str(tmp_path / "cache"), tmp_path / "asked"
+    log.mkdir()
+    name = str(log)
+
+    def describe(content):
+        import uuid
+
+        open(f"{name}/{uuid.uuid4().hex}", "wb").close()
+        if content == b"bad":
+            raise RuntimeError("no answer")
+        return f"photo {len(content)}"
+
+    def run():
+        return {r["path"]: (r["description"], r["origin"], r["error"]) for r in Src.described_images(images, folder, "p", "m", describe).collect()}
+
+    first = run()
+    assert first == {
+        "a.png": ("photo 3", "provider", None), "b.png": ("photo 3", "provider", None), "e.png": ("photo 0", "provider", None),
+        "c.png": ("Изображение: c.png", "name", "no answer"), "d.png": ("Изображение: d.png", "name", "no content"),
+    }
+    assert len(list(log.iterdir())) == 3
+    assert {p: o for p, (_, o, _) in run().items()} == {"a.png": "cache", "b.png": "cache", "e.png": "cache", "c.png": "name", "d.png": "name"}
+    assert len(list(log.iterdir())) == 4  # only the failed one is asked for again
+
+
 def test_stored_web_results_reach_the_context(spark):
     from oreweave.operators.research import WEB_RESULT, stored_web_search
 
