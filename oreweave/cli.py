@@ -8,6 +8,7 @@ import json
 from pyspark.sql import functions as F
 
 from oreweave.operators.research import WEB_RESULT, harvested_web_search, run_research, stored_web_search
+from oreweave.plans import crawl as C
 from oreweave.plans import harvest as H
 from oreweave.plans import pipeline as P
 from oreweave.session import get_spark
@@ -55,6 +56,16 @@ def build_parser() -> argparse.ArgumentParser:
     harvest.add_argument("--option", action="append", default=[], help="name=value handed to the functions")
     harvest.add_argument("--no-ledger", action="store_true")
 
+    crawl = commands.add_parser("crawl", help="file links of linked pages; goes on with an unfinished crawl")
+    crawl.add_argument("out")
+    crawl.add_argument("--seed", action="append", required=True)
+    crawl.add_argument("--fetch", required=True, help="module:function (options, url) for the markup of one page")
+    crawl.add_argument("--option", action="append", default=[], help="name=value handed to the function")
+    crawl.add_argument("--max-pages", type=int, default=0)
+    crawl.add_argument("--max-links", type=int, default=0)
+    crawl.add_argument("--retries", type=int, default=1)
+    crawl.add_argument("--known", help="text file of links that are passed over")
+
     for name in ("build", "build-all"):
         build = commands.add_parser(name, help="build graph tables")
         build.add_argument("--run-id", default="latest")
@@ -113,6 +124,12 @@ def main(argv: list[str] | None = None) -> int:
         )
         print(json.dumps(manifest, ensure_ascii=False))
         return 2 if manifest["failed_queries"] else 0
+    elif args.command == "crawl":
+        limits = C.Limits(args.max_pages, args.max_links, args.retries)
+        known = spark.read.text(args.known).select(F.col("value").alias("link")) if args.known else None
+        manifest = C.harvest_links(spark, args.out, args.seed, C.fetched(args.fetch, dict(o.split("=", 1) for o in args.option)), limits, known)
+        print(json.dumps(manifest, ensure_ascii=False))
+        return 2 if manifest["failed"] else 0
     elif args.command == "build":
         run_id = ledger.resolve_run(args.run_id)
         print(json.dumps({"run_id": run_id, **P.build_graph(ledger, run_id, P.parse_stages(args.stages))}))

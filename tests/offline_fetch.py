@@ -47,3 +47,11 @@ def unpaywall(options, doi):
     if doi.endswith("a1"):
         raise RuntimeError("not found")
     return {"doi": doi, "is_oa": True}
+
+
+def linked_page(options, url):
+    """Page n of a site, linked to its file and to page n + 1; pages that end in `bad` fail."""
+    if url.endswith(options["bad"]):
+        raise RuntimeError("no answer")
+    number = int(url.rsplit("/", 1)[-1])
+    return f'<a href="/f/{number}.pdf">file</a> <a href="/page/{number + 1}">next</a>'

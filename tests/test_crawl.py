@@ -1,6 +1,9 @@
 """Crawls in rounds: retry pass, resume, limits."""
 
+import os
+
 import pytest
+
 from oreweave.plans import crawl as C
 
 SITE = {
@@ -68,3 +71,13 @@ def test_limits_known_links_and_manifest(spark, site, tmp_path):
     few = C.harvest_links(spark, str(tmp_path / "b"), [ROOT + "/"], fetch, C.Limits(pages=2, links=2))
     assert (few["pages"], few["links_written"]) == (2, 2)
     assert C.harvest_links(spark, str(tmp_path / "c"), [], fetch)["pages"] == 0
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from oreweave import cli
+
+    spark.sparkContext.addPyFile(os.path.join(os.path.dirname(__file__), "offline_fetch.py"))
+    seed = ["--seed", ROOT + "/page/1", "--fetch", "offline_fetch:linked_page", "--option", "bad=/page/3"]
+    assert cli.main(["--ledger", str(tmp_path / "l"), "crawl", str(tmp_path / "out"), *seed]) == 2
+    assert '"pages": 3, "fetched": 2, "retried": 1, "failed": 1' in capsys.readouterr().out
+    assert {r.value for r in spark.read.text(str(tmp_path / "out" / "links")).collect()} == {ROOT + "/f/1.pdf", ROOT + "/f/2.pdf"}
