@@ -14,16 +14,19 @@ from pyspark.sql import functions as F
 from oreweave import constants as K
 from oreweave.functions.hashing import hash_bucket, stable_id
 from oreweave.functions.text import query_terms
+from oreweave.tables import text_parts
 
 
 def _cells(df: DataFrame, keys: Sequence[str], text: str, dimensions: int) -> DataFrame:
     """keys, ``_cells`` (bucket, count), ``_norm``.
 
     Texts are shuffled once by key; token counting and norms reuse that partitioning, so the
-    exploded tokens never cross the network. Each distinct token of a text is hashed once.
+    exploded tokens never cross the network. Partitions hold a fixed amount of text, so a task
+    counts as many tokens in a large table as in a small one. Each distinct token of a text is
+    hashed once.
     A text without tokens keeps one row with no cells.
     """
-    placed = df.select(*keys, text).repartition(*keys)
+    placed = df.select(*keys, text).repartition(text_parts(df, text), *keys)
     tokens = placed.select(*keys, F.explode_outer(query_terms(F.col(text))).alias("_token"))
     per_token = tokens.groupBy(*keys, "_token").agg(F.count("_token").alias("_n"))
     counts = per_token.groupBy(*keys, hash_bucket(F.col("_token"), dimensions).alias("bucket")).agg(
