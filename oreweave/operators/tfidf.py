@@ -10,25 +10,32 @@ from pyspark.sql import functions as F
 from oreweave import constants as K
 from oreweave.functions.text import with_bigrams, word_tokens
 from oreweave.session import stored
+from oreweave.tables import text_parts
 
 
-def term_counts(docs: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
+def term_counts(docs: DataFrame, keys: Sequence[str], parts: int, text: str = "text", only: DataFrame | None = None) -> DataFrame:
     """keys, ``term``, ``tf``. The texts are shuffled once by key; counting reuses that partitioning.
 
-    Counting inside the row with array functions was tried and was five times slower.
+    ``parts`` bounds what a task counts. With ``only``, a table of terms that may be broadcast,
+    other terms are left out before counting. Counting inside the row with array functions was
+    tried and was five times slower.
     """
-    placed = docs.select(*keys, text).repartition(*keys).select(*keys, word_tokens(F.col(text)).alias("_tokens"))
+    placed = docs.select(*keys, text).repartition(parts, *keys).select(*keys, word_tokens(F.col(text)).alias("_tokens"))
     terms = placed.select(*keys, F.explode(with_bigrams(F.col("_tokens"))).alias("term"))
+    if only is not None:
+        terms = terms.join(F.broadcast(only.select("term")), "term", "left_semi")
     return terms.groupBy(*keys, "term").agg(F.count("*").alias("tf"))
 
 
-def vocabulary(counts: DataFrame, documents: DataFrame, max_features: int = K.TFIDF_MAX_FEATURES) -> DataFrame:
+def vocabulary(docs: DataFrame, keys: Sequence[str], parts: int, text: str = "text", max_features: int = K.TFIDF_MAX_FEATURES) -> DataFrame:
     """The most frequent terms with their inverse document frequency.
 
     At most ``max_features`` rows whatever the corpus, so it may be broadcast. Ties in the
-    corpus count are cut in term order.
+    corpus count are cut in term order. Counts of texts go to the tasks of their terms as they
+    are: most bigrams are rare, so adding them up before would fill memory and save little.
     """
-    total = documents.agg(F.count("*").alias("n")).scalar()
+    total = docs.agg(F.count("*").alias("n")).scalar()
+    counts = term_counts(docs, keys, parts, text).select("term", "tf").repartition(parts, "term")
     per_term = counts.groupBy("term").agg(F.sum("tf").alias("cf"), F.count("*").alias("df"))
     top = per_term.orderBy(F.desc("cf"), "term").limit(max_features)
     return top.select("term", (F.log((1.0 + total) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
@@ -43,12 +50,14 @@ def batch_scores(
 ) -> DataFrame:
     """Cosine of every document with each of a few queries: keys, ``query`` (place in the list), ``score``.
 
-    The texts are tokenised once: the vocabulary and the scores both come from the stored counts.
+    The texts are tokenised twice, for the vocabulary and for the counts of its terms: the counts of
+    all terms are many times larger than the texts and are not kept.
     All queries share one vocabulary and one scoring pass: a term carries its weight in each
     query, and a document's partial sums are added before they leave the task.
     """
-    counts = stored(term_counts(docs, keys, text))
-    terms = vocabulary(counts, docs, max_features)
+    parts = text_parts(docs, text)
+    terms = stored(vocabulary(docs, keys, parts, text, max_features))
+    counts = term_counts(docs, keys, parts, text, terms)
     rows = docs.sparkSession.createDataFrame([(i, q) for i, q in enumerate(queries)], "query int, text string")
     asked = (
         rows.select("query", F.explode(with_bigrams(word_tokens(F.col("text")))).alias("term"))
@@ -101,11 +110,13 @@ class TfidfIndex:
         max_features: int = K.TFIDF_MAX_FEATURES,
     ) -> TfidfIndex:
         index = cls(docs.sparkSession, path, keys)
+        docs = stored(docs.select(*keys, text))  # read three times
+        parts = text_parts(docs, text)
+        vocabulary(docs, keys, parts, text, max_features).write.mode("overwrite").parquet(f"{index.path}/vocabulary")
+        terms = index.spark.read.parquet(f"{index.path}/vocabulary")
         counts_path = f"{index.path}/counts"
-        term_counts(docs, keys, text).write.mode("overwrite").parquet(counts_path)
+        term_counts(docs, keys, parts, text, terms).write.mode("overwrite").parquet(counts_path)
         counts = index.spark.read.parquet(counts_path)
-        vocabulary(counts, docs, max_features).write.mode("overwrite").parquet(f"{index.path}/vocabulary")
-        terms = index.spark.read.parquet(f"{index.path}/vocabulary")
         weights = counts.join(F.broadcast(terms), "term").select(*keys, "term", (F.col("tf") * F.col("idf")).alias("w"))
         norms = weights.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
         postings = weights.join(norms, list(keys)).select("term", *keys, (F.col("w") / F.col("norm")).alias("weight"))

@@ -283,3 +283,31 @@ def test_common_passes_equal_single_searches(spark):
         ours = [r for r in together if r["query"] == i]
         assert sorted((r["evidence_id"], round(r["relevance"], 9), r["filter_relaxed"]) for r in ours) == sorted(
             (r["evidence_id"], round(r["relevance"], 9), r["filter_relaxed"]) for r in alone)
+
+
+def test_a_task_counts_a_fixed_amount_of_text(spark, monkeypatch):
+    from oreweave import tables
+    from oreweave.operators.embeddings import bucket_weights
+
+    docs = spark.range(200).select(F.col("id"), F.concat(F.lit("ore mill "), F.repeat(F.concat("id", F.lit(" loss ")), 20)).alias("text"))
+    monkeypatch.setattr(tables, "PART_BYTES", 1024, raising=False)
+    cells = bucket_weights(docs, ["id"]).select("id", F.spark_partition_id().alias("p"))
+    assert cells.groupBy("p").agg(F.count_distinct("id").alias("n")).agg(F.max("n")).first()[0] < 25
+    assert cells.select("id").distinct().count() == 200
+
+
+def test_only_counts_of_vocabulary_terms_are_kept(spark, monkeypatch):
+    from oreweave.operators import tfidf
+
+    kept, real = [], tfidf.stored
+    monkeypatch.setattr(tfidf, "stored", lambda df: kept.append(real(df)) or kept[-1])
+    docs = spark.range(50).select("id", F.concat_ws(" ", F.lit("ore mill"), F.concat(F.lit("rare"), "id"), F.lit("ore")).alias("text"))
+    found = document_scores(docs, ["id"], "ore mill", max_features=4).collect()
+    assert len(found) == 50 and all(df.count() <= 4 for df in kept)
+
+
+def test_both_filters_read_the_hits_of_one_search(spark, small_dir, capsys):
+    from oreweave.plans.retrieval_queries import filter_retry
+
+    filter_retry(spark, small_dir).explain()
+    assert "regexp_extract_all" not in capsys.readouterr().out
