@@ -12,6 +12,7 @@ from oreweave.operators.research import citations, merge_web_results, pool_evide
 from oreweave.operators.tfidf import document_scores
 from oreweave.plans import corpus
 from oreweave.plans.registry import query, sql_chunks, sql_sum_contains, sql_text
+from oreweave.session import stored
 from oreweave.tables import spread, table
 
 QUESTION = "the thin nickel ering with tion that oreau"
@@ -129,7 +130,7 @@ def filter_retry(spark, sf_dir):
     """A plant filter no chunk satisfies falls back to all hits, an element filter keeps what it accepts."""
     chunks = corpus.chunks(spark, sf_dir)
     scores = Rt.hybrid_scores(chunks, ["chunk_id"], "text", QUESTION, 8).withColumn("score", F.round("score", 6))
-    hits = chunks.join(F.broadcast(scores.select("chunk_id", "score")), "chunk_id")
+    hits = stored(chunks.join(F.broadcast(scores.select("chunk_id", "score")), "chunk_id"))  # at most 32 rows, for both filters
     elements = frozenset(("element", e) for e in ("element28", "element29"))
     out = []
     for label, wanted in (("none", Rt.asked_for("КГМК")), ("some", elements)):
