@@ -128,12 +128,14 @@ class Segments:
         self.count = np.minimum(np.repeat(lengths, pieces) - nth * MOST, MOST)
         self.doc = np.searchsorted(self.ends, self.at, side="right")
         key = low[self.at]
+        del low, valid, differs, stops, edges, lengths, pieces, nth
         digest = self.count.astype(np.uint64)
         for base in (self.at, self.at + self.count - 1):  # its first and last window hold all of a segment
             for step in (*range(0, WINDOW - 8, 8), WINDOW - 8):
                 digest = (digest ^ words[base + step]) * np.uint64(0x9E3779B97F4A7C15)
                 digest ^= digest >> np.uint64(29)
         digest = mix(digest) >> np.uint64(16)
+        del words
         place = (key & np.uint64(0xFFFFFFFF)) % np.uint64(buckets) << np.uint64(32) | key >> np.uint64(32)
         order = np.argsort(place, kind="stable")
         p, d = place[order], digest[order]
@@ -278,20 +280,23 @@ def shared_windows(counts: np.ndarray, docs: np.ndarray, text: bytes) -> np.ndar
     """For segments given by their numbers of windows, documents and joined text: a bit for each
     window that a segment of a smaller document has too, by a suffix array over all of them."""
     lengths = counts + WINDOW - 1
-    data = np.full(int(lengths.sum()) + len(counts), 255, np.uint8)  # a byte that UTF-8 never has stands behind each
-    owner = np.repeat(np.arange(len(counts)), lengths)
-    data[np.arange(len(owner)) + owner] = np.frombuffer(text, np.uint8)
     begin = np.cumsum(lengths + 1) - lengths - 1
-    place = np.repeat(begin, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    segment = np.full(len(data), -1, np.int64)
-    segment[place] = np.repeat(np.arange(len(counts)), counts)
+    data = np.full(int(lengths.sum()) + len(counts), 255, np.uint8)  # a byte that UTF-8 never has stands behind each
+    inside = np.ones(len(data), bool)
+    inside[begin + lengths] = False
+    data[inside] = np.frombuffer(text, np.uint8)
+    del inside
+    segment = np.repeat(np.arange(len(counts), dtype=np.int32), lengths + 1)
+    starts = np.tile(np.array([True, False]), len(counts))  # of each segment the windows, and the bytes behind them
+    segment[~np.repeat(starts, np.stack([counts, np.full(len(counts), WINDOW, counts.dtype)], 1).reshape(-1))] = -1
     words = words_at(data, ">")
     order = suffix_array(data, words)
     order = order[segment[order] >= 0]
     new = np.r_[True, common_prefixes(order, words) < WINDOW]
-    doc = docs[segment[order]]
-    least = np.minimum.reduceat(doc, np.flatnonzero(new))[np.cumsum(new) - 1]
-    hit = order[doc > least]
+    del words
+    doc = np.unique(docs, return_inverse=True)[1].astype(np.int32)[segment[order]]
+    least = np.minimum.reduceat(doc, np.flatnonzero(new))
+    hit = order[doc > least[np.cumsum(new, dtype=np.int32) - 1]]
     bits = np.zeros(len(counts), np.uint32)
     np.bitwise_or.at(bits, segment[hit], np.uint32(1) << (hit - begin[segment[hit]]).astype(np.uint32))
     return bits
@@ -392,6 +397,15 @@ def removal_digests(docs: DataFrame) -> DataFrame:
     return id_out(table.mapInPandas(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
 
 
+def _left(data: np.ndarray, gone: np.ndarray) -> str:
+    """What stays of a document; a character goes if all its bytes do."""
+    if gone.any():
+        head = np.flatnonzero((data & 0xC0) != 0x80)
+        whole = np.minimum.reduceat(gone.astype(np.uint8), head).astype(bool)
+        data = data[~np.repeat(whole, np.diff(head, append=len(data)))]
+    return data.tobytes().decode()
+
+
 def without_repeats(docs: DataFrame) -> DataFrame:
     """All rows and columns with repeated passages cut from text; characters cut in part stay whole."""
     others = [f for f in docs.schema if f.name not in ("doc_id", "text")]
@@ -402,12 +416,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
         for frame in frames:
             for row in frame.itertuples(index=False):
                 s, gone = covered(row, buckets)
-                head = np.flatnonzero((s.data & 0xC0) != 0x80)
-                if len(head):  # a character goes if all its bytes do
-                    whole = np.minimum.reduceat(gone.astype(np.uint8), head).astype(bool)
-                    gone = np.repeat(whole, np.diff(np.r_[head, len(gone)]))
                 rows = [
-                    (i, s.data[e - n : e][~gone[e - n : e]].tobytes().decode(), r)
+                    (i, _left(s.data[e - n : e], gone[e - n : e]), r)
                     for i, n, e, r in zip(s.ids.tolist(), s.sizes.tolist(), s.ends.tolist(), row.rest)
                 ]
                 yield pd.DataFrame(rows, columns=["doc_id", "text", "rest"])

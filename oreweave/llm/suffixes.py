@@ -52,14 +52,15 @@ def suffix_array(data: np.ndarray, words: np.ndarray) -> np.ndarray:
     after = np.r_[data[1:].astype(np.int16), np.int16(256)]
     rises = after > data
     change = np.flatnonzero(after != data)  # runs of one byte share the type of their last place
-    small = rises[change[np.searchsorted(change, np.arange(size))]]
-    direct = _sorted(np.flatnonzero(small), words)
+    small = np.repeat(rises[change], np.diff(change, prepend=-1))
+    del after, rises, change
+    direct = _sorted(np.flatnonzero(small).astype(np.int32 if size < 1 << 31 else np.int64), words)
     cuts = np.searchsorted(data[direct], np.arange(257))
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
     out = []
     for byte in range(256):
         bucket = waiting[byte]
-        fresh = np.concatenate(bucket) if bucket else np.empty(0, np.int64)
+        fresh = np.concatenate(bucket) if bucket else np.empty(0, direct.dtype)
         while len(fresh):  # a run of this byte: each place brings the one before it
             fresh = fresh[fresh > 0] - 1
             fresh = fresh[(data[fresh] == byte) & ~small[fresh]]
@@ -82,11 +83,11 @@ def suffix_array(data: np.ndarray, words: np.ndarray) -> np.ndarray:
 def common_prefixes(order: np.ndarray, words: np.ndarray) -> np.ndarray:
     """Bytes, DEPTH at most, that each place in an order shares with the next one."""
     a, b, last = order[:-1], order[1:], len(words) - 1
-    shared = np.zeros(len(a), np.int64)
-    live = np.arange(len(a))
+    shared = np.zeros(len(a), np.uint8)
+    live = np.arange(len(a), dtype=order.dtype)
     for at in range(0, DEPTH, 8):
         differ = words[np.minimum(a[live] + at, last)] ^ words[np.minimum(b[live] + at, last)]
-        equal = np.zeros(len(live), np.int64)
+        equal = np.zeros(len(live), np.uint8)
         for k in range(8):
             equal += differ < np.uint64(1 << (56 - 8 * k))
         shared[live] += equal

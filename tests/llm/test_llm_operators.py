@@ -591,3 +591,18 @@ def test_licences_by_canonical_text(spark, odd, empty):
     got = {tuple(r) for r in licenses.scan(df, notices).collect()}
     assert got == {(0, "text", 1, "Apache-2.0"), (0, "line", 2, "Apache-2.0"), (0, "paragraph", 1, "Apache-2.0"), (1, "line", 3, "MIT")}
     assert licenses.scan(odd, notices).count() == 0 and licenses.scan(empty, notices).count() == 0
+
+
+def test_memory_of_shared_windows_follows_the_text():
+    import tracemalloc
+
+    from oreweave.llm.repeats import WINDOW, shared_windows
+
+    rng = np.random.default_rng(5)
+    counts = rng.integers(1, 33, 12_000)
+    text = rng.integers(97, 123, int((counts + WINDOW - 1).sum()), dtype=np.uint8).tobytes()
+    tracemalloc.start()
+    shared_windows(counts, np.arange(len(counts)), text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50 * len(text)
