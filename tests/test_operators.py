@@ -311,3 +311,17 @@ def test_both_filters_read_the_hits_of_one_search(spark, small_dir, capsys):
 
     filter_retry(spark, small_dir).explain()
     assert "regexp_extract_all" not in capsys.readouterr().out
+
+
+def test_metric_columns_cast_only_what_may_be_a_number(spark, capsys):
+    from datetime import datetime
+
+    rows = [(1.0, "A", datetime(2020, 1, 1), True), (2.0, " -3.5 ", datetime(2020, 1, 2), False), (3.0, "Infinity", None, None), (4.0, "NaN", None, None)]
+    df = spark.createDataFrame(rows, "loss double, loss_text string, loss_date timestamp, loss_flag boolean").coalesce(1)
+    values = profiling._long_form(df, df.columns)
+    got = {(r[0], r[1]) for r in values.collect()}
+    assert got == {("loss", 1.0), ("loss", 2.0), ("loss", 3.0), ("loss", 4.0), ("loss_text", -3.5), ("loss_text", float("inf"))}
+    values.explain()
+    plan = capsys.readouterr().out
+    assert "loss_date" not in plan.split("Project")[1].split("+-")[0] and "RoundRobin" in plan
+    assert profiling._long_form(df, ["loss_date"]).count() == 0
