@@ -106,8 +106,14 @@ def failure_streaks(stream: DataFrame, limit: int) -> DataFrame:
 
     def update(key, batches, state):
         old = list(map(list, zip(*state.get))) if state.exists else []
-        rows = pd.concat(list(batches)).dropna(subset=["seq"])
-        seqs, failed = rows["seq"].to_numpy(np.int64), rows["failed"].fillna(False).astype(bool).to_numpy()
+        frames = list(batches)  # arrays, for a key has few rows and a table many keys
+        seqs, failed = (np.concatenate([frame[name].to_numpy() for frame in frames]) for name in ("seq", "failed"))
+        if seqs.dtype.kind not in "iu":
+            known = ~pd.isna(seqs)
+            seqs, failed = seqs[known], failed[known]
+        seqs = seqs.astype(np.int64, copy=False)
+        if failed.dtype != bool:
+            failed = np.array([value is not None and value == value and bool(value) for value in failed], bool)
         order = np.lexsort((~failed, seqs))
         seqs, failed = seqs[order], failed[order]
         fresh = np.r_[True, seqs[1:] != seqs[:-1]][: len(seqs)]

@@ -516,3 +516,32 @@ def test_stored_web_results_reach_the_context(spark):
     corpus = spark.createDataFrame([("c1", "t", "s", "txt", "f", "", 0.5)], "evidence_id string, text string, source_id string, source_type string, filename string, section string, relevance double")
     result = run_research("flotation", lambda q: corpus, web=search, web_max=2)
     assert [c["source_type"] for c in result.citations] == ["txt", "web", "web"]
+
+
+def test_streaks_make_no_frame_of_a_keys_rows(monkeypatch):
+    """Many keys with few rows: frames of every key were most of the time."""
+    import pandas as pd
+
+    class Grouped:
+        def applyInPandasWithState(self, update, *_):
+            return update
+
+    class Stream:
+        def groupBy(self, *_):
+            return Grouped()
+
+    class State:
+        exists = False
+
+        def update(self, value):
+            self.value = value
+
+    def refused(*_, **__):
+        raise AssertionError("frames were joined")
+
+    parts = [pd.DataFrame({"seq": [0.0, float("nan")], "failed": [True, True]}), pd.DataFrame({"seq": [2, 1], "failed": [None, True]})]
+    monkeypatch.setattr(pd, "concat", refused)
+    from oreweave.streaming.incremental import failure_streaks
+
+    (out,) = failure_streaks(Stream(), 2)(("a",), iter(parts), State())
+    assert out.values.tolist() == [["a", 3, 2, True]]
