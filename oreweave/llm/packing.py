@@ -22,7 +22,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,7 +33,7 @@ from .common import Memo, documents, free_names, id_in, id_out, per_worker, quer
 SEQUENCE_TOKENS = 4096
 OPEN_BINS = 256
 PACKER_SEQUENCES = 2048
-CACHE_WORDS = 600_000  # words in the younger half of a worker's memory
+CACHE_WORDS, CACHE_PIECES = 450_000, 60_000  # in the younger half of a worker's memory
 
 
 class OpenBins:
@@ -124,7 +123,7 @@ class WordIds:
         self._added = tokens
         self._normal, self._split = self.tokenizer.normalizer.normalize_str, self.tokenizer.pre_tokenizer.pre_tokenize_str
         self._tokens = self.tokenizer.model.tokenize
-        self._piece = Memo(lambda p: np.array([t.id for t in self._tokens(p)], "<u4").tobytes(), CACHE_WORDS // 2)
+        self._piece = Memo(lambda p: np.array([t.id for t in self._tokens(p)], "<u4").tobytes(), CACHE_PIECES)
         self._word = Memo(self._ids, CACHE_WORDS)
 
     def _ids(self, word: bytes) -> bytes:
@@ -148,20 +147,23 @@ def token_pieces(docs: DataFrame, model_path: str, size: int, end_id: int, with_
     job = uuid.uuid4().hex
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, end = per_worker(job, lambda: WordIds(model.value, added=True)), np.asarray([end_id], "<u4").tobytes()
-        for frame in frames:
+        for batch in batches:
             rows = []
-            for doc_id, text in zip(frame["doc_id"], frame["text"]):
-                ids = ids_of(text) + end
+            for doc_id, text in zip(batch.column(0), batch.column(1)):  # one text at a time leaves the batch
+                doc_id, ids = doc_id.as_py(), ids_of(text.as_py()) + end
                 for piece, at in enumerate(range(0, len(ids), 4 * size)):
                     part = ids[at : at + 4 * size]
                     row = (doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part))
                     rows.append((*row, np.frombuffer(part, "<u4").astype("int32")) if with_ids else row)
-            yield pd.DataFrame(rows, columns=names)
+            columns = zip(*rows) if rows else [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return id_out(docs.select(id_in(), "text").mapInPandas(run, schema))
+    return id_out(docs.select(id_in(), "text").mapInArrow(run, schema))
 
 
 def pack_documents(docs: DataFrame, model_path: str, size: int = SEQUENCE_TOKENS, end_id: int = 1,

@@ -606,3 +606,8 @@ def test_memory_of_shared_windows_follows_the_text():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 50 * len(text)
+
+
+def test_a_tokenising_worker_remembers_few_pieces():
+    ids_of = packing.WordIds(open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read())
+    assert ids_of._piece.most <= 60_000 and ids_of._word.most <= 450_000
