@@ -33,7 +33,7 @@ from .common import Memo, documents, free_names, id_in, id_out, per_worker, quer
 SEQUENCE_TOKENS = 4096
 OPEN_BINS = 256
 PACKER_SEQUENCES = 2048
-CACHE_WORDS, CACHE_PIECES = 450_000, 60_000  # in the younger half of a worker's memory
+CACHE_WORDS, CACHE_PIECES = 600_000, 200_000  # in the younger half of a worker's memory
 
 
 class OpenBins:
