@@ -76,10 +76,12 @@ def with_bigrams(tokens: Column) -> Column:
     return F.when(size < 2, tokens).otherwise(F.concat(tokens, pairs))
 
 
-def snippet(text: Column, needle: Column, window: int = K.SNIPPET_WINDOW) -> Column:
-    """Window of text around the first case-insensitive hit, or the head of the text."""
+def snippet(text: Column, needle: Column, window: int = K.SNIPPET_WINDOW, at: Column | None = None) -> Column:
+    """Window of text around the first case-insensitive hit, or the head of the text.
+
+    ``at`` is the place of the hit, from 1, where it is known."""
     half = window // 2
-    pos = F.instr(F.lower(text), F.lower(needle)) - 1
+    pos = (F.instr(F.lower(text), F.lower(needle)) if at is None else at) - 1
     start = F.greatest(F.lit(0), pos - half)
     end = F.least(F.length(text), pos + F.length(needle) + half)
     around = py_strip(F.substring(text, start + 1, end - start))

@@ -6,11 +6,15 @@ contain the name if it contains the anchor, so an equi-join on the anchor yields
 and one ``contains`` check makes them exact. Which anchor is chosen affects the work, never the
 result.
 
-Where no group of names (those of one run, say) has more than a few hundred, each text simply
-tries the names of its group. The anchors of a larger dictionary of bounded size are broadcast: texts are cut into pieces, joined and
-checked in the row that still holds the text, in one scan without a shuffle; an anchor is the
-piece that the fewest names share. Beyond that bound pieces are shuffled without their
-texts, and the anchor is the piece that the fewest texts of a sample contain.
+Where no group of names (those of one run, say) has more than a few, each text simply tries the
+names of its group. Of a larger dictionary of bounded size, names of one word can only lie within
+one word of a text: the names in the frequent words are looked up, once for all texts, and texts
+are joined with them by their words; other words, and texts for names of several words, are cut
+into pieces and joined with broadcast anchors, an anchor being the piece that the fewest names
+share. All of it happens in the row that holds the text, without a shuffle. Which words
+count as frequent is taken from a sample: it decides by which of the two ways a word goes. Beyond
+that bound pieces are shuffled without their texts, and the anchor is the piece that the fewest
+texts of a sample contain.
 
 Pieces have five characters; names of three or four are their own pieces.
 """
@@ -18,12 +22,18 @@ Pieces have five characters; names of three or four are their own pieces.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from oreweave.session import stored
+
 BROADCAST_BYTES = 16 << 20  # of names whose anchors are broadcast
-GROUP_NAMES = 256  # names that a text tries one by one
+GROUP_NAMES = 32  # names that a text tries one by one
+SEPARATORS = " \t\n\r!\"#$%&()*,.:;<=>?@[\\]^`{|}~"  # between the words of a text
+FREQUENT_WORDS, FREQUENT_CHARS = 300_000, 40  # looked up beforehand, of at most so many characters
+SAMPLE_TEXTS, SAMPLE_CHARS = 100_000, 2_000  # in whose heads words are counted
 SHORTEST, LONGEST = 3, 5
 ANCHOR_CHOICES = 12
 
@@ -68,20 +78,8 @@ def _candidates(
 
 
 def _pieces(text: Column, lengths: Sequence[int]) -> Column:
-    """Pieces of several lengths: shorter ones are the heads of the longest ones of a text with a tail."""
-    longest = max(lengths)
-    if len(lengths) == 1:
-        return grams(text, longest)
-    tail = F.lit("\0" * (longest - min(lengths)))
-
-    def heads(found: Column, n: int) -> Column:
-        return F.array_distinct(F.transform(found, lambda g: F.substring(g, 1, n)))
-
-    def cut(found: Column) -> Column:
-        return F.concat(found, *[heads(found, n) for n in lengths if n < longest])
-
-    # bound by a one-element transform, so that the text is cut once
-    return F.get(F.transform(F.array(grams(F.concat(text, tail), longest)), cut), F.lit(0))
+    """Distinct pieces of several lengths."""
+    return F.concat(*[grams(text, n) for n in lengths])
 
 
 def _one_by_one(low: DataFrame, names: DataFrame, on: Sequence[str], name_id: Sequence[str]) -> DataFrame:
@@ -93,15 +91,58 @@ def _one_by_one(low: DataFrame, names: DataFrame, on: Sequence[str], name_id: Se
     return hits.select(*low.columns, *[F.col("_hit")[c].alias(c) for c in name_id if c not in low.columns], F.col("_hit")["_name"].alias("_name"))
 
 
-def _in_the_row(low: DataFrame, names: DataFrame, on: Sequence[str], name_id: Sequence[str], lengths: Sequence[int]) -> DataFrame:
-    """Texts with the names they contain, found in one pass over the texts."""
+def _in_the_row(
+    low: DataFrame, names: DataFrame, on: Sequence[str], name_id: Sequence[str], lengths: Sequence[int], text: str = "_low"
+) -> DataFrame:
+    """Texts with the names they contain, found in one pass over the texts.
+
+    Lambdas are kept out of the scan: Spark runs the generators and joins as one loop then, and
+    the text is not copied for each of its pieces."""
     own = F.least(F.length("_name"), F.lit(LONGEST))
     choices = names.select(*on, *name_id, "_name", F.explode(_own_pieces(own, lengths)).alias("_gram"))
     shared = choices.withColumn("_df", F.count("*").over(Window.partitionBy(*on, "_gram")))
     rarest = Window.partitionBy(*on, *name_id, "_name").orderBy("_df", "_gram")
     anchors = shared.withColumn("_pick", F.row_number().over(rarest)).where("_pick = 1").drop("_pick", "_df")
-    cut = low.withColumn("_gram", F.explode(_pieces(F.col("_low"), lengths)))
-    return cut.join(F.broadcast(anchors), [*on, "_gram"]).where(F.contains("_low", "_name"))  # as large as the names, which were measured
+    cut = low.withColumn("_gram", F.explode(_pieces(F.col(text), lengths)))
+    return cut.join(F.broadcast(anchors), [*on, "_gram"]).where(F.contains(F.col(text), F.col("_name")))  # as large as the names, which were measured
+
+
+def _by_words(low: DataFrame) -> DataFrame:
+    """A row per distinct word (``_word``) of a text; ``_line`` has these words between blanks."""
+    blank = F.lit(" ")
+    flat = F.translate("_low", SEPARATORS, " " * len(SEPARATORS))
+    line = F.concat(blank, F.array_join(F.array_distinct(F.split(flat, " ")), " "), blank)
+    return low.withColumn("_line", line).withColumn("_word", F.explode(F.split("_line", " ")))
+
+
+def _frequent_words(low: DataFrame) -> DataFrame:
+    """Words of a sample of the texts, the most frequent ones; which ones affects the work, never the result."""
+    share = SAMPLE_TEXTS / max(low.count(), 1)
+    sample = low if share >= 1 else low.sample(share, seed=7)
+    heads = sample.select(F.substring("_low", 1, SAMPLE_CHARS).alias("_low"))
+    words = _by_words(heads).where((F.length("_word") >= SHORTEST) & (F.length("_word") <= FREQUENT_CHARS))
+    counted = words.groupBy("_word").agg(F.count("*").alias("n")).where("n > 1")
+    return stored(counted.orderBy(F.desc("n"), "_word").limit(FREQUENT_WORDS).select("_word"))
+
+
+def _word_by_word(low: DataFrame, names: DataFrame, on: Sequence[str], name_id: Sequence[str], lengths: Sequence[int]) -> DataFrame:
+    """Texts with the names of one word that they contain.
+
+    A name that lies in several words of a text is reported by the first of them in ``_line``,
+    so no pair comes twice."""
+    frequent = _frequent_words(low)
+    inside = _in_the_row(frequent, names.select("_name").distinct(), [], [], lengths, "_word").select("_word", "_name")
+    cut = _by_words(low).where(F.length("_word") >= SHORTEST)
+    # _found keeps the test below behind the second join, where names of other groups are gone
+    known = cut.join(F.broadcast(inside), "_word").join(F.broadcast(names.withColumn("_found", F.col("_name"))), [*on, "_name"])  # bounded words; measured names
+    others = _in_the_row(cut.join(F.broadcast(frequent), "_word", "left_anti"), names, on, name_id, lengths, "_word")
+    columns = [*low.columns, *[c for c in name_id if c not in low.columns], "_name"]
+    blank = F.lit(" ")
+    before = F.call_function("substring_index", F.col("_line"), F.concat(blank, "_word", blank), F.lit(1))
+    return reduce(DataFrame.unionByName, [
+        known.where(~F.contains(before, F.col("_found"))).select(*columns),
+        others.where(~F.contains(before, F.col("_name"))).select(*columns),
+    ])
 
 
 def _own_pieces(own: Column, lengths: Sequence[int]) -> Column:
@@ -130,30 +171,46 @@ def contains_join(
 
     Names shorter than three characters never match. ``on`` lists columns both sides must
     agree on; columns that describe a name may be listed in ``name_id`` and need no later join.
-    ``carry`` adds columns of the texts, ``derive`` expressions over them, the text (``_text``)
-    and ``name_id``, made where the text is at hand.
+    ``carry`` adds columns of the texts, ``derive`` expressions over them, the text (``_text``),
+    the place of the name in it (``_at``, from 1) and ``name_id``, made where the text is at hand.
 
     The names are measured first (hand in a stored table): groups of up to ``group_names`` are
-    tried one by one, anchors of up to ``broadcast_bytes`` of
-    them are broadcast, those of a larger dictionary are joined by a shuffle.
+    tried one by one; up to ``broadcast_bytes`` of names are broadcast, those of one word found by
+    the words of the texts and others by anchors; a larger dictionary is joined by a shuffle.
     """
     own = list(dict.fromkeys([*on, *text_id, *carry]))
     low = texts.select(*own, F.col(text).alias("_text"), F.lower(F.col(text)).alias("_low"))
     usable = names.where(F.length(name) >= SHORTEST).select(*on, *name_id, F.col(name).alias("_name"))
     row = F.length(F.to_json(F.struct("*"))).cast("long")
+    several = F.translate("_name", SEPARATORS, "") != F.col("_name")
+    length = F.least(F.length("_name"), F.lit(LONGEST))
     size = usable.agg(
         F.coalesce(F.sum(row), F.lit(0)).alias("bytes"), F.min(F.length("_name")).alias("shortest"),
-        F.array_sort(F.collect_set(F.least(F.length("_name"), F.lit(LONGEST)))).alias("lengths"),
+        F.array_sort(F.collect_set(F.when(several, length))).alias("several"),
+        F.array_sort(F.collect_set(F.when(~several, length))).alias("single"),
     ).first()
-    crowded = usable.groupBy(*[F.col(c) for c in on]).agg(F.count("*").alias("n")).where(F.col("n") > group_names).limit(1)
-    if size["bytes"] <= broadcast_bytes and not crowded.count():
-        found = _one_by_one(low, usable, on, name_id)
-    elif size["bytes"] <= broadcast_bytes:
-        found = _in_the_row(low, usable, on, name_id, size["lengths"] or [LONGEST])
-    else:
+
+    def crowded(some: DataFrame) -> bool:
+        groups = some.groupBy(*[F.col(c) for c in on]).agg(F.count("*").alias("n"))
+        return groups.where(F.col("n") > group_names).limit(1).count() > 0
+
+    if size["bytes"] > broadcast_bytes:
         low = low.repartition(*text_id)
-        length = min(LONGEST, size["shortest"] or SHORTEST)
-        candidates = _candidates(low, usable, on, text_id, name_id, length, statistics_fraction)
+        shortest = min(LONGEST, size["shortest"] or SHORTEST)
+        candidates = _candidates(low, usable, on, text_id, name_id, shortest, statistics_fraction)
         found = candidates.join(low.drop(*[c for c in on if c not in text_id]), list(text_id)).where(F.contains("_low", "_name"))
+    elif not crowded(usable):
+        found = _one_by_one(low, usable, on, name_id)
+    else:
+        columns = [*low.columns, *[c for c in name_id if c not in low.columns], "_name"]
+        parts = []
+        if size["single"]:
+            parts.append(_word_by_word(low, usable.where(~several), on, name_id, size["single"]))
+        if size["several"] and crowded(usable.where(several)):
+            parts.append(_in_the_row(low, usable.where(several), on, name_id, size["several"]))
+        elif size["several"]:
+            parts.append(_one_by_one(low, usable.where(several), on, name_id))
+        found = reduce(DataFrame.unionByName, [part.select(*columns) for part in parts])
+    found = found.withColumn("_at", F.instr("_low", F.col("_name")))
     more = [column.alias(label) for label, column in (derive or {}).items()]
     return found.select(*text_id, *name_id, *carry, *more)

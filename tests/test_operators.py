@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from oreweave import constants as K
 from oreweave.operators import entities as E
 from oreweave.operators import links as L
+from oreweave.operators import matching
 from oreweave.operators import profiling, ranking
 from oreweave.operators import relations as R
 from oreweave.operators import scans
@@ -30,6 +31,29 @@ def test_contains_join_equals_brute_force(spark):
         assert sorted(map(tuple, got.collect())) == expected
 
 
+@pytest.mark.parametrize("frequent", [200_000, 20, 0])
+def test_contains_join_by_words(spark, monkeypatch, frequent):
+    """Names of one word are met by words, frequent or not, each pair once; the text is not copied for its pieces."""
+    monkeypatch.setattr(matching, "FREQUENT_WORDS", frequent)
+    rng = random.Random(11)
+    signs = ["a", "b", "ß", "я", "-", "A", "\U0001d400", " ", " ", ",", "\n", "]"]
+    texts = [(i % 2, i, "".join(rng.choice(signs) for _ in range(rng.choice([0, 5, 200])))) for i in range(60)] + [(0, 99, None), (1, 98, "abab-b-ba" * 9)]
+    names = [(i % 2, i, "".join(rng.choice(signs[:5] + [" ", ","]) for _ in range(rng.randint(1, 6)))) for i in range(300)]
+    names += [(0, 900, "aab"), (0, 901, "aab"), (1, 902, "ab\U0001d400")]
+    expected = sorted((t, n) for g, t, text in texts for h, n, name in names if g == h and len(name) >= 3 and text and name in text.lower())
+    got = contains_join(
+        spark.createDataFrame(texts, "g int, tid int, text string"), spark.createDataFrame(names, "g int, nid int, name string"),
+        ["tid"], "text", ["nid"], "name", on=["g"], derive={"at": F.col("_at")},
+    )
+    rows = [(r["tid"], r["nid"], r["at"]) for r in got.collect()]
+    assert sorted(row[:2] for row in rows) == expected
+    text_of, name_of = {i: text for _, i, text in texts}, {i: name for _, i, name in names}
+    assert all(at == text_of[t].lower().index(name_of[n]) + 1 for t, n, at in rows)
+    plan = got._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0]
+    cuts = [line for line in plan.splitlines() if "Generate explode" in line and "_line" in line]
+    assert cuts and all("*(" in line for line in cuts)
+
+
 def test_block_scans_equal_plain_scans(spark):
     rng = random.Random(5)
     rows = [(k, i, rng.choice(["a", "b", None])) for k in ("hot", "cold") for i in range(300 if k == "hot" else 7)]
