@@ -98,7 +98,7 @@ def _in_the_row(
 
     Lambdas are kept out of the scan: Spark runs the generators and joins as one loop then, and
     the text is not copied for each of its pieces."""
-    own = F.least(F.length("_name"), F.lit(LONGEST))
+    own = F.least(F.length("_name"), F.lit(max(lengths)))
     choices = names.select(*on, *name_id, "_name", F.explode(_own_pieces(own, lengths)).alias("_gram"))
     shared = choices.withColumn("_df", F.count("*").over(Window.partitionBy(*on, "_gram")))
     rarest = Window.partitionBy(*on, *name_id, "_name").orderBy("_df", "_gram")
@@ -125,17 +125,18 @@ def _frequent_words(low: DataFrame) -> DataFrame:
     return stored(counted.orderBy(F.desc("n"), "_word").limit(FREQUENT_WORDS).select("_word"))
 
 
-def _word_by_word(low: DataFrame, names: DataFrame, on: Sequence[str], name_id: Sequence[str], lengths: Sequence[int]) -> DataFrame:
+def _word_by_word(low: DataFrame, names: DataFrame, on: Sequence[str], name_id: Sequence[str], shortest: int) -> DataFrame:
     """Texts with the names of one word that they contain.
 
     A name that lies in several words of a text is reported by the first of them in ``_line``,
-    so no pair comes twice."""
+    so no pair comes twice. Words are short to search, so their anchors are as short as the
+    shortest name: one cut of a word instead of several."""
     frequent = _frequent_words(low)
-    inside = _in_the_row(frequent, names.select("_name").distinct(), [], [], lengths, "_word").select("_word", "_name")
+    inside = _in_the_row(frequent, names.select("_name").distinct(), [], [], [shortest], "_word").select("_word", "_name")
     cut = _by_words(low).where(F.length("_word") >= SHORTEST)
     # _found keeps the test below behind the second join, where names of other groups are gone
     known = cut.join(F.broadcast(inside), "_word").join(F.broadcast(names.withColumn("_found", F.col("_name"))), [*on, "_name"])  # bounded words; measured names
-    others = _in_the_row(cut.join(F.broadcast(frequent), "_word", "left_anti"), names, on, name_id, lengths, "_word")
+    others = _in_the_row(cut.join(F.broadcast(frequent), "_word", "left_anti"), names, on, name_id, [shortest], "_word")
     columns = [*low.columns, *[c for c in name_id if c not in low.columns], "_name"]
     blank = F.lit(" ")
     before = F.call_function("substring_index", F.col("_line"), F.concat(blank, "_word", blank), F.lit(1))
@@ -205,7 +206,7 @@ def contains_join(
         columns = [*low.columns, *[c for c in name_id if c not in low.columns], "_name"]
         parts = []
         if size["single"]:
-            parts.append(_word_by_word(low, usable.where(~several), on, name_id, size["single"]))
+            parts.append(_word_by_word(low, usable.where(~several), on, name_id, size["single"][0]))
         if size["several"] and crowded(usable.where(several)):
             parts.append(_in_the_row(low, usable.where(several), on, name_id, size["several"]))
         elif size["several"]:

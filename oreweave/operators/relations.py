@@ -19,17 +19,18 @@ COLUMNS = [
 ]
 
 
-def entities_in_contexts(contexts: DataFrame, entities: DataFrame) -> DataFrame:
+def entities_in_contexts(contexts: DataFrame, entities: DataFrame, evidence: bool = True) -> DataFrame:
     """(context, entity) pairs: the normalized name occurs anywhere in the context text.
 
-    Materials and alloys bring the snippet around them along, so no later step needs the text."""
+    Materials and alloys bring the snippet around them along, so no later step needs the text;
+    without ``evidence`` it stays null."""
     named = entities.select("run_id", "entity_id", "entity_type", "name", "normalized")
     text, name = F.col("_text"), F.col("name")
     around = F.when(F.lower(name) == F.col("normalized"), T.snippet(text, name, at=F.col("_at"))).otherwise(T.snippet(text, name))
     pairs = contains_join(
         contexts, named, ["run_id", "context_type", "context_id"], "text", ["entity_id", "entity_type", "name", "normalized"],
         "normalized", on=["run_id"], carry=["context_index", "source_file_id"],
-        derive={"snippet": F.when(F.col("entity_type").isin("material", "alloy"), around)},
+        derive={"snippet": F.when(F.col("entity_type").isin("material", "alloy"), around) if evidence else F.lit(None).cast("string")},
     )
     return stored(pairs)  # several relations are built from it
 

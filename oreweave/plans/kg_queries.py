@@ -317,5 +317,5 @@ def graph_hits(spark, sf_dir):
 
     rows = stored(contexts(spark, sf_dir))
     entities = stored(entities_of(spark, sf_dir, rows))
-    relations = R.cooccurrence_relations(R.entities_in_contexts(rows, entities))
+    relations = R.cooccurrence_relations(R.entities_in_contexts(rows, entities, evidence=False))  # no column of it is asked for
     return search(entities, relations, " ".join(_HIT_WORDS)).select("relation_id", "predicate", "subject_name", "object_name")
