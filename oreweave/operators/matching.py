@@ -21,6 +21,7 @@ Pieces have five characters; names of three or four are their own pieces.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -91,6 +92,15 @@ def _one_by_one(low: DataFrame, names: DataFrame, on: Sequence[str], name_id: Se
     return hits.select(*low.columns, *[F.col("_hit")[c].alias(c) for c in name_id if c not in low.columns], F.col("_hit")["_name"].alias("_name"))
 
 
+def _anchors(names: DataFrame, on: Sequence[str], name_id: Sequence[str], lengths: Sequence[int]) -> DataFrame:
+    """Names with the piece (``_gram``) that the fewest names share."""
+    own = F.least(F.length("_name"), F.lit(max(lengths)))
+    choices = names.select(*on, *name_id, "_name", F.explode(_own_pieces(own, lengths)).alias("_gram"))
+    shared = choices.withColumn("_df", F.count("*").over(Window.partitionBy(*on, "_gram")))
+    rarest = Window.partitionBy(*on, *name_id, "_name").orderBy("_df", "_gram")
+    return shared.withColumn("_pick", F.row_number().over(rarest)).where("_pick = 1").drop("_pick", "_df")
+
+
 def _in_the_row(
     low: DataFrame, names: DataFrame, on: Sequence[str], name_id: Sequence[str], lengths: Sequence[int], text: str = "_low"
 ) -> DataFrame:
@@ -98,21 +108,16 @@ def _in_the_row(
 
     Lambdas are kept out of the scan: Spark runs the generators and joins as one loop then, and
     the text is not copied for each of its pieces."""
-    own = F.least(F.length("_name"), F.lit(max(lengths)))
-    choices = names.select(*on, *name_id, "_name", F.explode(_own_pieces(own, lengths)).alias("_gram"))
-    shared = choices.withColumn("_df", F.count("*").over(Window.partitionBy(*on, "_gram")))
-    rarest = Window.partitionBy(*on, *name_id, "_name").orderBy("_df", "_gram")
-    anchors = shared.withColumn("_pick", F.row_number().over(rarest)).where("_pick = 1").drop("_pick", "_df")
+    anchors = _anchors(names, on, name_id, lengths)
     cut = low.withColumn("_gram", F.explode(_pieces(F.col(text), lengths)))
     return cut.join(F.broadcast(anchors), [*on, "_gram"]).where(F.contains(F.col(text), F.col("_name")))  # as large as the names, which were measured
 
 
 def _by_words(low: DataFrame) -> DataFrame:
     """A row per distinct word (``_word``) of a text; ``_line`` has these words between blanks."""
-    blank = F.lit(" ")
-    flat = F.translate("_low", SEPARATORS, " " * len(SEPARATORS))
-    line = F.concat(blank, F.array_join(F.array_distinct(F.split(flat, " ")), " "), blank)
-    return low.withColumn("_line", line).withColumn("_word", F.explode(F.split("_line", " ")))
+    words = F.array_distinct(F.split("_low", f"[{re.escape(SEPARATORS)}]+"))
+    line = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
+    return low.withColumn("_line", line).withColumn("_word", F.explode(F.split("_line", " "))).where(F.length("_word") >= SHORTEST)
 
 
 def _frequent_words(low: DataFrame) -> DataFrame:
@@ -120,7 +125,7 @@ def _frequent_words(low: DataFrame) -> DataFrame:
     share = SAMPLE_TEXTS / max(low.count(), 1)
     sample = low if share >= 1 else low.sample(share, seed=7)
     heads = sample.select(F.substring("_low", 1, SAMPLE_CHARS).alias("_low"))
-    words = _by_words(heads).where((F.length("_word") >= SHORTEST) & (F.length("_word") <= FREQUENT_CHARS))
+    words = _by_words(heads).where(F.length("_word") <= FREQUENT_CHARS)
     counted = words.groupBy("_word").agg(F.count("*").alias("n")).where("n > 1")
     return stored(counted.orderBy(F.desc("n"), "_word").limit(FREQUENT_WORDS).select("_word"))
 
@@ -132,18 +137,19 @@ def _word_by_word(low: DataFrame, names: DataFrame, on: Sequence[str], name_id:
     so no pair comes twice. Words are short to search, so their anchors are as short as the
     shortest name: one cut of a word instead of several."""
     frequent = _frequent_words(low)
-    inside = _in_the_row(frequent, names.select("_name").distinct(), [], [], [shortest], "_word").select("_word", "_name")
-    cut = _by_words(low).where(F.length("_word") >= SHORTEST)
-    # _found keeps the test below behind the second join, where names of other groups are gone
-    known = cut.join(F.broadcast(inside), "_word").join(F.broadcast(names.withColumn("_found", F.col("_name"))), [*on, "_name"])  # bounded words; measured names
-    others = _in_the_row(cut.join(F.broadcast(frequent), "_word", "left_anti"), names, on, name_id, [shortest], "_word")
-    columns = [*low.columns, *[c for c in name_id if c not in low.columns], "_name"]
+    plain = names.select("_name").distinct()
+    inside = _in_the_row(frequent, plain, [], [], [shortest], "_word")
+    # a frequent word is its own key, after a blank; another one has its pieces for keys
     blank = F.lit(" ")
+    whole = F.concat(blank, "_word")
+    keys = stored(inside.select(whole.alias("_key"), "_name").unionByName(_anchors(plain, [], [], [shortest]).select(F.col("_gram").alias("_key"), "_name")))
+    cut = _by_words(low).join(F.broadcast(frequent.withColumn("_frequent", F.lit(True))), "_word", "left")  # bounded
+    cut = cut.withColumn("_key", F.explode(F.when(F.col("_frequent"), F.array(whole)).otherwise(grams(F.col("_word"), shortest))))
+    # _found keeps the tests behind the second join, where names of other groups are gone
+    met = cut.join(F.broadcast(keys), "_key").join(F.broadcast(names.withColumn("_found", F.col("_name"))), [*on, "_name"])  # bounded words; measured names
     before = F.call_function("substring_index", F.col("_line"), F.concat(blank, "_word", blank), F.lit(1))
-    return reduce(DataFrame.unionByName, [
-        known.where(~F.contains(before, F.col("_found"))).select(*columns),
-        others.where(~F.contains(before, F.col("_name"))).select(*columns),
-    ])
+    hits = met.where(F.contains("_word", "_found") & ~F.contains(before, F.col("_found")))
+    return hits.select(*low.columns, *[c for c in name_id if c not in low.columns], "_name")
 
 
 def _own_pieces(own: Column, lengths: Sequence[int]) -> Column:
